@@ -1,6 +1,6 @@
 """Language identification by compression.
 
-Each language gets a raw-content zstandard dictionary of sampled texts. A text is compressed whole with every dictionary;
+Each language gets a raw-content zstandard dictionary of sampled texts. A text is compressed whole, in lower case, with every dictionary;
 the language whose dictionary leaves the fewest bytes is chosen, and the answer is rejected when the margin is narrow.
 """
 
@@ -41,16 +41,18 @@ def dictionaries(df: DataFrame, learn: Column, text_col: str, lang_col: str, siz
     nth = F.row_number().over(Window.partitionBy("g").orderBy("h"))
     room = F.sum(F.octet_length("t") + 1).over(Window.partitionBy("g").orderBy(F.length("t"), "h").rowsBetween(Window.unboundedPreceding, 0))
     some = near.withColumn("n", nth).filter(F.col("n") <= texts).withColumn("at", room).filter((F.col("at") <= size)).groupBy("g").agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("h", "t"))), lambda x: x["t"])).alias("d"))
-    return {r["g"]: r["d"].encode() for r in some.orderBy("g").collect()}
+    return {r["g"]: r["d"].lower().encode() for r in some.orderBy("g").collect()}
 
 
 def identify(texts: list[bytes], compressors: list[tuple[str, zstandard.ZstdCompressor]]) -> list[tuple[str, float, float]]:
     """(language, score, margin) of each text; margin: how many of its compressed bytes the best saves against the second."""
     out = []
     for text in texts:
-        if not compressors or not _LETTER.search(text.decode("utf-8", "replace")):
+        folded = text.decode("utf-8", "replace").lower()
+        if not compressors or not _LETTER.search(folded):
             out.append((UNKNOWN, 0.0, 0.0))
             continue
+        text = folded.encode()
         sizes = sorted((len(c.compress(text)), g) for g, c in compressors)
         best, second = sizes[0][0], sizes[1][0] if len(sizes) > 1 else len(text) + 16
         margin = (second - best) / max(second, 1)

@@ -1,7 +1,7 @@
 """Quality rules under weak supervision.
 
 Each rule votes for (1) or against (-1) a document or abstains (0). Expectation-maximisation over the counts of vote
-patterns estimates each rule's accuracy for good and for bad documents and the share of good ones; a document stays when
+patterns estimates how each rule votes on good and on bad documents and the share of good ones; a document stays when
 its posterior probability of being good is at least ``threshold``. The patterns number 3^rules at most, whatever the input.
 """
 
@@ -30,16 +30,17 @@ RULES = (
     ("end_marks", "n_end_marks", "n_words", -1, 0.2, (0, 0.05)),
     ("top_word", "n_top_word", "n_words", -1, 0.3, (0, 0.18)),
     ("digits", "n_digits", "n_chars", -1, 0.25, (0, 0.06)),
+    ("stutter", "n_same_next", "n_words", -1, 0.3, (0, 0.05)),
+    ("letters", ("n_upper", "n_lower", "n_wide"), "n_chars", 0.65, math.inf, (0.75, math.inf)),
 )
 THRESHOLD = 0.5
-_LETTERS = ("n_upper", "n_lower", "n_wide")
 
 
 def votes(counts: np.ndarray) -> np.ndarray:
     """Votes of every rule (columns) on every document (rows of ``counts``, columns ``NAMES``)."""
     out = np.zeros((len(counts), len(RULES)), np.int8)
     for i, (_, top, base, least, most, (lo, hi)) in enumerate(RULES):
-        value = counts[:, NAMES.index(top)].astype(float)
+        value = sum(counts[:, NAMES.index(t)].astype(float) for t in ([top] if isinstance(top, str) else top))
         if base:
             value = value / np.maximum(counts[:, NAMES.index(base)], 1)
         out[:, i] = np.where((value < least) | (value > most), -1, np.where((value >= lo) & (value <= hi), 1, 0))
@@ -68,35 +69,42 @@ def _table(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).mapInArrow(_count, T.StructType(fields))
 
 
-def fit_votes(patterns: list[tuple[int, int]], rounds: int = 100, prior: float = 0.8, strength: float = 50.0) -> tuple[float, np.ndarray]:
-    """The log-odds of good at no votes and the log-odds each rule adds when it votes for (row 0) or against (row 1).
+#: Where the estimates start: shares of votes against, abstentions and votes for, on good (row 0) and on bad documents.
+START = np.array([[0.01, 0.24, 0.75], [0.3, 0.05, 0.65]])
 
-    ``patterns`` has the number of documents of each vote pattern. Accuracies start at 0.8 with ``strength`` pseudo-votes
-    behind them and stay within 0.55 and 0.99, so that a rule never counts against its own vote.
+
+def fit_votes(patterns: list[tuple[int, int]], rounds: int = 100, good: float = 0.8, strength: float = 20.0) -> tuple[float, np.ndarray]:
+    """The log-odds of good before any vote, and what each rule (column) adds to them: against, abstaining, for (rows).
+
+    ``patterns`` has the number of documents of each vote pattern. ``strength`` documents as in ``START`` stand behind each
+    estimate. A rule never counts against its own vote: votes against stay at least ten times as likely on bad documents,
+    votes for no less likely on good ones.
     """
     m = len(RULES)
     number = np.array([n for _, n in patterns], float)
-    vote = (np.array([p for p, _ in patterns], np.int64)[:, None] // 3 ** np.arange(m) % 3 - 1) if patterns else np.zeros((0, m), np.int64)
-    good, right = prior, np.full((2, m), 0.8)  # right[0]: votes for, of votes on good ones; right[1]: against, on bad ones
-    weights = np.zeros((2, m))
+    vote = np.array([p for p, _ in patterns], np.int64)[:, None] // 3 ** np.arange(m) % 3
+    each = [vote == v for v in range(3)]
+    share = np.repeat(START[:, :, None], m, axis=2)
     for _ in range(rounds):
-        weights = np.array([np.log(right[0]) - np.log(1 - right[1]), np.log(1 - right[0]) - np.log(right[1])])
-        odds = math.log(good / (1 - good)) + (vote == 1) @ weights[0] + (vote == -1) @ weights[1]
-        p = 1 / (1 + np.exp(-odds))
-        g, b = (number * p)[:, None], (number * (1 - p))[:, None]
-        good = min(0.99, max(0.01, ((number * p).sum() + 0.8 * strength) / (number.sum() + strength)))
-        for row, w, sign in ((0, g, 1), (1, b, -1)):
-            hits, all_ = (w * (vote == sign)).sum(axis=0), (w * (vote != 0)).sum(axis=0)
-            right[row] = np.clip((hits + 0.8 * strength) / (all_ + strength), 0.55, 0.99)
-    weights = np.array([np.log(right[0]) - np.log(1 - right[1]), np.log(1 - right[0]) - np.log(right[1])])
-    return math.log(good / (1 - good)), weights
+        weights = np.log(share[0]) - np.log(share[1])
+        p = 1 / (1 + np.exp(-np.clip(math.log(good / (1 - good)) + sum(e @ w for e, w in zip(each, weights, strict=True)), -500, 500)))
+        good = min(0.99, max(0.5, ((number * p).sum() + 0.8 * strength) / (number.sum() + strength)))
+        for k, w in enumerate((number * p, number * (1 - p))):
+            share[k] = (np.array([w @ e for e in each]) + strength * START[k][:, None]) / (w.sum() + strength)
+        share[0, 0] = np.clip(share[0, 0], 1e-4, share[1, 0] / 10)
+        share[1, 2] = np.minimum(share[1, 2], share[0, 2])
+        share[:, 1] = np.maximum(1 - share[:, 0] - share[:, 2], 1e-4)
+    return math.log(good / (1 - good)), np.log(share[0]) - np.log(share[1])
+
+
+def odds_of(vote: np.ndarray, start: float, weights: np.ndarray) -> np.ndarray:
+    return start + sum((vote == v) @ w for v, w in zip((-1, 0, 1), weights, strict=True))
 
 
 def _odds(pattern: Column, start: float, weights: np.ndarray) -> Column:
     out = F.lit(start)
     for i in range(len(RULES)):
-        vote = F.floor(pattern / F.lit(3**i)) % 3 - 1
-        out = out + F.when(vote == 1, F.lit(float(weights[0, i]))).when(vote == -1, F.lit(float(weights[1, i]))).otherwise(F.lit(0.0))
+        out = out + F.element_at(F.lit([float(w) for w in weights[:, i]]).cast("array<double>"), (F.floor(pattern / F.lit(3**i)) % 3 + 1).cast("int"))
     return out
 
 
@@ -130,7 +138,6 @@ def drop_low_quality(df: DataFrame, text_col: str = "text", threshold: float = T
             for part in row_runs(batch, at):
                 counts = np.array([statistics(t) for t in texts_of(part.column(at))], np.int64).reshape(-1, len(NAMES))
                 vote = votes(counts)
-                odds = start + (vote == 1) @ weights[0] + (vote == -1) @ weights[1]
-                yield part.filter(pa.array((odds >= m) & ~base_failed(counts)))
+                yield part.filter(pa.array((odds_of(vote, start, weights) >= m) & ~base_failed(counts)))
 
     return plain.mapInArrow(run, plain.schema).toDF(*names)

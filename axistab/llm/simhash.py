@@ -76,7 +76,7 @@ def _forest(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
     while len(left) > 1:
         root, left, seen = left[0], left[1:], [left[0]]
         while seen and len(left):
-            near = np.bitwise_count(fps[left][:, None] ^ fps[seen[:64]][None, :]).min(axis=1) <= distance
+            near = np.bitwise_count((fps[left][:, None] ^ fps[seen[:64]][None, :]).view(np.uint64)).min(axis=1) <= distance
             seen = [*seen[64:], *left[near].tolist()]
             edges += [(int(fps[root]), int(fps[x])) for x in left[near]]
             left = left[~near]
@@ -100,7 +100,7 @@ def _links(distance: int):
             if not pair.any():
                 break
             i, j = i[pair], j[pair]
-            near = (np.bitwise_count(fps[i] ^ fps[j]) <= distance) & (fps[i] != fps[j])
+            near = (np.bitwise_count((fps[i] ^ fps[j]).view(np.uint64)) <= distance) & (fps[i] != fps[j])
             a.append(fps[i[near]])
             b.append(fps[j[near]])
         for g in np.unique(group[size > 16]):
