@@ -1,6 +1,6 @@
 """Language identification by compression.
 
-Each language gets a raw-content zstandard dictionary of sampled texts. A text is compressed whole, in lower case, with every dictionary;
+Each language gets a raw-content zstandard dictionary of sampled texts. A text is compressed whole, as words of lower-case letters, with every dictionary;
 the language whose dictionary leaves the fewest bytes is chosen, and the answer is rejected when the margin is narrow.
 """
 
@@ -21,13 +21,21 @@ from axistab.llm.common import row_runs, texts_of
 DICTIONARY_BYTES = 112 << 10
 #: Texts sampled for each language; they are joined, shortest first, until the dictionary is full.
 SAMPLE_TEXTS = 400
-LEVEL, MARGIN = 3, 0.002
+LEVEL, MARGIN = 6, 0.002
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
+#: ASCII letters and what is beyond ASCII stay, all else is a space.
+_KEEP = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+
+
+def fold(text: str) -> bytes:
+    """Lower-case words of letters, a space between."""
+    return b" ".join(text.lower().encode().translate(_KEEP).split())
+
 
 
 def dictionaries(df: DataFrame, learn: Column, text_col: str, lang_col: str, size: int = DICTIONARY_BYTES, texts: int = SAMPLE_TEXTS) -> dict[str, bytes]:
-    """Sampled text of each language: the ``texts`` smallest hashes of distinct texts, at most ``size`` bytes in all.
+    """Sampled text of each language, the one with most texts first: the ``texts`` smallest hashes of distinct texts, at most ``size`` bytes in all.
 
     The sample is drawn through a threshold on the hash, so that no task and not the driver gets a language's rows.
     """
@@ -40,23 +48,24 @@ def dictionaries(df: DataFrame, learn: Column, text_col: str, lang_col: str, siz
     near = hashed.filter(F.col("h") <= bound[F.col("g")]).groupBy("g", "h").agg(F.min("t").alias("t"))
     nth = F.row_number().over(Window.partitionBy("g").orderBy("h"))
     room = F.sum(F.octet_length("t") + 1).over(Window.partitionBy("g").orderBy(F.length("t"), "h").rowsBetween(Window.unboundedPreceding, 0))
-    some = near.withColumn("n", nth).filter(F.col("n") <= texts).withColumn("at", room).filter((F.col("at") <= size)).groupBy("g").agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("h", "t"))), lambda x: x["t"])).alias("d"))
-    return {r["g"]: r["d"].lower().encode() for r in some.orderBy("g").collect()}
+    some = near.withColumn("n", nth).filter(F.col("n") <= texts).withColumn("at", room).filter((F.col("at") <= size)).groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct(-F.length("t"), "h", "t"))), lambda x: x["t"]).alias("d"))
+    content = {r["g"]: b"\n".join(map(fold, r["d"])) for r in some.collect()}
+    return {g: content[g] for g in sorted(content, key=lambda g: (-counts[g], g))}
 
 
 def identify(texts: list[bytes], compressors: list[tuple[str, zstandard.ZstdCompressor]]) -> list[tuple[str, float, float]]:
     """(language, score, margin) of each text; margin: how many of its compressed bytes the best saves against the second."""
     out = []
     for text in texts:
-        folded = text.decode("utf-8", "replace").lower()
-        if not compressors or not _LETTER.search(folded):
+        whole = text.decode("utf-8", "replace")
+        if not compressors or not _LETTER.search(whole):
             out.append((UNKNOWN, 0.0, 0.0))
             continue
-        text = folded.encode()
-        sizes = sorted((len(c.compress(text)), g) for g, c in compressors)
-        best, second = sizes[0][0], sizes[1][0] if len(sizes) > 1 else len(text) + 16
+        folded = fold(whole)
+        sizes = sorted((len(c.compress(folded)), i) for i, (_, c) in enumerate(compressors))
+        best, second = sizes[0][0], sizes[1][0] if len(sizes) > 1 else len(folded) + 16
         margin = (second - best) / max(second, 1)
-        out.append((sizes[0][1], 1 - 0.5 * (1 - min(1.0, max(0.0, margin))) ** 8, margin))
+        out.append((compressors[sizes[0][1]][0], 1 - 0.5 * (1 - min(1.0, max(0.0, margin))) ** 8, margin))
     return out
 
 
@@ -65,7 +74,8 @@ def identify_languages(df: DataFrame, learn: Column, id_col: str = "doc_id", tex
 
     Languages are the non-null values of ``lang_col`` where ``learn`` holds. ``lang_pred`` is the best guess, ``rejected``
     says that its margin over the second best is below ``margin``. A null text or one without a letter is ``und`` with
-    score 0 and rejected; ties go to the language that sorts first. Repeated rows come out as often as they come in; other
+    score 0 and rejected; ties go to the
+    language with most texts. Repeated rows come out as often as they come in; other
     columns are not read; with nothing to learn from all is ``und``; an empty table gives no rows.
     """
     found = df.sparkSession.sparkContext.broadcast(dictionaries(df, learn, text_col, lang_col))
