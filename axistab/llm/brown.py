@@ -391,7 +391,7 @@ def brown_scores(df: DataFrame, held: Column, id_col: str = "doc_id", text_col:
     heads = frequent_words(blocks, whole["n"] or 0, frequent)
     own, matrix = cluster_frequent(blocks, heads, classes, sweeps)
     index, now = spark.sparkContext.broadcast({w: i for i, w in enumerate(heads)}), spark.sparkContext.broadcast(own)
-    parts = max(8, whole["blocks"] // 8)
+    parts = max(8, whole["blocks"] // 2)
     asked = blocks.select("block", "lens", "held", "words", "crcs", "stream").mapInArrow(_asked(parts, index, now, classes), "part int, block long, words binary, counts binary, word binary, code binary, n binary")
     tasks = max(parts, spark.sparkContext.defaultParallelism)
     answers = stage(asked.repartition(tasks, "part").groupBy("part").applyInArrow(_answered(index, now, matrix, classes), "part int, block long, counts binary, kinds binary, stats array<long>"), "answers")
