@@ -28,7 +28,7 @@ from axistab.llm.common import row_runs, stage, texts_of
 CLASSES, SWEEPS = 62, 4
 #: A word is frequent if it makes up 1 / FREQUENT of the training tokens; there are at most 2 FREQUENT such words.
 FREQUENT = 32768
-BLOCK_BYTES, SLICE = 8 << 20, 2048
+BLOCK_BYTES, SLICE = 4 << 20, 2048
 BACKOFF, BACKOFF_UNKNOWN = 20.0, 50.0
 _END, _UNKNOWN, _ONCE = b"", 255, 128
 
@@ -284,9 +284,9 @@ def _answered(index, now, matrix: np.ndarray, classes: int):
         kind = np.full(len(words), classes - 1, np.uint8)
         owner, code = key // (2 * width), key % (2 * width)
         firsts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(key) else np.zeros(0, np.int64)
-        for lo in range(0, len(firsts), 20_000):
-            some = firsts[lo : lo + 20_000]
-            stop = firsts[lo + 20_000] if lo + 20_000 < len(firsts) else len(key)
+        for lo in range(0, len(firsts), 4000):
+            some = firsts[lo : lo + 4000]
+            stop = firsts[lo + 4000] if lo + 4000 < len(firsts) else len(key)
             c, m = code[some[0] : stop], n[some[0] : stop]
             gain = once[c]
             more = m > 1
