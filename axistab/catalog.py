@@ -2,10 +2,598 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from axistab.functions import expr
+from axistab.functions.cplx import cadd, cdiv, cmul, conj, cplx, polar
+from axistab.model import AxisTable
+from axistab.operators import agg, blocks, columns, index, joins
+from axistab.operators.rows import with_row_axis
+from axistab.plans import cf
+from axistab.sources import tables
+from axistab.sources.scratch import scratch_path, stage
+from axistab.sources.ship import ship
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL."""
+
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str, cols: list[str] | None = None) -> DataFrame:
+    ship(spark)
+    return tables.read_table(spark, f"{sf_dir}/{name}.parquet", cols)
+
+
+LINE = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+_LINE = ", ".join(LINE)
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> AxisTable:
+    return index.from_rows(_t(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderdate", "o_totalprice"]), ["o_orderkey"])
+
+
+# Sources and sinks
+
+
+@query("select l_orderkey, l_partkey, l_quantity, l_returnflag from lineitem")
+def s1_read_columns(spark, sf_dir):
+    return _t(spark, sf_dir, "lineitem", ["l_orderkey", "l_partkey", "l_quantity", "l_returnflag"])
+
+
+@query("select o_orderkey, o_totalprice, row_number() over (order by o_orderkey) - 1 as row, 'k' as keyword, 's' as unit, 'row' as axes from orders")
+def s2_round_trip(spark, sf_dir):
+    table = index.from_rows(_t(spark, sf_dir, "orders", ["o_orderkey", "o_totalprice"]), ["o_orderkey"], "orders")
+    table = AxisTable(tables.with_metadata(table.df, "o_totalprice", keyword="k", unit="s"), table.index_axes, table.dims, table.uid)
+    path = scratch_path(spark, "table")
+    tables.write_table(table, path)
+    back = tables.load_table(spark, path)
+    about = tables.metadata(back.df, "o_totalprice")
+    return back.df.select("o_orderkey", "o_totalprice", "row", F.lit(about["keyword"]).alias("keyword"), F.lit(about["unit"]).alias("unit"), F.lit(",".join(back.index_axes)).alias("axes"))
+
+
+@query("select 'customer' as name, c_custkey as key from customer union all select 'supplier', s_suppkey from supplier union all select 'part', p_partkey from part")
+def s3_export(spark, sf_dir):
+    ship(spark)
+    target = scratch_path(spark, "export")
+    done = tables.export_dataset(spark, sf_dir, target, ["customer", "supplier", "part", "events"], ["~events"])
+    keys = {"customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey"}
+    parts = [spark.read.parquet(f"{target}/{n}.parquet").select(F.lit(n).alias("name"), F.col(keys[n]).cast("bigint").alias("key")) for n in done]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("select p_partkey, p_size, p_retailprice from part")
+def s4_attach(spark, sf_dir):
+    path = f"{sf_dir}/part.parquet"
+    return tables.attach(spark, {"p_size": path, "p_retailprice": path}, ["p_partkey"])
+
+
+# Columns
+
+
+@query("select l_orderkey, l_extendedprice, l_discount from lineitem")
+def p1_select(spark, sf_dir):
+    return columns.select_columns(_t(spark, sf_dir, "lineitem"), ["l_orderkey", "l_extendedprice", "l_discount"])
+
+
+@query("select l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) as revenue from lineitem")
+def p2_add(spark, sf_dir):
+    df = columns.add_columns(_t(spark, sf_dir, "lineitem"), {"revenue": F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 4)})
+    return df.select("l_orderkey", "l_linenumber", "revenue")
+
+
+@query("select o_orderkey, o_custkey, row_number() over (order by o_orderkey) - 1 as row from orders")
+def p3_remove(spark, sf_dir):
+    return columns.remove_columns(_orders(spark, sf_dir), ["o_totalprice", "o_orderdate"]).df
+
+
+@query("select (select count(*) from (select o_orderkey k from orders except select l_orderkey from lineitem)) + (select count(*) from (select l_orderkey from lineitem except select o_orderkey from orders)) = 0 as conformant")
+def p4_conformant(spark, sf_dir):
+    one = _t(spark, sf_dir, "orders", ["o_orderkey"]).withColumnRenamed("o_orderkey", "k")
+    return columns.is_conformant(one, _t(spark, sf_dir, "lineitem", ["l_orderkey"]).withColumnRenamed("l_orderkey", "k"), ["k"])
+
+
+@query("""
+select 'vec_id' as name, true as present, 'bigint' as expected_type, 'bigint' as found_type, null::varchar as unit, count(vec_id) as cells, 1::bigint as shapes from embeddings
+union all select 'embedding', true, 'array<float>', 'array<float>', 'Jy', count(embedding), count(distinct len(embedding)) from embeddings
+union all select 'flag_row', false, 'boolean', null, null, 0, 0""")
+def p5_profile(spark, sf_dir):
+    return columns.profile_columns(_t(spark, sf_dir, "embeddings"), {"vec_id": ("bigint", None), "embedding": ("array<float>", "Jy"), "flag_row": ("boolean", None)})
+
+
+@query("""
+with g as (select bool_and(len(embedding) = len(embedding[1:32]) ) as half from embeddings)
+select 2::bigint as members, 'embedding,twice' as cols union all select 1, 'half' from g where not half""")
+def p6_shape_groups(spark, sf_dir):
+    df = _t(spark, sf_dir, "embeddings").withColumns({"twice": F.transform("embedding", lambda v: v * 2), "half": F.slice("embedding", 1, 32)})
+    return columns.shape_groups(df, ["embedding", "twice", "half"], "vec_id").select(F.size("columns").cast("bigint").alias("members"), F.array_join("columns", ",").alias("cols"))
+
+
+_CELLS = """
+k as (select dense_rank() over (order by o_custkey) - 1 as o_custkey_at, dense_rank() over (order by o_orderdate) - 1 as o_orderdate_at, o_orderkey, o_totalprice from orders),
+one as (select * from (select *, count(*) over (partition by o_custkey_at, o_orderdate_at) n from k) where n = 1)"""
+
+
+@query(f"""
+with {_CELLS}
+select min(o_custkey_at) as o_custkey_at_lo, max(o_custkey_at) as o_custkey_at_hi, min(o_orderdate_at) as o_orderdate_at_lo, max(o_orderdate_at) as o_orderdate_at_hi,
+  count(*) as cells, count(*) = (max(o_custkey_at) - min(o_custkey_at) + 1) * (max(o_orderdate_at) - min(o_orderdate_at) + 1) as dense from one""")
+def p7_envelope(spark, sf_dir):
+    return columns.shape_envelope(index.reindexed(_orders(spark, sf_dir), ["o_custkey", "o_orderdate"]).df, ["o_custkey_at", "o_orderdate_at"])
+
+
+@query("select vec_id, (unnest(range(len(embedding))))::int as chan, unnest(embedding) as v from embeddings")
+def p10_explode(spark, sf_dir):
+    return columns.explode_elements(_t(spark, sf_dir, "embeddings", ["vec_id", "embedding"]), "embedding", "chan", "v")
+
+
+@query("select vec_id, embedding from embeddings where len(embedding) > 0")
+def p11_collapse(spark, sf_dir):
+    return columns.collapse_elements(p10_explode(spark, sf_dir), ["vec_id"], "chan", "v", "embedding")
+
+
+@query("select doc_id, source from documents")
+def p12_drop_empty(spark, sf_dir):
+    df = _t(spark, sf_dir, "documents", ["doc_id", "source"]).withColumn("nothing", F.lit(None).cast("string"))
+    return columns.drop_empty_columns(df)
+
+
+# Index and reindex
+
+
+@query(f"select {_LINE}, row_number() over (order by {_LINE}) - 1 as row from lineitem")
+def x0_row_axis(spark, sf_dir):
+    return with_row_axis(_t(spark, sf_dir, "lineitem", LINE), LINE)
+
+
+@query(f"""
+with r as (select l_returnflag as value, row_number() over (order by {_LINE}) - 1 as row from lineitem)
+select dense_rank() over (order by value) - 1 as coord, value, count(*) as n_rows, min(row) as min_row, max(row) as max_row from r group by value""")
+def x1_index(spark, sf_dir):
+    made = index.create_index(with_row_axis(_t(spark, sf_dir, "lineitem", LINE), LINE), "l_returnflag")
+    return made.groupBy("coord", "value").agg(F.count("row").alias("n_rows"), F.min("row").alias("min_row"), F.max("row").alias("max_row"))
+
+
+@query("select distinct dense_rank() over (order by o_orderdate) - 1 as coord, o_orderdate as value from orders")
+def x2_axis_values(spark, sf_dir):
+    return index.axis_values(_t(spark, sf_dir, "orders", ["o_orderdate"]), "o_orderdate")
+
+
+@query(f"with {_CELLS} select o_custkey_at, o_orderdate_at, o_orderkey, o_totalprice from one")
+def x3_reindexed(spark, sf_dir):
+    return index.reindexed(_orders(spark, sf_dir), ["o_custkey", "o_orderdate"]).df
+
+
+@query(f"""
+with r as (select *, row_number() over (order by {_LINE}) - 1 as row0 from lineitem)
+select dense_rank() over (order by l_returnflag) - 1 as l_returnflag_at, dense_rank() over (order by l_linestatus) - 1 as l_linestatus_at,
+  row_number() over (partition by l_returnflag, l_linestatus order by row0) - 1 as row, l_orderkey, l_linenumber, l_extendedprice from r""")
+def x4_with_rows(spark, sf_dir):
+    laid = index.reindexed(index.from_rows(_t(spark, sf_dir, "lineitem", LINE), LINE), ["l_returnflag", "l_linestatus"], allow_rows=True).df
+    return laid.select("l_returnflag_at", "l_linestatus_at", "row", "l_orderkey", "l_linenumber", "l_extendedprice")
+
+
+@query(f"with {_CELLS} select o_custkey_at, o_orderdate_at, o_orderkey, o_totalprice from one")
+def x5_incremental(spark, sf_dir):
+    first = index.reindexed(_orders(spark, sf_dir), ["o_custkey"], allow_rows=True)
+    return index.reindexed(first, ["o_custkey", "o_orderdate"]).df
+
+
+@query(f"with {_CELLS} select distinct o_custkey_at, o_orderdate_at from one")
+def x6_cells(spark, sf_dir):
+    return index.index_cells(index.reindexed(_orders(spark, sf_dir), ["o_custkey", "o_orderdate"]))
+
+
+@query(f"with {_CELLS} select o_orderdate_at, o_orderkey, o_totalprice from one join orders using (o_orderkey) where o_custkey = 7".replace("o_orderkey, o_totalprice from one join", "o_orderkey, one.o_totalprice from one join"))
+def x7_lookup(spark, sf_dir):
+    return index.lookup(index.reindexed(_orders(spark, sf_dir), ["o_custkey", "o_orderdate"]), {"o_custkey": 7}).select("o_orderdate_at", "o_orderkey", "o_totalprice")
+
+
+@query("select distinct event_type as value, dense_rank() over (order by event_type) - 1 as coord from events")
+def w2_dense_coordinate(spark, sf_dir):
+    return index.axis_values(_t(spark, sf_dir, "events", ["event_type"]), "event_type")
+
+
+@query("select distinct o_custkey as k from orders union select c_custkey from customer")
+def u1_union(spark, sf_dir):
+    return index.union_domains(_t(spark, sf_dir, "orders", ["o_custkey"]).toDF("k"), _t(spark, sf_dir, "customer", ["c_custkey"]).toDF("k"))
+
+
+@query(f"with r as (select *, row_number() over (order by {_LINE}) - 1 as row from lineitem) select row from r where l_returnflag = 'A' and l_linestatus = 'F'")
+def u2_intersect(spark, sf_dir):
+    rows = stage(with_row_axis(_t(spark, sf_dir, "lineitem", LINE), LINE), "lineitem")
+    return index.intersect_rows(index.create_index(rows, "l_returnflag").filter("value = 'A'"), index.create_index(rows, "l_linestatus").filter("value = 'F'"))
+
+
+@query("select c_custkey as k from customer except select o_custkey from orders")
+def u3_diff(spark, sf_dir):
+    return index.domain_diff(_t(spark, sf_dir, "customer", ["c_custkey"]).toDF("k"), _t(spark, sf_dir, "orders", ["o_custkey"]).toDF("k"))
+
+
+# Joins
+
+
+@query("select o_orderkey, c_nationkey, n_name from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey")
+def j1_lookup(spark, sf_dir):
+    fact = joins.lookup_join(_t(spark, sf_dir, "orders", ["o_orderkey", "o_custkey"]), _t(spark, sf_dir, "customer", ["c_custkey", "c_nationkey"]), "o_custkey", "c_custkey")
+    return joins.lookup_join(fact, _t(spark, sf_dir, "nation", ["n_nationkey", "n_name"]), "c_nationkey", "n_nationkey").select("o_orderkey", "c_nationkey", "n_name")
+
+
+@query("""
+with d as (select l_partkey as p, l_suppkey as s, max(l_quantity) as top from lineitem group by all)
+select l_orderkey, l_linenumber, l_partkey, l_suppkey, top from lineitem join d on l_partkey = p and l_suppkey = s""")
+def j2_keyed_lookup(spark, sf_dir):
+    fact = _t(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"])
+    dim = fact.groupBy(F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s")).agg(F.array(F.max("l_quantity")).alias("top"))
+    return joins.keyed_lookup(fact.drop("l_quantity"), stage(dim, "dim"), {"l_partkey": "p", "l_suppkey": "s"}, "top").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "top")
+
+
+@query("select o_orderkey, o_orderpriority, (cast(substr(o_orderpriority, 1, 1) as int)) as code from orders")
+def j4_refcode(spark, sf_dir):
+    orders = _t(spark, sf_dir, "orders", ["o_orderkey", "o_orderpriority"])
+    codes = orders.select(F.col("o_orderpriority").alias("name"), F.substring("o_orderpriority", 1, 1).cast("int").alias("code")).distinct()
+    return joins.refcode_lookup(orders, "o_orderpriority", codes, "name").select("o_orderkey", "o_orderpriority", "code")
+
+
+@query("select c_custkey, c_name, c_acctbal from customer")
+def j5_align(spark, sf_dir):
+    return joins.align_rows(_t(spark, sf_dir, "customer", ["c_custkey", "c_name"]), _t(spark, sf_dir, "customer", ["c_custkey", "c_acctbal"]), ["c_custkey"])
+
+
+@query("select c_custkey, (case c_mktsegment when 'AUTOMOBILE' then 0 when 'BUILDING' then 1 when 'FURNITURE' then 2 when 'MACHINERY' then 3 else 4 end) as code from customer")
+def e11_code_lookup(spark, sf_dir):
+    codes = {"AUTOMOBILE": 0, "BUILDING": 1, "FURNITURE": 2, "MACHINERY": 3}
+    return _t(spark, sf_dir, "customer").select("c_custkey", joins.code_lookup(F.col("c_mktsegment"), codes, 4).alias("code"))
+
+
+# Aggregations
+
+
+@query("select label, count(*) as n, round(avg(v::double), 6) as mean from (select label, unnest(embedding) as v from embeddings) group by label")
+def a1_average(spark, sf_dir):
+    out = agg.average_by(_t(spark, sf_dir, "embeddings", ["label", "embedding"]), ["label"], "embedding")
+    return out.select("label", "n", F.round("mean", 6).alias("mean"))
+
+
+@query("select label, count(*) as n, round(avg(v::double), 6) as re, round(avg(v::double * v::double), 6) as im from (select label, unnest(embedding) as v from embeddings) group by label")
+def a1_average_complex(spark, sf_dir):
+    df = _t(spark, sf_dir, "embeddings").select("label", F.transform("embedding", lambda v: cplx(v, v.cast("double") * v.cast("double"))).alias("data"))
+    return agg.average_by(df, ["label"], "data").select("label", "n", F.round("re", 6).alias("re"), F.round("im", 6).alias("im"))
+
+
+@query("select event_type as value, count(*) as n, min(event_id) as lo, max(event_id) as hi from events group by 1")
+def a2_merge(spark, sf_dir):
+    events = _t(spark, sf_dir, "events", ["event_id", "event_type", "user_id"])
+    part = lambda cond: events.filter(cond).groupBy(F.col("event_type").alias("value")).agg(F.collect_set("event_id").alias("rows"))
+    merged = agg.merge_row_lists(part("user_id % 3 <> 0"), part("user_id % 2 = 0 or user_id % 3 = 0"), part("user_id % 3 = 1"))
+    return merged.select("value", F.size("rows").cast("bigint").alias("n"), F.element_at("rows", 1).alias("lo"), F.element_at("rows", -1).alias("hi"))
+
+
+@query("select l_orderkey, bool_or(l_returnflag = 'R') as returned from lineitem group by 1")
+def a3_any_true(spark, sf_dir):
+    return agg.any_true(_t(spark, sf_dir, "lineitem", ["l_orderkey", "l_returnflag"]).withColumn("r", F.col("l_returnflag") == "R"), ["l_orderkey"], "r", "returned")
+
+
+@query("select l_orderkey, bit_or(l_linenumber) as bits from lineitem group by 1")
+def a4_bits_or(spark, sf_dir):
+    return agg.bits_or(_t(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber"]), ["l_orderkey"], "l_linenumber", "bits")
+
+
+@query("select label, pos, round(sum(v::double), 5) as total from (select label, (unnest(range(len(embedding))))::int as pos, unnest(embedding) as v from embeddings) group by 1, 2")
+def a5_vector_sum(spark, sf_dir):
+    return agg.vector_sum(_t(spark, sf_dir, "embeddings", ["label", "embedding"]), ["label"], "embedding").withColumn("total", F.round("total", 5))
+
+
+@query("select user_id, max_by(value, event_id) filter (where event_type <> 'error') as last from events group by 1")
+def a6_last_set(spark, sf_dir):
+    df = _t(spark, sf_dir, "events", ["user_id", "event_id", "event_type", "value"]).withColumn("v", F.when(F.col("event_type") == "error", -1.0).otherwise(F.col("value")))
+    return agg.last_set(df, ["user_id"], "v", "event_id", -1.0)
+
+
+_COEFFS = "c as (select p_partkey as key, k, p_size / (k + 1.0) as re, p_size * 0.5 - k as im from part, range(10) as r(k))"
+
+
+def _coeffs(spark, sf_dir):
+    k = F.explode(F.sequence(F.lit(0), F.lit(9)))
+    df = _t(spark, sf_dir, "part", ["p_partkey", "p_size"]).select(F.col("p_partkey").alias("key"), "p_size", k.alias("k"))
+    return df.select("key", "k", (F.col("p_size") / (F.col("k") + 1.0)).alias("re"), (F.col("p_size") * 0.5 - F.col("k")).alias("im"))
+
+
+_TERMS = ", ".join(f"({(n * (n + 2) + m) // 2}, {px}, {py}, {c})" for m, n, px, py, c in cf.ZERNIKE_TERMS)
+
+
+@query(f"with {_COEFFS}, t(k, px, py, c) as (values {_TERMS}) select key, px, py, round(sum(re * t.c), 6) as re, round(sum(im * t.c), 6) as im from c join t using (k) group by 1, 2, 3")
+def a7_zernike(spark, sf_dir):
+    return cf.zernike_to_poly(_coeffs(spark, sf_dir), ["key"]).select("key", "px", "py", F.round("re", 6).alias("re"), F.round("im", 6).alias("im"))
+
+
+# Blocks
+
+
+@query("select (row_number() over (order by o_orderkey) - 1) // 1000 as row_block, o_totalprice, o_orderkey from orders")
+def b1_blocks(spark, sf_dir):
+    return blocks.partition_rows(_orders(spark, sf_dir).df, ["row"], [1000]).select("row_block", "o_totalprice", "o_orderkey")
+
+
+@query("""
+with r as (select row_number() over (order by o_orderkey) - 1 as row, o_totalprice from orders), b as (select range as block from range((select count(*) // 1000 + 2 from orders)))
+select block, count(*) as n, round(sum(o_totalprice), 2) as total from r join b on row between block * 1000 - 10 and block * 1000 + 1009 group by block""")
+def b2_overlapping(spark, sf_dir):
+    out = blocks.partition_axis(_orders(spark, sf_dir).df, "row", 1000, 0, (-10, 1009))
+    return out.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("select vec_id // 100 as vec_id_block, (unnest(range(len(embedding))))::int as chan, unnest(embedding) as v, vec_id from embeddings")
+def b3_project(spark, sf_dir):
+    blocked = blocks.partition_rows(_t(spark, sf_dir, "embeddings", ["vec_id", "embedding"]), ["vec_id"], [100])
+    return columns.explode_elements(blocked, "embedding", "chan", "v")
+
+
+@query("select distinct o_custkey // 50 as o_custkey_block from orders")
+def b4_narrow(spark, sf_dir):
+    both = blocks.partition_rows(_t(spark, sf_dir, "orders", ["o_custkey", "o_orderkey"]), ["o_custkey", "o_orderkey"], [50, 100])
+    return blocks.narrow_partition(both, ["o_custkey_block"])
+
+
+_HALO = """
+with r as (select row_number() over (order by o_orderkey) - 1 as row, o_totalprice from orders), s as (select {size} as size, count(*) as n from orders),
+b as (select range as block from range((select (n + size - 1) // size from s)))
+select block, row // size = block as inner, count(*) as n, round(sum(o_totalprice), 2) as total
+from r, s, b where row between block * size - 25 and block * size + size + 24 group by 1, 2"""
+
+
+def _halo_sums(df):
+    return df.groupBy("block", "inner").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query(_HALO.format(size="500::bigint").replace("as inner", 'as "inner"'))
+def b5_halos(spark, sf_dir):
+    rows = _orders(spark, sf_dir).df
+    return _halo_sums(blocks.blocks_and_halos(rows, "row", 500, 25, rows.count()))
+
+
+@query(_HALO.format(size="(count(*) + 7 - 1) // 7").replace("as inner", 'as "inner"'))
+def b6_block_count(spark, sf_dir):
+    rows = _orders(spark, sf_dir).df
+    return _halo_sums(blocks.blocks_by_count(rows, "row", 7, 25, rows.count()))
+
+
+@query("select event_type, count(*) as n, round(sum(value), 3) as total from events group by 1")
+def b7_by_value(spark, sf_dir):
+    return blocks.partition_by_value(_t(spark, sf_dir, "events", ["event_type", "value"]), ["event_type"]).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 3).alias("total"))
+
+
+@query("select distinct block, s as stokes from (select o_custkey // 100 as block, unnest([o_orderkey % 4, o_custkey % 4]) as s from orders)")
+def b8_mueller(spark, sf_dir):
+    df = _t(spark, sf_dir, "orders", ["o_custkey", "o_orderkey"]).select(F.floor(F.col("o_custkey") / 100).alias("block"), (F.col("o_orderkey") % 4).alias("o"), (F.col("o_custkey") % 4).alias("i"))
+    return blocks.blocks_by_mueller(df, "block", "o", "i")
+
+
+# Convolution functions: a plane for each part (taper) or supplier (w), whose columns give the parameters
+
+_PIX = "range(5) as a(x), range(5) as b(y)"
+_SPH = " ".join(
+    f"when nu < {top} then ({' + '.join(f'({c!r}) * pow(nu * nu - {top * top!r}, {i})' for i, c in enumerate(p))}) / ({' + '.join(f'({c!r}) * pow(nu * nu - {top * top!r}, {i})' for i, c in enumerate(q))})"
+    for top, p, q in cf.SPHEROIDAL
+)
+_PS = f"""
+ps0 as (select p_partkey as key, 0.02 * p_size as ps_scale, x::int as x, y::int as y, (x - 2.0) as cx, (y - 2.0) as cy from part, {_PIX}),
+ps1 as (select *, sqrt(cx * cx + cy * cy) * ps_scale as nu from ps0),
+ps2 as (select *, case when nu <= 0 then 1.0 {_SPH} else 0.0 end as s from ps1),
+ps as (select key, x, y, case when nu <= 1 then s * (1 - nu * nu) else 0 end as v, case when nu <= 1 then (s * (1 - nu * nu)) ** 2 end as weight from ps2)"""
+_W = f"""
+w0 as (select p_partkey as key, p_retailprice / 100 as w, x::int as x, y::int as y, (x - 2.0) * 0.8 as cx, (y - 2.0) * 0.8 as cy from part, {_PIX}),
+w1 as (select *, cx * cx + cy * cy as r2 from w0),
+w2 as (select *, 2 * pi() * w * (sqrt(greatest(1 - r2, 0)) - 1) as ph from w1),
+wt as (select key, x, y, case when r2 <= 1 then cos(ph) else 0 end as re, case when r2 <= 1 then sin(ph) else 0 end as im, case when r2 <= 1 then 1.0 end as weight from w2)"""
+
+
+def _flat(df: DataFrame, *axes: str) -> DataFrame:
+    return df.select(*axes, "x", "y", F.round("value.re", 6).alias("re"), F.round("value.im", 6).alias("im"), F.round("weight", 6).alias("weight"))
+
+
+def _ps(spark, sf_dir):
+    axis = _t(spark, sf_dir, "part", ["p_partkey", "p_size"]).select(F.col("p_partkey").alias("key"), (F.col("p_size") * 0.02).alias("ps_scale"))
+    return cf.ps_term(cf.grid_coordinates(cf.cf_axes([axis], 5), 5, 2.5)).select("key", "x", "y", "value", "weight")
+
+
+def _w(spark, sf_dir):
+    axis = _t(spark, sf_dir, "part", ["p_partkey", "p_retailprice"]).select(F.col("p_partkey").alias("key"), (F.col("p_retailprice") / 100).alias("w"))
+    return cf.w_term(cf.grid_coordinates(cf.cf_axes([axis], 5), 5, 2.0)).select("key", "x", "y", "value", "weight")
+
+
+@query(f"select p_partkey as key, n_nationkey as nation, x::int as x, y::int as y from part, nation, {_PIX}")
+def f1_axes(spark, sf_dir):
+    return cf.cf_axes([_t(spark, sf_dir, "part", ["p_partkey"]).toDF("key"), _t(spark, sf_dir, "nation", ["n_nationkey"]).toDF("nation")], 5)
+
+
+@query("""
+with p as (select p_partkey as key, p_size * 0.1 as a, x::int as x, y::int as y, (x + 0.5 - 2) * 0.5 as u, (y + 0.5 - 2) * 0.5 as v from part, range(4) as s(x), range(4) as t(y))
+select key, x, y, round(u * cos(a) + v * sin(a), 6) as cx, round(v * cos(a) - u * sin(a), 6) as cy from p""")
+def f2_coordinates(spark, sf_dir):
+    axis = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), (F.col("p_size") * 0.1).alias("a"))
+    return cf.grid_coordinates(cf.cf_axes([axis], 4), 4, 1.0, F.col("a")).select("key", "x", "y", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"))
+
+
+@query(f"with {_PS} select key, x, y, round(v, 6) as re, 0.0::double as im, round(weight, 6) as weight from ps")
+def f3_ps_term(spark, sf_dir):
+    return _flat(_ps(spark, sf_dir), "key")
+
+
+@query(f"with {_W} select key, x, y, round(re, 6) as re, round(im, 6) as im, round(weight, 6) as weight from wt")
+def f4_w_term(spark, sf_dir):
+    return _flat(_w(spark, sf_dir), "key")
+
+
+@query("""
+with a as (select p_size % 3 as class, p_partkey::double as frequency, k::int as k, p_retailprice * k as re, p_size * 1.0 as im from part, range(3) as r(k)),
+f as (select distinct class, frequency as f from a), w as (select c_nationkey % 4 as class, c_acctbal as frequency from customer group by all),
+n as (select w.class, w.frequency, arg_min(f, {'d': abs(w.frequency - f), 'f': f}) as f from w left join f using (class) group by all)
+select n.class, n.frequency, r.k::int as k, coalesce(a.re, 0) as re, coalesce(a.im, 0) as im from n cross join range(4) as r(k) left join a on a.class = n.class and a.frequency = n.f and a.k = r.k""")
+def f5a_nearest(spark, sf_dir):
+    part = _t(spark, sf_dir, "part").select((F.col("p_size") % 3).alias("class"), F.col("p_partkey").cast("double").alias("frequency"), "p_retailprice", "p_size", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"))
+    known = part.select("class", "frequency", "k", (F.col("p_retailprice") * F.col("k")).alias("re"), (F.col("p_size") * 1.0).alias("im"))
+    wanted = _t(spark, sf_dir, "customer").select((F.col("c_nationkey") % 4).alias("class"), F.col("c_acctbal").alias("frequency")).distinct()
+    return cf.nearest_frequency_coeffs(wanted, known, ["class"], 4)
+
+
+@query("""
+with o as (select p_partkey, p_size % 11 as n, range as i from part, range(11) where range <= p_size % 11)
+select p_partkey, (2 * i - n)::int as m, n::int as n, ((n * (n + 2) + 2 * i - n) // 2)::int as k from o""")
+def f5b_zernike_index(spark, sf_dir):
+    n = F.col("p_size") % 11
+    df = _t(spark, sf_dir, "part").select("p_partkey", n.cast("int").alias("n"), F.explode(F.sequence(F.lit(0), n.cast("int"))).alias("i"))
+    k = df.select("p_partkey", cf.zernike_index(2 * F.col("i") - F.col("n"), F.col("n")).alias("k"))
+    return k.select("p_partkey", cf.zernike_orders(F.col("k")).alias("o"), "k").select("p_partkey", "o.m", "o.n", "k")
+
+
+_APERTURE = f"""
+{_COEFFS}, t(k, px, py, c) as (values {_TERMS}),
+poly as (select key, px, py, sum(re * t.c) as re, sum(im * t.c) as im from c join t using (k) group by 1, 2, 3),
+g as (select p_partkey as key, x::int as x, y::int as y, (x - 2.0) * 0.4 as cx, (y - 2.0) * 0.4 as cy from part, {_PIX}),
+ap as (select key, x, y, sum(case when cx * cx + cy * cy <= 1 then re * pow(cx, px) * pow(cy, py) else 0 end) as re, sum(case when cx * cx + cy * cy <= 1 then im * pow(cx, px) * pow(cy, py) else 0 end) as im
+  from g join poly using (key) group by 1, 2, 3)"""
+
+
+def _aperture(spark, sf_dir):
+    poly = cf.zernike_to_poly(_coeffs(spark, sf_dir), ["key"])
+    grid = cf.grid_coordinates(cf.cf_axes([_t(spark, sf_dir, "part", ["p_partkey"]).toDF("key")], 5), 5, 1.0)
+    return cf.aperture(grid, poly, ["key"])
+
+
+@query(f"with {_APERTURE} select key, x, y, round(re, 5) as re, round(im, 5) as im from ap")
+def f5c_aperture(spark, sf_dir):
+    return _aperture(spark, sf_dir).select("key", "x", "y", F.round("value.re", 5).alias("re"), F.round("value.im", 5).alias("im"))
+
+
+@query(f"""
+with {_APERTURE}, ill as (select key // 4 as plane, key % 4 as stokes, x, y, re, im from ap)
+select o.plane, o.stokes as stokes_out, i.stokes as stokes_in, o.x, o.y, round(o.re * i.re + o.im * i.im, 3) as re, round(o.im * i.re - o.re * i.im, 3) as im
+from ill o join ill i on o.plane = i.plane and o.x = i.x and o.y = i.y and (o.stokes, i.stokes) in ((0, 0), (0, 3), (3, 3))""")
+def f5d_a_term(spark, sf_dir):
+    ill = _aperture(spark, sf_dir).select(F.floor(F.col("key") / 4).alias("plane"), (F.col("key") % 4).alias("stokes"), "x", "y", "value")
+    pairs = spark.createDataFrame([(0, 0), (0, 3), (3, 3)], "stokes_out long, stokes_in long")
+    out = cf.a_term(ill, ["plane"], pairs)
+    return out.select("plane", "stokes_out", "stokes_in", "x", "y", F.round("value.re", 3).alias("re"), F.round("value.im", 3).alias("im"))
+
+
+_DFT = """
+, j as (select key, (x + 2) % 5 as jx, (y + 2) % 5 as jy, re, im from z), k as (select * from range(5) as r(kx), range(5) as s(ky))
+, o as (select key, (kx + 2) % 5 as x, (ky + 2) % 5 as y, sum(re * cos(2 * pi() / 5 * (jx * kx + jy * ky)) - im * sin(2 * pi() / 5 * (jx * kx + jy * ky))) as re,
+  sum(re * sin(2 * pi() / 5 * (jx * kx + jy * ky)) + im * cos(2 * pi() / 5 * (jx * kx + jy * ky))) as im from j, k group by 1, 2, 3)
+select key, x::int as x, y::int as y, round(re, 4) + 0.0 as re, round(im, 4) + 0.0 as im from o"""
+
+
+def _rounded(df):
+    return df.select("key", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), (F.round("re", 4) + 0.0).alias("re"), (F.round("im", 4) + 0.0).alias("im"))
+
+
+@query(f"with {_W}, z as (select key, x, y, re, im from wt) {_DFT}")
+def f6_fft(spark, sf_dir):
+    return _rounded(cf.cf_fft(_w(spark, sf_dir), ["key"], 5))
+
+
+@query(f"with {_W}, z as (select key, x, y, re, im from wt) {_DFT}")
+def f6_fft_sums(spark, sf_dir):
+    return _rounded(cf.cf_fft_sums(_w(spark, sf_dir), ["key"], 5))
+
+
+@query(f"""
+with {_PS}, {_W}
+select key, ps.x, ps.y, round(ps.v * wt.re, 6) + 0.0 as re, round(ps.v * wt.im, 6) + 0.0 as im, round(ps.weight * wt.weight, 6) as weight from ps join wt using (key, x, y)""")
+def j3_product(spark, sf_dir):
+    out = cf.cf_product(_ps(spark, sf_dir), 5, _w(spark, sf_dir), 5, ["key"])
+    return out.select("key", "x", "y", (F.round("value.re", 6) + 0.0).alias("re"), (F.round("value.im", 6) + 0.0).alias("im"), F.round("weight", 6).alias("weight"))
+
+
+@query(f"with {_PS}, {_W}, z as (select key, ps.x, ps.y, ps.v * wt.re as re, ps.v * wt.im as im from ps join wt using (key, x, y)) {_DFT}")
+def f7_pipeline(spark, sf_dir):
+    return _rounded(cf.cf_fft(cf.cf_product(_ps(spark, sf_dir), 5, _w(spark, sf_dir), 5, ["key"]), ["key"], 5))
+
+
+@query(f"with {_W} select key, count(*) as cells, round(sum(re), 5) as re from wt group by key")
+def s5_planes(spark, sf_dir):
+    flat = _w(spark, sf_dir).select("key", "x", "y", F.col("value.re").alias("re"), F.col("value.im").alias("im"))
+    planes = tables.cf_planes(flat, ["key"])
+    return planes.select("key", F.size("cells").cast("bigint").alias("cells"), F.round(F.aggregate("cells", F.lit(0.0), lambda a, c: a + c["re"]), 5).alias("re"))
+
+
+# Scalar expressions
+
+
+@query("""
+with z as (select event_id, value as a, user_id * 0.01 as b from events)
+select event_id, round((a * cos(b) - b * b * sin(b) + a) / 3, 6) as re, round((-(a * sin(b) + b * b * cos(b)) + b) / 3, 6) as im from z""")
+def e1_complex(spark, sf_dir):
+    df = _t(spark, sf_dir, "events").select("event_id", F.col("value").alias("a"), (F.col("user_id") * 0.01).alias("b"))
+    one = cplx(F.col("a"), F.col("b") * F.col("b"))
+    z = cdiv(cadd(conj(cmul(one, polar(F.lit(1.0), F.col("b")))), cplx(F.col("a"), F.col("b"))), F.lit(3.0))
+    return df.select("event_id", z.alias("z")).select("event_id", F.round("z.re", 6).alias("re"), F.round("z.im", 6).alias("im"))
+
+
+@query("""
+with b as (select event_id, floor((((value * 7.3 - 10) % 360 + 360) % 360) / 50)::bigint as bin from events)
+select event_id, bin, 10.0 + bin * 50.0 as low, least(50.0, 360.0 - bin * 50.0)::double as width from b""")
+def e2_pa_bin(spark, sf_dir):
+    df = _t(spark, sf_dir, "events").select("event_id", expr.pa_bin(F.col("value") * 7.3, 10.0, 50.0).alias("bin"))
+    return df.withColumn("i", expr.pa_interval(F.col("bin"), 10.0, 50.0)).select("event_id", "bin", "i.low", "i.width")
+
+
+_DIRECTION = "select event_id, value * 0.01 as h, 0.6 as lat, (user_id % 90) * 0.01 as d, event_id % 7 as mount, 0.25 as rec from events"
+
+
+@query(f"""
+with e as ({_DIRECTION}), f as (select *, atan2(sin(h) * cos(lat), sin(lat) * cos(d) - cos(lat) * sin(d) * cos(h)) as q, asin(sin(lat) * sin(d) + cos(lat) * cos(d) * cos(h)) as el from e)
+select event_id, round(case mount when {expr.MOUNT_CODES['EQUATORIAL']} then rec when {expr.MOUNT_CODES['ALT_AZ']} then q + rec when {expr.MOUNT_CODES['NASMYTH_R']} then q + el + rec when {expr.MOUNT_CODES['NASMYTH_L']} then q - el + rec end, 6) as angle from f""")
+def e7_parallactic(spark, sf_dir):
+    df = _t(spark, sf_dir, "events")
+    angle = expr.feed_angle(F.col("event_id") % 7, F.col("value") * 0.01, F.lit(0.6), (F.col("user_id") % 90) * 0.01, F.lit(0.25))
+    return df.select("event_id", F.round(angle, 6).alias("angle"))
+
+
+@query("select event_id, round(1.5 + value * (user_id * 0.1 - 2) + 0.25 * (user_id * 0.1 - 2) ** 2, 6) as dir from events")
+def e6_direction(spark, sf_dir):
+    dt = F.col("user_id") * 0.1
+    poly = F.array(F.lit(1.5), F.col("value"), F.lit(0.25))
+    return _t(spark, sf_dir, "events").select("event_id", F.round(expr.interp_direction(poly, dt, F.lit(2.0)), 6).alias("dir"))
+
+
+_LEAPS = ", ".join(f"(timestamp '{d}', {n})" for d, n in expr.LEAP_SECONDS)
+
+
+@query(f"with l(since, s) as (values {_LEAPS}) select o_orderkey, o_orderdate + to_seconds(s) as tai from orders asof join l on o_orderdate >= since")
+def e8_epoch(spark, sf_dir):
+    return expr.epoch_shift(_t(spark, sf_dir, "orders", ["o_orderkey", "o_orderdate"]), "o_orderdate", "tai").select("o_orderkey", "tai")
+
+
+@query("select event_id, round(value * 60.0, 6) as seconds, round(value * (pi() / 180), 9) as radians from events")
+def e9_units(spark, sf_dir):
+    v = F.col("value")
+    return _t(spark, sf_dir, "events").select("event_id", F.round(expr.unit(v, "min", "s"), 6).alias("seconds"), F.round(expr.unit(v, "deg", "rad"), 9).alias("radians"))
+
+
+@query("select p_partkey, case p_size % 4 when 0 then 0 when 1 then 1 when 2 then 2 else 6 end as code, 0 as class from part")
+def e4_mount(spark, sf_dir):
+    names = F.element_at(F.array(*(F.lit(n) for n in ("ALT-AZ", "EQUATORIAL", "X-Y", "HAMMOCK"))), F.col("p_size") % 4 + 1)
+    return _t(spark, sf_dir, "part").select("p_partkey", expr.mount_code(names).alias("code"), expr.antenna_class().alias("class"))
