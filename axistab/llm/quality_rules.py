@@ -24,8 +24,8 @@ RULES = (
     ("words", "n_words", None, 10, math.inf, (20, math.inf)),
     ("word_length", "word_chars", "n_words", 2.2, 14, (2.8, 11)),
     ("symbols", "n_symbols", "n_words", -1, 0.12, (0, 0.02)),
-    ("same_lines", "n_dup_lines", "n_lines", -1, 0.3, (0, 0.05)),
-    ("repeats", "n_repeat_words", "n_words", -1, 0.15, (0, 0.03)),
+    ("same_lines", "n_dup_lines", "n_lines", -1, 0.5, (0, 0.1)),
+    ("repeats", "n_repeat_words", "n_words", -1, 0.2, (0, 0.05)),
     ("upper", "n_upper", "n_chars", -1, 0.3, (0, 0.1)),
     ("end_marks", "n_end_marks", "n_words", -1, 0.2, (0, 0.05)),
     ("top_word", "n_top_word", "n_words", -1, 0.3, (0, 0.18)),
@@ -73,8 +73,15 @@ def _table(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 START = np.array([[0.01, 0.24, 0.75], [0.3, 0.05, 0.65]])
 
 
+def _weights(share: np.ndarray) -> np.ndarray:
+    """What a vote adds to the log-odds of good; an abstention says nothing."""
+    out = np.log(share[0]) - np.log(share[1])
+    out[1] = 0.0
+    return out
+
+
 def fit_votes(patterns: list[tuple[int, int]], rounds: int = 100, good: float = 0.8, strength: float = 20.0) -> tuple[float, np.ndarray]:
-    """The log-odds of good before any vote, and what each rule (column) adds to them: against, abstaining, for (rows).
+    """The log-odds of good before any vote, and what each rule (column) adds to them: against, abstaining (0), for (rows).
 
     ``patterns`` has the number of documents of each vote pattern. ``strength`` documents as in ``START`` stand behind each
     estimate. A rule never counts against its own vote: votes against stay at least ten times as likely on bad documents,
@@ -86,7 +93,7 @@ def fit_votes(patterns: list[tuple[int, int]], rounds: int = 100, good: float =
     each = [vote == v for v in range(3)]
     share = np.repeat(START[:, :, None], m, axis=2)
     for _ in range(rounds):
-        weights = np.log(share[0]) - np.log(share[1])
+        weights = _weights(share)
         p = 1 / (1 + np.exp(-np.clip(math.log(good / (1 - good)) + sum(e @ w for e, w in zip(each, weights, strict=True)), -500, 500)))
         good = min(0.99, max(0.5, ((number * p).sum() + 0.8 * strength) / (number.sum() + strength)))
         for k, w in enumerate((number * p, number * (1 - p))):
@@ -94,7 +101,7 @@ def fit_votes(patterns: list[tuple[int, int]], rounds: int = 100, good: float =
         share[0, 0] = np.clip(share[0, 0], 1e-4, share[1, 0] / 10)
         share[1, 2] = np.minimum(share[1, 2], share[0, 2])
         share[:, 1] = np.maximum(1 - share[:, 0] - share[:, 2], 1e-4)
-    return math.log(good / (1 - good)), np.log(share[0]) - np.log(share[1])
+    return math.log(good / (1 - good)), _weights(share)
 
 
 def odds_of(vote: np.ndarray, start: float, weights: np.ndarray) -> np.ndarray:
