@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from axistab.functions.cplx import cmul, conj, cplx
 
@@ -84,23 +87,34 @@ def _shift(n: int) -> int:
 
 
 def cf_fft(df: DataFrame, axes: list[str], n: int, sign: int = 1, rotate_in: bool = True, rotate_out: bool = True) -> DataFrame:
-    """Unnormalised 2-D transform of each n x n plane; planes are independent groups of n^2 rows."""
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    schema = ", ".join([*(f"{a} {kinds[a]}" for a in axes), "x int", "y int", "re double", "im double"])
+    """Unnormalised 2-D transform of each n x n plane (absent cells are 0).
+
+    Planes are gathered by a shuffle on their axes and transformed an Arrow batch at a time, a few hundred planes a call.
+    """
+    kinds = {f.name: f.dataType for f in df.schema}
+    cells = {"x": "int", "y": "int", "re": "double", "im": "double"}
+    schema = T.StructType([*(T.StructField(a, kinds[a]) for a in axes), *(T.StructField(c, T.IntegerType() if k == "int" else T.DoubleType()) for c, k in cells.items())])
     step = _shift(n)
 
-    def plane(pdf: pd.DataFrame) -> pd.DataFrame:
-        grid = np.zeros((n, n), complex)
-        grid[pdf["x"], pdf["y"]] = pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()
-        grid = np.roll(grid, (-step, -step), (0, 1)) if rotate_in else grid
-        out = np.fft.ifft2(grid) * n * n if sign > 0 else np.fft.fft2(grid)
-        out = np.roll(out, (-step, -step), (0, 1)) if rotate_out else out
-        x, y = np.divmod(np.arange(n * n), n)
-        first = {a: [pdf[a].iloc[0]] * (n * n) for a in axes}
-        return pd.DataFrame(first | {"x": x.astype(np.int32), "y": y.astype(np.int32), "re": out.real.ravel(), "im": out.imag.ravel()})
-
-    flat = df.select(*axes, "x", "y", F.col("value.re").alias("re"), F.col("value.im").alias("im"))
-    return flat.groupBy(*axes).applyInPandas(plane, schema)
+    def planes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, max(1, (1 << 20) // (n * n))):
+                part = batch.slice(at, max(1, (1 << 20) // (n * n)))
+                flat = {c: part.column(c).flatten().to_numpy(zero_copy_only=False) for c in cells}
+                which = np.repeat(np.arange(part.num_rows), pc.list_value_length(part.column("x")).to_numpy(zero_copy_only=False))
+                grid = np.zeros((part.num_rows, n, n), complex)
+                grid[which, flat["x"], flat["y"]] = flat["re"] + 1j * flat["im"]
+                grid = np.roll(grid, (-step, -step), (1, 2)) if rotate_in else grid
+                out = np.fft.ifft2(grid) * n * n if sign > 0 else np.fft.fft2(grid)
+                out = np.roll(out, (-step, -step), (1, 2)) if rotate_out else out
+                x, y = np.divmod(np.tile(np.arange(n * n), part.num_rows), n)
+                index = pa.array(np.repeat(np.arange(part.num_rows), n * n))
+                cols = [*(part.column(a).take(index) for a in axes), pa.array(x, pa.int32()), pa.array(y, pa.int32()), pa.array(out.real.ravel()), pa.array(out.imag.ravel())]
+                yield pa.RecordBatch.from_arrays(cols, names=[*axes, *cells])
+
+    cell = F.struct(F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), F.col("value.re").alias("re"), F.col("value.im").alias("im"))
+    gathered = df.groupBy(*axes).agg(F.collect_list(cell).alias("__c")).select(*axes, *(F.col("__c").getField(c).alias(c) for c in cells))
+    return gathered.mapInArrow(planes, schema)
 
 
 def cf_fft_sums(df: DataFrame, axes: list[str], n: int, sign: int = 1) -> DataFrame:
