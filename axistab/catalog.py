@@ -215,6 +215,19 @@ def w2_dense_coordinate(spark, sf_dir):
     return index.axis_values(_t(spark, sf_dir, "events", ["event_type"]), "event_type")
 
 
+@query("select dense_rank() over (order by event_type) - 1 as event_type_at, row_number() over (partition by event_type order by event_id) - 1 as row, event_id from events")
+def w1_cell_ordinal(spark, sf_dir):
+    events = index.from_rows(_t(spark, sf_dir, "events", ["event_id", "event_type"]), ["event_id"])
+    return index.reindexed(events, ["event_type"], allow_rows=True).df.select("event_type_at", "row", "event_id")
+
+
+@query("""
+with r as (select o_custkey as value, row_number() over (order by o_orderkey) - 1 as row from orders)
+select dense_rank() over (order by value) - 1 as coord, value, list(row order by row) as rows from r group by value""")
+def o1_sorted_values(spark, sf_dir):
+    return index.row_lists(index.create_index(_orders(spark, sf_dir).df.select("o_custkey", "row"), "o_custkey"))
+
+
 @query("select distinct o_custkey as k from orders union select c_custkey from customer")
 def u1_union(spark, sf_dir):
     return index.union_domains(_t(spark, sf_dir, "orders", ["o_custkey"]).toDF("k"), _t(spark, sf_dir, "customer", ["c_custkey"]).toDF("k"))
@@ -311,21 +324,21 @@ def a6_last_set(spark, sf_dir):
     return agg.last_set(df, ["user_id"], "v", "event_id", -1.0)
 
 
-_COEFFS = "c as (select p_partkey as key, k, p_size / (k + 1.0) as re, p_size * 0.5 - k as im from part, range(10) as r(k))"
+_COEFFS = "c as (select p_partkey as key, k, p_size / (k + 1.0) as re, p_size * 0.5 - k as im from part, range({}) as r(k))"
 
 
-def _coeffs(spark, sf_dir):
-    k = F.explode(F.sequence(F.lit(0), F.lit(9)))
+def _coeffs(spark, sf_dir, n):
+    k = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     df = _t(spark, sf_dir, "part", ["p_partkey", "p_size"]).select(F.col("p_partkey").alias("key"), "p_size", k.alias("k"))
     return df.select("key", "k", (F.col("p_size") / (F.col("k") + 1.0)).alias("re"), (F.col("p_size") * 0.5 - F.col("k")).alias("im"))
 
 
-_TERMS = ", ".join(f"({(n * (n + 2) + m) // 2}, {px}, {py}, {c})" for m, n, px, py, c in cf.ZERNIKE_TERMS)
+_TERMS = ", ".join(f"({(n * (n + 2) + m) // 2}, {px}, {py}, {c})" for m, n, px, py, c in cf.zernike_terms())
 
 
-@query(f"with {_COEFFS}, t(k, px, py, c) as (values {_TERMS}) select key, px, py, round(sum(re * t.c), 6) as re, round(sum(im * t.c), 6) as im from c join t using (k) group by 1, 2, 3")
+@query(f"with {_COEFFS.format(66)}, t(k, px, py, c) as (values {_TERMS}) select key, px, py, round(sum(re * t.c), 6) as re, round(sum(im * t.c), 6) as im from c join t using (k) group by 1, 2, 3")
 def a7_zernike(spark, sf_dir):
-    return cf.zernike_to_poly(_coeffs(spark, sf_dir), ["key"]).select("key", "px", "py", F.round("re", 6).alias("re"), F.round("im", 6).alias("im"))
+    return cf.zernike_to_poly(_coeffs(spark, sf_dir, 66), ["key"]).select("key", "px", "py", F.round("re", 6).alias("re"), F.round("im", 6).alias("im"))
 
 
 # Blocks
@@ -469,7 +482,7 @@ def f5b_zernike_index(spark, sf_dir):
 
 
 _APERTURE = f"""
-{_COEFFS}, t(k, px, py, c) as (values {_TERMS}),
+{_COEFFS.format(10)}, t(k, px, py, c) as (values {_TERMS}),
 poly as (select key, px, py, sum(re * t.c) as re, sum(im * t.c) as im from c join t using (k) group by 1, 2, 3),
 g as (select p_partkey as key, x::int as x, y::int as y, (x - 2.0) * 0.4 as cx, (y - 2.0) * 0.4 as cy from part, {_PIX}),
 ap as (select key, x, y, sum(case when cx * cx + cy * cy <= 1 then re * pow(cx, px) * pow(cy, py) else 0 end) as re, sum(case when cx * cx + cy * cy <= 1 then im * pow(cx, px) * pow(cy, py) else 0 end) as im
@@ -477,7 +490,7 @@ ap as (select key, x, y, sum(case when cx * cx + cy * cy <= 1 then re * pow(cx,
 
 
 def _aperture(spark, sf_dir):
-    poly = cf.zernike_to_poly(_coeffs(spark, sf_dir), ["key"])
+    poly = cf.zernike_to_poly(_coeffs(spark, sf_dir, 10), ["key"])
     grid = cf.grid_coordinates(cf.cf_axes([_t(spark, sf_dir, "part", ["p_partkey"]).toDF("key")], 5), 5, 1.0)
     return cf.aperture(grid, poly, ["key"])
 
@@ -560,6 +573,20 @@ def e2_pa_bin(spark, sf_dir):
     return df.withColumn("i", expr.pa_interval(F.col("bin"), 10.0, 50.0)).select("event_id", "bin", "i.low", "i.width")
 
 
+@query("""
+with b as (select p_partkey, p_size - 5 as bin from part)
+select p_partkey, bin, case when bin between 0 and 7 then 10.0 + bin * 50.0 end as low, case when bin between 0 and 7 then least(50.0, 360.0 - bin * 50.0)::double end as width from b""")
+def e3_pa_interval(spark, sf_dir):
+    df = _t(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") - 5).alias("bin"))
+    return df.withColumn("i", expr.pa_interval(F.col("bin"), 10.0, 50.0)).select("p_partkey", "bin", "i.low", "i.width")
+
+
+@query("select p_partkey, case when p_size >= 25 then 1 else 0 end as class, 0 as plain from part")
+def e5_antenna_class(spark, sf_dir):
+    by_size = F.when(F.col("p_size") >= 25, 1).otherwise(0)
+    return _t(spark, sf_dir, "part").select("p_partkey", expr.antenna_class(by_size).alias("class"), expr.antenna_class().alias("plain"))
+
+
 _DIRECTION = "select event_id, value * 0.01 as h, 0.6 as lat, (user_id % 90) * 0.01 as d, event_id % 7 as mount, 0.25 as rec from events"
 
 

@@ -99,6 +99,7 @@ UNITS = {
     "s": ("time", 1.0), "min": ("time", 60.0), "h": ("time", 3600.0), "d": ("time", 86400.0),
     "m": ("length", 1.0), "km": ("length", 1000.0), "cm": ("length", 0.01),
     "rad": ("angle", 1.0), "deg": ("angle", math.pi / 180), "arcmin": ("angle", math.pi / 10800), "arcsec": ("angle", math.pi / 648000),
+    "K": ("temperature", 1.0), "m/s": ("speed", 1.0), "km/s": ("speed", 1000.0), "rad/s": ("turn", 1.0), "m-2": ("column", 1.0), "Pa": ("pressure", 1.0), "hPa": ("pressure", 100.0),
     "Hz": ("frequency", 1.0), "kHz": ("frequency", 1e3), "MHz": ("frequency", 1e6), "GHz": ("frequency", 1e9),
 }
 

@@ -138,16 +138,44 @@ def zernike_orders(k: Column) -> Column:
     return F.struct((2 * k - n * (n + 2)).cast("int").alias("m"), n.alias("n"))
 
 
-#: Polynomial terms (m, n, power of x, power of y, coefficient) of orders 0 to 3. Fixed values.
-ZERNIKE_TERMS = (
-    (0, 0, 0, 0, 1), (-1, 1, 0, 1, 1), (1, 1, 1, 0, 1), (-2, 2, 2, 0, 2), (-2, 2, 0, 0, -1), (-2, 2, 0, 2, 2), (0, 2, 1, 1, 2), (2, 2, 2, 0, -1), (2, 2, 0, 2, 1),
-    (-3, 3, 3, 0, -1), (-3, 3, 1, 2, 3), (-1, 3, 3, 0, 3), (-1, 3, 1, 0, -2), (-1, 3, 1, 2, 3), (1, 3, 2, 1, 3), (1, 3, 0, 1, -2), (1, 3, 0, 3, 3), (3, 3, 2, 1, -3), (3, 3, 0, 3, 1),
-)
+#: Terms that are numbered otherwise than by the rule of ``zernike_terms``: (m, n) and whose polynomial it has. Fixed values.
+RELABELLED = {(-1, 1): (1, 1), (1, 1): (-1, 1), (-2, 2): (0, 2), (0, 2): (-2, 2)}
+#: Terms (m, n, power of x, power of y) that are tabulated with the opposite sign. Fixed values.
+OPPOSITE_SIGN = {(-2, 6, 3, 1), (-2, 6, 1, 5), (-2, 8, 7, 1)}
 
 
-def zernike_to_poly(coefficients: DataFrame, keys: list[str], terms=ZERNIKE_TERMS) -> DataFrame:
-    """Series coefficients ``keys, k, re, im`` to polynomial ones: sums over ``terms`` for each (px, py)."""
-    spark = coefficients.sparkSession
+def _turned(m: int) -> dict[tuple[int, int], int]:
+    """rho^|m| cos(m t), or sin(|m| t) for negative m, with x = rho sin(t) and y = rho cos(t): {(px, py): coefficient}."""
+    k, odd = abs(m), m < 0
+    return {(j, k - j): (-1) ** (j // 2) * math.comb(k, j) for j in range(int(odd), k + 1, 2)}
+
+
+def zernike_terms(orders: int = 10, tabulated: bool = True) -> list[tuple[int, int, int, int, int]]:
+    """Polynomial terms (m, n, power of x, power of y, coefficient) of all circle polynomials up to order ``orders``.
+
+    Radial polynomial times the turned one. ``tabulated`` keeps three signs of orders 6 and 8 as existing coefficient
+    sets expect them; without it all terms are those of the rule.
+    """
+    out = []
+    for n in range(orders + 1):
+        for label in range(-n, n + 1, 2):
+            m, _ = RELABELLED.get((label, n), (label, n))
+            sums: dict[tuple[int, int], int] = {}
+            for k in range((n - abs(m)) // 2 + 1):
+                up, down = (n + abs(m)) // 2 - k, (n - abs(m)) // 2 - k
+                radial = (-1) ** k * math.factorial(n - k) // (math.factorial(k) * math.factorial(up) * math.factorial(down))
+                for j in range(down + 1):
+                    for (px, py), c in _turned(m).items():
+                        at = (px + 2 * j, py + 2 * (down - j))
+                        sums[at] = sums.get(at, 0) + radial * math.comb(down, j) * c
+            sign = lambda px, py: -1 if tabulated and (label, n, px, py) in OPPOSITE_SIGN else 1  # noqa: B023, E731
+            out += [(label, n, px, py, sign(px, py) * c) for (px, py), c in sorted(sums.items()) if c]
+    return out
+
+
+def zernike_to_poly(coefficients: DataFrame, keys: list[str], terms: list[tuple[int, int, int, int, int]] | None = None) -> DataFrame:
+    """Series coefficients ``keys, k, re, im`` to polynomial ones: sums over ``terms`` (``zernike_terms()``) for each (px, py)."""
+    spark, terms = coefficients.sparkSession, zernike_terms() if terms is None else terms
     table = spark.createDataFrame([((n * (n + 2) + m) // 2, px, py, c) for m, n, px, py, c in terms], "k int, px int, py int, c int")
     met = coefficients.join(F.broadcast(table), "k")
     return met.groupBy(*keys, "px", "py").agg(F.sum(F.col("re") * F.col("c")).alias("re"), F.sum(F.col("im") * F.col("c")).alias("im"))

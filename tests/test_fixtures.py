@@ -128,3 +128,32 @@ def test_product_centres_the_smaller_grid(spark):
         cf.cf_product(make(5, 2.0), 5, make(2, 3.0), 2, ["key"])
     centre = [r for r in cf.ps_term(cf.grid_coordinates(cf.cf_axes([axis.withColumn("ps_scale", F.lit(0.4))], 5), 5, 2.5)).collect() if (r["x"], r["y"]) == (2, 2)]
     assert centre[0]["value"]["re"] == 1.0
+
+
+def test_series_terms_are_orthogonal_on_the_disk():
+    terms = cf.zernike_terms(tabulated=False)
+    assert len({(m, n) for m, n, *_ in terms}) == 66
+    assert [t for t in terms if t[:2] == (-2, 2)] == [(-2, 2, 0, 0, -1), (-2, 2, 0, 2, 2), (-2, 2, 2, 0, 2)]
+    assert [t for t in terms if t[:2] == (3, 3)] == [(3, 3, 0, 3, 1), (3, 3, 2, 1, -3)]
+
+    def moment(p, q):  # of x^p y^q over the unit disk
+        if p % 2 or q % 2:
+            return 0.0
+        return 2 * math.gamma((p + 1) / 2) * math.gamma((q + 1) / 2) / math.gamma((p + q + 2) / 2) / (p + q + 2)
+
+    series = {}
+    for m, n, px, py, c in terms:
+        series.setdefault((m, n), []).append((px, py, c))
+    for a, one in series.items():
+        for b, two in series.items():
+            product = sum(c * d * moment(p + r, q + s) for p, q, c in one for r, s, d in two)
+            assert (product > 1e-3) if a == b else abs(product) < 1e-6
+    changed = set(cf.zernike_terms()) ^ set(terms)
+    assert {t[:4] for t in changed} == cf.OPPOSITE_SIGN
+
+
+def test_every_declared_type_is_a_spark_type(spark):
+    assert len(SCHEMAS) == 18
+    for schema in SCHEMAS.values():
+        empty = spark.createDataFrame([], ", ".join(f"`{name}` {kind}" for name, (kind, _) in schema.items()))
+        assert {f.name: f.dataType.simpleString() for f in empty.schema} == {name: kind for name, (kind, _) in schema.items()}
