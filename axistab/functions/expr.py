@@ -49,10 +49,9 @@ def antenna_class(classifier: Column | None = None) -> Column:
 
 
 def interp_direction(poly: Column, t: Column, t0: Column, tolerance: float = 1e-9) -> Column:
-    """Sum of ``poly[k] (t - t0)^k`` by Horner; the constant term for a single coefficient or t near t0."""
-    dt = t - t0
-    folded = F.aggregate(F.reverse(poly), F.lit(0.0), lambda a, c: a * dt + c)
-    return F.when((F.size(poly) == 1) | (F.abs(dt) <= tolerance), F.element_at(poly, 1)).otherwise(folded)
+    """Sum of ``poly[k] (t - t0)^k`` by Horner; the constant term for a single coefficient or t near t0 (0 for none)."""
+    dt = F.when((F.size(poly) == 1) | (F.abs(t - t0) <= tolerance), F.lit(0.0)).otherwise(t - t0)
+    return F.aggregate(F.reverse(poly), F.lit(0.0), lambda a, c: a * dt + c)
 
 
 def parallactic_angle(hour_angle: Column, latitude: Column, declination: Column) -> Column:
