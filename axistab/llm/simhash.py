@@ -15,7 +15,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,16 +45,17 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``_id, _fp`` of each row."""
+    """``_id, _fp, _hash`` of each row; ``_hash`` is a 64-bit hash of the text, which tells rows of one id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in row_runs(batch, "_text"):
                 found = [fingerprint(t, shingle) for t in texts_of(part.column("_text"))]
-                yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(found, pa.int64())], names=["_id", "_fp"])
+                yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(found, pa.int64()), part.column("_hash")], names=["_id", "_fp", "_hash"])
 
-    schema = T.StructType([T.StructField("_id", df.schema[id_col].dataType), T.StructField("_fp", T.LongType())])
-    return df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
+    schema = T.StructType([T.StructField("_id", df.schema[id_col].dataType), T.StructField("_fp", T.LongType()), T.StructField("_hash", T.LongType())])
+    text = F.col(text_col).cast("string")
+    return df.select(F.col(id_col).alias("_id"), text.alias("_text"), F.xxhash64(text).alias("_hash")).mapInArrow(run, schema)
 
 
 def block_masks(shared: int, distance: int = DISTANCE) -> list[int]:
@@ -169,6 +170,18 @@ def components(edges: DataFrame) -> DataFrame:
         turn += 1
 
 
+def _first() -> Column:
+    """Orders the rows of a group: smallest id (a null id last), then text hash."""
+    return F.min(F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_hash").alias("h")))
+
+
+def _groups(docs: DataFrame, distance: int) -> DataFrame:
+    """``_fp, rep, first``: the component and the first row of each distinct fingerprint."""
+    distinct = stage(docs.groupBy("_fp").agg(_first().alias("first")), "distinct")
+    reps = components(near_links(distinct.select("_fp"), distance)).withColumnRenamed("node", "_fp")
+    return stage(distinct.join(reps.hint("merge"), "_fp", "left").withColumn("rep", F.coalesce("rep", "_fp")), "reps")
+
+
 def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of each row.
 
@@ -178,20 +191,24 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     out as often as they come in; other columns are not read; an empty table gives no rows.
     """
     docs = stage(fingerprints(df, id_col, text_col, shingle), "fingerprints")
-    distinct = stage(docs.groupBy("_fp").agg(F.min("_id").alias("_least")), "distinct")
-    reps = components(near_links(distinct.select("_fp"), distance)).withColumnRenamed("node", "_fp")
-    of = stage(distinct.join(reps.hint("merge"), "_fp", "left").withColumn("rep", F.coalesce("rep", "_fp")), "reps")
-    least = of.groupBy("rep").agg(F.min("_least").alias("component_id"))
-    known = stage(of.join(least.hint("merge"), "rep").select("_fp", "component_id"), "component")
+    of = _groups(docs, distance)
+    least = of.groupBy("rep").agg(F.min("first").alias("first")).select("rep", F.col("first.i").alias("component_id"))
+    known = stage(of.select("_fp", "rep").join(least.hint("merge"), "rep").select("_fp", "component_id"), "component")
     out = docs.join(known.hint("merge"), "_fp")
     return out.select(F.col("_id").alias("doc_id"), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df``, all columns, whose id is its component's id: one of each group; of rows that share it, one."""
+def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """The rows of ``df``, all columns, that come first in their component: the smallest id, a null id last.
+
+    A row is told by its id and text, so rows that share an id (or have none) but not their texts stay in every component
+    that they lead; of rows with equal id and text one stays.
+    """
     names = df.columns
-    keep = simhash_components(df, id_col, text_col).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
+    of = _groups(stage(fingerprints(df, id_col, text_col, shingle), "fingerprints"), distance)
+    keep = of.groupBy("rep").agg(F.min("first").alias("first")).select(F.col("first.i").alias("_keep"), F.col("first.h").alias("_of"))
     plain = df.toDF(*(f"c{i}" for i in range(len(names))))
     key = f"c{names.index(id_col)}"
-    met = plain.join(stage(keep, "keep").hint("merge"), F.col(key).eqNullSafe(F.col("_keep")), "left_semi").dropDuplicates([key])
-    return met.select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(names)))
+    plain = plain.withColumn("_hash", F.xxhash64(F.col(f"c{names.index(text_col)}").cast("string")))
+    met = plain.join(stage(keep, "keep").hint("merge"), F.col(key).eqNullSafe(F.col("_keep")) & (F.col("_hash") == F.col("_of")), "left_semi")
+    return met.dropDuplicates([key, "_hash"]).select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(names)))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from axistab.llm import brown, chat, exact_dedup, language, mixing, packing, qda, quality_rules, simhash, textstats, warc
 from axistab.llm.common import held_out
 from axistab.llm.queries import tokenizer
-from tests.llm.conftest import SCHEMA, messy_rows
+from tests.llm.conftest import SCHEMA, messy_rows, words
 
 
 def squeezed(text):
@@ -194,6 +194,16 @@ def test_simhash(spark, messy, nothing):
     assert simhash.simhash_components(nothing).count() == 0
 
 
+def test_near_copies_of_shared_and_missing_ids(spark):
+    rng, rows = random.Random(9), []
+    for i in (5, 5, None, None):
+        rows.append((i, words(rng, ["ba", "ke", "li", "to", "nu", "shr", "und"], 60)))
+    rows += [rows[0], rows[2], (6, rows[1][1]), (4, rows[3][1])]
+    kept = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {tuple(r) for r in kept.collect()} == {rows[0], rows[1], rows[2], rows[7]}
+    assert kept.count() == 4
+
+
 @pytest.mark.parametrize("chunk", [50, 2048])
 def test_near_links_connect_dense_and_spread_groups(spark, chunk):
     rng = random.Random(4)
