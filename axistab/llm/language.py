@@ -19,8 +19,10 @@ from axistab.llm.common import row_runs, texts_of
 
 #: Bytes of dictionary for each language; the bounded sample that the classifier is fitted on.
 DICTIONARY_BYTES = 112 << 10
-#: Texts sampled for each language; they are joined, shortest first, until the dictionary is full.
+#: Texts sampled for each language, or more while they fill no dictionary; they are joined, shortest first, until it is full.
 SAMPLE_TEXTS = 400
+#: Code points of a sampled text that may go into the dictionary; of a longer one its start.
+TEXT_CHARS = 20_000
 LEVEL, MARGIN = 6, 0.002
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -34,23 +36,26 @@ def fold(text: str) -> bytes:
 
 
 
-def dictionaries(df: DataFrame, learn: Column, text_col: str, lang_col: str, size: int = DICTIONARY_BYTES, texts: int = SAMPLE_TEXTS) -> dict[str, bytes]:
-    """Sampled text of each language, the one with most texts first: the ``texts`` smallest hashes of distinct texts, at most ``size`` bytes in all.
+def dictionaries(df: DataFrame, learn: Column, text_col: str, lang_col: str, size: int = DICTIONARY_BYTES, texts: int = SAMPLE_TEXTS, chars: int = TEXT_CHARS) -> dict[str, bytes]:
+    """Sampled text of each language that has a text with a letter, the one with most such texts first; at most ``size`` bytes.
 
-    The sample is drawn through a threshold on the hash, so that no task and not the driver gets a language's rows.
+    Texts of any length are drawn by the smallest hashes of distinct texts: ``texts`` of them, or as many as fill ``size``
+    bytes if that is more. Of a text over ``chars`` code points its start is taken. The sample is drawn through a threshold
+    on the hash, so that no task and not the driver gets a language's rows.
     """
-    known = df.select(F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("g"), learn.alias("ok")).filter("ok and g is not null and length(t) between 80 and 20000")
-    hashed = known.withColumn("h", F.shiftrightunsigned(F.xxhash64("t"), 1))
-    counts = {r["g"]: r["n"] for r in hashed.groupBy("g").agg(F.approx_count_distinct("h").alias("n")).collect()}
+    known = df.select(F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("g"), learn.alias("ok")).filter("ok and g is not null and t rlike '\\\\p{L}'")
+    hashed = known.select("g", F.shiftrightunsigned(F.xxhash64("t"), 1).alias("h"), F.substring("t", 1, chars).alias("t"))
+    counts = {r["g"]: (r["n"], r["b"]) for r in hashed.groupBy("g").agg(F.approx_count_distinct("h").alias("n"), F.avg(F.octet_length("t") + 1).alias("b")).collect()}
     if not counts:
         return {}
-    bound = F.create_map(*(x for g, n in counts.items() for x in (F.lit(g), F.lit(min(1.0, 2.0 * texts / n) * 2.0**63))))
+    bound = F.create_map(*(x for g, (n, b) in counts.items() for x in (F.lit(g), F.lit(min(1.0, 2.0 * max(texts, size / b) / n) * 2.0**63))))
     near = hashed.filter(F.col("h") <= bound[F.col("g")]).groupBy("g", "h").agg(F.min("t").alias("t"))
+    before = lambda *by: F.coalesce(F.sum(F.octet_length("t") + 1).over(Window.partitionBy("g").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     nth = F.row_number().over(Window.partitionBy("g").orderBy("h"))
-    room = F.sum(F.octet_length("t") + 1).over(Window.partitionBy("g").orderBy(F.length("t"), "h").rowsBetween(Window.unboundedPreceding, 0))
-    some = near.withColumn("n", nth).filter(F.col("n") <= texts).withColumn("at", room).filter((F.col("at") <= size)).groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct(-F.length("t"), "h", "t"))), lambda x: x["t"]).alias("d"))
-    content = {r["g"]: b"\n".join(map(fold, r["d"])) for r in some.collect()}
-    return {g: content[g] for g in sorted(content, key=lambda g: (-counts[g], g))}
+    drawn = near.withColumn("n", nth).withColumn("drawn", before("h")).filter((F.col("n") <= texts) | (F.col("drawn") < size))
+    some = drawn.withColumn("at", before(F.length("t"), "h")).filter(F.col("at") < size).groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct(-F.length("t"), "h", "t"))), lambda x: x["t"]).alias("d"))
+    content = {r["g"]: b"\n".join(map(fold, r["d"]))[-size:] for r in some.collect()}
+    return {g: content[g] for g in sorted(content, key=lambda g: (-counts[g][0], g))}
 
 
 def identify(texts: list[bytes], compressors: list[tuple[str, zstandard.ZstdCompressor]]) -> list[tuple[str, float, float]]:
@@ -72,7 +77,7 @@ def identify(texts: list[bytes], compressors: list[tuple[str, zstandard.ZstdComp
 def identify_languages(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", margin: float = MARGIN, level: int = LEVEL) -> DataFrame:
     """``doc_id, lang_pred, score, margin, rejected`` of each row.
 
-    Languages are the non-null values of ``lang_col`` where ``learn`` holds. ``lang_pred`` is the best guess, ``rejected``
+    Languages are the non-null values of ``lang_col`` where ``learn`` holds and the text, of any length, has a letter. ``lang_pred`` is the best guess, ``rejected``
     says that its margin over the second best is below ``margin``. A null text or one without a letter is ``und`` with
     score 0 and rejected; ties go to the
     language with most texts. Repeated rows come out as often as they come in; other

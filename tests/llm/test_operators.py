@@ -312,6 +312,24 @@ def test_languages(messy, nothing):
     assert {r["lang_pred"] for r in language.identify_languages(messy, F.lit(False)).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("size", [language.DICTIONARY_BYTES, 5000])
+def test_languages_of_short_or_long_texts_only(spark, size):
+    rng = random.Random(12)
+    stems = {"short": ["ba", "ke", "li", "to", "nu"], "long": ["shr", "und", "ach", "eit", "ver"], "mid": ["xo", "qui", "zy", "wam"]}
+    rows = [(i, words(rng, stems["short"], rng.randrange(3, 10)), "short") for i in range(1000)]
+    rows += [(2000 + i, words(rng, stems["long"], 5000), "long") for i in range(6)]
+    rows += [(3000 + i, words(rng, stems["mid"], 40), "mid") for i in range(40)] + [(4000, "12 34", "digits"), (4001, None, "none")]
+    assert max(len(t) for _, t, g in rows if g == "short") < 80 and min(len(t) for _, t, g in rows if g == "long") > 20000
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = language.dictionaries(df, F.lit(True), "text", "lang", size)
+    assert set(found) == {"short", "long", "mid"} and all(0 < len(d) <= size for d in found.values())
+    assert len(found["short"]) > 0.95 * min(size, sum(len(language.fold(t)) for _, t, g in rows if g == "short"))
+    out = language.identify_languages(df, F.col("doc_id") % 4 != 2).collect()
+    truth = {i: g for i, _, g in rows}
+    held = [r for r in out if r["doc_id"] % 4 == 2 and r["doc_id"] < 4000]
+    assert {truth[r["doc_id"]] for r in held} == {"short", "long", "mid"} and sum(r["lang_pred"] == truth[r["doc_id"]] for r in held) / len(held) > 0.95
+
+
 # Chat
 
 
