@@ -1,12 +1,13 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
 Every source gets a word budget. Whole passes over the source are taken first. The rest of the budget is fitted on the
-source's histogram of exact lengths: a proportional share of each length, then a bounded knapsack over what is left of
+source's histogram of exact lengths: a proportional share over the lengths, then a bounded knapsack over what is left of
 the budget. Which documents of a length are taken is settled by a seeded hash.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,33 +20,32 @@ from axistab.llm.common import row_runs, stage, texts_of
 from axistab.operators.rows import with_row_axis
 
 WEIGHTS, TOTAL, REPEATS, SEED = (5.0, 2.0, 1.0), 1.5, 2, 17
-#: Words of budget that are left to the knapsack; what is beyond goes to one more document of each length, longest first.
+#: Words of budget that are left to the knapsack at most.
 KNAPSACK = 1 << 16
 
 
-def fit_budget(counts: dict[int, int], budget: int, window: int = KNAPSACK) -> dict[int, int]:
-    """How many documents of each length to take for a sum as near below ``budget`` as can be.
+def _share(counts: dict[int, int], words: int, total: int) -> dict[int, int]:
+    """Documents of each length for about ``words`` of ``total`` words: shares of the documents up to each length, rounded
+    down, so that lengths with few documents get their share together; less than the longest length above ``words``."""
+    taken, seen, before = {}, 0, 0
+    for k in sorted(counts):
+        seen += counts[k]
+        taken[k] = seen * words // total - before
+        before += taken[k]
+    return taken
 
-    A bounded knapsack over lengths and counts; above ``window`` a proportional share of each length comes first. The
-    sum is the budget itself whenever the knapsack reaches it.
-    """
-    counts = {k: n for k, n in counts.items() if k > 0 and n > 0}
-    total = sum(k * n for k, n in counts.items())
-    if budget >= total:
-        return counts
-    taken = dict.fromkeys(counts, 0)
-    left = budget
-    if left > window:
-        taken = {k: n * (budget - window // 2) // total for k, n in counts.items()}
-        left -= sum(k * n for k, n in taken.items())
-        for k in sorted(counts, reverse=True):
-            if left <= window:
-                break
-            if k <= left and taken[k] < counts[k]:
-                taken[k] += 1
-                left -= k
+
+def _fit(counts: dict[int, int], taken: dict[int, int], left: int, window: int) -> dict[int, int]:
+    """``taken`` and a bounded knapsack of ``left`` words over what it leaves; lengths come in a scattered order."""
+    taken = dict(taken)
+    for k in sorted(counts, reverse=True):
+        if left <= window:
+            break
+        if k <= left and taken[k] < counts[k]:
+            taken[k] += 1
+            left -= k
     reach, steps, full = 1, [], (1 << (left + 1)) - 1
-    for k in sorted(counts):
+    for k in sorted(counts, key=lambda k: (k * 2654435761 & 0xFFFFFFFF, k)):
         spare, piece = min(counts[k] - taken[k], left // k), 1
         while spare > 0 and not reach >> left & 1:
             piece = min(piece, spare)
@@ -60,6 +60,37 @@ def fit_budget(counts: dict[int, int], budget: int, window: int = KNAPSACK) -> d
     return taken
 
 
+def fit_budget(counts: dict[int, int], budget: int, window: int = KNAPSACK) -> dict[int, int]:
+    """How many documents of each length to take for a sum as near below ``budget`` as can be.
+
+    A proportional share over the lengths comes first, at every budget; a bounded knapsack fits what is left: 1/64 of the
+    budget, and twice as much again and again (at most ``window``) until the sum is the largest there can be. With a
+    budget of at most ``window`` the last one has it all. The earliest of the best sums counts.
+    """
+    counts = {k: n for k, n in counts.items() if k > 0 and n > 0}
+    total = sum(k * n for k, n in counts.items())
+    if budget >= total:
+        return counts
+    goal = budget - budget % math.gcd(*counts)
+    most, rest = budget if budget <= window else window // 2, min(budget // 64, window // 2)
+    best, top = dict.fromkeys(counts, 0), -1
+    while top < goal:
+        taken = _share(counts, budget - rest, total)
+        left = budget - sum(k * n for k, n in taken.items())
+        while left < 0:  # by less than the longest length
+            some = [k for k, n in taken.items() if n]
+            k = min((k for k in some if k >= -left), default=max(some))
+            taken[k] -= 1
+            left += k
+        found = _fit(counts, taken, left, window)
+        if (words := sum(k * n for k, n in found.items())) > top:
+            best, top = found, words
+        if rest >= most:
+            break
+        rest = min(most, max(1, 2 * rest))
+    return best
+
+
 def word_counts(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """``_id, _source, _size`` of each row."""
 

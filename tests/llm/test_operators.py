@@ -125,6 +125,19 @@ def test_fit_budget_reaches_what_can_be_reached():
                 assert total == max(s for s in sums if s <= budget)
 
 
+@pytest.mark.parametrize(("each", "budget"), [(1, 30_000), (2, 60_000), (40, 1_200_000)])
+def test_fit_budget_keeps_the_make_up_of_lengths(each, budget):
+    rng = random.Random(3)
+    counts = dict.fromkeys(range(50, 501), each)
+    counts = {k: n for k, n in counts.items() if n > 1 or rng.random() < 0.9}
+    taken = mixing.fit_budget(counts, budget)
+    assert sum(k * n for k, n in taken.items()) == budget and all(0 <= n <= counts[k] for k, n in taken.items())
+    share = budget / sum(k * n for k, n in counts.items())
+    for low in range(50, 500, 90):
+        part = [k for k in counts if low <= k < low + 90]
+        assert 0.75 * share < sum(taken[k] for k in part) / sum(counts[k] for k in part) < 1.3 * share
+
+
 def test_mix(messy, nothing):
     out = mixing.mix_sources(messy).collect()
     rows = messy.collect()
