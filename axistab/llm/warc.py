@@ -59,6 +59,10 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"))
 
 
+def _digest() -> Column:
+    return F.unhex(F.sha1("value"))
+
+
 def _field(head: Column, name: str) -> Column:
     return F.regexp_extract(head, rf"(?im)^{name}:[ \t]*(.*?)[ \t]*\r?$", 1)
 
@@ -111,7 +115,9 @@ def read_warc(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFr
     Digests are of the payloads as read; a revisit has those of the record that it refers to. A chain that a damaged record
     breaks ends there. An empty archive gives no rows.
     """
-    seen = stage(_located(_parsed(_pieces(spark, path)).select("file", "split", "at", "size", *_META)), "candidates")
+    # Splits and places hold for one read only, so they are staged once; a later read knows pieces by file and digest.
+    pieces = stage(_parsed(_pieces(spark, path).withColumn("piece", _digest())).select("file", "split", "at", "size", "piece", *_META), "pieces")
+    seen = stage(_located(pieces).drop("split", "at"), "candidates")
     valid = (F.col("offset") >= 0) & F.col("block_bytes").isNotNull() & (F.col("record_type") != "")
     chain = seen.filter(valid).select("file", "offset", (F.col("offset") + len(MAGIC) + F.col("head_bytes") + F.col("block_bytes") + len(GAP)).alias("next"))
     hit = reachable(chain)
@@ -119,9 +125,12 @@ def read_warc(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFr
     found = records.filter("whole").select("record_type", "record_id", "refers_to_id", "payload_bytes", "payload_digest")
     if records.filter("not whole").take(1):  # payloads with a magic line inside are put together from their pieces
         owner = F.last(F.when(F.col("start").isNotNull(), F.col("offset")), ignorenulls=True).over(Window.partitionBy("file").orderBy("offset"))
-        marked = seen.select("file", "split", "at", "offset").join(records.select("file", "offset", (~F.col("whole")).alias("broken"), F.col("offset").alias("start")).hint("merge"), ["file", "offset"], "left")
+        marked = seen.select("file", "piece", "offset").join(records.select("file", "offset", (~F.col("whole")).alias("broken"), F.col("offset").alias("start")).hint("merge"), ["file", "offset"], "left")
         owned = marked.withColumn("owner", owner).join(records.filter("not whole").select("file", F.col("offset").alias("owner")).hint("merge"), ["file", "owner"])
-        parts = join_sized(_pieces(spark, path), stage(owned.select("file", "split", "at", "owner", "offset"), "parts"), ["file", "split", "at"], "inner")
+        places = stage(owned.select("file", "piece", "owner", "offset"), "parts")
+        wanted = stage(places.select("file", "piece").distinct(), "wanted")
+        held = join_sized(_pieces(spark, path).select("file", "value", _digest().alias("piece")), wanted, ["file", "piece"], "left_semi").groupBy("file", "piece").agg(F.min("value").alias("value"))
+        parts = places.join(held.hint("merge"), ["file", "piece"])
         whole = parts.groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("offset", "value"))).alias("ps"))
         whole = _parsed(whole.select(F.array_join(F.transform("ps", lambda p: p["value"]), MAGIC).alias("value")))
         found = found.unionByName(whole.select("record_type", "record_id", "refers_to_id", "payload_bytes", "payload_digest"))

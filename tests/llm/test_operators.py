@@ -397,3 +397,19 @@ def test_warc_round_trip(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert warc.archive_round_trip(df.filter("false"), str(tmp_path / "none")).count() == 0
+
+
+def test_warc_reads_may_split_differently(spark, tmp_path, monkeypatch):
+    fake = "WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:999>\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
+    pages = [(i, "u", f"<p>{i}</p>" + ("z" * 300 + fake) * (i % 4)) for i in range(40)]
+    path = str(tmp_path / "archive")
+    warc.write_warc(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1), path)
+    reads, sizes, before = warc._pieces, iter(["777", "5000"] * 2), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    monkeypatch.setattr(warc, "_pieces", lambda *a: spark.conf.set("spark.sql.files.maxPartitionBytes", next(sizes)) or reads(*a))
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        out = sorted((r["page_id"], r["payload_digest"]) for r in warc.read_warc(spark, path).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert out == [(i, hashlib.sha1(h.encode()).hexdigest()) for i, _, h in pages]
