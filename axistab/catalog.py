@@ -489,8 +489,8 @@ ap as (select key, x, y, sum(case when cx * cx + cy * cy <= 1 then re * pow(cx,
   from g join poly using (key) group by 1, 2, 3)"""
 
 
-def _aperture(spark, sf_dir):
-    poly = cf.zernike_to_poly(_coeffs(spark, sf_dir, 10), ["key"])
+def _aperture(spark, sf_dir, coefficients=10):
+    poly = cf.zernike_to_poly(_coeffs(spark, sf_dir, coefficients), ["key"])
     grid = cf.grid_coordinates(cf.cf_axes([_t(spark, sf_dir, "part", ["p_partkey"]).toDF("key")], 5), 5, 1.0)
     return cf.aperture(grid, poly, ["key"])
 
@@ -500,6 +500,14 @@ def f5c_aperture(spark, sf_dir):
     return _aperture(spark, sf_dir).select("key", "x", "y", F.round("value.re", 5).alias("re"), F.round("value.im", 5).alias("im"))
 
 
+_APERTURE_ALL = _APERTURE.replace(_COEFFS.format(10), _COEFFS.format(66))
+
+
+@query(f"with {_APERTURE_ALL} select key, x, y, round(re, 3) as re, round(im, 3) as im from ap")
+def f5c_aperture_all(spark, sf_dir):
+    return _aperture(spark, sf_dir, 66).select("key", "x", "y", F.round("value.re", 3).alias("re"), F.round("value.im", 3).alias("im"))
+
+
 @query(f"""
 with {_APERTURE}, ill as (select key // 4 as plane, key % 4 as stokes, x, y, re, im from ap)
 select o.plane, o.stokes as stokes_out, i.stokes as stokes_in, o.x, o.y, round(o.re * i.re + o.im * i.im, 3) as re, round(o.im * i.re - o.re * i.im, 3) as im
@@ -511,6 +519,28 @@ def f5d_a_term(spark, sf_dir):
     return out.select("plane", "stokes_out", "stokes_in", "x", "y", F.round("value.re", 3).alias("re"), F.round("value.im", 3).alias("im"))
 
 
+_PAIRS = [(0, 0), (0, 3), (3, 3)]
+_A = f"""
+{_APERTURE_ALL}, k as (select * from range(5) as r(kx), range(5) as s(ky)),
+jt as (select key, ((kx + 2) % 5)::int as x, ((ky + 2) % 5)::int as y, sum(re * cos(2 * pi() / 5 * (x * kx + y * ky)) + im * sin(2 * pi() / 5 * (x * kx + y * ky))) as re,
+  sum(im * cos(2 * pi() / 5 * (x * kx + y * ky)) - re * sin(2 * pi() / 5 * (x * kx + y * ky))) as im from ap, k group by key, kx, ky),
+ill as (select key // 4 as plane, key % 4 as stokes, x, y, re * 1e-4 as re, im * 1e-4 as im from jt),
+aterm as (select o.plane, o.stokes as stokes_out, i.stokes as stokes_in, o.x, o.y, o.re * i.re + o.im * i.im as re, o.im * i.re - o.re * i.im as im
+  from ill o join ill i on o.plane = i.plane and o.x = i.x and o.y = i.y and (o.stokes, i.stokes) in ((0, 0), (0, 3), (3, 3)))"""
+
+
+def _a(spark, sf_dir):
+    """A-term of all 66 coefficients: products of transformed apertures (scaled by 1e-4, so that rounding can be compared)."""
+    beam = cf.beam(_aperture(spark, sf_dir, 66), ["key"], 5)
+    ill = beam.select(F.floor(F.col("key") / 4).alias("plane"), (F.col("key") % 4).alias("stokes"), "x", "y", cplx(F.col("re") * 1e-4, F.col("im") * 1e-4).alias("value"))
+    return cf.a_term(ill, ["plane"], spark.createDataFrame(_PAIRS, "stokes_out long, stokes_in long"))
+
+
+@query(f"with {_A} select plane, stokes_out, stokes_in, x, y, round(re, 5) + 0.0 as re, round(im, 5) + 0.0 as im from aterm")
+def f5d_a_term_beams(spark, sf_dir):
+    return _a(spark, sf_dir).select("plane", "stokes_out", "stokes_in", "x", "y", (F.round("value.re", 5) + 0.0).alias("re"), (F.round("value.im", 5) + 0.0).alias("im"))
+
+
 _DFT = """
 , j as (select key, (x + 2) % 5 as jx, (y + 2) % 5 as jy, re, im from z), k as (select * from range(5) as r(kx), range(5) as s(ky))
 , o as (select key, (kx + 2) % 5 as x, (ky + 2) % 5 as y, sum(re * cos(2 * pi() / 5 * (jx * kx + jy * ky)) - im * sin(2 * pi() / 5 * (jx * kx + jy * ky))) as re,
@@ -545,6 +575,20 @@ def f7_pipeline(spark, sf_dir):
     return _rounded(cf.cf_fft(cf.cf_product(_ps(spark, sf_dir), 5, _w(spark, sf_dir), 5, ["key"]), ["key"], 5))
 
 
+@query(f"""
+with {_PS}, {_W}, {_A}, z as (select [plane, stokes_out, stokes_in] as key, x, y, (t.re * wt.re - t.im * wt.im) * ps.v as re, (t.re * wt.im + t.im * wt.re) * ps.v as im
+  from aterm t join ps using (x, y) join wt using (x, y) where ps.key = plane and wt.key = plane)
+{_DFT.replace(', k as (select * from range(5) as r(kx), range(5) as s(ky))', '')
+.replace('select key, x::int as x', 'select key[1] as plane, key[2] as stokes_out, key[3] as stokes_in, x::int as x')}""")
+def f7_pipeline_a(spark, sf_dir):
+    axes = ["plane", "stokes_out", "stokes_in"]
+    a = _a(spark, sf_dir).withColumn("weight", F.lit(1.0))
+    of = lambda df: df.withColumnRenamed("key", "plane")
+    product = cf.cf_product(cf.cf_product(a, 5, of(_w(spark, sf_dir)), 5, ["plane"]), 5, of(_ps(spark, sf_dir)), 5, ["plane"])
+    out = cf.cf_fft(product, axes, 5)
+    return out.select(*axes, "x", "y", (F.round("re", 4) + 0.0).alias("re"), (F.round("im", 4) + 0.0).alias("im"))
+
+
 @query(f"with {_W} select key, count(*) as cells, round(sum(re), 5) as re from wt group by key")
 def s5_planes(spark, sf_dir):
     flat = _w(spark, sf_dir).select("key", "x", "y", F.col("value.re").alias("re"), F.col("value.im").alias("im"))

@@ -203,8 +203,13 @@ def aperture(pixels: DataFrame, poly: DataFrame, keys: list[str]) -> DataFrame:
     return sums.select(*by, cplx(F.col("re"), F.col("im")).alias("value"))
 
 
+def beam(apertures: DataFrame, axes: list[str], n: int) -> DataFrame:
+    """``axes, x, y, re, im``: the transform of ``aperture`` that ``a_term`` multiplies, sign -1, rotated after only."""
+    return cf_fft(apertures, axes, n, sign=-1, rotate_in=False, rotate_out=True)
+
+
 def a_term(illumination: DataFrame, keys: list[str], pairs: DataFrame) -> DataFrame:
-    """J[out] conj(J[in]) for the Stokes pairs ``stokes_out, stokes_in``, from ``keys, stokes, x, y, value``."""
+    """J[out] conj(J[in]) for the Stokes pairs ``stokes_out, stokes_in``, from ``keys, stokes, x, y, value``; J is the ``beam``."""
     out = illumination.select(*keys, "x", "y", F.col("stokes").alias("stokes_out"), F.col("value").alias("__o"))
     into = illumination.select(*keys, "x", "y", F.col("stokes").alias("stokes_in"), F.col("value").alias("__i"))
     met = out.join(F.broadcast(pairs), "stokes_out").join(into, [*keys, "stokes_in", "x", "y"])
