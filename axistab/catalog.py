@@ -228,6 +228,13 @@ def o1_sorted_values(spark, sf_dir):
     return index.row_lists(index.create_index(_orders(spark, sf_dir).df.select("o_custkey", "row"), "o_custkey"))
 
 
+@query("""
+with r as (select o_custkey as value, row_number() over (order by o_orderkey) - 1 as row from orders), c as (select *, dense_rank() over (order by value) - 1 as coord from r)
+select coord, value, row // 1000 as chunk, list(row order by row) as rows from c group by all""")
+def o1_row_chunks(spark, sf_dir):
+    return index.row_chunks(index.create_index(_orders(spark, sf_dir).df.select("o_custkey", "row"), "o_custkey"), 1000)
+
+
 @query("select distinct o_custkey as k from orders union select c_custkey from customer")
 def u1_union(spark, sf_dir):
     return index.union_domains(_t(spark, sf_dir, "orders", ["o_custkey"]).toDF("k"), _t(spark, sf_dir, "customer", ["c_custkey"]).toDF("k"))
@@ -298,9 +305,9 @@ def a1_average_complex(spark, sf_dir):
 @query("select event_type as value, count(*) as n, min(event_id) as lo, max(event_id) as hi from events group by 1")
 def a2_merge(spark, sf_dir):
     events = _t(spark, sf_dir, "events", ["event_id", "event_type", "user_id"])
-    part = lambda cond: events.filter(cond).groupBy(F.col("event_type").alias("value")).agg(F.collect_set("event_id").alias("rows"))
-    merged = agg.merge_row_lists(part("user_id % 3 <> 0"), part("user_id % 2 = 0 or user_id % 3 = 0"), part("user_id % 3 = 1"))
-    return merged.select("value", F.size("rows").cast("bigint").alias("n"), F.element_at("rows", 1).alias("lo"), F.element_at("rows", -1).alias("hi"))
+    part = lambda cond: events.filter(cond).select(F.col("event_type").alias("value"), F.col("event_id").alias("row"))
+    merged = agg.merge_indexes(part("user_id % 3 <> 0"), part("user_id % 2 = 0 or user_id % 3 = 0"), part("user_id % 3 = 1"))
+    return merged.groupBy("value").agg(F.count("row").alias("n"), F.min("row").alias("lo"), F.max("row").alias("hi"))
 
 
 @query("select l_orderkey, bool_or(l_returnflag = 'R') as returned from lineitem group by 1")

@@ -1,4 +1,4 @@
-"""Aggregations: means along an axis, merged row lists, reductions."""
+"""Aggregations: means along an axis, merged indexes, reductions."""
 
 from __future__ import annotations
 
@@ -20,12 +20,12 @@ def average_by(df: DataFrame, keys: list[str], col: str) -> DataFrame:
     return each.groupBy(*keys).agg(F.count("__v").alias("n"), (F.sum(F.col("__v").cast("double")) / F.count("__v")).alias("mean"))
 
 
-def merge_row_lists(*partials: DataFrame) -> DataFrame:
-    """``value, rows`` of several partial indexes: union of the lists, sorted, each row once."""
-    out = partials[0]
+def merge_indexes(*partials: DataFrame) -> DataFrame:
+    """``value, row`` of several partial indexes, each pair once; stays long, so that a value may have any number of rows."""
+    out = partials[0].select("value", "row")
     for other in partials[1:]:
-        out = out.unionByName(other)
-    return out.groupBy("value").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("rows")))).alias("rows"))
+        out = out.unionByName(other.select("value", "row"))
+    return out.distinct()
 
 
 def any_true(df: DataFrame, keys: list[str], col: str, name: str) -> DataFrame:

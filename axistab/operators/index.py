@@ -29,10 +29,16 @@ def create_index(df: DataFrame, col: str, row: str = ROW) -> DataFrame:
 
 
 def row_lists(index: DataFrame) -> DataFrame:
-    """``coord, value, rows``: the ascending list of the rows of each value, for values known to have few."""
+    """``coord, value, rows``: the ascending list of the rows of each value, for values known to have few; ``row_chunks`` otherwise."""
     return index.groupBy("coord", "value").agg(F.array_sort(F.collect_list("row")).alias("rows"))
 
 
+def row_chunks(index: DataFrame, size: int = 65_536) -> DataFrame:
+    """``coord, value, chunk, rows``: the ascending rows of each value from chunk x size on, at most ``size`` in a list."""
+    chunk = F.floor(F.col("row") / F.lit(size)).cast("long").alias("chunk")
+    return index.groupBy("coord", "value", chunk).agg(F.array_sort(F.collect_list("row")).alias("rows"))
+
+
 def _single(df: DataFrame, coords: list[str]) -> DataFrame:
     """Rows alone in their cell. Counted with a partial aggregate, so a full cell costs one row a task."""
     rest = [c for c in df.columns if c not in coords]
