@@ -29,9 +29,28 @@ def join_sized(left: DataFrame, right: DataFrame, on: list[str], how: str, limit
     return left.join(F.broadcast(right) if small else right.hint("merge"), on, how)
 
 
-def bucket(n: int, *cols: Column) -> Column:
-    """A stable bucket from 0 to n-1."""
-    return F.pmod(F.xxhash64(*cols), F.lit(n).cast("long")).cast("int")
+def row_key(col: Column) -> Column:
+    """An id as a string that is never null, so that null ids join like others."""
+    return F.when(col.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), col.cast("string")))
+
+
+def text_hash(col: Column) -> Column:
+    return F.xxhash64(col.cast("string"))
+
+
+def remove_rows(df: DataFrame, id_col: str, text_col: str, dropped: DataFrame, repeated: DataFrame) -> DataFrame:
+    """The rows of ``df`` but those whose ``_key`` and ``_hash`` (id and text) are in ``dropped``; of ``repeated`` ones one stays.
+
+    Both are staged tables of narrow rows. While they are small they are broadcast and texts stay where they are; beyond
+    that the texts are shuffled once. Column names of ``df`` must not be ``_key`` or ``_hash``.
+    """
+    on = ["_key", "_hash"]
+    keyed = df.withColumns({"_key": row_key(F.col(id_col)), "_hash": text_hash(F.col(text_col))})
+    left = join_sized(keyed, dropped, on, "left_anti")
+    if repeated.take(1):
+        once = join_sized(left, repeated, on, "left_semi").dropDuplicates(on)
+        left = join_sized(left, repeated, on, "left_anti").unionByName(once)
+    return left.drop(*on)
 
 
 def texts_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:

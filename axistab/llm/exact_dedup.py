@@ -2,7 +2,8 @@
 
 Misra-Gries summaries, one a partition and merged by sums, name the digests that may be frequent. An exact pass over
 those alone finds their winners, which are broadcast, so rows of frequent digests are settled where they are read.
-All other digests go through an ordinary shuffle, in which no digest has more than about 2 n / counters rows.
+All other digests go through an ordinary shuffle. A digest that each task counts only once is left to it too, so what is
+shuffled has at most one row a task, or 2 n / counters rows, of any digest.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from axistab.llm.common import WHITE, row_runs, stage, texts_of
+from axistab.llm.common import WHITE, remove_rows, row_key, row_runs, stage, text_hash, texts_of
 
 COUNTERS = 4096
 
@@ -45,7 +46,7 @@ def misra_gries(values: Iterator[list[str]], counters: int) -> dict[str, int]:
 
 
 def frequent_digests(digests: DataFrame, counters: int = COUNTERS) -> DataFrame:
-    """``_sha`` of at most ``counters`` digests, among them every one that makes up 2 / counters of the rows."""
+    """``_sha`` of at most ``counters`` digests, among them every one with 2 / counters of the rows and two in some task's count."""
 
     def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = misra_gries((b.column("_sha").to_pylist() for b in batches), counters)
@@ -103,25 +104,36 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
 
 
 def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
-    """The rows of ``df``, all columns, that ``exact_dedup`` keeps.
+    """The rows of ``df``, all columns, that ``exact_dedup`` keeps; of rows that repeat id and text one stays.
 
-    Copies of frequent digests are removed where they are read, against the broadcast winners. The other rows meet the
-    kept (digest, id) pairs in a shuffled join. One row stays of those that repeat id and text.
+    Copies of frequent digests are removed where they are read, against the broadcast winners. For all others the decision
+    is made on narrow rows; texts are shuffled only if the rows to remove are too many to broadcast.
     """
     names = df.columns
-    digests = stage(_digest_table(df, id_col, text_col), "digests")
-    heavy = _heavy_winners(digests, counters, digests.count())
-    by = digests.join(F.broadcast(heavy), "_sha", "left_anti").groupBy("_sha").agg(_first().alias("b"))
-    kept = by.select(F.col("_sha").alias("_ks"), F.col("b.i").alias("_ki")).unionByName(heavy.select(F.col("_sha").alias("_ks"), F.col("_keep").alias("_ki")))
+    text = F.col(text_col).cast("string")
+    id_type = df.schema[id_col].dataType
+    schema = T.StructType([T.StructField("_id", id_type), T.StructField("_hash", T.LongType()), T.StructField("_sha", T.StringType()), T.StructField("_len", T.LongType())])
+    digests = stage(df.select(F.col(id_col).alias("_id"), text_hash(text).alias("_hash"), text.alias("_text")).mapInArrow(_digests, schema), "digests")
+    first = F.min(F.struct((-F.col("_len")).alias("l"), F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_hash").alias("h"))).alias("b")
+    best = lambda rows: rows.groupBy("_sha").agg(first, F.count(F.lit(1)).alias("n")).select("_sha", row_key(F.col("b.i")).alias("bk"), F.col("b.h").alias("bh"), "n")
+    frequent = F.broadcast(frequent_digests(digests, counters))
+    heavy = stage(best(digests.join(frequent, "_sha", "left_semi")).filter(F.col("n") * counters >= digests.count()), "heavy")
+
+    keyed = digests.withColumn("_key", row_key(F.col("_id")))
+    wins = (F.col("_key") == F.col("bk")) & (F.col("_hash") == F.col("bh"))
+    rare = keyed.join(F.broadcast(heavy), "_sha", "left_anti")
+    groups = stage(best(rare).filter("n > 1"), "groups")
+    met = rare.join(groups.hint("merge"), "_sha").select("_key", "_hash", wins.alias("wins"))
+    met = met.unionByName(keyed.join(F.broadcast(heavy), "_sha").filter(wins).select("_key", "_hash", F.lit(True).alias("wins")))
+    judged = stage(met.groupBy("_key", "_hash", "wins").agg(F.count(F.lit(1)).alias("n")), "judged")
 
     plain = df.toDF(*(f"c{i}" for i in range(len(names)))).withColumn("_text", F.col(f"c{names.index(text_col)}").cast("string"))
     fields = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(df.schema)]
-    schema = T.StructType([*fields, T.StructField("_sha", T.StringType()), T.StructField("_len", T.LongType())])
-    rows, row_id = plain.mapInArrow(_digests, schema).drop("_len"), F.col(f"c{names.index(id_col)}")
-    rows = rows.join(F.broadcast(heavy), "_sha", "left").filter(F.col("_n").isNull() | row_id.eqNullSafe(F.col("_keep"))).drop("_keep", "_n")
-    met = rows.join(kept, (F.col("_sha") == F.col("_ks")) & row_id.eqNullSafe(F.col("_ki")), "left_semi")
-    one = met.withColumn("_r", F.row_number().over(Window.partitionBy("_sha", row_id).orderBy(F.lit(1)))).filter("_r = 1")
-    return one.select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(names)))
+    at, of = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
+    rows = plain.mapInArrow(_digests, T.StructType([*fields, T.StructField("_sha", T.StringType()), T.StructField("_len", T.LongType())]))
+    rows = rows.join(F.broadcast(heavy.drop("n")), "_sha", "left").filter(F.col("bk").isNull() | ((row_key(F.col(at)) == F.col("bk")) & (text_hash(F.col(of)) == F.col("bh"))))
+    rows = rows.select(*(f"c{i}" for i in range(len(names))))
+    return remove_rows(rows, at, of, judged.filter("not wins").select("_key", "_hash"), judged.filter("wins and n > 1").select("_key", "_hash")).toDF(*names)
 
 
 ORACLE_SQL = r"""

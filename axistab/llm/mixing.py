@@ -10,13 +10,14 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from axistab.llm.common import row_runs, stage, texts_of
+from axistab.llm.common import join_sized, row_key, row_runs, stage, text_hash, texts_of
 from axistab.operators.rows import with_row_axis
 
 WEIGHTS, TOTAL, REPEATS, SEED = (5.0, 2.0, 1.0), 1.5, 2, 17
@@ -44,19 +45,25 @@ def _fit(counts: dict[int, int], taken: dict[int, int], left: int, window: int)
         if k <= left and taken[k] < counts[k]:
             taken[k] += 1
             left -= k
-    reach, steps, full = 1, [], (1 << (left + 1)) - 1
+    # The step that first reaches each sum is all that is kept, so memory is that of the sums.
+    reach, first, steps = np.zeros(left + 1, bool), np.zeros(left + 1, np.int32), []
+    reach[0] = True
     for k in sorted(counts, key=lambda k: (k * 2654435761 & 0xFFFFFFFF, k)):
         spare, piece = min(counts[k] - taken[k], left // k), 1
-        while spare > 0 and not reach >> left & 1:
+        while spare > 0 and not reach[left]:
             piece = min(piece, spare)
-            steps.append((k, piece, reach))
-            reach |= reach << (k * piece) & full
+            new = np.zeros(left + 1, bool)
+            new[k * piece :] = reach[: left + 1 - k * piece]
+            new &= ~reach
+            first[new] = len(steps)
+            reach |= new
+            steps.append((k, piece))
             spare, piece = spare - piece, piece * 2
-    at = reach.bit_length() - 1
-    for k, piece, before in reversed(steps):
-        if not before >> at & 1:
-            taken[k] += piece
-            at -= k * piece
+    at = int(np.flatnonzero(reach)[-1])
+    while at:
+        k, piece = steps[first[at]]
+        taken[k] += piece
+        at -= k * piece
     return taken
 
 
@@ -92,16 +99,16 @@ def fit_budget(counts: dict[int, int], budget: int, window: int = KNAPSACK) -> d
 
 
 def word_counts(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """``_id, _source, _size`` of each row."""
+    """``_id, _source, _hash, _size`` of each row; ``_hash`` is a 64-bit hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in row_runs(batch, "_text"):
                 sizes = [len(t.split()) for t in texts_of(part.column("_text"))]
-                yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_source"), pa.array(sizes, pa.int64())], names=["_id", "_source", "_size"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("_id", "_source", "_hash")), pa.array(sizes, pa.int64())], names=["_id", "_source", "_hash", "_size"])
 
-    schema = T.StructType([T.StructField("_id", df.schema[id_col].dataType), T.StructField("_source", T.StringType()), T.StructField("_size", T.LongType())])
-    cols = [F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), F.col(text_col).cast("string").alias("_text")]
+    schema = T.StructType([T.StructField("_id", df.schema[id_col].dataType), T.StructField("_source", T.StringType()), T.StructField("_hash", T.LongType()), T.StructField("_size", T.LongType())])
+    cols = [F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), text_hash(F.col(text_col)).alias("_hash"), F.col(text_col).cast("string").alias("_text")]
     return df.select(*cols).mapInArrow(run, schema)
 
 
@@ -127,14 +134,9 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, total: float = TOTAL, repe
     return ranked.select("_source", "source_size", F.least(F.col("weight") * F.lit(rate), F.col("cap")).alias("target"))
 
 
-def _name() -> Column:
-    """The source as a key that is never null."""
-    return F.when(F.col("_source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col("_source")))
-
-
 def _mix(df: DataFrame, id_col: str, text_col: str, source_col: str, weights, total: float, repeats: int, seed: int) -> DataFrame:
-    sizes = stage(word_counts(df, id_col, text_col, source_col), "sizes").withColumn("_name", _name())
-    targets = source_targets(sizes, weights, total, repeats).withColumn("_name", _name()).drop("_source")
+    sizes = stage(word_counts(df, id_col, text_col, source_col), "sizes").withColumn("_name", row_key(F.col("_source")))
+    targets = source_targets(sizes, weights, total, repeats).withColumn("_name", row_key(F.col("_source"))).drop("_source")
     cells = sizes.groupBy("_name", "_size").agg(F.count(F.lit(1)).alias("n"))
 
     def fit(key, hist: pd.DataFrame, goal: pd.DataFrame) -> pd.DataFrame:
@@ -147,12 +149,12 @@ def _mix(df: DataFrame, id_col: str, text_col: str, source_col: str, weights, to
         return hist.assign(passes=passes, more=[more.get(k, 0) for k in hist["_size"].tolist()], source_size=size, target=target)
 
     plan = cells.groupBy("_name").cogroup(targets.groupBy("_name")).applyInPandas(fit, "_name string, _size long, n long, passes int, more long, source_size long, target double")
-    plan = stage(plan, "plan").withColumn("buckets", F.ceil(F.sqrt("n")).cast("long"))
+    plan = stage(plan.withColumn("buckets", F.ceil(F.sqrt("n")).cast("long")), "plan")
 
     # A length that many documents share is cut into about sqrt(n) buckets by hash: whole buckets are taken in order, and
     # only the one in which the count runs out has its documents numbered.
     order = F.xxhash64("_id", F.lit(seed))
-    rows = stage(sizes.join(plan.hint("merge"), ["_name", "_size"]).withColumn("_h", order).withColumn("_b", F.pmod(F.col("_h"), F.col("buckets"))), "dealt")
+    rows = stage(join_sized(sizes, plan, ["_name", "_size"], "inner").withColumn("_h", order).withColumn("_b", F.pmod(F.col("_h"), F.col("buckets"))), "dealt")
     counted = rows.groupBy("_name", "_size", "_b").agg(F.count(F.lit(1)).alias("c"))
     through = F.sum("c").over(Window.partitionBy("_name", "_size").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
     before = stage(counted.withColumn("_before", through - F.col("c")).drop("c"), "before")
@@ -175,14 +177,20 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
 
 def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The rows of ``df``, all columns, each as often as the mix takes it (rows sharing an id: as often as the first).
+    """The rows of ``df``, all columns, each as often as the mix takes it.
 
-    Documents without words add no words and come out once.
+    Rows that repeat id, text and source are one document that comes out as often as the mix takes them together, in the
+    columns of any of them. Documents without words add no words and come out once for each row.
     """
     settings = {"weights": WEIGHTS, "total": TOTAL, "repeats": REPEATS, "seed": SEED} | options
     copies = F.when(F.col("_size") == 0, F.lit(1)).otherwise(F.col("_copies"))
-    plan = _mix(df, id_col, text_col, source_col, **settings).withColumn("_copies", copies).groupBy("_id").agg(F.max("_copies").cast("int").alias("_copies")).filter("_copies > 0")
+    on = ["_key", "_name", "_hash"]
+    plan = _mix(df, id_col, text_col, source_col, **settings).withColumns({"_key": row_key(F.col("_id")), "_copies": copies})
+    plan = stage(plan.groupBy(*on).agg(F.sum("_copies").cast("int").alias("_copies"), F.count(F.lit(1)).alias("_rows")).filter("_copies > 0"), "copies")
     names = df.columns
-    plain = df.toDF(*(f"c{i}" for i in range(len(names))))
-    met = plain.join(stage(plan, "copies").hint("merge"), F.col(f"c{names.index(id_col)}").eqNullSafe(F.col("_id")))
+    at = {c: F.col(f"c{names.index(c)}") for c in (id_col, text_col, source_col)}
+    plain = df.toDF(*(f"c{i}" for i in range(len(names)))).withColumns({"_key": row_key(at[id_col]), "_name": row_key(at[source_col]), "_hash": text_hash(at[text_col])})
+    if plan.filter("_rows > 1").take(1):
+        plain = plain.dropDuplicates(on)
+    met = plain.join(plan.hint("merge"), on)
     return met.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(names)))

@@ -1,8 +1,8 @@
 """Quality rules under weak supervision.
 
 Each rule votes for (1) or against (-1) a document or abstains (0). Expectation-maximisation over the counts of vote
-patterns estimates how each rule votes on good and on bad documents and the share of good ones; a document stays when
-its posterior probability of being good is at least ``threshold``. The patterns number 3^rules at most, whatever the input.
+patterns estimates how often each rule's votes are right and the share of good documents; a document stays when its
+posterior probability of being good is at least ``threshold``. The patterns number 3^rules at most, whatever the input.
 """
 
 from __future__ import annotations
@@ -19,30 +19,38 @@ from pyspark.sql import types as T
 from axistab.llm.common import row_runs, stage, texts_of
 from axistab.llm.textstats import NAMES, statistics
 
-#: (name, numerator, denominator, votes against when below, .. or above, votes for when within). Ratios of the counts in textstats.
+def _share(top: str, base: str):
+    return lambda c: c[top] / np.maximum(c[base], 1)
+
+
+def _letters(c: dict[str, np.ndarray]) -> np.ndarray:
+    """Letters among what is neither space nor digit, so that this rule and that of digits judge different things."""
+    return (c["n_upper"] + c["n_lower"] + c["n_wide"]) / np.maximum(c["n_chars"] - c["n_space"] - c["n_digits"], 1)
+
+
+#: (name, value from the counts of textstats, votes against when below, .. or above, votes for when within).
 RULES = (
-    ("words", "n_words", None, 10, math.inf, (20, math.inf)),
-    ("word_length", "word_chars", "n_words", 2.2, 14, (2.8, 11)),
-    ("symbols", "n_symbols", "n_words", -1, 0.12, (0, 0.02)),
-    ("same_lines", "n_dup_lines", "n_lines", -1, 0.5, (0, 0.1)),
-    ("repeats", "n_repeat_words", "n_words", -1, 0.2, (0, 0.05)),
-    ("upper", "n_upper", "n_chars", -1, 0.3, (0, 0.1)),
-    ("end_marks", "n_end_marks", "n_words", -1, 0.2, (0, 0.05)),
-    ("top_word", "n_top_word", "n_words", -1, 0.3, (0, 0.18)),
-    ("digits", "n_digits", "n_chars", -1, 0.25, (0, 0.06)),
-    ("stutter", "n_same_next", "n_words", -1, 0.3, (0, 0.05)),
-    ("letters", ("n_upper", "n_lower", "n_wide"), "n_chars", 0.65, math.inf, (0.75, math.inf)),
+    ("words", lambda c: c["n_words"], 10, math.inf, (20, math.inf)),
+    ("word_length", _share("word_chars", "n_words"), 2.2, 14, (2.8, 11)),
+    ("symbols", _share("n_symbols", "n_words"), -1, 0.12, (0, 0.02)),
+    ("same_lines", _share("n_dup_lines", "n_lines"), -1, 0.5, (0, 0.1)),
+    ("repeats", _share("n_repeat_words", "n_words"), -1, 0.2, (0, 0.05)),
+    ("upper", _share("n_upper", "n_chars"), -1, 0.3, (0, 0.1)),
+    ("end_marks", _share("n_end_marks", "n_words"), -1, 0.2, (0, 0.05)),
+    ("top_word", _share("n_top_word", "n_words"), -1, 0.3, (0, 0.18)),
+    ("digits", _share("n_digits", "n_chars"), -1, 0.25, (0, 0.06)),
+    ("stutter", _share("n_same_next", "n_words"), -1, 0.3, (0, 0.05)),
+    ("letters", _letters, 0.75, math.inf, (0.88, math.inf)),
 )
 THRESHOLD = 0.5
 
 
 def votes(counts: np.ndarray) -> np.ndarray:
     """Votes of every rule (columns) on every document (rows of ``counts``, columns ``NAMES``)."""
+    c = {n: counts[:, i].astype(float) for i, n in enumerate(NAMES)}
     out = np.zeros((len(counts), len(RULES)), np.int8)
-    for i, (_, top, base, least, most, (lo, hi)) in enumerate(RULES):
-        value = sum(counts[:, NAMES.index(t)].astype(float) for t in ([top] if isinstance(top, str) else top))
-        if base:
-            value = value / np.maximum(counts[:, NAMES.index(base)], 1)
+    for i, (_, value_of, least, most, (lo, hi)) in enumerate(RULES):
+        value = value_of(c)
         out[:, i] = np.where((value < least) | (value > most), -1, np.where((value >= lo) & (value <= hi), 1, 0))
     return out
 
@@ -69,39 +77,40 @@ def _table(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).mapInArrow(_count, T.StructType(fields))
 
 
-#: Where the estimates start: shares of votes against, abstentions and votes for, on good (row 0) and on bad documents.
-START = np.array([[0.01, 0.24, 0.75], [0.3, 0.05, 0.65]])
+#: Where the estimates start: the share of votes against among a rule's votes, on good and on bad documents.
+START = (0.013, 0.32)
+#: Share of good documents to start from, and how many documents stand behind each value that estimates start from.
+GOOD, STRENGTH = 0.8, 20.0
 
 
-def _weights(share: np.ndarray) -> np.ndarray:
-    """What a vote adds to the log-odds of good; an abstention says nothing."""
-    out = np.log(share[0]) - np.log(share[1])
-    out[1] = 0.0
-    return out
+def _weights(against: np.ndarray) -> np.ndarray:
+    """What a rule's vote (rows: against, abstaining, for) adds to the log-odds of good; an abstention says nothing.
 
+    A rule never counts against its own vote: what it adds has the vote's sign or is 0.
+    """
+    return np.stack([np.minimum(np.log(against[0] / against[1]), 0), np.zeros(against.shape[1]), np.maximum(np.log((1 - against[0]) / (1 - against[1])), 0)])
 
-def fit_votes(patterns: list[tuple[int, int]], rounds: int = 100, good: float = 0.8, strength: float = 20.0) -> tuple[float, np.ndarray]:
-    """The log-odds of good before any vote, and what each rule (column) adds to them: against, abstaining (0), for (rows).
 
-    ``patterns`` has the number of documents of each vote pattern. ``strength`` documents as in ``START`` stand behind each
-    estimate. A rule never counts against its own vote: votes against stay at least ten times as likely on bad documents,
-    votes for no less likely on good ones.
+def fit_votes(patterns: list[tuple[int, int]], rounds: int = 300, good: float = GOOD, strength: float = STRENGTH) -> tuple[float, np.ndarray, np.ndarray]:
+    """The log-odds of good before any vote, what each rule (column) adds to them: against, abstaining (0), for (rows), and
+    the share of votes against among each rule's votes on good and on bad documents (rows).
+
+    ``patterns`` has the number of documents of each vote pattern. The estimates are those of maximum posterior under
+    independent votes, with ``strength`` documents as in ``START`` behind each.
     """
-    m = len(RULES)
+    m, prior = len(RULES), good
     number = np.array([n for _, n in patterns], float)
-    vote = np.array([p for p, _ in patterns], np.int64)[:, None] // 3 ** np.arange(m) % 3
-    each = [vote == v for v in range(3)]
-    share = np.repeat(START[:, :, None], m, axis=2)
+    vote = np.array([p for p, _ in patterns], np.int64).reshape(-1, 1) // 3 ** np.arange(m) % 3
+    each, against = [vote == v for v in range(3)], np.repeat(np.array(START)[:, None], m, axis=1)
     for _ in range(rounds):
-        weights = _weights(share)
-        p = 1 / (1 + np.exp(-np.clip(math.log(good / (1 - good)) + sum(e @ w for e, w in zip(each, weights, strict=True)), -500, 500)))
-        good = min(0.99, max(0.5, ((number * p).sum() + 0.8 * strength) / (number.sum() + strength)))
+        odds = math.log(good / (1 - good)) + sum(e @ w for e, w in zip(each, _weights(against), strict=True))
+        p = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+        before, good = good, ((number * p).sum() + prior * strength) / (number.sum() + strength)
         for k, w in enumerate((number * p, number * (1 - p))):
-            share[k] = (np.array([w @ e for e in each]) + strength * START[k][:, None]) / (w.sum() + strength)
-        share[0, 0] = np.clip(share[0, 0], 1e-4, share[1, 0] / 10)
-        share[1, 2] = np.minimum(share[1, 2], share[0, 2])
-        share[:, 1] = np.maximum(1 - share[:, 0] - share[:, 2], 1e-4)
-    return math.log(good / (1 - good)), _weights(share)
+            against[k] = (w @ each[0] + strength * START[k]) / (w @ (each[0] + each[2]) + strength)
+        if abs(good - before) < 1e-12:
+            break
+    return math.log(good / (1 - good)), _weights(against), against
 
 
 def odds_of(vote: np.ndarray, start: float, weights: np.ndarray) -> np.ndarray:
@@ -115,10 +124,17 @@ def _odds(pattern: Column, start: float, weights: np.ndarray) -> Column:
     return out
 
 
-def _fitted(counted: DataFrame) -> tuple[float, np.ndarray]:
+def _fitted(counted: DataFrame) -> tuple[float, np.ndarray, np.ndarray]:
     return fit_votes([(r["_pattern"], r["n"]) for r in counted.groupBy("_pattern").agg(F.count(F.lit(1)).alias("n")).orderBy("_pattern").collect()])
 
 
+def rule_accuracies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``rule, against_good, against_bad``: estimated share of votes against among each rule's votes on good and bad documents."""
+    against = _fitted(_table(df, id_col, text_col))[2]
+    rows = [(r[0], float(a), float(b)) for r, a, b in zip(RULES, *against, strict=True)]
+    return df.sparkSession.createDataFrame(rows, "rule string, against_good double, against_bad double")
+
+
 def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, quality`` of each row.
 
@@ -127,24 +143,27 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty table gives no rows.
     """
     counted = stage(_table(df, id_col, text_col), "votes")
-    start, weights = _fitted(counted)
+    start, weights, _ = _fitted(counted)
     quality = 1 / (1 + F.exp(-_odds(F.col("_pattern"), start, weights)))
     out = counted.withColumn("quality", quality).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
     return out.select(F.col("_id").alias("doc_id"), *NAMES[:5], "base_failed", "kept", "quality")
 
 
 def drop_low_quality(df: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``df``, all columns, that ``quality_rules`` keeps; texts are read twice and never shuffled."""
-    names = df.columns
-    start, weights = _fitted(_table(df, names[0], text_col))
-    plain = df.toDF(*(f"c{i}" for i in range(len(names))))
-    at, m = f"c{names.index(text_col)}", math.log(threshold / (1 - threshold))
+    """The rows of ``df``, all columns, that ``quality_rules`` keeps; each text is judged once and none is shuffled."""
+    names, m = df.columns, math.log(threshold / (1 - threshold))
+    at = f"c{names.index(text_col)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in row_runs(batch, at):
-                counts = np.array([statistics(t) for t in texts_of(part.column(at))], np.int64).reshape(-1, len(NAMES))
-                vote = votes(counts)
-                yield part.filter(pa.array((odds_of(vote, start, weights) >= m) & ~base_failed(counts)))
+            for part in row_runs(batch, "_text"):
+                counts = np.array([statistics(t) for t in texts_of(part.column("_text"))], np.int64).reshape(-1, len(NAMES))
+                part = part.append_column("_pattern", pa.array(pattern_of(votes(counts)))).append_column("_failed", pa.array(base_failed(counts)))
+                yield part.drop_columns(["_text"])
 
-    return plain.mapInArrow(run, plain.schema).toDF(*names)
+    plain = df.toDF(*(f"c{i}" for i in range(len(names))))
+    fields = [*plain.schema, T.StructField("_pattern", T.LongType()), T.StructField("_failed", T.BooleanType())]
+    judged = stage(plain.withColumn("_text", F.col(at).cast("string")).mapInArrow(run, T.StructType(fields)), "judged")
+    start, weights, _ = _fitted(judged)
+    kept = judged.filter(~F.col("_failed") & (_odds(F.col("_pattern"), start, weights) >= m))
+    return kept.select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(names)))

@@ -26,36 +26,40 @@ SHINGLE, DISTANCE = 4, 4
 CHUNK = 2048
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """Majority bits of the XXH64 of all word shingles, as a signed integer; 0 without words."""
+def shingles(text: bytes, width: int) -> list[bytes]:
+    """Runs of ``width`` words with A-Z lowered, a space between; the whole sequence if there are fewer; none without words."""
     words = text.lower().split()
-    if not words:
-        return 0
+    if len(words) <= width:
+        return [b" ".join(words)] if words else []
     joined = b" ".join(words)
-    if len(words) <= shingle:
-        parts = [joined]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        starts = np.concatenate(([0], ends[:-shingle])).tolist()
-        parts = [joined[a:b] for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)]
-    digest = xxhash.xxh64_digest
-    hashes = np.frombuffer(b"".join([digest(p, 42) for p in parts]), np.uint8).reshape(-1, 8)
-    bits = np.unpackbits(hashes, axis=1).sum(axis=0, dtype=np.int64) * 2 > len(parts)
-    return int.from_bytes(np.packbits(bits).tobytes(), "big", signed=True)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate(([0], ends[:-width])).tolist()
+    return [joined[a:b] for a, b in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)]
+
+
+def majority(digests: list[bytes]) -> bytes:
+    """The bits that are set in over half of the digests."""
+    hashes = np.frombuffer(b"".join(digests), np.uint8).reshape(len(digests), -1)
+    return np.packbits(np.unpackbits(hashes, axis=1).sum(axis=0, dtype=np.int64) * 2 > len(digests)).tobytes()
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """Majority bits of the XXH64 of all word shingles, as a signed integer; 0 without words."""
+    digest, parts = xxhash.xxh64_digest, shingles(text, shingle)
+    return int.from_bytes(majority([digest(p, 42) for p in parts]), "big", signed=True) if parts else 0
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``_id, _fp, _hash`` of each row; ``_hash`` is a 64-bit hash of the text, which tells rows of one id apart."""
+    """``_id, _fp`` of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in row_runs(batch, "_text"):
                 found = [fingerprint(t, shingle) for t in texts_of(part.column("_text"))]
-                yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(found, pa.int64()), part.column("_hash")], names=["_id", "_fp", "_hash"])
+                yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(found, pa.int64())], names=["_id", "_fp"])
 
-    schema = T.StructType([T.StructField("_id", df.schema[id_col].dataType), T.StructField("_fp", T.LongType()), T.StructField("_hash", T.LongType())])
-    text = F.col(text_col).cast("string")
-    return df.select(F.col(id_col).alias("_id"), text.alias("_text"), F.xxhash64(text).alias("_hash")).mapInArrow(run, schema)
+    schema = T.StructType([T.StructField("_id", df.schema[id_col].dataType), T.StructField("_fp", T.LongType())])
+    return df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
 
 
 def block_masks(shared: int, distance: int = DISTANCE) -> list[int]:
@@ -171,8 +175,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _first() -> Column:
-    """Orders the rows of a group: smallest id (a null id last), then text hash."""
-    return F.min(F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_hash").alias("h")))
+    """Orders the rows of a group: smallest id, a null id last."""
+    return F.min(F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i")))
 
 
 def _groups(docs: DataFrame, distance: int) -> DataFrame:
@@ -196,19 +200,3 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     known = stage(of.select("_fp", "rep").join(least.hint("merge"), "rep").select("_fp", "component_id"), "component")
     out = docs.join(known.hint("merge"), "_fp")
     return out.select(F.col("_id").alias("doc_id"), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """The rows of ``df``, all columns, that come first in their component: the smallest id, a null id last.
-
-    A row is told by its id and text, so rows that share an id (or have none) but not their texts stay in every component
-    that they lead; of rows with equal id and text one stays.
-    """
-    names = df.columns
-    of = _groups(stage(fingerprints(df, id_col, text_col, shingle), "fingerprints"), distance)
-    keep = of.groupBy("rep").agg(F.min("first").alias("first")).select(F.col("first.i").alias("_keep"), F.col("first.h").alias("_of"))
-    plain = df.toDF(*(f"c{i}" for i in range(len(names))))
-    key = f"c{names.index(id_col)}"
-    plain = plain.withColumn("_hash", F.xxhash64(F.col(f"c{names.index(text_col)}").cast("string")))
-    met = plain.join(stage(keep, "keep").hint("merge"), F.col(key).eqNullSafe(F.col("_keep")) & (F.col("_hash") == F.col("_of")), "left_semi")
-    return met.dropDuplicates([key, "_hash"]).select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(names)))

@@ -164,7 +164,33 @@ def test_mix(messy, nothing):
     assert all(abs(taken[s] - want[s]) <= 25 for s in sizes if s not in ("src0", "src3"))
     assert sorted(map(repr, out)) == sorted(map(repr, mixing.mix_sources(messy.repartition(2)).collect()))
     assert mixing.mix_sources(nothing).count() == 0 and mixing.mixed_documents(nothing).count() == 0
-    assert mixing.mixed_documents(messy).columns == messy.columns
+    copies = mixing.mixed_documents(messy)
+    assert copies.columns == messy.columns
+    size = lambda t: len((t or "").encode().split())
+    assert sum(size(r["text"]) for r in copies.collect()) == sum(taken.values())
+
+
+def test_mixed_rows_of_one_id_do_not_overshoot(spark):
+    rng = random.Random(13)
+    rows = [(i % 3 if i % 4 else None, words(rng, ["ba", "ke", "li"], rng.randrange(1, 60)), f"s{i % 2}") for i in range(300)]
+    rows += rows[:40] + [(7, "twice here", "s0"), (7, "twice here", "s1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = {tuple(r) for r in mixing.mix_sources(df).groupBy("target").agg(F.sum("taken")).collect()}
+    out = mixing.mixed_documents(df).collect()
+    sizes = Counter()
+    for r in out:
+        sizes[r["source"]] += len(r["text"].split())
+    assert sorted(sizes.values()) == sorted(t for _, t in taken) and all(abs(a - b) < 60 for a, b in taken)
+
+
+def test_fit_budget_keeps_little_memory():
+    import tracemalloc
+
+    tracemalloc.start()
+    taken = mixing.fit_budget(dict.fromkeys(range(4, 8000, 2), 3), 65_535)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(k * n for k, n in taken.items()) == 65_534 and peak < 30 << 20
 
 
 # SimHash
@@ -201,22 +227,9 @@ def test_simhash(spark, messy, nothing):
             least[root(f)] = min(d, least.get(root(f), d))
     assert all(r["fingerprint"] == f"{found[r['doc_id']] & (2**64 - 1):016x}" for r in out)
     assert all(r["component_id"] == least.get(root(found[r["doc_id"]])) for r in out)
-    kept = simhash.drop_near_copies(messy)
-    assert kept.columns == messy.columns
-    assert sorted(r["doc_id"] for r in kept.filter("doc_id is not null").collect()) == sorted(set(least.values()))
     assert simhash.simhash_components(nothing).count() == 0
 
 
-def test_near_copies_of_shared_and_missing_ids(spark):
-    rng, rows = random.Random(9), []
-    for i in (5, 5, None, None):
-        rows.append((i, words(rng, ["ba", "ke", "li", "to", "nu", "shr", "und"], 60)))
-    rows += [rows[0], rows[2], (6, rows[1][1]), (4, rows[3][1])]
-    kept = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert {tuple(r) for r in kept.collect()} == {rows[0], rows[1], rows[2], rows[7]}
-    assert kept.count() == 4
-
-
 @pytest.mark.parametrize("chunk", [50, 2048])
 def test_near_links_connect_dense_and_spread_groups(spark, chunk):
     rng = random.Random(4)
@@ -296,6 +309,44 @@ def test_statistics_and_repeated_windows():
     assert textstats.statistics(b"")[:5] == [0] * 5
 
 
+def brute_posteriors(vote, rounds=400):
+    """Plain expectation-maximisation document by document, as ``fit_votes`` states it."""
+    number, m = vote.shape
+    prior, against = quality_rules.GOOD, [[quality_rules.START[k]] * m for k in (0, 1)]
+    good = prior
+    for _ in range(rounds):
+        p = []
+        for row in vote:
+            odds = math.log(good / (1 - good))
+            for i, v in enumerate(row):
+                a, b = against[0][i], against[1][i]
+                odds += min(0.0, math.log(a / b)) if v < 0 else max(0.0, math.log((1 - a) / (1 - b))) if v > 0 else 0.0
+            p.append(1 / (1 + math.exp(-odds)))
+        s = quality_rules.STRENGTH
+        good = (sum(p) + prior * s) / (number + s)
+        for k, w in enumerate((p, [1 - x for x in p])):
+            for i in range(m):
+                no, yes = (sum(x for x, v in zip(w, vote[:, i], strict=True) if v == u) for u in (-1, 1))
+                against[k][i] = (no + s * quality_rules.START[k]) / (no + yes + s)
+    return p, against
+
+
+def test_posteriors_equal_plain_estimation(spark):
+    rng = np.random.default_rng(3)
+    bad = rng.random(150) < 0.25
+    vote = np.where(rng.random((150, len(quality_rules.RULES))) < np.where(bad, 0.35, 0.02)[:, None], -1, 1)
+    vote[rng.random(vote.shape) < 0.2] = 0
+    counts = Counter(quality_rules.pattern_of(vote).tolist())
+    start, weights, against = quality_rules.fit_votes(sorted(counts.items()))
+    expected, shares = brute_posteriors(vote)
+    assert np.allclose(1 / (1 + np.exp(-quality_rules.odds_of(vote, start, weights))), expected, atol=1e-6)
+    assert np.allclose(against, shares, atol=1e-6)
+    assert ((np.array(expected) < 0.5) == bad).mean() > 0.95
+    assert (weights[0] <= 0).all() and (weights[2] >= 0).all()
+    one_against = (vote == -1).sum(axis=1) == 1
+    assert (np.array(expected)[one_against & ~bad] > 0.5).any(), "one vote against does not decide"
+
+
 def test_quality_rules_keep_clean_and_drop_junk(spark, messy, nothing):
     rng = random.Random(6)
     plain = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(n)).capitalize() + "."
@@ -306,6 +357,8 @@ def test_quality_rules_keep_clean_and_drop_junk(spark, messy, nothing):
     assert all(r["kept"] == (i < 1000) for i, r in out.items())
     judged = quality_rules.quality_rules(messy).collect()
     assert len(judged) == messy.count() and not any(r["kept"] for r in judged if r["doc_id"] in (103, 104, 105))
+    rules = quality_rules.rule_accuracies(messy).collect()
+    assert [r["rule"] for r in rules] == [r[0] for r in quality_rules.RULES] and all(0 <= r["against_good"] <= 1 and 0 <= r["against_bad"] <= 1 for r in rules)
     kept = quality_rules.drop_low_quality(messy)
     assert kept.columns == messy.columns and kept.count() == sum(r["kept"] for r in judged)
     assert quality_rules.quality_rules(nothing).count() == 0 and quality_rules.drop_low_quality(nothing).count() == 0
