@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from axistab.llm import exact_dedup, mixing, packing, quality_rules, simhash
+from axistab.llm import exact_dedup, mixing, packing, quality_rules, similar
 from axistab.llm.common import read_table, stage
 from axistab.llm.queries import tokenizer
 from axistab.sources.ship import ship
@@ -23,9 +23,9 @@ def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group with five-word similarity of 0.8 or more."""
     ship(spark)
-    return simhash.drop_near_copies(docs)
+    return similar.drop_near_copies(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
