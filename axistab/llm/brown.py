@@ -375,14 +375,9 @@ def _scores(step: np.ndarray, unknown: np.ndarray, classes: int, total: int, kin
     return run
 
 
-def brown_scores(df: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text", classes: int = CLASSES, sweeps: int = SWEEPS, frequent: int = FREQUENT) -> DataFrame:
-    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of each row; scores are log10 probabilities.
-
-    Learns from the rows where ``held`` is false. Tokens are runs outside ASCII white space with A-Z lowered, then one end.
-    ``base_score`` is that of single tokens with 0.5 added to each count. An unknown word keeps the class before it as the
-    context of what follows. A null text is empty: one token, the end. Repeated rows are texts of their own; other columns are
-    not read; with no row to learn from every score is 0; an empty table gives no rows. ``classes`` is at most 120.
-    """
+def _fitted(df: DataFrame, held: Column, id_col: str, text_col: str, classes: int, sweeps: int, frequent: int) -> tuple[DataFrame, DataFrame, np.ndarray, int]:
+    """Blocks, the answers to them (count and class of each word of each block), the statistics of classes, and the number of
+    groups to deal blocks to."""
     if not 1 <= classes <= 120:
         raise ValueError("classes must be from 1 to 120")
     spark, width = df.sparkSession, classes + 2
@@ -395,13 +390,41 @@ def brown_scores(df: DataFrame, held: Column, id_col: str = "doc_id", text_col:
     asked = blocks.select("block", "lens", "held", "words", "crcs", "stream").mapInArrow(_asked(parts, index, now, classes), "part int, block long, words binary, counts binary, word binary, code binary, n binary")
     tasks = max(parts, spark.sparkContext.defaultParallelism)
     answers = stage(asked.repartition(tasks, "part").groupBy("part").applyInArrow(_answered(index, now, matrix, classes), "part int, block long, counts binary, kinds binary, stats array<long>"), "answers")
-    sums = answers.filter("block = -1").select(F.posexplode("stats").alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n")).collect()
     stats = np.zeros(width + 3, np.int64)
-    for r in sums:
+    for r in answers.filter("block = -1").select(F.posexplode("stats").alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n")).collect():
         stats[r["i"]] = r["n"]
+    return blocks, answers, stats, max(whole["blocks"] // 2, spark.sparkContext.defaultParallelism)
+
+
+def _named(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Words of a block with their counts and classes."""
+    words = _unpack(left.column("words")[0].as_py()).split(b" ")
+    answers = sorted(zip(right.column("part").to_pylist(), right.column("counts").to_pylist(), right.column("kinds").to_pylist(), strict=True))
+    count, kind = (np.concatenate([_unpack(a[i], t) for a in answers]) for i, t in ((1, np.int64), (2, np.uint8)))
+    some = np.flatnonzero(count > 0)
+    return pa.table({"word": pa.array([words[i] for i in some], pa.binary()), "class": pa.array(kind[some].astype(np.int32)), "count": pa.array(count[some])})
+
+
+def word_classes(df: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text", classes: int = CLASSES, sweeps: int = SWEEPS, frequent: int = FREQUENT) -> DataFrame:
+    """``word, class, count`` of every word of the training rows (UTF-8 bytes; the end is empty, its class ``classes`` + 1)."""
+    blocks, answers, _, count = _fitted(df, held, id_col, text_col, classes, sweeps, frequent)
+    of = answers.filter("block >= 0").drop("stats").repartition(count, "block").groupBy("block")
+    named = blocks.select("block", "words").repartition(count, "block").groupBy("block").cogroup(of).applyInArrow(_named, "word binary, class int, count long")
+    return named.distinct()
+
+
+def brown_scores(df: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text", classes: int = CLASSES, sweeps: int = SWEEPS, frequent: int = FREQUENT) -> DataFrame:
+    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of each row; scores are log10 probabilities.
+
+    Learns from the rows where ``held`` is false. Tokens are runs outside ASCII white space with A-Z lowered, then one end.
+    ``base_score`` is that of single tokens with 0.5 added to each count. An unknown word keeps the class before it as the
+    context of what follows. A null text is empty: one token, the end. Repeated rows are texts of their own; other columns are
+    not read; with no row to learn from every score is 0; an empty table gives no rows. ``classes`` is at most 120.
+    """
+    width = classes + 2
+    blocks, answers, stats, count = _fitted(df, held, id_col, text_col, classes, sweeps, frequent)
     id_type = df.schema[id_col].dataType
     fields = [T.StructField("ids", T.ArrayType(id_type)), *(T.StructField(c, T.BinaryType()) for c in ("lens", "held", "kinds")), T.StructField("base", T.ArrayType(T.DoubleType())), T.StructField("emitted", T.ArrayType(T.DoubleType())), T.StructField("known", T.ArrayType(T.LongType()))]
-    count = max(whole["blocks"] // 2, spark.sparkContext.defaultParallelism)
     text_side = blocks.select("block", "ids", "lens", "held", "stream").repartition(count, "block").groupBy("block")
     answer_side = answers.filter("block >= 0").drop("stats").repartition(count, "block").groupBy("block")
     classed = stage(text_side.cogroup(answer_side).applyInArrow(_classed(stats, classes), T.StructType(fields)), "classed")

@@ -10,7 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from axistab.sources.scratch import scratch_path, shared_dir, stage  # noqa: F401
+from axistab.operators.joins import fits
+from axistab.sources.scratch import free, scratch_path, shared_dir, stage  # noqa: F401
 from axistab.sources.ship import ship
 
 #: ASCII white space, the separators of words in every operator here.
@@ -21,12 +22,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def join_sized(left: DataFrame, right: DataFrame, on: list[str], how: str, limit_rows: int = 200_000) -> DataFrame:
-    """Join that broadcasts ``right`` only if it was counted to have at most ``limit_rows`` rows.
+    """Join that broadcasts ``right`` only if it was measured to have at most ``limit_rows`` rows and 32 MB.
 
-    Beyond that both sides are shuffled. ``right`` is counted here, so it should be a staged table of narrow rows.
+    Beyond that both sides are shuffled. ``right`` is read here, so it should be a staged table of narrow rows.
     """
-    small = right.limit(limit_rows + 1).count() <= limit_rows
-    return left.join(F.broadcast(right) if small else right.hint("merge"), on, how)
+    return left.join(F.broadcast(right) if fits(right, limit_rows) else right.hint("merge"), on, how)
 
 
 def row_key(col: Column) -> Column:

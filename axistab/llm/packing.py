@@ -2,12 +2,15 @@
 
 Pieces shorter than a sequence are dealt out to shards of equal length make-up. Every shard is evolved on several islands,
 each a task of its own: crossover injects whole well-filled bins of one parent into the other, drops the bins that hold
-duplicates and best-fits the documents displaced. Between epochs each island's elite migrates to the next island of the
-shard through a shuffle. An island whose best packing meets the lower bound stops.
+duplicates and best-fits the documents displaced. The islands start from unlike packings (best fit and completed bins).
+Between epochs each island's elite migrates to the next island of the shard through a shuffle. An island whose best packing
+meets the lower bound stops. Bins that stay under-filled are opened again and their pieces, of all shards together, are dealt
+and evolved anew, level by level, until one shard holds them all.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -22,7 +25,9 @@ from pyspark.sql import types as T
 from axistab.llm.common import row_runs, stage, texts_of
 
 CAPACITY, END, SPECIAL = 1024, 2, "<|endoftext|>"
-SHARD, ISLANDS, EPOCHS, POPULATION, GENERATIONS, SEED = 4096, 2, 2, 4, 12, 7
+SHARD, ISLANDS, EPOCHS, POPULATION, GENERATIONS, SEED = 4096, 2, 2, 4, 24, 7
+#: Share of a shard's bins, the least filled ones, whose pieces go to the next level.
+REOPENED = 1 / 8
 #: Words whose ids a worker remembers.
 REMEMBERED = 400_000
 
@@ -138,6 +143,47 @@ def fresh(lengths: list[int], rng: np.random.Generator, noise: float, capacity:
     return bins
 
 
+def completed(lengths: list[int], capacity: int) -> np.ndarray:
+    """Bin after bin: the longest item, then the one or two items that fill what is left to the end, or the longest that fits."""
+    by: dict[int, list[int]] = {}
+    for i, n in enumerate(lengths):
+        by.setdefault(n, []).append(i)
+    have = np.zeros(capacity + 1, np.int32)
+    for n, items in by.items():
+        have[n] = len(items)
+    bins, bin_of, left = np.zeros(len(lengths), np.int32), -1, 0
+    top, lowest = max(by, default=0), min(by, default=capacity + 1)
+
+    def put(n: int) -> None:
+        bins[by[n].pop()] = bin_of
+        have[n] -= 1
+
+    for _ in range(len(lengths)):
+        while top and not have[top]:
+            top -= 1
+        if not top:
+            break
+        bin_of, left = bin_of + 1, capacity - top
+        put(top)
+        while left >= lowest:
+            if have[left]:
+                put(left)
+                break
+            half = left // 2
+            pair = np.flatnonzero((have[1 : half + 1] > 0) & (have[left - half : left][::-1] > 0)) + 1
+            pair = [a for a in pair[:2].tolist() if 2 * a < left or have[a] > 1]
+            if pair:
+                put(pair[0])
+                put(left - pair[0])
+                break
+            fit = np.flatnonzero(have[: left + 1])
+            if not len(fit):
+                break
+            put(int(fit[-1]))
+            left -= int(fit[-1])
+    return bins
+
+
 def fitness(bins: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[int, float]:
     """(number of bins, minus the mean squared fill): less is better."""
     fill = np.bincount(bins, weights=lengths)
@@ -184,14 +230,15 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     return max(-(-int(lengths.sum()) // capacity), int((lengths * 2 > capacity).sum()))
 
 
-def evolve(lengths: np.ndarray, population: list[np.ndarray], rng: np.random.Generator, size: int = POPULATION, generations: int = GENERATIONS, capacity: int = CAPACITY) -> list[np.ndarray]:
-    """The next epoch's population, best first."""
+def evolve(lengths: np.ndarray, population: list[np.ndarray], rng: np.random.Generator, size: int = POPULATION, generations: int = GENERATIONS, capacity: int = CAPACITY, island: int = 0) -> list[np.ndarray]:
+    """The next epoch's population, best first. Without one it starts from best fit; ``island`` 1 from completed bins as well."""
     plain, least = lengths.tolist(), lower_bound(lengths, capacity)
     rank = lambda x: fitness(x, lengths, capacity)
     if not population:
         population = [fresh(plain, rng, 0.0, capacity)]
         if rank(population[0])[0] > least:
-            population += [fresh(plain, rng, 0.03 * (i + 1), capacity) for i in range(size - 1)]
+            population += [completed(plain, capacity)] if island % 2 else []
+            population += [fresh(plain, rng, 0.03 * (i + 1), capacity) for i in range(size - len(population))]
     scored = sorted(((rank(x), i, x) for i, x in enumerate(population)), key=lambda s: s[:2])[:size]
     for turn in range(generations):
         if scored[0][0][0] <= least or len(scored) < 2:
@@ -210,7 +257,7 @@ def _epoch(turn: int, seed: int, capacity: int, size: int, generations: int):
                 lengths = np.frombuffer(row["lengths"], np.int32).astype(np.int64)
                 given = [np.frombuffer(p, np.int32) for p in [*row["population"], *([row["elite"]] if row["elite"] else [])]]
                 rng = np.random.default_rng([seed, turn, row["shard"], row["island"]])
-                best = evolve(lengths, given, rng, size, generations, capacity)
+                best = evolve(lengths, given, rng, size, generations, capacity, row["island"])
                 count, fill = fitness(best[0], lengths, capacity)
                 row |= {"population": [x.astype(np.int32).tobytes() for x in best], "elite": None, "bins": count, "fill": fill, "done": count <= lower_bound(lengths, capacity)}
                 yield pa.RecordBatch.from_pylist([row], schema=_STATE)
@@ -222,15 +269,15 @@ _STATE = pa.schema([("shard", pa.int64()), ("island", pa.int32()), ("uids", pa.b
 _STATE_SQL = "shard long, island int, uids binary, lengths binary, population array<binary>, elite binary, bins long, fill double, done boolean"
 
 
-def shard_items(items: DataFrame, shard: int, seed: int) -> tuple[DataFrame, int]:
-    """Items ``uid, length, part`` dealt to shards so that each has the same share of every length.
+def shard_items(items: DataFrame, shard: int) -> tuple[DataFrame, int, dict[int, int]]:
+    """Items ``uid, length, part`` dealt to shards so that each has the same share of every length; with the number of shards
+    and of items by length.
 
     Items are numbered by length and, within a length, by part; counts of (length, part) give every part its first number.
     """
     counts = stage(items.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")), "lengths")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    number = max(1, -(-total // shard))
     by_length = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
+    number = max(1, -(-sum(by_length.values()) // shard))
     at, first = 0, {}
     for n in sorted(by_length, reverse=True):
         first[n], at = at, at + by_length[n]
@@ -238,28 +285,18 @@ def shard_items(items: DataFrame, shard: int, seed: int) -> tuple[DataFrame, int
     through = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, 0))
     placed = counts.withColumn("_first", starts + through - F.col("n")).drop("n")
     nth = F.row_number().over(Window.partitionBy("length", "part").orderBy("uid"))
-    return items.join(placed.hint("merge"), ["length", "part"]).select("uid", "length", F.pmod(F.col("_first") + nth - 1, F.lit(number)).alias("shard")), number
+    return items.join(placed.hint("merge"), ["length", "part"]).select("uid", "length", F.pmod(F.col("_first") + nth - 1, F.lit(number)).alias("shard")), number, by_length
 
 
-def pack(df: DataFrame, tokenizer: tuple[str, str, int], id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END, shard: int = SHARD, islands: int = ISLANDS, epochs: int = EPOCHS, population: int = POPULATION, generations: int = GENERATIONS, seed: int = SEED) -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` of each piece of each row.
+def _gathered(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values(["length", "uid"], ascending=[False, True])
+    return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "uids": [pdf["uid"].to_numpy(np.int64).tobytes()], "lengths": [pdf["length"].to_numpy(np.int32).tobytes()]})
 
-    ``tokenizer``: path of the ranks file, split pattern and id of the special string. A null text is empty and has the end
-    id alone. Pieces of full length are sequences of their own; the others are packed by the genetic algorithm, and each
-    comes out exactly once. Repeated rows are documents of their own; other columns are not read; an empty table gives no
-    rows.
-    """
-    tagged = token_pieces(df, tokenizer, id_col, text_col, capacity, end).withColumns({"uid": F.monotonically_increasing_id(), "part": F.spark_partition_id()})
-    pieces = stage(tagged, "pieces")
-    items, number = shard_items(pieces.filter(F.col("length") < capacity).select("uid", "length", "part"), shard, seed)
-
-    def gathered(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "uid"], ascending=[False, True])
-        return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "uids": [pdf["uid"].to_numpy(np.int64).tobytes()], "lengths": [pdf["length"].to_numpy(np.int32).tobytes()]})
 
-    spark = df.sparkSession
-    tasks = max(spark.sparkContext.defaultParallelism, min(number * islands, 4000))
-    shards = items.groupBy("shard").applyInPandas(gathered, "shard long, uids binary, lengths binary")
+def _evolved(items: DataFrame, number: int, capacity: int, islands: int, epochs: int, population: int, generations: int, seed: int) -> DataFrame:
+    """``shard, bins, uids, lengths, chosen``: the best packing of each shard after all epochs."""
+    tasks = max(items.sparkSession.sparkContext.defaultParallelism, min(number * islands, 4000))
+    shards = items.groupBy("shard").applyInPandas(_gathered, "shard long, uids binary, lengths binary")
     nothing = {"population": F.array().cast("array<binary>"), "elite": F.lit(None).cast("binary"), "bins": F.lit(0).cast("long"), "fill": F.lit(0.0), "done": F.lit(False)}
     state = shards.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1)))).withColumns(nothing).select(*_STATE.names)
     for turn in range(epochs):
@@ -267,9 +304,14 @@ def pack(df: DataFrame, tokenizer: tuple[str, str, int], id_col: str = "doc_id",
             elites = state.select("shard", ((F.col("island") + 1) % islands).alias("island"), F.element_at("population", 1).alias("elite"))
             state = state.drop("elite").join(elites.hint("merge"), ["shard", "island"]).select(*_STATE.names)
         state = stage(state.repartition(tasks, "shard", "island").mapInArrow(_epoch(turn, seed, capacity, population, generations), _STATE_SQL), "islands")
-    best = state.groupBy("shard").agg(F.min(F.struct("bins", "fill", "island", "uids", "lengths", F.element_at("population", 1).alias("chosen"))).alias("b")).select("shard", "b.uids", "b.lengths", "b.chosen")
+    best = state.groupBy("shard").agg(F.min(F.struct("bins", "fill", "island", "uids", "lengths", F.element_at("population", 1).alias("chosen"))).alias("b"))
+    return best.select("shard", "b.bins", "b.uids", "b.lengths", "b.chosen")
+
+
+def _placed(level: int, reopened: float, capacity: int):
+    """Places of the items of each shard; those of the least filled bins, a share ``reopened``, have no sequence."""
 
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 uids, lengths, bins = np.frombuffer(row["uids"], np.int64), np.frombuffer(row["lengths"], np.int32).astype(np.int64), np.frombuffer(row["chosen"], np.int32)
@@ -278,10 +320,50 @@ def pack(df: DataFrame, tokenizer: tuple[str, str, int], id_col: str = "doc_id",
                 new = np.r_[True, bins[order][1:] != bins[order][:-1]] if len(order) else np.zeros(0, bool)
                 offsets = ends - lengths[order]
                 offsets -= offsets[new][np.cumsum(new) - 1] if len(order) else 0
-                sequence = row["shard"] * (1 << 24) + bins[order].astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(uids[order]), pa.array(sequence), pa.array(offsets)], names=["uid", "sequence_id", "offset"])
+                sequence = (level << 56) + row["shard"] * (1 << 24) + bins[order].astype(np.int64)
+                fill = np.bincount(bins, weights=lengths)
+                again = np.zeros(len(fill), bool)
+                again[np.argsort(fill, kind="stable")[: math.ceil(len(fill) * reopened)]] = True
+                again = (again & (fill < capacity))[bins[order]]
+                cols = [pa.array(uids[order]), pa.array(lengths[order]), pa.array(sequence, mask=again), pa.array(offsets)]
+                yield pa.RecordBatch.from_arrays(cols, names=["uid", "length", "sequence_id", "offset"])
+
+    return run
 
-    where = best.mapInArrow(placed, "uid long, sequence_id long, offset long")
+
+def packed_items(items: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, islands: int = ISLANDS, epochs: int = EPOCHS, population: int = POPULATION, generations: int = GENERATIONS, seed: int = SEED, reopened: float = REOPENED) -> DataFrame:
+    """``uid, sequence_id, offset`` of the items ``uid, length, part`` shorter than a sequence; each exactly once.
+
+    While there are several shards and more bins than the lower bound of all items together, the pieces of each shard's least
+    filled bins go to the next level, at most a share ``reopened`` of the bins each time.
+    """
+    out, level = None, 0
+    while True:
+        dealt, number, by_length = shard_items(items, shard)
+        best = stage(_evolved(dealt, number, capacity, islands, epochs, population, generations, seed + level), "best")
+        least = max(-(-sum(k * n for k, n in by_length.items()) // capacity), sum(n for k, n in by_length.items() if 2 * k > capacity))
+        last = number == 1 or (best.agg(F.sum("bins")).first()[0] or 0) <= least
+        placed = best.mapInArrow(_placed(level, 0.0 if last else reopened, capacity), "uid long, length long, sequence_id long, offset long")
+        placed = placed if last else stage(placed, "placed")
+        done = placed.filter("sequence_id is not null").select("uid", "sequence_id", "offset")
+        out = done if out is None else out.unionByName(done)
+        if last:
+            return out
+        items = placed.filter("sequence_id is null").select("uid", "length", F.pmod(F.xxhash64("uid"), F.lit(64).cast("long")).cast("int").alias("part"))
+        level += 1
+
+
+def pack(df: DataFrame, tokenizer: tuple[str, str, int], id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END, **options) -> DataFrame:
+    """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` of each piece of each row.
+
+    ``tokenizer``: path of the ranks file, split pattern and id of the special string; ``options``: those of ``packed_items``.
+    A null text is empty and has the end id alone. Pieces of full length are sequences of their own; the others are packed by
+    the genetic algorithm, and each comes out exactly once. Repeated rows are documents of their own; other columns are not
+    read; an empty table gives no rows.
+    """
+    tagged = token_pieces(df, tokenizer, id_col, text_col, capacity, end).withColumns({"uid": F.monotonically_increasing_id(), "part": F.spark_partition_id()})
+    pieces = stage(tagged, "pieces")
+    where = packed_items(pieces.filter(F.col("length") < capacity).select("uid", "length", "part"), capacity, **options)
     full = pieces.filter(F.col("length") == capacity).select("*", (-F.col("uid") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     met = pieces.filter(F.col("length") < capacity).join(where.hint("merge"), "uid")
     out = met.select("_id", "piece", "start", "length", "crc", "sequence_id", "offset").unionByName(full.select("_id", "piece", "start", "length", "crc", "sequence_id", "offset"))

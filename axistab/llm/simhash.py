@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from axistab.llm.common import join_sized, row_runs, stage, texts_of
+from axistab.llm.common import free, join_sized, row_runs, stage, texts_of
 
 SHINGLE, DISTANCE = 4, 4
 #: Fingerprints of one block that one task compares; larger blocks are dealt out as pairs of chunks of this size.
@@ -155,20 +155,22 @@ def components(edges: DataFrame) -> DataFrame:
     the edges are redrawn between what they joined. The number of nodes falls by a constant factor a round.
     """
     edges = stage(edges.filter("a <> b"), "edges")
-    labels, turn = None, 0
+    labels, turn = None, 0  # each round's tables go as soon as the next ones stand
     while True:
         both = edges.union(edges.select("b", "a")).toDF("node", "other")
         rank = lambda c, t=turn: F.struct(F.xxhash64(F.col(c), F.lit(t)).alias("h"), F.col(c).alias("v"))
         joined = both.groupBy("node").agg(F.min(F.least(rank("node"), rank("other"))).alias("m")).select("node", F.col("m.v").alias("to"))
         joined = stage(joined, "joined")
         if labels is None:
-            labels = joined.select("node", F.col("to").alias("rep"))
+            labels = stage(joined.select("node", F.col("to").alias("rep")), "labels")
         else:
             moved = labels.join(joined.select(F.col("node").alias("rep"), "to").hint("merge"), "rep", "left")
-            labels = stage(moved.select("node", F.coalesce("to", "rep").alias("rep")), "labels")
+            before, labels = labels, stage(moved.select("node", F.coalesce("to", "rep").alias("rep")), "labels")
+            free(before)
         ends = edges.join(joined.select(F.col("node").alias("a"), F.col("to").alias("x")).hint("merge"), "a")
         ends = ends.join(joined.select(F.col("node").alias("b"), F.col("to").alias("y")).hint("merge"), "b")
-        edges = stage(ends.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        before, edges = edges, stage(ends.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        free(before, joined)
         if not edges.take(1):
             return labels
         turn += 1

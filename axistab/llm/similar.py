@@ -2,13 +2,13 @@
 
 Texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more are linked. A fingerprint of 128 bits is
 split into blocks, again and again under seeded orders of its bits; rows meet on equal blocks and their Hamming distance is
-verified. Pairs that are near enough are compared by their shingle sets, so that every link is exact. Two texts that differ
-in fewer bits than one order has blocks share a block for sure; the number of orders is chosen so that of pairs at the
-least similarity, with a standard deviation more than their expected differing bits, ``RECALL`` do. Blocks get wider with
-the number of texts.
+verified. Two texts that differ in fewer bits than one order has blocks share a block for sure; the number of orders is
+chosen so that of pairs at the least similarity, with a standard deviation more than their expected differing bits,
+``RECALL`` do. Blocks get wider with the number of texts.
 
-No text is compared with all others of its group: each is first compared with the nearest few of every block, and with
-more and more only while a near text is in another component. So copies of one text cost little and no link is lost.
+What is near by fingerprint is joined to families, and within a family every link is decided by the shingle sets themselves.
+Neither step gives out pairs: a task keeps a spanning forest of the links that it finds, so copies of one text cost no more
+rows than they are, and no link between different texts is lost.
 """
 
 from __future__ import annotations
@@ -23,15 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from axistab.llm.common import join_sized, remove_rows, row_key, row_runs, stage, text_hash, texts_of
+from axistab.llm.common import free, join_sized, remove_rows, row_key, row_runs, stage, text_hash, texts_of
 from axistab.llm.simhash import CHUNK, components, majority, shingles
 
-SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.99
+SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.97
 BITS, SEED = 128, 5
-#: Partners in a block that a text is compared with first; eight times as many in each further round.
-NEAREST = 8
-#: Groups up to this size are compared together, larger ones one by one.
+#: Groups up to this size are compared together, larger ones member by member.
 SMALL = 64
+#: Shingles of a family, or of a chunk of a larger one, that one task holds.
+HELD = 4 << 20
 
 
 def differing_share(similarity: float) -> float:
@@ -103,59 +103,98 @@ def _close(group: np.ndarray, halves: np.ndarray, limit: int) -> tuple[np.ndarra
     return tuple(np.concatenate(x) if found else np.zeros(0, np.int64) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
 
 
-def _candidates(limit: int, first: int, last: int):
-    """Pairs ``x, y`` of a text and its partners of rank ``first`` to ``last`` - 1 by distance in its block, other components only.
+class Forest:
+    """Which items are joined already; ``join`` tells whether a link is the first between two trees."""
+
+    def __init__(self) -> None:
+        self.up: dict = {}
+
+    def root(self, x):
+        up = self.up
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    def join(self, x, y) -> bool:
+        a, b = self.root(x), self.root(y)
+        if a != b:
+            self.up[a] = b
+        return a != b
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """A partition sorted by ``keys``, cut so that no run of equal keys is cut apart."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        last = np.all([batch.column(k).to_numpy(zero_copy_only=False) == batch.column(k)[batch.num_rows - 1].as_py() for k in keys], axis=0)
+        first = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
+        if first == 0 and held and all(held[-1].column(k)[0].as_py() == batch.column(k)[0].as_py() for k in keys):
+            held.append(batch)
+            continue
+        yield pa.Table.from_batches([*held, batch.slice(0, first)], batch.schema)
+        held = [batch.slice(first)]
+    if held:
+        yield pa.Table.from_batches(held)
 
-    A row without ``x`` names a block in which some text has partners of a higher rank. A partition comes sorted by block.
-    """
-    names = ("mask", "key", "pair", "node", "rep", "_a", "_b")
-
-    def of(cols: list[np.ndarray]) -> pa.RecordBatch:
-        keys, node, rep, halves = cols[:3], cols[3], cols[4], np.stack(cols[5:], axis=1).view(np.uint64)
-        group = np.cumsum(np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)])
-        i, j, d = _close(group, halves, limit)
-        source, target, d = np.r_[i, j], np.r_[j, i], np.r_[d, d]
-        order = np.lexsort((node[target], d, source))
-        source, target = source[order], target[order]
-        rank = np.arange(len(source)) - np.searchsorted(source, source)
-        other = rep[source] != rep[target]
-        now = other & (rank >= first) & (rank < last)
-        x, y = node[source[now]], node[target[now]]
-        more = np.unique(group[source[other & (rank >= last)]], return_index=False)
-        at = np.searchsorted(group, more)
-        gap = lambda n: pa.nulls(n, pa.int64())
-        ends = [pa.concat_arrays([pa.array(v), gap(len(at))]) for v in (np.minimum(x, y), np.maximum(x, y))]
-        blocks = [pa.concat_arrays([gap(len(x)), pa.array(k[at].astype(np.int64))]) for k in keys]
-        return pa.RecordBatch.from_arrays([*ends, *blocks], names=["x", "y", "mask", "key", "pair"])
+
+def _near(limit: int):
+    """``a, b, c, d``: links between fingerprints ``_a, _b`` of equal ``key`` within ``limit`` bits, a spanning forest a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
+        forest = Forest()
+        for part in _runs(batches, ["key"]):
+            key, *halves = (part.column(c).to_numpy() for c in ("key", "_a", "_b"))
+            both = np.stack(halves, axis=1).view(np.uint64)
+            i, j, _ = _close(np.cumsum(np.r_[True, key[1:] != key[:-1]])[: len(key)], both, limit)
+            ends = zip(zip(*(h[i].tolist() for h in halves), strict=True), zip(*(h[j].tolist() for h in halves), strict=True), strict=True)
+            links = [(*x, *y) for x, y in ends if x != y and forest.join(x, y)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in range(4)], names=["a", "b", "c", "d"])
+
+    return run
+
+
+def _crowded(tasks: int, chunk: int):
+    """Keys that may have over ``chunk`` rows: those with a task's share of it in some task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        least, size = max(2, chunk // tasks), 0
         for batch in batches:
-            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
-            cols = [np.concatenate(x) for x in zip(held, cols, strict=True)] if held else cols
-            if not len(cols[0]):
-                continue
-            cut = int(np.flatnonzero(np.any([k != k[-1] for k in cols[:3]], axis=0))[-1]) + 1 if any((k != k[-1]).any() for k in cols[:3]) else 0
-            held = [c[cut:] for c in cols]
-            if cut:
-                yield of([c[:cut] for c in cols])
-        if held:
-            yield of(held)
+            held.append(batch.column("key").to_numpy())
+            size += batch.num_rows
+            if size > 1 << 22:
+                yield _often(held, least)
+                held, size = [], 0
+        yield _often(held, least)
+
+    def _often(held: list[np.ndarray], least: int) -> pa.RecordBatch:
+        keys, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.int64),) * 2
+        return pa.RecordBatch.from_arrays([pa.array(keys[n >= least]), pa.array(n[n >= least].astype(np.int64))], names=["key", "n"])
 
     return run
 
 
-def _dealt(nodes: DataFrame, masks: list[tuple[int, int]], chunk: int) -> DataFrame:
-    """``mask, key, pair, node, _a, _b``: every fingerprint in each of its blocks; large blocks as pairs of chunks."""
-    block = lambda m: F.xxhash64(F.col("_a").bitwiseAND(F.lit(m[0])), F.col("_b").bitwiseAND(F.lit(m[1])))
-    choice = F.array(*(F.struct(F.lit(i).cast("long").alias("mask"), block(m).alias("key")) for i, m in enumerate(masks)))
-    keys = nodes.select("node", "_a", "_b", F.explode(choice).alias("m")).select("m.mask", "m.key", "node", "_a", "_b")
-    large = stage(keys.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > chunk).select("mask", "key", F.ceil(F.col("n") / chunk).alias("chunks")), "blocks")
-    met = join_sized(keys, large, ["mask", "key"], "left")
-    own = F.pmod(F.xxhash64("node"), F.col("chunks"))
+def _dealt(keys: DataFrame, sizes: DataFrame, on: str, by: list[str]) -> DataFrame:
+    """``keys`` with those of ``sizes`` (``on``, ``chunks``) dealt as pairs of chunks: ``pair`` tells them apart, 0 for others."""
+    met = join_sized(keys, sizes, [on], "left")
+    own = F.pmod(F.xxhash64(*by), F.col("chunks"))
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda j: F.least(own, j) * F.col("chunks") + F.greatest(own, j))
-    alone = F.array(F.lit(0).cast("long"))
-    return met.withColumn("pair", F.explode(F.when(F.col("chunks").isNull(), alone).otherwise(pairs))).select("mask", "key", "pair", "node", "_a", "_b")
+    return met.withColumn("pair", F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pairs))).drop("chunks")
+
+
+def near_links(prints: DataFrame, masks: list[tuple[int, int]], limit: int, chunk: int = CHUNK) -> DataFrame:
+    """``a, b, c, d``: links between fingerprints (``_a, _b``: halves of distinct ones) that connect what is near by blocks."""
+    block = lambda i, m: F.xxhash64(F.lit(i), F.col("_a").bitwiseAND(F.lit(m[0])), F.col("_b").bitwiseAND(F.lit(m[1])))
+    keys = prints.select("_a", "_b", F.explode(F.array(*(block(i, m) for i, m in enumerate(masks)))).alias("key"))
+    tasks = max(1, prints.select(F.spark_partition_id().alias("p")).distinct().count())
+    often = keys.select("key").mapInArrow(_crowded(tasks, chunk), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    large = stage(often.filter(F.col("n") > chunk).select("key", F.ceil(F.col("n") / chunk).alias("chunks")), "crowded")
+    dealt = keys
+    if large.take(1):
+        dealt = _dealt(keys, large, "key", ["_a", "_b"]).select("_a", "_b", F.when(F.col("pair") == 0, F.col("key")).otherwise(F.xxhash64("key", "pair")).alias("key"))
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_near(limit), "a long, b long, c long, d long").distinct()
 
 
 def _hashes(shingle: int):
@@ -171,17 +210,53 @@ def _hashes(shingle: int):
     return run
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """``a, b``: the pairs ``x, y`` whose shingle sets (64-bit hashes) are similar enough."""
-    wanted = stage(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct().join(nodes.hint("merge"), "node").select("node", "_key", "_hash"), "wanted")
-    some = join_sized(texts, wanted, ["_key", "_hash"], "inner").select("node", "_text").mapInArrow(_hashes(shingle), "node long, set array<long>")
-    sets = stage(some.groupBy("node").agg(F.any_value("set").alias("set")), "sets")
-    met = pairs.join(sets.toDF("x", "s").hint("merge"), "x").join(sets.toDF("y", "t").hint("merge"), "y")
-    both = F.size(F.array_intersect("s", "t"))
-    return met.filter(both >= F.lit(similarity) * (F.size("s") + F.size("t") - both)).select(F.col("x").alias("a"), F.col("y").alias("b"))
+def linked_sets(starts: np.ndarray, values: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the links between sets (``values`` from ``starts[i]`` to ``starts[i + 1]``), each a distinct value once."""
+    sizes, n = np.diff(starts), len(starts) - 1
+    ids = np.unique(values, return_inverse=True)[1]
+    order = np.argsort(ids, kind="stable")
+    owner = np.repeat(np.arange(n), sizes)[order]
+    first = np.searchsorted(ids[order], np.arange(int(ids.max(initial=-1)) + 2))
+    left, out = np.ones(n, bool), []
+    for root in range(n):
+        if not left[root]:
+            continue
+        left[root], todo = False, [root]
+        while todo and left.any():
+            i = todo.pop()
+            own = ids[starts[i] : starts[i + 1]]
+            lens = first[own + 1] - first[own]
+            places = np.repeat(first[own] - np.r_[0, np.cumsum(lens)[:-1]], lens) + np.arange(int(lens.sum())) if len(own) else own
+            both = np.bincount(owner[places], minlength=n)
+            near = np.flatnonzero(left & (both > 0) & (both >= similarity * (sizes[i] + sizes - both)))
+            out += [(root, int(j)) for j in near]
+            left[near] = False
+            todo += near.tolist()
+    return out
+
+
+def _verified(similarity: float):
+    """``a, b``: links between the ``node`` of each run of equal ``rep`` and ``pair``, by their sets."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _runs(batches, ["rep", "pair"]):
+            part = part.combine_chunks()
+            rep, pair, node = (part.column(c).to_numpy() for c in ("rep", "pair", "node"))
+            column = part.column("set").combine_chunks() if part.num_rows else None
+            if column is None:
+                continue
+            ends = np.r_[0, np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]
+            values = column.flatten().to_numpy()
+            new = np.flatnonzero(np.r_[True, (rep[1:] != rep[:-1]) | (pair[1:] != pair[:-1])])
+            links = []
+            for lo, hi in zip(new.tolist(), [*new[1:].tolist(), len(rep)], strict=True):
+                links += [(lo + i, lo + j) for i, j in linked_sets(ends[lo : hi + 1] - ends[lo], values[ends[lo] : ends[hi]], similarity)]
+            yield pa.RecordBatch.from_arrays([pa.array(node[[x[k] for x in links]] if links else np.zeros(0, np.int64)) for k in (0, 1)], names=["a", "b"])
+
+    return run
 
-def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, recall: float = RECALL, nearest: int = NEAREST, chunk: int = CHUNK) -> DataFrame:
+
+def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, recall: float = RECALL, chunk: int = CHUNK, held: int = HELD) -> DataFrame:
     """``_id, _key, _hash, _n, _first``: each id and text of ``df``, how often it occurs, and whether it leads its group.
 
     Groups are connected over links of ``similarity`` or more; the smallest id leads (a null id last, then by text hash).
@@ -191,24 +266,21 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = stage(wide_fingerprints(df, id_col, text_col, shingle), "fingerprints")
     lead = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_hash").alias("h"), F.col("_key").alias("k"))
     distinct = docs.groupBy("_a", "_b").agg(F.min(lead).alias("lead"))
-    nodes = stage(distinct.select(F.monotonically_increasing_id().alias("node"), "_a", "_b", "lead", F.col("lead.k").alias("_key"), F.col("lead.h").alias("_hash")), "nodes")
+    nodes = stage(distinct.select(F.xxhash64("_a", "_b").alias("node"), "_a", "_b", "lead", F.col("lead.k").alias("_key"), F.col("lead.h").alias("_hash")), "nodes")
+
+    near = near_links(nodes.select("_a", "_b"), block_masks(nodes.count(), similarity, recall), bit_limit(similarity), chunk)
+    families = components(near.select(F.xxhash64("a", "b").alias("a"), F.xxhash64("c", "d").alias("b")))
+    wanted = stage(families.join(nodes.hint("merge"), "node").select("node", "rep", "_key", "_hash"), "wanted")
     texts = df.select(row_key(F.col(id_col)).alias("_key"), text_hash(F.col(text_col)).alias("_hash"), F.col(text_col).cast("string").alias("_text"))
+    some = join_sized(texts, wanted.drop("rep"), ["_key", "_hash"], "inner").select("node", "_text").mapInArrow(_hashes(shingle), "node long, set array<long>")
+    sets = some.groupBy("node").agg(F.any_value("set").alias("set")).join(wanted.select("node", "rep").hint("merge"), "node")
+    sets = stage(sets, "sets")
+    sizes = sets.groupBy("rep").agg(F.sum(F.size("set")).alias("n")).filter(F.col("n") > held)
+    dealt = _dealt(sets, stage(sizes.select("rep", F.ceil(F.col("n") / held).alias("chunks")), "large"), "rep", ["node"])
+    dealt = dealt.select("rep", "pair", "node", "set").repartition("rep", "pair").sortWithinPartitions("rep", "pair")
+    reps = components(dealt.mapInArrow(_verified(similarity), "a long, b long"))
+    free(sets)
 
-    dealt = _dealt(nodes, block_masks(nodes.count(), similarity, recall), chunk)
-    links, reps, rest, first, last = None, None, None, 0, nearest
-    while True:
-        rows = dealt if rest is None else join_sized(dealt, rest, ["mask", "key", "pair"], "left_semi")
-        rows = rows.withColumn("rep", F.col("node")) if reps is None else rows.join(reps.hint("merge"), "node", "left").withColumn("rep", F.coalesce("rep", "node"))
-        rows = rows.repartition("mask", "key", "pair").sortWithinPartitions("mask", "key", "pair")
-        found = stage(rows.mapInArrow(_candidates(bit_limit(similarity), first, last), "x long, y long, mask long, key long, pair long"), "candidates")
-        pairs = found.filter("x is not null").select("x", "y").distinct()
-        fresh = stage(_verified(pairs, nodes, texts, shingle, similarity), "links")
-        links = fresh if links is None else links.unionByName(fresh)
-        reps = components(links)
-        rest = stage(found.filter("x is null").select("mask", "key", "pair").distinct(), "rest")
-        if not rest.take(1):
-            break
-        first, last = last, 8 * last
     of = nodes.join(reps.hint("merge"), "node", "left").withColumn("rep", F.coalesce("rep", "node"))
     leads = of.groupBy("rep").agg(F.min("lead").alias("best"))
     best = stage(of.join(leads.hint("merge"), "rep").select("_a", "_b", F.col("best.k").alias("bk"), F.col("best.h").alias("bh")), "leads")

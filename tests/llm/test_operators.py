@@ -41,6 +41,47 @@ def test_brown_base_scores_and_held_out_gain(spark, messy):
     assert all(r["score"] <= 0 for r in out)
 
 
+def test_brown_scores_follow_from_the_classes(spark, messy):
+    """Transitions and emissions counted anew from the words' classes give the same scores."""
+    held, k = held_out(F.col("doc_id"), 5, 1), 8
+    known = {bytes(r["word"]): (r["class"], r["count"]) for r in brown.word_classes(messy, held, classes=k, sweeps=2).collect()}
+    rows = messy.select("doc_id", "text").collect()
+    token = lambda t: [*(t or "").encode().lower().split(), b""]
+    of = lambda i: zlib.crc32(str(i).encode() if i is not None else b"") % 5 == 1
+    train = [w for r in rows if not of(r["doc_id"]) for w in token(r["text"])]
+    counts = Counter(train)
+    assert {w: n for w, (_, n) in known.items()} == counts and known[b""][0] == k + 1
+    size, moves, once, after = Counter(), Counter(), Counter(), Counter()
+    for w, n in counts.items():
+        size[known[w][0]] += n
+    for r in rows:
+        if not of(r["doc_id"]):
+            before = k + 1
+            for w in token(r["text"]):
+                moves[before, known[w][0]] += 1
+                once[before] += counts[w] == 1
+                after[before] += 1
+                before = known[w][0]
+    n, singles = len(train), max(sum(c == 1 for c in counts.values()), 1)
+    unknown = lambda b: min(0.5, max(1e-9, (once[b] + brown.BACKOFF_UNKNOWN * singles / (n + 2)) / (after[b] + brown.BACKOFF_UNKNOWN)))
+    out = {}
+    for r in brown.brown_scores(messy, held, classes=k, sweeps=2).collect():
+        out.setdefault(r["doc_id"], []).append(r["score"])
+    expected = {}
+    for r in rows:
+        before, score = k + 1, 0.0
+        for w in token(r["text"]):
+            if w in known:
+                c, m = known[w]
+                p = (moves[before, c] + brown.BACKOFF * size[c] / n) / (after[before] + brown.BACKOFF)
+                score += math.log10(p * (1 - unknown(before))) + math.log10(m / size[c])
+                before = c
+            else:
+                score += math.log10(unknown(before))
+        expected.setdefault(r["doc_id"], []).append(score)
+    assert all(np.allclose(sorted(out[i]), sorted(expected[i]), rtol=1e-9) for i in expected) and out.keys() == expected.keys()
+
+
 def test_brown_edges(nothing, messy):
     assert brown.brown_scores(nothing, F.lit(False)).count() == 0
     assert {r["score"] for r in brown.brown_scores(messy.limit(5), F.lit(True)).collect()} == {0.0}
@@ -101,6 +142,35 @@ def test_discriminant_separates_held_out(spark, messy):
     assert qda.quality_scores(messy, marks).count() == messy.count()
 
 
+def test_discriminant_equals_dense_densities(spark, messy):
+    """Scores are those of two normal densities with dense covariances, inverted and not factored."""
+    rows = [r for r in messy.select("doc_id", "text").collect() if r["doc_id"] is not None]
+    labels = [(r["doc_id"], int((r["doc_id"] * 7) % 3 > 0)) for r in {r["doc_id"]: r for r in rows}.values()]
+    x = {i: qda.transform(np.array([textstats.statistics((t or "").encode())]))[0] for i, t in rows}
+    per = [(x[i], y) for i, y in labels for j, _ in rows if j == i]
+    data, y = np.array([a for a, _ in per]), np.array([b for _, b in per])
+    mean, scale = data.mean(axis=0), np.sqrt(np.maximum(data.var(axis=0), 1e-9))
+    z, dense = (data - mean) / scale, []
+    own = [np.cov(z[y == k].T, bias=True) for k in (0, 1)]
+    common = sum((y == k).sum() * own[k] for k in (0, 1)) / len(y)
+    for k in (0, 1):
+        share = min(1.0, qda.SHRINK_POOLED + qda.DIMENSIONS / ((y == k).sum() + qda.DIMENSIONS))
+        cov = (1 - share) * own[k] + share * common
+        cov = (1 - qda.SHRINK_DIAGONAL) * cov + qda.SHRINK_DIAGONAL * np.diag(np.diag(cov)) + qda.RIDGE * np.eye(qda.DIMENSIONS)
+        dense.append((z[y == k].mean(axis=0), np.linalg.inv(cov), np.linalg.slogdet(cov)[1]))
+
+    def score(text):
+        v = (qda.transform(np.array([textstats.statistics((text or "").encode())]))[0] - mean) / scale
+        logs = [-0.5 * ((v - m) @ inverse @ (v - m) + det) for m, inverse, det in dense]
+        return 1 / (1 + np.exp(-np.clip(logs[1] - logs[0] + np.log(((y == 1).sum() + 1) / ((y == 0).sum() + 1)), -500, 500)))
+
+    out = qda.quality_scores(messy, spark.createDataFrame(labels, "doc_id long, quality int").withColumns({"_id": F.lit("x"), "_x": F.lit("y")})).collect()
+    texts = defaultdict(set)
+    for i, t in rows:
+        texts[i].add(t)
+    assert all(min(abs(r["score"] - score(t)) for t in texts[r["doc_id"]]) < 1e-6 for r in out if r["doc_id"] is not None)
+
+
 def test_discriminant_without_labels(spark, messy, nothing):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert {r["score"] for r in qda.quality_scores(messy, none).collect()} == {0.5}
@@ -294,6 +364,46 @@ def test_evolution_never_loses_items_and_improves():
     assert packing.fitness(out[0], lengths, 1024) <= packing.fitness(start, lengths, 1024)
 
 
+def triplets(rng, n):
+    """Lengths that fill sequences in threes, on which best fit by falling length does badly."""
+    out = []
+    for _ in range(n):
+        a = rng.randrange(260, 480)
+        b = rng.randrange(260, 764 - a)
+        out += [a, b, 1024 - a - b]
+    return out
+
+
+@pytest.mark.parametrize("kind", ["triplets", "wide", "small", "halves"])
+def test_packing_beats_best_fit_over_all_pieces(spark, kind):
+    rng = random.Random(21)
+    lengths = {"triplets": triplets(rng, 400), "wide": [rng.randrange(200, 700) for _ in range(1200)], "small": [rng.randrange(3, 300) for _ in range(1500)], "halves": [600] * 300}[kind]
+    best_fit = packing.fresh(lengths, np.random.default_rng(0), 0.0, 1024).max() + 1
+    items = spark.createDataFrame([(i, n, i % 5) for i, n in enumerate(lengths)], "uid long, length long, part int")
+    rows = packing.packed_items(items, shard=200).collect()
+    assert sorted(r["uid"] for r in rows) == list(range(len(lengths)))
+    bins = defaultdict(list)
+    for r in rows:
+        bins[r["sequence_id"]].append((r["offset"], lengths[r["uid"]]))
+    for spans in bins.values():
+        at = 0
+        for offset, n in sorted(spans):
+            assert offset == at
+            at += n
+        assert at <= 1024
+    assert len(bins) <= best_fit
+    if kind in ("triplets", "wide"):
+        assert len(bins) < best_fit
+
+
+def test_islands_gain_over_their_starts():
+    rng = random.Random(2)
+    lengths = np.array(triplets(rng, 1300))
+    starts = [packing.fresh(lengths.tolist(), np.random.default_rng(0), 0.0, 1024).max() + 1, packing.completed(lengths.tolist(), 1024).max() + 1]
+    out = packing.evolve(lengths, [], np.random.default_rng(0), island=1, generations=60)[0]
+    assert (np.bincount(out, weights=lengths) <= 1024).all() and len(np.unique(out)) < min(starts) < max(starts)
+
+
 # Quality rules
 
 
@@ -396,6 +506,36 @@ def test_languages_of_short_or_long_texts_only(spark, size):
     assert {truth[r["doc_id"]] for r in held} == {"short", "long", "mid"} and sum(r["lang_pred"] == truth[r["doc_id"]] for r in held) / len(held) > 0.95
 
 
+def test_language_sizes_and_long_texts(spark):
+    """The choice is that of plain compression by ``zstandard``; a long text is as sure as a short one."""
+    import zstandard
+
+    rng = random.Random(5)
+    stems = {"x": ["ba", "ke", "li", "to", "nu"], "y": ["shr", "und", "ach", "eit", "ver"]}
+    rows = [(i, words(rng, stems["x" if i % 2 else "y"], 40), "x" if i % 2 else "y") for i in range(200)]
+    rows += [(1000, words(rng, stems["x"], 200_000), None), (1001, words(rng, stems["y"], 60), None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = {r["doc_id"]: r for r in language.identify_languages(df, F.col("doc_id") < 100).collect()}
+    assert out[1000]["lang_pred"] == "x" and not out[1000]["rejected"] and out[1000]["score"] > 0.6
+    assert out[1001]["lang_pred"] == "y" and not out[1001]["rejected"]
+    learned = language.dictionaries(df, F.col("doc_id") < 100, "text", "lang")
+    for i, text, _ in rows[100:]:
+        folded, sizes = language.fold(text), {}
+        assert b"".join(language.windows(folded)) == folded and max(map(len, language.windows(folded))) <= 1.5 * language.WINDOW
+        for g, content in learned.items():
+            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            c = zstandard.ZstdCompressor(level=language.LEVEL, dict_data=d, write_content_size=False, write_dict_id=False)
+            sizes[g] = sum(len(c.compress(part)) for part in language.windows(folded))
+        best = min(sizes.values())
+        assert abs(sizes[out[i]["lang_pred"]] - best) <= 0.02 * best
+
+
+def test_many_languages_share_the_bytes(spark):
+    rows = [(i, f"word{chr(97 + i % 26)} text {chr(97 + i // 26 % 26)}", f"l{i}") for i in range(300)]
+    found = language.dictionaries(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), "text", "lang", total=3000)
+    assert len(found) == 300 and all(0 < len(d) <= 10 for d in found.values())
+
+
 # Chat
 
 
@@ -452,6 +592,34 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.archive_round_trip(df.filter("false"), str(tmp_path / "none")).count() == 0
 
 
+@pytest.mark.parametrize("segment", [300, 4000, 8 << 20])
+def test_warc_chains_over_segments(spark, tmp_path, segment):
+    fake = "WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:999>\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
+    pages = [(i, "u", f"<p>{i}</p>" + ("z" * (40 * i) + fake) * (i % 5)) for i in range(60)]
+    path = str(tmp_path / "archive")
+    warc.write_warc(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2), path)
+    out = sorted((r["page_id"], r["payload_digest"]) for r in warc.read_warc(spark, path, segment=segment).collect())
+    assert out == [(i, hashlib.sha1(h.encode()).hexdigest()) for i, _, h in pages]
+
+
+def test_warc_revisits_of_repeated_ids(spark, tmp_path):
+    one, two = "a" * 1500, "b" * 2000
+    pages = [(5, "u", one), (5, "u", two), (1, "u", one), (2, "u", two)]
+    out = warc.archive_round_trip(spark.createDataFrame(pages, "page_id long, url string, html string"), str(tmp_path / "archive"))
+    sha = lambda t: hashlib.sha1(t.encode()).hexdigest()
+    expected = [(1, 1500, sha(one), "revisit", 5), (2, 2000, sha(two), "revisit", 5), (5, 1500, sha(one), "response", None), (5, 2000, sha(two), "response", None)]
+    assert sorted(tuple(r) for r in out.collect()) == expected
+
+
+def test_warc_chain_ends_at_a_damaged_record(spark, tmp_path):
+    head = "HTTP/1.1 200 OK\r\nA: bcd\r\n\r\n"
+    record = lambda i, body, more=0: f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{i}>\r\nContent-Length: {len(head + body) + more}\r\n\r\n{head}{body}\r\n\r\n"
+    (tmp_path / "archive").mkdir()
+    (tmp_path / "archive/part").write_bytes((record(1, "one") + record(2, "two", 7) + record(3, "three")).encode())
+    assert [r["page_id"] for r in warc.read_warc(spark, str(tmp_path / "archive")).collect() if r["payload_digest"] == hashlib.sha1(b"one").hexdigest()] == [1]
+    assert all(r["page_id"] != 3 for r in warc.read_warc(spark, str(tmp_path / "archive")).collect())
+
+
 def test_warc_reads_may_split_differently(spark, tmp_path, monkeypatch):
     fake = "WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:999>\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
     pages = [(i, "u", f"<p>{i}</p>" + ("z" * 300 + fake) * (i % 4)) for i in range(40)]

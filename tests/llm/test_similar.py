@@ -42,8 +42,8 @@ def edited(rng, text, edits):
     return " ".join(w)
 
 
-@pytest.mark.parametrize(("nearest", "chunk"), [(8, 2048), (1, 2048), (2, 7)])
-def test_near_copies_equal_all_pairs(spark, nearest, chunk):
+@pytest.mark.parametrize(("chunk", "held"), [(2048, 4 << 20), (7, 9000)])
+def test_near_copies_equal_all_pairs(spark, chunk, held):
     rng, rows = random.Random(11), []
     for i in range(60):
         rows.append((i, words(rng, STEMS, rng.randrange(60, 200))))
@@ -56,11 +56,28 @@ def test_near_copies_equal_all_pairs(spark, nearest, chunk):
     roots = brute_groups(rows)
     expected = {min(rows[i][0] for i in range(len(rows)) if roots[i] == r) for r in set(roots)}
     df = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, _key string, node string").repartition(3)
-    kept = similar.drop_near_copies(df, nearest=nearest, chunk=chunk)
+    kept = similar.drop_near_copies(df, chunk=chunk, held=held)
     assert kept.columns == df.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(expected)
 
 
+def test_linked_sets_join_what_all_pairs_join():
+    rng = random.Random(3)
+    for _ in range(30):
+        base = [rng.sample(range(60), 30) for _ in range(3)]
+        sets = [sorted({*rng.choice(base), *rng.sample(range(60), rng.randrange(6))} - set(rng.sample(range(60), 4))) for _ in range(rng.randrange(1, 40))]
+        edges = similar.linked_sets(np.cumsum([0, *map(len, sets)]), np.array([v for s in sets for v in s], np.int64), 0.8)
+        forest, true = similar.Forest(), similar.Forest()
+        assert all(forest.join(a, b) for a, b in edges)
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                both = len(set(a) & set(b))
+                if both >= 0.8 * (len(a) + len(b) - both):
+                    true.join(i, j)
+        n = range(len(sets))
+        assert len({(forest.root(i), true.root(i)) for i in n}) == len({forest.root(i) for i in n}) == len({true.root(i) for i in n})
+
+
 def test_shared_missing_and_repeated_rows(spark, messy, nothing):
     rng, rows = random.Random(9), []
     for i in (5, 5, None, None):
