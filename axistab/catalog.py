@@ -13,6 +13,7 @@ from axistab.model import AxisTable
 from axistab.operators import agg, blocks, columns, index, joins
 from axistab.operators.rows import with_row_axis
 from axistab.plans import cf
+from axistab.schemas import SCHEMAS
 from axistab.sources import tables
 from axistab.sources.scratch import scratch_path, stage
 from axistab.sources.ship import ship
@@ -89,6 +90,15 @@ def s4_attach(spark, sf_dir):
     return tables.attach(spark, {"p_size": path, "p_retailprice": path}, ["p_partkey"])
 
 
+@query("select p_partkey, p_size, p_retailprice, p_name from part")
+def s4_attach_paths(spark, sf_dir):
+    part, path = _t(spark, sf_dir, "part", ["p_partkey", "p_size", "p_retailprice", "p_name"]), scratch_path(spark, "columns")
+    for name in ("p_size", "p_name"):
+        part.select("p_partkey", name).write.parquet(f"{path}/{name}")
+    places = {"p_size": f"{path}/p_size", "p_retailprice": f"{sf_dir}/part.parquet", "p_name": f"{path}/p_name"}
+    return tables.attach(spark, places, ["p_partkey"])
+
+
 # Columns
 
 
@@ -122,6 +132,13 @@ def p5_profile(spark, sf_dir):
     return columns.profile_columns(_t(spark, sf_dir, "embeddings"), {"vec_id": ("bigint", None), "embedding": ("array<float>", "Jy"), "flag_row": ("boolean", None)})
 
 
+@query("select c_name as name, c_acctbal::float::double as dish_diameter, [c_acctbal, c_custkey::double] as position, 'm' as unit from customer")
+def p5_import(spark, sf_dir):
+    one = _t(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), F.col("c_acctbal").cast("float").alias("dish_diameter"), F.array("c_acctbal", F.col("c_custkey").cast("double")).alias("position"), "c_custkey")
+    made = tables.import_table(one, SCHEMAS["ANTENNA"])
+    return made.select("*", F.lit(tables.metadata(made, "dish_diameter")["unit"]).alias("unit"))
+
+
 @query("""
 with g as (select bool_and(len(embedding) = len(embedding[1:32]) ) as half from embeddings)
 select 2::bigint as members, 'embedding,twice' as cols union all select 1, 'half' from g where not half""")
@@ -153,6 +170,13 @@ def p11_collapse(spark, sf_dir):
     return columns.collapse_elements(p10_explode(spark, sf_dir), ["vec_id"], "chan", "v", "embedding")
 
 
+@query("select vec_id, case when vec_id % 5 <> 0 then embedding[1:vec_id % 3] end as part from embeddings")
+def p11_collapse_all(spark, sf_dir):
+    part = F.when(F.col("vec_id") % 5 != 0, F.slice("embedding", F.lit(1), (F.col("vec_id") % 3).cast("int")))
+    some = _t(spark, sf_dir, "embeddings").select("vec_id", part.alias("part"))
+    return columns.collapse_elements(columns.explode_elements(some, "part", "chan", "v", keep_empty=True), ["vec_id"], "chan", "v", "part")
+
+
 @query("select doc_id, source from documents")
 def p12_drop_empty(spark, sf_dir):
     df = _t(spark, sf_dir, "documents", ["doc_id", "source"]).withColumn("nothing", F.lit(None).cast("string"))
@@ -171,7 +195,7 @@ def x0_row_axis(spark, sf_dir):
 with r as (select l_returnflag as value, row_number() over (order by {_LINE}) - 1 as row from lineitem)
 select dense_rank() over (order by value) - 1 as coord, value, count(*) as n_rows, min(row) as min_row, max(row) as max_row from r group by value""")
 def x1_index(spark, sf_dir):
-    made = index.create_index(with_row_axis(_t(spark, sf_dir, "lineitem", LINE), LINE), "l_returnflag")
+    made = index.create_index(with_row_axis(_t(spark, sf_dir, "lineitem", LINE), LINE, keep=["l_returnflag"]), "l_returnflag")
     return made.groupBy("coord", "value").agg(F.count("row").alias("n_rows"), F.min("row").alias("min_row"), F.max("row").alias("max_row"))
 
 
@@ -190,7 +214,8 @@ with r as (select *, row_number() over (order by {_LINE}) - 1 as row0 from linei
 select dense_rank() over (order by l_returnflag) - 1 as l_returnflag_at, dense_rank() over (order by l_linestatus) - 1 as l_linestatus_at,
   row_number() over (partition by l_returnflag, l_linestatus order by row0) - 1 as row, l_orderkey, l_linenumber, l_extendedprice from r""")
 def x4_with_rows(spark, sf_dir):
-    laid = index.reindexed(index.from_rows(_t(spark, sf_dir, "lineitem", LINE), LINE), ["l_returnflag", "l_linestatus"], allow_rows=True).df
+    kept = ["l_returnflag", "l_linestatus", "l_orderkey", "l_linenumber", "l_extendedprice"]
+    laid = index.reindexed(index.from_rows(_t(spark, sf_dir, "lineitem", LINE), LINE, keep=kept), ["l_returnflag", "l_linestatus"], allow_rows=True).df
     return laid.select("l_returnflag_at", "l_linestatus_at", "row", "l_orderkey", "l_linenumber", "l_extendedprice")
 
 
@@ -242,7 +267,7 @@ def u1_union(spark, sf_dir):
 
 @query(f"with r as (select *, row_number() over (order by {_LINE}) - 1 as row from lineitem) select row from r where l_returnflag = 'A' and l_linestatus = 'F'")
 def u2_intersect(spark, sf_dir):
-    rows = stage(with_row_axis(_t(spark, sf_dir, "lineitem", LINE), LINE), "lineitem")
+    rows = with_row_axis(_t(spark, sf_dir, "lineitem", LINE), LINE, keep=["l_returnflag", "l_linestatus"])
     return index.intersect_rows(index.create_index(rows, "l_returnflag").filter("value = 'A'"), index.create_index(rows, "l_linestatus").filter("value = 'F'"))
 
 
@@ -376,6 +401,20 @@ def b4_narrow(spark, sf_dir):
     return blocks.narrow_partition(both, ["o_custkey_block"])
 
 
+@query(f"""
+with {_CELLS}, n as (select max(o_custkey_at) + 1 as a, max(o_orderdate_at) + 1 as b from one),
+x as (select range as i from range((select (a + 49) // 50 from n))), y as (select range as j from range((select (b + 399) // 400 from n)))
+select i as o_custkey_at_block, j as o_orderdate_at_block, o_custkey_at // 50 = i and o_orderdate_at // 400 = j as inner_cell, count(*) as n, round(sum(o_totalprice), 2) as total
+from one, x, y where o_custkey_at between i * 50 - 2 and i * 50 + 51 and o_orderdate_at between j * 400 - 10 and j * 400 + 409 group by all""")
+def b5_halos_over_axes(spark, sf_dir):
+    laid = index.reindexed(_orders(spark, sf_dir), ["o_custkey", "o_orderdate"]).df
+    top = columns.shape_envelope(laid, ["o_custkey_at", "o_orderdate_at"]).first()
+    extents = {c: top[f"{c}_hi"] + 1 for c in ("o_custkey_at", "o_orderdate_at")}
+    out = blocks.halos_over_axes(laid, {"o_custkey_at": 50, "o_orderdate_at": 400}, {"o_custkey_at": 2, "o_orderdate_at": 10}, extents)
+    by = out.groupBy("o_custkey_at_block", "o_orderdate_at_block", F.col("inner").alias("inner_cell"))
+    return by.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
 _HALO = """
 with r as (select row_number() over (order by o_orderkey) - 1 as row, o_totalprice from orders), s as (select {size} as size, count(*) as n from orders),
 b as (select range as block from range((select (n + size - 1) // size from s)))
@@ -548,6 +587,42 @@ def f5d_a_term_beams(spark, sf_dir):
     return _a(spark, sf_dir).select("plane", "stokes_out", "stokes_in", "x", "y", (F.round("value.re", 5) + 0.0).alias("re"), (F.round("value.im", 5) + 0.0).alias("im"))
 
 
+_AXES = f"""
+have as (select p_partkey % 2 as class, p_partkey % 4 // 2 as stokes, p_size::double as f, k, sum(p_retailprice) / 10000 / (k + 1) as re, count(*) * 0.01 - k * 0.001 as im from part, range(66) as r(k) group by all),
+want as (select distinct h.class, h.stokes, n_nationkey * 2.0 + 0.5 as frequency from have h, nation),
+near as (select w.class, w.stokes, w.frequency, arg_min(h.f, {{'d': abs(w.frequency - h.f), 'f': h.f}}) as f from want w join (select distinct class, stokes, f from have) h using (class, stokes) group by all),
+c as (select near.class, near.stokes, near.frequency, k, re, im from near join have using (class, stokes, f)), t(k, px, py, c) as (values {_TERMS}),
+poly as (select class, stokes, frequency, px, py, sum(re * t.c) as re, sum(im * t.c) as im from c join t using (k) group by all),
+turn as (select r_regionkey as angle, r_regionkey * 0.3 as a, x::int as x, y::int as y, (x - 1.5) * 0.5 as u, (y - 1.5) * 0.5 as v from region, range(4) as s(x), range(4) as q(y)),
+g as (select angle, x, y, u * cos(a) + v * sin(a) as cx, v * cos(a) - u * sin(a) as cy from turn),
+ap as (select class, stokes, frequency, angle, x, y, sum(case when cx * cx + cy * cy <= 1 then re * pow(cx, px) * pow(cy, py) else 0 end) as re, sum(case when cx * cx + cy * cy <= 1 then im * pow(cx, px) * pow(cy, py) else 0 end) as im from poly, g group by all),
+k4 as (select * from range(4) as r(kx), range(4) as s(ky)),
+jt as (select class, stokes, frequency, angle, ((kx + 1) % 4)::int as x, ((ky + 1) % 4)::int as y, sum(re * cos(pi() / 2 * (x * kx + y * ky)) + im * sin(pi() / 2 * (x * kx + y * ky))) * 0.01 as re,
+  sum(im * cos(pi() / 2 * (x * kx + y * ky)) - re * sin(pi() / 2 * (x * kx + y * ky))) * 0.01 as im from ap, k4 group by class, stokes, frequency, angle, kx, ky)"""
+
+
+@query(f"""
+with {_AXES}
+select o.class, o.frequency, o.angle, o.stokes as stokes_out, i.stokes as stokes_in, o.x, o.y, round(o.re * i.re + o.im * i.im, 3) + 0.0 as re, round(o.im * i.re - o.re * i.im, 3) + 0.0 as im
+from jt o join jt i on (o.class, o.frequency, o.angle, o.x, o.y) = (i.class, i.frequency, i.angle, i.x, i.y) and (o.stokes, i.stokes) in ((0, 0), (0, 1), (1, 1))""")
+def f5d_a_term_axes(spark, sf_dir):
+    part = _t(spark, sf_dir, "part", ["p_partkey", "p_size", "p_retailprice"]).select((F.col("p_partkey") % 2).alias("class"), F.floor(F.col("p_partkey") % 4 / 2).alias("stokes"), F.col("p_size").cast("double").alias("frequency"), "p_retailprice")
+    sums = part.groupBy("class", "stokes", "frequency").agg(F.sum("p_retailprice").alias("s"), F.count(F.lit(1)).alias("n"))
+    each = sums.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(65))))
+    have = each.select("class", "stokes", "frequency", "k", (F.col("s") / 10000 / (F.col("k") + 1)).alias("re"), (F.col("n") * 0.01 - F.col("k") * 0.001).alias("im"))
+    nation = _t(spark, sf_dir, "nation", ["n_nationkey"]).select((F.col("n_nationkey") * 2.0 + 0.5).alias("frequency"))
+    want = sums.select("class", "stokes").distinct().crossJoin(F.broadcast(nation))
+    keys = ["class", "stokes", "frequency"]
+    poly = cf.zernike_to_poly(cf.nearest_frequency_coeffs(want, have, ["class", "stokes"], 66), keys)
+    angles = _t(spark, sf_dir, "region", ["r_regionkey"]).select(F.col("r_regionkey").alias("angle"), (F.col("r_regionkey") * 0.3).alias("turn"))
+    grid = cf.grid_coordinates(cf.cf_axes([want, angles], 4), 4, 1.0, F.col("turn")).drop("turn")
+    beam = cf.beam(cf.aperture(grid, poly, keys), [*keys, "angle"], 4)
+    ill = beam.select(*keys, "angle", "x", "y", cplx(F.col("re") * 0.01, F.col("im") * 0.01).alias("value"))
+    axes = ["class", "frequency", "angle"]
+    out = cf.a_term(ill, axes, spark.createDataFrame([(0, 0), (0, 1), (1, 1)], "stokes_out long, stokes_in long"))
+    return out.select(*axes, "stokes_out", "stokes_in", "x", "y", (F.round("value.re", 3) + 0.0).alias("re"), (F.round("value.im", 3) + 0.0).alias("im"))
+
+
 _DFT = """
 , j as (select key, (x + 2) % 5 as jx, (y + 2) % 5 as jy, re, im from z), k as (select * from range(5) as r(kx), range(5) as s(ky))
 , o as (select key, (kx + 2) % 5 as x, (ky + 2) % 5 as y, sum(re * cos(2 * pi() / 5 * (jx * kx + jy * ky)) - im * sin(2 * pi() / 5 * (jx * kx + jy * ky))) as re,
@@ -577,6 +652,19 @@ def j3_product(spark, sf_dir):
     return out.select("key", "x", "y", (F.round("value.re", 6) + 0.0).alias("re"), (F.round("value.im", 6) + 0.0).alias("im"), F.round("weight", 6).alias("weight"))
 
 
+@query(f"""
+with {_PS}, {_W},
+n0 as (select x::int as x, y::int as y, (x - 1.0) * 0.6 as cx, (y - 1.0) * 0.6 as cy, (select min(n_nationkey) from nation) + 0.25 as w from range(3) as a(x), range(3) as b(y)),
+n1 as (select x + 1 as x, y + 1 as y, 2 * pi() * w * (sqrt(1 - cx * cx - cy * cy) - 1) as ph from n0),
+p as (select key, ps.x, ps.y, ps.v * coalesce(cos(ph), 1) as a, ps.v * coalesce(sin(ph), 0) as b, ps.weight from ps left join n1 using (x, y))
+select key, p.x, p.y, round(a * re - b * im, 6) + 0.0 as re, round(a * im + b * re, 6) + 0.0 as im, round(p.weight * wt.weight, 6) as weight from p join wt using (key, x, y)""")
+def j3_product_axes(spark, sf_dir):
+    nation = _t(spark, sf_dir, "nation", ["n_nationkey"]).select(F.col("n_nationkey").alias("nation"), (F.col("n_nationkey") + 0.25).alias("w"))
+    small = cf.w_term(cf.grid_coordinates(cf.cf_axes([nation], 3), 3, 0.9)).select("nation", "x", "y", "value", "weight")
+    out = cf.cf_products([(_ps(spark, sf_dir), 5, ["key"]), (small, 3, ["nation"]), (_w(spark, sf_dir), 5, ["key"])])
+    return out.select("key", "x", "y", (F.round("value.re", 6) + 0.0).alias("re"), (F.round("value.im", 6) + 0.0).alias("im"), F.round("weight", 6).alias("weight"))
+
+
 @query(f"with {_PS}, {_W}, z as (select key, ps.x, ps.y, ps.v * wt.re as re, ps.v * wt.im as im from ps join wt using (key, x, y)) {_DFT}")
 def f7_pipeline(spark, sf_dir):
     return _rounded(cf.cf_fft(cf.cf_product(_ps(spark, sf_dir), 5, _w(spark, sf_dir), 5, ["key"]), ["key"], 5))
@@ -657,6 +745,14 @@ def e6_direction(spark, sf_dir):
     return _t(spark, sf_dir, "events").select("event_id", F.round(expr.interp_direction(poly, dt, F.lit(2.0)), 6).alias("dir"))
 
 
+@query("select event_id, round(1.5 + value * t + 0.25 * t * t, 6) as ra, round(value - 0.5 * t + value * t * t, 6) as dec from (select *, user_id * 0.1 - 2 as t from events)")
+def e6_directions(spark, sf_dir):
+    v = F.col("value")
+    poly = F.array(F.array(F.lit(1.5), v), F.array(v, F.lit(-0.5)), F.array(F.lit(0.25), v))
+    df = _t(spark, sf_dir, "events").select("event_id", expr.interp_directions(poly, F.col("user_id") * 0.1, F.lit(2.0)).alias("d"))
+    return df.select("event_id", F.round(F.col("d")[0], 6).alias("ra"), F.round(F.col("d")[1], 6).alias("dec"))
+
+
 _LEAPS = ", ".join(f"(timestamp '{d}', {n})" for d, n in expr.LEAP_SECONDS)
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from axistab.model import AxisTable
+from axistab.model import AxisSet, AxisTable
+from axistab.operators.joins import align_rows, same_domain
 
 
 def select_columns(df: DataFrame, names: list[str]) -> DataFrame:
@@ -20,6 +21,31 @@ def add_columns(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.withColumns(columns)
 
 
+def add_columns_from(table: AxisTable, *others: tuple[AxisSet, DataFrame]) -> AxisTable:
+    """Add the columns of tables over the same cells, ``(axes, df)`` each; all or none.
+
+    Each must conform: the same uid, the table's index axes leading its axes, and the same domain over them. Refused are
+    also two tables over one list of axes and names that exist. A table with further axes keeps them as coordinate columns,
+    so its values are gathered into arrays in their order first (``collapse_elements``).
+    """
+    if len({axes.names for axes, _ in others}) < len(others):
+        raise ValueError("two tables over the same axes")
+    names = [c for _, df in others for c in df.columns if c not in table.coords]
+    if taken := [n for i, n in enumerate(names) if n in table.df.columns or n in names[:i]]:
+        raise ValueError(f"columns exist: {taken}")
+    for axes, df in others:
+        if not axes.conforms(table.axes):
+            raise ValueError(f"axes {axes} do not conform to {table.axes}")
+        if missing := [c for c in table.coords if c not in df.columns]:
+            raise ValueError(f"no coordinates: {missing}")
+        if not same_domain(table.df.select(*table.coords), df.select(*table.coords), table.coords):
+            raise ValueError(f"the domain over {axes} is another one")
+    out = table.df
+    for _, df in others:
+        out = align_rows(out, df, table.coords)
+    return AxisTable(out, table.index_axes, table.dims, table.uid)
+
+
 def remove_columns(table: AxisTable, names: list[str]) -> AxisTable:
     """Drop columns; index coordinates go only when everything goes."""
     left = [c for c in table.df.columns if c not in names]
@@ -30,17 +56,37 @@ def remove_columns(table: AxisTable, names: list[str]) -> AxisTable:
     return AxisTable(table.df.select(*left), table.index_axes if left else (), table.dims if left else {}, table.uid)
 
 
-def is_conformant(a: DataFrame, b: DataFrame, coords: list[str]) -> DataFrame:
-    """One row ``conformant``: whether both have the same cells over ``coords`` (which must lead in both)."""
+def is_conformant(a: DataFrame, b: DataFrame, coords: list[str], axes: tuple[AxisSet, AxisSet] | None = None, is_index: bool = False) -> DataFrame:
+    """One row ``conformant``: whether both have the same cells over ``coords``.
+
+    With ``axes`` of the table ``a`` and the column ``b`` their uids must agree and the table's axes lead the column's; for an
+    index column (``is_index``) its one axis must be an axis of the table, whatever its cells.
+    """
+    if axes and (is_index or not axes[1].conforms(axes[0])):
+        return a.sparkSession.range(1).select(F.lit(axes[1].conforms(axes[0], is_index)).alias("conformant"))
     one, two = a.select(*coords).distinct().withColumn("s", F.lit(1)), b.select(*coords).distinct().withColumn("s", F.lit(2))
     sides = one.unionByName(two).groupBy(*coords).agg(F.count(F.lit(1)).alias("n"))
     return sides.agg((F.count(F.when(F.col("n") < 2, 1)) == 0).alias("conformant"))
 
 
+def shape_of(col: Column, kind: T.DataType) -> Column:
+    """The sizes of an array at every rank as text, e.g. ``[2,[3,3]]``; null for a null array, 1 for no array."""
+
+    def sizes(c: Column, k: T.DataType) -> Column:
+        n = F.coalesce(F.size(c).cast("string"), F.lit("null"))
+        if not isinstance(k.elementType, T.ArrayType):
+            return n
+        inner = F.array_join(F.transform(c, lambda x: sizes(x, k.elementType)), ",")
+        return F.concat(F.lit("["), n, F.lit(",["), F.coalesce(inner, F.lit("")), F.lit("]]"))
+
+    return F.when(col.isNotNull(), sizes(col, kind)) if isinstance(kind, T.ArrayType) else F.lit("1")
+
+
 def profile_columns(df: DataFrame, schema: dict[str, tuple[str, str | None]]) -> DataFrame:
-    """One row for each column of a declared schema ``{name: (type, unit)}``: presence, types, cells with content, shapes."""
+    """One row for each column of a declared schema ``{name: (type, unit)}``: presence, types, cells with content,
+    shapes (distinct sizes at every rank)."""
     present = {f.name: f.dataType for f in df.schema}
-    shape = lambda n: F.count_distinct(F.size(n)) if isinstance(present[n], T.ArrayType) else F.lit(1)
+    shape = lambda n: F.count_distinct(shape_of(F.col(n), present[n])) if isinstance(present[n], T.ArrayType) else F.lit(1)
     stats = [x for n in schema if n in present for x in (F.count(n).alias(f"n_{n}"), shape(n).cast("long").alias(f"s_{n}"))]
     one = df.agg(*stats) if stats else df.sparkSession.range(1)
     rows = [
@@ -52,8 +98,9 @@ def profile_columns(df: DataFrame, schema: dict[str, tuple[str, str | None]]) ->
 
 
 def shape_groups(df: DataFrame, columns: list[str], row: str) -> DataFrame:
-    """``signature, columns``: array columns that have the same size in every row belong together."""
-    sums = df.agg(*(F.sum(F.xxhash64(F.col(row), F.coalesce(F.size(c), F.lit(-1))).cast("decimal(38,0)")).cast("string").alias(c) for c in columns))
+    """``signature, columns``: array columns that have the same sizes at every rank in every row belong together."""
+    shape = lambda c: F.coalesce(shape_of(F.col(c), df.schema[c].dataType), F.lit("null"))
+    sums = df.agg(*(F.sum(F.xxhash64(F.col(row), shape(c)).cast("decimal(38,0)")).cast("string").alias(c) for c in columns))
     pairs = sums.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("signature")) for c in columns))).alias("p")).select("p.*")
     return pairs.groupBy("signature").agg(F.array_sort(F.collect_list("column")).alias("columns"))
 
@@ -68,16 +115,24 @@ def shape_envelope(df: DataFrame, coords: list[str]) -> DataFrame:
     return out.withColumn("dense", F.col("cells") == whole)
 
 
-def explode_elements(df: DataFrame, col: str, axis: str, value: str) -> DataFrame:
-    """A row for each element of an array column: its place as ``axis``, its value as ``value``."""
+def explode_elements(df: DataFrame, col: str, axis: str, value: str, keep_empty: bool = False) -> DataFrame:
+    """A row for each element of an array column: its place as ``axis``, its value as ``value``.
+
+    With ``keep_empty`` an array without elements gives one row with place -1, a null array one with a null place, so that
+    ``collapse_elements`` gets all rows back.
+    """
     rest = [c for c in df.columns if c != col]
-    return df.select(*rest, F.posexplode(col).alias(axis, value))
+    if not keep_empty:
+        return df.select(*rest, F.posexplode(col).alias(axis, value))
+    out = df.select(*rest, F.col(col).isNotNull().alias("__known"), F.posexplode_outer(col).alias(axis, value))
+    return out.withColumn(axis, F.when(F.col(axis).isNull() & F.col("__known"), F.lit(-1)).otherwise(F.col(axis))).drop("__known")
 
 
 def collapse_elements(df: DataFrame, keys: list[str], axis: str, value: str, col: str) -> DataFrame:
-    """The inverse: elements gathered into arrays in the order of ``axis``."""
-    packed = F.array_sort(F.collect_list(F.struct(axis, value)))
-    return df.groupBy(*keys).agg(F.transform(packed, lambda e: e[value]).alias(col))
+    """The inverse: elements gathered into arrays in the order of ``axis``; keys with place -1 alone get an empty array, with
+    a null place alone a null one."""
+    packed = F.array_sort(F.collect_list(F.when(F.col(axis) >= 0, F.struct(axis, value))))
+    return df.groupBy(*keys).agg(F.when(F.count(axis) > 0, F.transform(packed, lambda e: e[value])).alias(col))
 
 
 def drop_empty_columns(df: DataFrame) -> DataFrame:

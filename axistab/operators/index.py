@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from axistab.model import ROW, AxisTable, at
+from axistab.operators.blocks import floor_div
 from axistab.operators.joins import sized
 from axistab.operators.rows import with_row_axis
 from axistab.sources.scratch import stage
 
 
-def from_rows(df: DataFrame, order_by: list[str | Column], uid: str = "") -> AxisTable:
-    """A table with the one index axis ROW."""
-    return AxisTable(with_row_axis(df, order_by, ROW), (ROW,), {}, uid)
+def from_rows(df: DataFrame, order_by: list[str | Column], uid: str = "", keep: list[str] | None = None) -> AxisTable:
+    """A table with the one index axis ROW; of its columns only ``keep``, if given."""
+    return AxisTable(with_row_axis(df, order_by, ROW, keep), (ROW,), {}, uid)
 
 
 def axis_values(df: DataFrame, col: str) -> DataFrame:
@@ -39,6 +40,10 @@ def row_chunks(index: DataFrame, size: int = 65_536) -> DataFrame:
     return index.groupBy("coord", "value", chunk).agg(F.array_sort(F.collect_list("row")).alias("rows"))
 
 
+#: Row numbers of a cell that one group numbers.
+RUN = 1 << 18
+
+
 def _single(df: DataFrame, coords: list[str]) -> DataFrame:
     """Rows alone in their cell. Counted with a partial aggregate, so a full cell costs one row a task."""
     rest = [c for c in df.columns if c not in coords]
@@ -47,11 +52,18 @@ def _single(df: DataFrame, coords: list[str]) -> DataFrame:
 
 
 def _ordinals(df: DataFrame, coords: list[str], row: str) -> DataFrame:
-    """Replaces ``row`` by the place of each row in its cell: ranks over all rows less the rank of the cell's first."""
-    ranked = with_row_axis(df, [*coords, row], "__rank")
-    first = stage(ranked.groupBy(*coords).agg(F.min("__rank").alias("__first")), "cells")
-    out = ranked.join(sized(first), coords)
-    return out.withColumn(row, F.col("__rank") - F.col("__first")).drop("__rank", "__first")
+    """Replaces ``row`` by the place of each row in its cell.
+
+    A cell is cut into runs of ``RUN`` row numbers. Counts of the runs, summed within the cell, give each its first place, and
+    rows are numbered within their run. So rows are shuffled once, and a cell with many rows is as many groups as it has runs.
+    """
+    cut = df.withColumn("__run", floor_div(F.col(row), RUN))
+    runs = cut.groupBy(*coords, "__run").agg(F.count(F.lit(1)).alias("__n"))
+    through = F.sum("__n").over(Window.partitionBy(*coords).orderBy("__run").rowsBetween(Window.unboundedPreceding, 0))
+    before = stage(runs.withColumn("__before", through - F.col("__n")).drop("__n"), "runs")
+    nth = F.row_number().over(Window.partitionBy(*coords, "__run").orderBy(row))
+    met = cut.join(sized(before), [*coords, "__run"])
+    return met.withColumn(row, F.col("__before") + nth - 1).drop("__run", "__before")
 
 
 def reindexed(table: AxisTable, axes: list[str], allow_rows: bool = False, on_collision: str = "drop") -> AxisTable:

@@ -2,15 +2,38 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from axistab.model import AxisSet
+
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
+
+
+def _row_bytes(df: DataFrame) -> Column:
+    """About the bytes of a row: 16 for each plain column, and the length of strings, binaries and nested values."""
+    size = F.lit(16 * len(df.columns)).cast("long")
+    for f in df.schema:
+        col = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            size = size + F.coalesce(F.octet_length(col), F.lit(0))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(col))), F.lit(0))
+    return size
 
-BROADCAST_ROWS = 100_000
+
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most ``rows`` rows and about ``size`` bytes; reads no more than ``rows`` + 1 of it."""
+    found = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(_row_bytes(df)).alias("b")).first()
+    return found["n"] <= rows and (found["b"] or 0) <= size
 
 
 def sized(dim: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``dim`` marked for broadcast if it has at most ``limit`` rows, else for a shuffled join."""
-    return F.broadcast(dim) if dim.limit(limit + 1).count() <= limit else dim.hint("merge")
+    """``dim`` marked for broadcast if it is small in rows and bytes, else for a shuffled join."""
+    return F.broadcast(dim) if fits(dim, limit) else dim.hint("merge")
 
 
 def lookup_join(fact: DataFrame, dim: DataFrame, fk: str, key: str, how: str = "inner") -> DataFrame:
@@ -19,11 +42,12 @@ def lookup_join(fact: DataFrame, dim: DataFrame, fk: str, key: str, how: str = "
 
 
 def keyed_lookup(fact: DataFrame, dim: DataFrame, keys: dict[str, str], element: str | None = None) -> DataFrame:
-    """Lookup by a composite key ``{fact column: dimension column}``; of an array column ``element`` the first element."""
+    """Lookup by a composite key ``{fact column: dimension column}``; of an array column ``element`` the first element
+    (null if it is empty)."""
     for mine, theirs in keys.items():
         dim = dim.withColumnRenamed(theirs, mine)
     out = fact.join(sized(dim), list(keys))
-    return out.withColumn(element, F.element_at(element, 1)) if element else out
+    return out.withColumn(element, F.try_element_at(F.col(element), F.lit(1))) if element else out
 
 
 def code_lookup(col: Column, codes: dict[str, int], default: int | None = None) -> Column:
@@ -38,9 +62,23 @@ def refcode_lookup(df: DataFrame, code_col: str, table: DataFrame, key: str) ->
     return lookup_join(df, table, code_col, key, "left")
 
 
-def align_rows(a: DataFrame, b: DataFrame, coords: list[str]) -> DataFrame:
-    """Columns of two tables over the same coordinates side by side; refuses domains that differ."""
-    one, two = a.select(coords).distinct(), b.select(coords).distinct()
-    if one.join(two, coords, "left_anti").take(1) or two.join(one, coords, "left_anti").take(1):
-        raise ValueError("the tables have different row domains")
-    return a.join(b, coords)
+def same_domain(a: DataFrame, b: DataFrame, coords: list[str]) -> bool:
+    """Whether both tables have the same cells over ``coords``, each cell once: one shuffle, counted with partial aggregates."""
+    sides = [df.select(*coords, F.lit(x).alias("__a"), F.lit(1 - x).alias("__b")) for df, x in ((a, 1), (b, 0))]
+    cells = sides[0].unionByName(sides[1]).groupBy(*coords).agg(F.sum("__a").alias("__a"), F.sum("__b").alias("__b"))
+    return not cells.filter("__a <> 1 or __b <> 1").take(1)
+
+
+def align_rows(a: DataFrame, b: DataFrame, coords: list[str], axes: tuple[AxisSet, AxisSet] | None = None) -> DataFrame:
+    """Columns of two tables over the same coordinates side by side.
+
+    Refuses domains that differ, coordinates that repeat, and axis sets (``axes``, if given) with different uids. Null
+    coordinates are cells as well.
+    """
+    if axes and axes[0].uid != axes[1].uid:
+        raise ValueError(f"axes of {axes[0].uid!r} and {axes[1].uid!r} never conform")
+    if not same_domain(a, b, coords):
+        raise ValueError("the tables have different row domains, or a coordinate twice")
+    other = b.toDF(*(f"__b_{c}" if c in coords else c for c in b.columns))
+    met = a.join(other, reduce(lambda p, q: p & q, (F.col(c).eqNullSafe(F.col(f"__b_{c}")) for c in coords)))
+    return met.drop(*(f"__b_{c}" for c in coords))

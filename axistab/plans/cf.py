@@ -9,11 +9,12 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from axistab.functions.cplx import cmul, conj, cplx
+from axistab.operators.joins import sized
 
 
 def cf_axes(axes: list[DataFrame], n: int) -> DataFrame:
@@ -65,14 +66,16 @@ def w_term(df: DataFrame, w: str = "w") -> DataFrame:
     return df.withColumns({"value": cplx(F.when(inside, F.cos(phase)).otherwise(0.0), F.when(inside, F.sin(phase)).otherwise(0.0)), "weight": F.when(inside, 1.0)})
 
 
-def cf_product(left: DataFrame, left_n: int, right: DataFrame, right_n: int, shared: list[str]) -> DataFrame:
+def cf_product(left: DataFrame, left_n: int, right: DataFrame, right_n: int, shared: list[str], right_only: list[str] | None = None) -> DataFrame:
     """``left`` times ``right`` on shared axes, the smaller right grid centred in the left one.
 
-    Axes that one side lacks are broadcast along; for an axis that only the right side has, ``right`` must hold index 0 of
-    it alone. Cells outside the smaller grid keep the left value. Grids need equal parity, the left one the larger size.
+    Axes that the right side lacks are broadcast along; of the axes that only it has (``right_only``) the first coordinate
+    counts. Cells outside the smaller grid keep the left value. Grids need equal parity, the left one the larger size.
     """
     if right_n > left_n or (left_n - right_n) % 2:
         raise ValueError("the first grid must be the largest, and sizes of equal parity")
+    for axis in right_only or []:
+        right = right.join(F.broadcast(right.agg(F.min(axis).alias("__first"))), F.col(axis) == F.col("__first")).drop("__first")
     shift = (left_n - right_n) // 2
     other = right.select(*shared, (F.col("x") + shift).alias("x"), (F.col("y") + shift).alias("y"), F.col("value").alias("__v"), F.col("weight").alias("__w"))
     met = left.join(other, [*shared, "x", "y"], "left")
@@ -81,6 +84,14 @@ def cf_product(left: DataFrame, left_n: int, right: DataFrame, right_n: int, sha
     return met.withColumns({"value": value, "weight": weight}).drop("__v", "__w")
 
 
+def cf_products(tables: list[tuple[DataFrame, int, list[str]]]) -> DataFrame:
+    """Product of several tables ``(df, grid size, axes)``; the first has the largest grid and gives the result its axes."""
+    (out, n, have), *others = tables
+    for df, size, axes in others:
+        out = cf_product(out, n, df, size, [a for a in axes if a in have], [a for a in axes if a not in have])
+    return out
+
+
 def _shift(n: int) -> int:
     """The cyclic shift of a "rotated" axis; n // 2 + 1 for even sizes as well."""
     return (n // 2 + 1) % n
@@ -186,8 +197,14 @@ def nearest_frequency_coeffs(wanted: DataFrame, available: DataFrame, keys: list
 
     Ties go to the lower frequency; missing orders, and keys without any frequency, have zero coefficients.
     """
-    found = available.select(*keys, F.col("frequency").alias("__f")).distinct()
-    near = wanted.join(found, keys, "left").groupBy(*keys, "frequency").agg(F.min_by("__f", F.struct(F.abs(F.col("frequency") - F.col("__f")), F.col("__f"))).alias("__f"))
+    # Both sorted together within a key: the nearest one below and above, in time linear in their number.
+    found = available.select(*keys, "frequency").distinct().withColumn("__have", F.col("frequency"))
+    none = F.lit(None).cast(found.schema["frequency"].dataType)
+    both = found.unionByName(wanted.select(*keys, "frequency").distinct().withColumn("__have", none))
+    nearest = lambda order: F.last("__have", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(order).rangeBetween(Window.unboundedPreceding, 0))
+    near = both.withColumns({"__lo": nearest(F.asc("frequency")), "__hi": nearest(F.desc("frequency"))}).filter("__have is null")
+    low = F.col("__lo").isNotNull() & (F.col("__hi").isNull() | (F.col("frequency") - F.col("__lo") <= F.col("__hi") - F.col("frequency")))
+    near = near.select(*keys, "frequency", F.when(low, F.col("__lo")).otherwise(F.col("__hi")).alias("__f"))
     full = near.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(orders - 1))))
     met = full.join(available.withColumnRenamed("frequency", "__f"), [*keys, "__f", "k"], "left")
     return met.select(*keys, "frequency", "k", F.coalesce("re", F.lit(0.0)).alias("re"), F.coalesce("im", F.lit(0.0)).alias("im"))
@@ -212,5 +229,5 @@ def a_term(illumination: DataFrame, keys: list[str], pairs: DataFrame) -> DataFr
     """J[out] conj(J[in]) for the Stokes pairs ``stokes_out, stokes_in``, from ``keys, stokes, x, y, value``; J is the ``beam``."""
     out = illumination.select(*keys, "x", "y", F.col("stokes").alias("stokes_out"), F.col("value").alias("__o"))
     into = illumination.select(*keys, "x", "y", F.col("stokes").alias("stokes_in"), F.col("value").alias("__i"))
-    met = out.join(F.broadcast(pairs), "stokes_out").join(into, [*keys, "stokes_in", "x", "y"])
+    met = out.join(sized(pairs), "stokes_out").join(into, [*keys, "stokes_in", "x", "y"])
     return met.select(*keys, "stokes_out", "stokes_in", "x", "y", cmul(F.col("__o"), conj(F.col("__i"))).alias("value"))

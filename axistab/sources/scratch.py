@@ -35,4 +35,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark, schema = df.sparkSession, df.schema
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._staged_path = path
+    return out
+
+
+def free(*staged: DataFrame | None) -> None:
+    """Delete staged tables that nothing reads any more; what was not staged is left alone."""
+    for df in staged:
+        if path := getattr(df, "_staged_path", None):
+            hadoop = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from axistab.model import AxisTable
+from axistab.operators.joins import align_rows
 
 
 def read_table(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
@@ -20,6 +22,18 @@ def read_table(spark: SparkSession, path: str, columns: list[str] | None = None)
     return df.select(*columns)
 
 
+def import_table(df: DataFrame, schema: dict[str, tuple[str, str | None]]) -> DataFrame:
+    """The columns that a declared schema ``{name: (type, unit)}`` knows, in its types, units in the metadata.
+
+    Unknown columns are skipped; declared ones that are missing stay away. A value that its type cannot hold is refused.
+    """
+    known = [(n, *schema[n]) for n in schema if n in df.columns]
+    out = df.select(*(F.col(n).cast(kind).alias(n) for n, kind, _ in known))
+    for name, _, unit in known:
+        out = with_metadata(out, name, unit=unit) if unit else out
+    return out
+
+
 def with_metadata(df: DataFrame, column: str, **items) -> DataFrame:
     """A column with keywords, a measure or units in its metadata, which Parquet keeps."""
     return df.withMetadata(column, {**df.schema[column].metadata, **{k: json.dumps(v) for k, v in items.items()}})
@@ -53,8 +67,24 @@ def chosen_tables(have: list[str], names: list[str] | None) -> list[str]:
     return [t for t in have if t in wanted] if wanted else [t for t in have if t not in without]
 
 
-def export_dataset(spark: SparkSession, source: str, target: str, have: list[str], names: list[str] | None = None) -> list[str]:
-    """Copy every non-empty chosen table; returns the copied names."""
+def stored_tables(spark: SparkSession, source: str) -> list[str]:
+    """Names of the Parquet tables at ``source``, sorted."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(source)
+    found = [f.getPath().getName() for f in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)]
+    return sorted(n.removesuffix(".parquet") for n in found if n.endswith(".parquet"))
+
+
+def export_dataset(spark: SparkSession, source: str, target: str, have: list[str] | None = None, names: list[str] | None = None) -> list[str]:
+    """Copy every non-empty chosen table; returns the copied names.
+
+    ``have``: the tables to choose from, by default all at ``source``. A list that names some tables and excludes others is
+    warned about (only the names count), unknown names are refused.
+    """
+    have = stored_tables(spark, source) if have is None else have
+    if unknown := [n for n in names or [] if n.removeprefix("~") not in have]:
+        raise ValueError(f"no such table: {unknown}")
+    if len({n.startswith("~") for n in names or []}) == 2:
+        warnings.warn("exclusions beside names are ignored", stacklevel=2)
     done = []
     for name in chosen_tables(have, names):
         df = spark.read.parquet(f"{source}/{name}.parquet")
@@ -67,7 +97,8 @@ def export_dataset(spark: SparkSession, source: str, target: str, have: list[str
 def attach(spark: SparkSession, paths: dict[str, str], coords: list[str]) -> DataFrame:
     """Columns bound to where they are stored, ``{column: path}``; all stored with the same coordinates.
 
-    Columns of one path are read together. Refuses a column without a path and columns that live on other coordinates.
+    Columns of one path are read together. Refuses a column without a path and columns that live on other coordinates or
+    over another domain (each cell once on every path).
     """
     if bad := [c for c, p in paths.items() if not p]:
         raise ValueError(f"columns without a path: {bad}")
@@ -80,7 +111,7 @@ def attach(spark: SparkSession, paths: dict[str, str], coords: list[str]) -> Dat
         if [c for c in coords if c not in df.columns]:
             raise ValueError(f"{path} has other coordinates")
         part = df.select(*coords, *cols)
-        out = part if out is None else out.join(part, coords)
+        out = part if out is None else align_rows(out, part, coords)
     return out
 
 
