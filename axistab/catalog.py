@@ -588,7 +588,7 @@ def f5d_a_term_beams(spark, sf_dir):
 
 
 _AXES = f"""
-have as (select p_partkey % 2 as class, p_partkey % 4 // 2 as stokes, p_size::double as f, k, sum(p_retailprice) / 10000 / (k + 1) as re, count(*) * 0.01 - k * 0.001 as im from part, range(66) as r(k) group by all),
+have as (select p_partkey % 2 as class, p_partkey % 4 // 2 as stokes, p_size::double as f, k, sum(p_retailprice) / 10000 / (k + 1) as re, count(*) * 0.01 - k * 0.001 as im from part, range(66) as r(k) group by 1, 2, 3, 4),
 want as (select distinct h.class, h.stokes, n_nationkey * 2.0 + 0.5 as frequency from have h, nation),
 near as (select w.class, w.stokes, w.frequency, arg_min(h.f, {{'d': abs(w.frequency - h.f), 'f': h.f}}) as f from want w join (select distinct class, stokes, f from have) h using (class, stokes) group by all),
 c as (select near.class, near.stokes, near.frequency, k, re, im from near join have using (class, stokes, f)), t(k, px, py, c) as (values {_TERMS}),

@@ -56,10 +56,10 @@ def interp_direction(poly: Column, t: Column, t0: Column, tolerance: float = 1e-
 
 def interp_directions(poly: Column, t: Column, t0: Column, tolerance: float = 1e-9) -> Column:
     """``interp_direction`` of every component: ``poly`` holds an array of components for each power, the constant first."""
-    component = lambda j: F.transform(poly, lambda p: F.element_at(p, (j + 1).cast("int")))
-    places = F.sequence(F.lit(0), F.coalesce(F.size(F.try_element_at(poly, F.lit(1))), F.lit(0)) - 1)
-    each = F.transform(places, lambda j: interp_direction(component(j), t, t0, tolerance))
-    return F.when(F.coalesce(F.size(F.try_element_at(poly, F.lit(1))), F.lit(0)) > 0, each).otherwise(F.array().cast("array<double>"))
+    dt = F.when((F.size(poly) == 1) | (F.abs(t - t0) <= tolerance), F.lit(0.0)).otherwise(t - t0)
+    powers = F.reverse(poly)
+    each = F.transform(F.try_element_at(poly, F.lit(1)), lambda _, j: F.aggregate(powers, F.lit(0.0), lambda a, p: a * dt + F.element_at(p, j + 1)))
+    return F.coalesce(each, F.array().cast("array<double>"))
 
 
 def parallactic_angle(hour_angle: Column, latitude: Column, declination: Column) -> Column:
