@@ -79,8 +79,16 @@ def _to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def word_blocks(df: DataFrame, held: Column, id_col: str, text_col: str) -> DataFrame:
     kind = df.schema[id_col].dataType
-    fields = [T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(kind)), *(T.StructField(n, T.BinaryType()) for n in ("lens", "held", "words", "crcs", "stream")), T.StructField("train", T.LongType())]
-    return stage(df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), held.alias("_held")).mapInArrow(_to_blocks, T.StructType(fields)), "blocks")
+    fields = [
+        T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(kind)),
+        *(T.StructField(n, T.BinaryType()) for n in ("lens", "held", "words", "crcs", "stream")), T.StructField("train", T.LongType()),
+    ]
+    return stage(
+        df.select(
+            F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), held.alias("_held"),
+        ).mapInArrow(_to_blocks, T.StructType(fields)),
+        "blocks",
+    )
 
 
 def _read(row: dict) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -106,7 +114,9 @@ def frequent_words(blocks: DataFrame, total: int, frequent: int = FREQUENT) -> l
             words, stream, train = _read(row)
             count = np.bincount(stream[train], minlength=len(words))
             some = np.flatnonzero((count > 0) & (count * 2 * frequent >= row["train"]))
-            yield pa.RecordBatch.from_arrays([pa.array([words[i] for i in some], pa.binary()), pa.array(count[some], pa.int64())], names=["word", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([words[i] for i in some], pa.binary()), pa.array(count[some], pa.int64())], names=["word", "n"],
+            )
 
     seen = blocks.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") * 2 * frequent >= total)
     return [_END, *(bytes(r["word"]) for r in seen.orderBy(F.desc("n"), "word").collect() if bytes(r["word"]) != _END)]
@@ -135,7 +145,9 @@ def exchange(right: np.ndarray, left: np.ndarray, own: np.ndarray, matrix: np.nd
         before[a] -= r.sum()
         after[a] -= l.sum()
         j, k = np.flatnonzero(r), np.flatnonzero(l)
-        gain = (_xlogx(n[:classes, j] + r[j]) - _xlogx(n[:classes, j])).sum(axis=1) + (_xlogx(n[k, :classes].T + l[k]) - _xlogx(n[k, :classes].T)).sum(axis=1)
+        gain = (_xlogx(n[:classes, j] + r[j]) - _xlogx(n[:classes, j])).sum(axis=1) + (
+            _xlogx(n[k, :classes].T + l[k]) - _xlogx(n[k, :classes].T)
+        ).sum(axis=1)
         gain -= _xlogx(before[:classes] + r.sum()) - _xlogx(before[:classes]) + _xlogx(after[:classes] + l.sum()) - _xlogx(after[:classes])
         out[i] = int(np.argmax(gain))
     return out
@@ -165,8 +177,13 @@ def _contexts(index, now, classes: int):
         if sums is not None:
             salt = TaskContext.get().partitionId() % 64
             step = SLICE * width
-            rows = [(-1, salt, _pack(sums[2]), _pack(sums[2]))] + [(i, salt, _pack(sums[0][i * step : (i + 1) * step]), _pack(sums[1][i * step : (i + 1) * step])) for i in range(-(-number // SLICE))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["slice", "salt", "r", "l"])
+            rows = [(-1, salt, _pack(sums[2]), _pack(sums[2]))] + [
+                (i, salt, _pack(sums[0][i * step : (i + 1) * step]), _pack(sums[1][i * step : (i + 1) * step])) for i in range(-(-number // SLICE))
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)],
+                names=["slice", "salt", "r", "l"],
+            )
 
     return run
 
@@ -211,7 +228,9 @@ def cluster_frequent(blocks: DataFrame, heads: list[bytes], classes: int = CLASS
     for sweep in range(sweeps + 1):
         now = spark.sparkContext.broadcast(own)
 
-        counted = blocks.select("lens", "held", "words", "stream").mapInArrow(_contexts(index, now, classes), "slice int, salt int, r binary, l binary")
+        counted = blocks.select("lens", "held", "words", "stream").mapInArrow(
+            _contexts(index, now, classes), "slice int, salt int, r binary, l binary",
+        )
         table = stage(summed(summed(counted, "slice", "salt"), "slice"), "contexts")
         found = table.filter("slice = -1").first()
         if found is None:
@@ -220,7 +239,9 @@ def cluster_frequent(blocks: DataFrame, heads: list[bytes], classes: int = CLASS
         if sweep == sweeps:
             break
 
-        moved = table.filter("slice >= 0").groupBy("slice").applyInPandas(_moves(now, matrix, sweep, classes), "slice int, own binary").orderBy("slice").collect()
+        moved = table.filter("slice >= 0").groupBy("slice").applyInPandas(
+            _moves(now, matrix, sweep, classes), "slice int, own binary",
+        ).orderBy("slice").collect()
         own = np.frombuffer(b"".join(bytes(r["own"]) for r in moved), np.uint8)
     return own, matrix
 
@@ -251,9 +272,18 @@ def _asked(parts: int, index, now, classes: int):
             for p in range(parts):
                 lo, hi, a, b = cuts[p], cuts[p + 1], ends[p], ends[p + 1]
                 if hi > lo:
-                    rows.append((p, row["block"], _pack(b" ".join(words[lo:hi])), _pack(count[lo:hi].astype(np.int64)), _pack((word[a:b] - lo).astype(np.int32)), _pack((keys[a:b] % (2 * width)).astype(np.uint8)), _pack(n[a:b].astype(np.int64))))
+                    rows.append(
+                        (
+                            p, row["block"], _pack(b" ".join(words[lo:hi])), _pack(count[lo:hi].astype(np.int64)),
+                            _pack((word[a:b] - lo).astype(np.int32)), _pack((keys[a:b] % (2 * width)).astype(np.uint8)),
+                            _pack(n[a:b].astype(np.int64)),
+                        )
+                    )
             kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 5)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["part", "block", "words", "counts", "word", "code", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)],
+                names=["part", "block", "words", "counts", "word", "code", "n"],
+            )
 
     return run
 
@@ -306,8 +336,16 @@ def _answered(index, now, matrix: np.ndarray, classes: int):
         known = total > 0
         stats = np.r_[np.bincount(kind[known], weights=total[known], minlength=width), total.sum(), known.sum(), (total == 1).sum()].astype(np.int64)
         part = table.column("part")[0].as_py()
-        out = {"part": [part] * (len(blocks) + 1), "block": [*blocks, -1], "counts": [*(_pack(total[x]) for x in places), None], "kinds": [*(_pack(kind[x]) for x in places), None], "stats": [*[None] * len(blocks), stats.tolist()]}
-        return pa.table(out, schema=pa.schema([("part", pa.int32()), ("block", pa.int64()), ("counts", pa.binary()), ("kinds", pa.binary()), ("stats", pa.list_(pa.int64()))]))
+        out = {
+            "part": [part] * (len(blocks) + 1), "block": [*blocks, -1], "counts": [*(_pack(total[x]) for x in places), None],
+            "kinds": [*(_pack(kind[x]) for x in places), None], "stats": [*[None] * len(blocks), stats.tolist()],
+        }
+        return pa.table(
+            out,
+            schema=pa.schema(
+                [("part", pa.int32()), ("block", pa.int64()), ("counts", pa.binary()), ("kinds", pa.binary()), ("stats", pa.list_(pa.int64()))]
+            ),
+        )
 
     return run
 
@@ -330,7 +368,10 @@ def _classed(stats: np.ndarray, classes: int):
         marked = np.where(count == 1, kind | _ONCE, kind).astype(np.uint8)
         firsts = np.r_[0, np.cumsum(lens)[:-1]]
         per = [np.add.reduceat(x[stream], firsts) for x in (base, emitted, known.astype(np.int64))]
-        out = {"ids": left.column("ids").combine_chunks(), "lens": [row["lens"]], "held": [row["held"]], "kinds": [_pack(marked[stream])], "base": [per[0].tolist()], "emitted": [per[1].tolist()], "known": [per[2].tolist()]}
+        out = {
+            "ids": left.column("ids").combine_chunks(), "lens": [row["lens"]], "held": [row["held"]], "kinds": [_pack(marked[stream])],
+            "base": [per[0].tolist()], "emitted": [per[1].tolist()], "known": [per[2].tolist()],
+        }
         return pa.table(out)
 
     return run
@@ -369,13 +410,18 @@ def _scores(step: np.ndarray, unknown: np.ndarray, classes: int, total: int, kin
                 each = np.where(known, step[before, kind], unknown[before])
                 score = np.add.reduceat(each, np.r_[0, np.cumsum(lens)[:-1]]) + np.array(row["emitted"])
                 ids = batch.column("ids").slice(i, 1).flatten()
-                cols = [ids, pa.array(held.astype(bool)), pa.array(lens.astype(np.int64)), pa.array(row["known"], pa.int64()), pa.array(np.full(len(lens), total, np.int64)), pa.array(row["base"], pa.float64()), pa.array(score)]
+                cols = [
+                    ids, pa.array(held.astype(bool)), pa.array(lens.astype(np.int64)), pa.array(row["known"], pa.int64()),
+                    pa.array(np.full(len(lens), total, np.int64)), pa.array(row["base"], pa.float64()), pa.array(score),
+                ]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
 
 
-def _fitted(df: DataFrame, held: Column, id_col: str, text_col: str, classes: int, sweeps: int, frequent: int) -> tuple[DataFrame, DataFrame, np.ndarray, int]:
+def _fitted(
+    df: DataFrame, held: Column, id_col: str, text_col: str, classes: int, sweeps: int, frequent: int,
+) -> tuple[DataFrame, DataFrame, np.ndarray, int]:
     """Blocks, the answers to them (count and class of each word of each block), the statistics of classes, and the number of
     groups to deal blocks to."""
     if not 1 <= classes <= 120:
@@ -387,9 +433,16 @@ def _fitted(df: DataFrame, held: Column, id_col: str, text_col: str, classes: in
     own, matrix = cluster_frequent(blocks, heads, classes, sweeps)
     index, now = spark.sparkContext.broadcast({w: i for i, w in enumerate(heads)}), spark.sparkContext.broadcast(own)
     parts = max(8, whole["blocks"] // 2)
-    asked = blocks.select("block", "lens", "held", "words", "crcs", "stream").mapInArrow(_asked(parts, index, now, classes), "part int, block long, words binary, counts binary, word binary, code binary, n binary")
+    asked = blocks.select("block", "lens", "held", "words", "crcs", "stream").mapInArrow(
+        _asked(parts, index, now, classes), "part int, block long, words binary, counts binary, word binary, code binary, n binary",
+    )
     tasks = max(parts, spark.sparkContext.defaultParallelism)
-    answers = stage(asked.repartition(tasks, "part").groupBy("part").applyInArrow(_answered(index, now, matrix, classes), "part int, block long, counts binary, kinds binary, stats array<long>"), "answers")
+    answers = stage(
+        asked.repartition(tasks, "part").groupBy("part").applyInArrow(
+            _answered(index, now, matrix, classes), "part int, block long, counts binary, kinds binary, stats array<long>",
+        ),
+        "answers",
+    )
     stats = np.zeros(width + 3, np.int64)
     for r in answers.filter("block = -1").select(F.posexplode("stats").alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n")).collect():
         stats[r["i"]] = r["n"]
@@ -402,18 +455,28 @@ def _named(left: pa.Table, right: pa.Table) -> pa.Table:
     answers = sorted(zip(right.column("part").to_pylist(), right.column("counts").to_pylist(), right.column("kinds").to_pylist(), strict=True))
     count, kind = (np.concatenate([_unpack(a[i], t) for a in answers]) for i, t in ((1, np.int64), (2, np.uint8)))
     some = np.flatnonzero(count > 0)
-    return pa.table({"word": pa.array([words[i] for i in some], pa.binary()), "class": pa.array(kind[some].astype(np.int32)), "count": pa.array(count[some])})
+    return pa.table(
+        {"word": pa.array([words[i] for i in some], pa.binary()), "class": pa.array(kind[some].astype(np.int32)), "count": pa.array(count[some])}
+    )
 
 
-def word_classes(df: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text", classes: int = CLASSES, sweeps: int = SWEEPS, frequent: int = FREQUENT) -> DataFrame:
+def word_classes(
+    df: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text", classes: int = CLASSES, sweeps: int = SWEEPS,
+    frequent: int = FREQUENT,
+) -> DataFrame:
     """``word, class, count`` of every word of the training rows (UTF-8 bytes; the end is empty, its class ``classes`` + 1)."""
     blocks, answers, _, count = _fitted(df, held, id_col, text_col, classes, sweeps, frequent)
     of = answers.filter("block >= 0").drop("stats").repartition(count, "block").groupBy("block")
-    named = blocks.select("block", "words").repartition(count, "block").groupBy("block").cogroup(of).applyInArrow(_named, "word binary, class int, count long")
+    named = blocks.select("block", "words").repartition(count, "block").groupBy("block").cogroup(of).applyInArrow(
+        _named, "word binary, class int, count long",
+    )
     return named.distinct()
 
 
-def brown_scores(df: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text", classes: int = CLASSES, sweeps: int = SWEEPS, frequent: int = FREQUENT) -> DataFrame:
+def brown_scores(
+    df: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text", classes: int = CLASSES, sweeps: int = SWEEPS,
+    frequent: int = FREQUENT,
+) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of each row; scores are log10 probabilities.
 
     Learns from the rows where ``held`` is false. Tokens are runs outside ASCII white space with A-Z lowered, then one end.
@@ -424,13 +487,19 @@ def brown_scores(df: DataFrame, held: Column, id_col: str = "doc_id", text_col:
     width = classes + 2
     blocks, answers, stats, count = _fitted(df, held, id_col, text_col, classes, sweeps, frequent)
     id_type = df.schema[id_col].dataType
-    fields = [T.StructField("ids", T.ArrayType(id_type)), *(T.StructField(c, T.BinaryType()) for c in ("lens", "held", "kinds")), T.StructField("base", T.ArrayType(T.DoubleType())), T.StructField("emitted", T.ArrayType(T.DoubleType())), T.StructField("known", T.ArrayType(T.LongType()))]
+    fields = [
+        T.StructField("ids", T.ArrayType(id_type)), *(T.StructField(c, T.BinaryType()) for c in ("lens", "held", "kinds")),
+        T.StructField("base", T.ArrayType(T.DoubleType())), T.StructField("emitted", T.ArrayType(T.DoubleType())),
+        T.StructField("known", T.ArrayType(T.LongType())),
+    ]
     text_side = blocks.select("block", "ids", "lens", "held", "stream").repartition(count, "block").groupBy("block")
     answer_side = answers.filter("block >= 0").drop("stats").repartition(count, "block").groupBy("block")
     classed = stage(text_side.cogroup(answer_side).applyInArrow(_classed(stats, classes), T.StructType(fields)), "classed")
 
     moves = np.zeros(width * (width + 1), np.int64)
-    for r in classed.select("lens", "held", "kinds").mapInArrow(_transitions(classes), "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():
+    for r in classed.select("lens", "held", "kinds").mapInArrow(
+        _transitions(classes), "i int, n long",
+    ).groupBy("i").agg(F.sum("n").alias("n")).collect():
         moves[r["i"]] = r["n"]
     moves = moves.reshape(width, width + 1).astype(float)
     n, once = float(stats[width]), float(stats[width + 2])
@@ -443,5 +512,8 @@ def brown_scores(df: DataFrame, held: Column, id_col: str = "doc_id", text_col:
     else:
         unknown, step = np.ones(width), np.ones((width, width))
     step = np.log10(np.maximum(step, 1e-300))
-    names = [("doc_id", id_type), ("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType())]
+    names = [
+        ("doc_id", id_type), ("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()),
+        ("base_score", T.DoubleType()), ("score", T.DoubleType()),
+    ]
     return classed.mapInArrow(_scores(step, np.log10(unknown), classes, int(n)), T.StructType([T.StructField(a, b) for a, b in names]))

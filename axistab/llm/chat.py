@@ -26,7 +26,9 @@ def format_turn(role: Column, text: Column) -> Column:
     return F.concat(F.lit(OPEN), escape(role), F.lit(CLOSE), escape(text), F.lit(STOP))
 
 
-def prefix_target_examples(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", target_role: str = "assistant") -> DataFrame:
+def prefix_target_examples(
+    df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", target_role: str = "assistant",
+) -> DataFrame:
     """One example for every assistant turn: ``conv_id, example, turns, text, loss_start, loss_length``.
 
     ``text`` has all turns up to and with the target, formatted; ``loss_start`` (from 0) and ``loss_length`` mark, in code
@@ -39,12 +41,17 @@ def prefix_target_examples(df: DataFrame, conv_col: str = "conv_id", turn_col: s
     """
     role, text = F.coalesce(F.col(role_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = df.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("_t"), role.alias("_role"), text.alias("_text"))
-    turn = F.struct(F.col("_t").isNull().alias("n"), F.col("_t").alias("t"), F.col("_role").alias("role"), F.col("_text").alias("raw"), format_turn(F.col("_role"), F.col("_text")).alias("f"))
+    turn = F.struct(
+        F.col("_t").isNull().alias("n"), F.col("_t").alias("t"), F.col("_role").alias("role"), F.col("_text").alias("raw"),
+        format_turn(F.col("_role"), F.col("_text")).alias("f"),
+    )
     convs = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("ts"))
     convs = convs.withColumn("whole", F.array_join(F.transform("ts", lambda t: t["f"]), ""))
     convs = convs.withColumn("ends", F.aggregate("ts", F.array(F.lit(0)), lambda a, t: F.concat(a, F.array(F.element_at(a, -1) + F.length(t["f"])))))
     last = F.size("ts") - 1
-    numbered = F.transform("ts", lambda t, i: F.struct(i.alias("i"), (t["role"] == target_role).alias("target"), F.length(escape(t["raw"])).alias("n")))
+    numbered = F.transform(
+        "ts", lambda t, i: F.struct(i.alias("i"), (t["role"] == target_role).alias("target"), F.length(escape(t["raw"])).alias("n")),
+    )
     wanted = F.filter(numbered, lambda x: x["target"] | (x["i"] == last))
     each = convs.select("conv_id", "whole", "ends", F.posexplode(wanted).alias("example", "x"))
     end = F.element_at("ends", F.col("x.i") + 2)
@@ -71,10 +78,16 @@ def digest_examples(examples: DataFrame) -> DataFrame:
     """
     target = unescape(F.substring("text", F.col("loss_start") + 1, F.col("loss_length")))
     found = examples.select("conv_id", "example", "turns", "text", F.length("text").alias("chars"), F.when(F.col("trained"), target).alias("target"))
-    by = found.groupBy("conv_id").agg(F.max_by("text", "turns").alias("text"), F.array_sort(F.collect_list(F.struct("example", "target"))).alias("targets"), F.sum("chars").cast("long").alias("formatted_chars"))
+    by = found.groupBy("conv_id").agg(
+        F.max_by("text", "turns").alias("text"), F.array_sort(F.collect_list(F.struct("example", "target"))).alias("targets"),
+        F.sum("chars").cast("long").alias("formatted_chars"),
+    )
     turns = by.withColumn("ts", read_turns(F.col("text"))).withColumn("loss", F.array_join(F.transform("targets", lambda x: x["target"]), ""))
     said = F.array_join(F.transform("ts", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return turns.select("conv_id", F.size("ts").cast("long").alias("n_turns"), F.sha2(said.cast("binary"), 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"), "formatted_chars")
+    return turns.select(
+        "conv_id", F.size("ts").cast("long").alias("n_turns"), F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"), "formatted_chars",
+    )
 
 
 #: Lengths of what the template adds to a turn, besides escapes.

@@ -97,10 +97,16 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     by = Window.partitionBy("_sha")
     order = by.orderBy(F.desc("_len"), F.col("_id").isNull(), F.col("_id"))
     rest = digests.join(heavy, "_sha", "left_anti")
-    rest = rest.select("_id", F.first("_id").over(order).alias("_keep"), F.count(F.lit(1)).over(by).alias("_n"), (F.row_number().over(order) == 1).alias("_kept"), "_sha")
+    rest = rest.select(
+        "_id", F.first("_id").over(order).alias("_keep"), F.count(F.lit(1)).over(by).alias("_n"), (F.row_number().over(order) == 1).alias("_kept"),
+        "_sha",
+    )
 
     out = rest.unionByName(dropped).unionByName(winners)
-    return out.select(F.col("_id").alias("doc_id"), F.col("_keep").alias("keep_id"), F.col("_n").alias("group_size"), F.col("_kept").alias("kept"), F.col("_sha").alias("text_sha256"))
+    return out.select(
+        F.col("_id").alias("doc_id"), F.col("_keep").alias("keep_id"), F.col("_n").alias("group_size"), F.col("_kept").alias("kept"),
+        F.col("_sha").alias("text_sha256"),
+    )
 
 
 def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
@@ -112,10 +118,21 @@ def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = df.columns
     text = F.col(text_col).cast("string")
     id_type = df.schema[id_col].dataType
-    schema = T.StructType([T.StructField("_id", id_type), T.StructField("_hash", T.LongType()), T.StructField("_sha", T.StringType()), T.StructField("_len", T.LongType())])
-    digests = stage(df.select(F.col(id_col).alias("_id"), text_hash(text).alias("_hash"), text.alias("_text")).mapInArrow(_digests, schema), "digests")
-    first = F.min(F.struct((-F.col("_len")).alias("l"), F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_hash").alias("h"))).alias("b")
-    best = lambda rows: rows.groupBy("_sha").agg(first, F.count(F.lit(1)).alias("n")).select("_sha", row_key(F.col("b.i")).alias("bk"), F.col("b.h").alias("bh"), "n")
+    schema = T.StructType(
+        [
+            T.StructField("_id", id_type), T.StructField("_hash", T.LongType()), T.StructField("_sha", T.StringType()),
+            T.StructField("_len", T.LongType()),
+        ]
+    )
+    digests = stage(
+        df.select(F.col(id_col).alias("_id"), text_hash(text).alias("_hash"), text.alias("_text")).mapInArrow(_digests, schema), "digests",
+    )
+    first = F.min(
+        F.struct((-F.col("_len")).alias("l"), F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_hash").alias("h"))
+    ).alias("b")
+    best = lambda rows: rows.groupBy("_sha").agg(first, F.count(F.lit(1)).alias("n")).select(
+        "_sha", row_key(F.col("b.i")).alias("bk"), F.col("b.h").alias("bh"), "n",
+    )
     frequent = F.broadcast(frequent_digests(digests, counters))
     heavy = stage(best(digests.join(frequent, "_sha", "left_semi")).filter(F.col("n") * counters >= digests.count()), "heavy")
 
@@ -131,9 +148,13 @@ def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fields = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(df.schema)]
     at, of = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
     rows = plain.mapInArrow(_digests, T.StructType([*fields, T.StructField("_sha", T.StringType()), T.StructField("_len", T.LongType())]))
-    rows = rows.join(F.broadcast(heavy.drop("n")), "_sha", "left").filter(F.col("bk").isNull() | ((row_key(F.col(at)) == F.col("bk")) & (text_hash(F.col(of)) == F.col("bh"))))
+    rows = rows.join(F.broadcast(heavy.drop("n")), "_sha", "left").filter(
+        F.col("bk").isNull() | ((row_key(F.col(at)) == F.col("bk")) & (text_hash(F.col(of)) == F.col("bh")))
+    )
     rows = rows.select(*(f"c{i}" for i in range(len(names))))
-    return remove_rows(rows, at, of, judged.filter("not wins").select("_key", "_hash"), judged.filter("wins and n > 1").select("_key", "_hash")).toDF(*names)
+    return remove_rows(
+        rows, at, of, judged.filter("not wins").select("_key", "_hash"), judged.filter("wins and n > 1").select("_key", "_hash"),
+    ).toDF(*names)
 
 
 ORACLE_SQL = r"""

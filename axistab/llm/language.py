@@ -41,7 +41,10 @@ def fold(text: str) -> bytes:
     return b" ".join(text.lower().encode().translate(_KEEP).split())
 
 
-def dictionaries(df: DataFrame, learn: Column, text_col: str, lang_col: str, size: int = DICTIONARY_BYTES, texts: int = SAMPLE_TEXTS, chars: int = TEXT_CHARS, total: int = ALL_BYTES) -> dict[str, bytes]:
+def dictionaries(
+    df: DataFrame, learn: Column, text_col: str, lang_col: str, size: int = DICTIONARY_BYTES, texts: int = SAMPLE_TEXTS, chars: int = TEXT_CHARS,
+    total: int = ALL_BYTES,
+) -> dict[str, bytes]:
     """Sampled text of each language that has a text with a letter, the one with most such texts first; at most ``size`` bytes
     each and ``total`` bytes together.
 
@@ -50,7 +53,9 @@ def dictionaries(df: DataFrame, learn: Column, text_col: str, lang_col: str, siz
     on the hash, so that no task and not the driver gets a language's rows; the driver sees one count a language and the
     dictionaries.
     """
-    known = df.select(F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("g"), learn.alias("ok")).filter("ok and g is not null and t rlike '\\\\p{L}'")
+    known = df.select(
+        F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("g"), learn.alias("ok"),
+    ).filter("ok and g is not null and t rlike '\\\\p{L}'")
     hashed = known.select("g", F.shiftrightunsigned(F.xxhash64("t"), 1).alias("h"), F.substring("t", 1, chars).alias("t"))
     counts = stage(hashed.groupBy("g").agg(F.approx_count_distinct("h").alias("n"), F.avg(F.octet_length("t") + 1).alias("b")), "languages")
     number = counts.count()
@@ -60,10 +65,14 @@ def dictionaries(df: DataFrame, learn: Column, text_col: str, lang_col: str, siz
     share = F.least(F.lit(1.0), 2.0 * F.greatest(F.lit(float(texts)), F.lit(float(size)) / F.col("b")) / F.col("n"))
     near = join_sized(hashed, counts.select("g", (share * 2.0**63).alias("bound")), ["g"], "inner")
     near = near.filter(F.col("h") <= F.col("bound")).groupBy("g", "h").agg(F.min("t").alias("t"))
-    before = lambda *by: F.coalesce(F.sum(F.octet_length("t") + 1).over(Window.partitionBy("g").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = lambda *by: F.coalesce(
+        F.sum(F.octet_length("t") + 1).over(Window.partitionBy("g").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0),
+    )
     nth = F.row_number().over(Window.partitionBy("g").orderBy("h"))
     drawn = near.withColumn("n", nth).withColumn("drawn", before("h")).filter((F.col("n") <= texts) | (F.col("drawn") < size))
-    some = drawn.withColumn("at", before(F.length("t"), "h")).filter(F.col("at") < size).groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct(-F.length("t"), "h", "t"))), lambda x: F.substring(x["t"], 1, size)).alias("d"))
+    some = drawn.withColumn("at", before(F.length("t"), "h")).filter(F.col("at") < size).groupBy("g").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct(-F.length("t"), "h", "t"))), lambda x: F.substring(x["t"], 1, size)).alias("d")
+    )
     content = {r["g"]: b"\n".join(map(fold, r["d"]))[-size:] for r in some.collect()}
     order = [r["g"] for r in counts.orderBy(F.desc("n"), "g").select("g").collect()]
     return {g: content[g] for g in order if g in content}
@@ -97,7 +106,9 @@ def identify(texts: list[bytes], compressors: list[tuple[str, zstandard.ZstdComp
     return out
 
 
-def identify_languages(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", margin: float = MARGIN, level: int = LEVEL) -> DataFrame:
+def identify_languages(
+    df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", margin: float = MARGIN, level: int = LEVEL,
+) -> DataFrame:
     """``doc_id, lang_pred, score, margin, rejected`` of each row.
 
     Languages are the non-null values of ``lang_col`` where ``learn`` holds and the text, of any length, has a letter.
@@ -117,8 +128,16 @@ def identify_languages(df: DataFrame, learn: Column, id_col: str = "doc_id", tex
         for batch in batches:
             for part in row_runs(batch, "_text"):
                 got = identify(texts_of(part.column("_text")), compressors)
-                cols = [pa.array([g for g, _, _ in got], pa.string()), pa.array([s for _, s, _ in got], pa.float64()), pa.array([m for _, _, m in got], pa.float64()), pa.array([m < margin for _, _, m in got])]
+                cols = [
+                    pa.array([g for g, _, _ in got], pa.string()), pa.array([s for _, s, _ in got], pa.float64()),
+                    pa.array([m for _, _, m in got], pa.float64()), pa.array([m < margin for _, _, m in got]),
+                ]
                 yield pa.RecordBatch.from_arrays([part.column("_id"), *cols], names=["doc_id", "lang_pred", "score", "margin", "rejected"])
 
-    schema = T.StructType([T.StructField("doc_id", df.schema[id_col].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("margin", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
+    schema = T.StructType(
+        [
+            T.StructField("doc_id", df.schema[id_col].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
+            T.StructField("margin", T.DoubleType()), T.StructField("rejected", T.BooleanType()),
+        ]
+    )
     return df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)

@@ -105,10 +105,20 @@ def word_counts(df: DataFrame, id_col: str, text_col: str, source_col: str) -> D
         for batch in batches:
             for part in row_runs(batch, "_text"):
                 sizes = [len(t.split()) for t in texts_of(part.column("_text"))]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("_id", "_source", "_hash")), pa.array(sizes, pa.int64())], names=["_id", "_source", "_hash", "_size"])
-
-    schema = T.StructType([T.StructField("_id", df.schema[id_col].dataType), T.StructField("_source", T.StringType()), T.StructField("_hash", T.LongType()), T.StructField("_size", T.LongType())])
-    cols = [F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), text_hash(F.col(text_col)).alias("_hash"), F.col(text_col).cast("string").alias("_text")]
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c) for c in ("_id", "_source", "_hash")), pa.array(sizes, pa.int64())], names=["_id", "_source", "_hash", "_size"],
+                )
+
+    schema = T.StructType(
+        [
+            T.StructField("_id", df.schema[id_col].dataType), T.StructField("_source", T.StringType()), T.StructField("_hash", T.LongType()),
+            T.StructField("_size", T.LongType()),
+        ]
+    )
+    cols = [
+        F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), text_hash(F.col(text_col)).alias("_hash"),
+        F.col(text_col).cast("string").alias("_text"),
+    ]
     return df.select(*cols).mapInArrow(run, schema)
 
 
@@ -125,7 +135,10 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, total: float = TOTAL, repe
     rate, whole = 0.0, None
     while True:
         capped = F.col("cap") <= F.col("weight") * F.lit(rate)
-        row = ranked.agg(F.sum("source_size").alias("all"), F.sum(F.when(capped, F.col("cap"))).alias("spent"), F.sum(F.when(~capped, F.col("weight"))).alias("weight")).first()
+        row = ranked.agg(
+            F.sum("source_size").alias("all"), F.sum(F.when(capped, F.col("cap"))).alias("spent"),
+            F.sum(F.when(~capped, F.col("weight"))).alias("weight"),
+        ).first()
         whole = total * (row["all"] or 0)
         new = (whole - (row["spent"] or 0.0)) / row["weight"] if row["weight"] else rate
         if not new > rate:
@@ -148,13 +161,17 @@ def _mix(df: DataFrame, id_col: str, text_col: str, source_col: str, weights, to
         more = fit_budget(dict(zip(hist["_size"].tolist(), hist["n"].tolist(), strict=True)), max(0, budget))
         return hist.assign(passes=passes, more=[more.get(k, 0) for k in hist["_size"].tolist()], source_size=size, target=target)
 
-    plan = cells.groupBy("_name").cogroup(targets.groupBy("_name")).applyInPandas(fit, "_name string, _size long, n long, passes int, more long, source_size long, target double")
+    plan = cells.groupBy("_name").cogroup(targets.groupBy("_name")).applyInPandas(
+        fit, "_name string, _size long, n long, passes int, more long, source_size long, target double",
+    )
     plan = stage(plan.withColumn("buckets", F.ceil(F.sqrt("n")).cast("long")), "plan")
 
     # A length that many documents share is cut into about sqrt(n) buckets by hash: whole buckets are taken in order, and
     # only the one in which the count runs out has its documents numbered.
     order = F.xxhash64("_id", F.lit(seed))
-    rows = stage(join_sized(sizes, plan, ["_name", "_size"], "inner").withColumn("_h", order).withColumn("_b", F.pmod(F.col("_h"), F.col("buckets"))), "dealt")
+    rows = stage(
+        join_sized(sizes, plan, ["_name", "_size"], "inner").withColumn("_h", order).withColumn("_b", F.pmod(F.col("_h"), F.col("buckets"))), "dealt",
+    )
     counted = rows.groupBy("_name", "_size", "_b").agg(F.count(F.lit(1)).alias("c"))
     through = F.sum("c").over(Window.partitionBy("_name", "_size").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
     before = stage(counted.withColumn("_before", through - F.col("c")).drop("c"), "before")
@@ -164,7 +181,10 @@ def _mix(df: DataFrame, id_col: str, text_col: str, source_col: str, weights, to
     return placed.withColumn("_copies", F.col("passes") + chosen)
 
 
-def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, total: float = TOTAL, repeats: int = REPEATS, seed: int = SEED) -> DataFrame:
+def mix_sources(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, total: float = TOTAL,
+    repeats: int = REPEATS, seed: int = SEED,
+) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` of each row.
 
     Size counts words (a null text has none). Sources by code point, null last as a source of its own, weigh ``weights``
@@ -173,7 +193,9 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     repeated ids fall together; reruns on the same rows agree. An empty table gives no rows.
     """
     out = _mix(df, id_col, text_col, source_col, weights, total, repeats, seed)
-    return out.select(F.col("_id").alias("doc_id"), F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("_copies")).alias("taken"))
+    return out.select(
+        F.col("_id").alias("doc_id"), F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("_copies")).alias("taken"),
+    )
 
 
 def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
@@ -186,10 +208,14 @@ def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     copies = F.when(F.col("_size") == 0, F.lit(1)).otherwise(F.col("_copies"))
     on = ["_key", "_name", "_hash"]
     plan = _mix(df, id_col, text_col, source_col, **settings).withColumns({"_key": row_key(F.col("_id")), "_copies": copies})
-    plan = stage(plan.groupBy(*on).agg(F.sum("_copies").cast("int").alias("_copies"), F.count(F.lit(1)).alias("_rows")).filter("_copies > 0"), "copies")
+    plan = stage(
+        plan.groupBy(*on).agg(F.sum("_copies").cast("int").alias("_copies"), F.count(F.lit(1)).alias("_rows")).filter("_copies > 0"), "copies",
+    )
     names = df.columns
     at = {c: F.col(f"c{names.index(c)}") for c in (id_col, text_col, source_col)}
-    plain = df.toDF(*(f"c{i}" for i in range(len(names)))).withColumns({"_key": row_key(at[id_col]), "_name": row_key(at[source_col]), "_hash": text_hash(at[text_col])})
+    plain = df.toDF(*(f"c{i}" for i in range(len(names)))).withColumns(
+        {"_key": row_key(at[id_col]), "_name": row_key(at[source_col]), "_hash": text_hash(at[text_col])}
+    )
     if plan.filter("_rows > 1").take(1):
         plain = plain.dropDuplicates(on)
     met = plain.join(plan.hint("merge"), on)

@@ -91,7 +91,9 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return ([(0, head)] if head else []) + [(s, capacity) for s in range(head, n, capacity)]
 
 
-def token_pieces(df: DataFrame, tokenizer: tuple[str, str, int], id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END) -> DataFrame:
+def token_pieces(
+    df: DataFrame, tokenizer: tuple[str, str, int], id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END,
+) -> DataFrame:
     """``_id, piece, start, length, crc`` of each piece of each row."""
     names, mark = ("_id", "piece", "start", "length", "crc"), np.array([end], "<u4").tobytes()
 
@@ -105,9 +107,17 @@ def token_pieces(df: DataFrame, tokenizer: tuple[str, str, int], id_col: str = "
                     rows += [(i, k, s, n, zlib.crc32(blob[4 * s : 4 * (s + n)])) for k, (s, n) in enumerate(cut(len(blob) // 4, capacity))]
                 at, *cols = zip(*rows, strict=True) if rows else ([], [], [], [], [])
                 kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("_id").take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=list(names))
-
-    schema = T.StructType([T.StructField("_id", df.schema[id_col].dataType), T.StructField("piece", T.IntegerType()), *(T.StructField(n, T.LongType()) for n in names[2:])])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("_id").take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))],
+                    names=list(names),
+                )
+
+    schema = T.StructType(
+        [
+            T.StructField("_id", df.schema[id_col].dataType), T.StructField("piece", T.IntegerType()),
+            *(T.StructField(n, T.LongType()) for n in names[2:]),
+        ]
+    )
     return df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
 
 
@@ -230,7 +240,10 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     return max(-(-int(lengths.sum()) // capacity), int((lengths * 2 > capacity).sum()))
 
 
-def evolve(lengths: np.ndarray, population: list[np.ndarray], rng: np.random.Generator, size: int = POPULATION, generations: int = GENERATIONS, capacity: int = CAPACITY, island: int = 0) -> list[np.ndarray]:
+def evolve(
+    lengths: np.ndarray, population: list[np.ndarray], rng: np.random.Generator, size: int = POPULATION, generations: int = GENERATIONS,
+    capacity: int = CAPACITY, island: int = 0,
+) -> list[np.ndarray]:
     """The next epoch's population, best first. Without one it starts from best fit; ``island`` 1 from completed bins as well."""
     plain, least = lengths.tolist(), lower_bound(lengths, capacity)
     rank = lambda x: fitness(x, lengths, capacity)
@@ -259,13 +272,21 @@ def _epoch(turn: int, seed: int, capacity: int, size: int, generations: int):
                 rng = np.random.default_rng([seed, turn, row["shard"], row["island"]])
                 best = evolve(lengths, given, rng, size, generations, capacity, row["island"])
                 count, fill = fitness(best[0], lengths, capacity)
-                row |= {"population": [x.astype(np.int32).tobytes() for x in best], "elite": None, "bins": count, "fill": fill, "done": count <= lower_bound(lengths, capacity)}
+                row |= {
+                    "population": [x.astype(np.int32).tobytes() for x in best], "elite": None, "bins": count, "fill": fill,
+                    "done": count <= lower_bound(lengths, capacity),
+                }
                 yield pa.RecordBatch.from_pylist([row], schema=_STATE)
 
     return run
 
 
-_STATE = pa.schema([("shard", pa.int64()), ("island", pa.int32()), ("uids", pa.binary()), ("lengths", pa.binary()), ("population", pa.list_(pa.binary())), ("elite", pa.binary()), ("bins", pa.int64()), ("fill", pa.float64()), ("done", pa.bool_())])
+_STATE = pa.schema(
+    [
+        ("shard", pa.int64()), ("island", pa.int32()), ("uids", pa.binary()), ("lengths", pa.binary()), ("population", pa.list_(pa.binary())),
+        ("elite", pa.binary()), ("bins", pa.int64()), ("fill", pa.float64()), ("done", pa.bool_()),
+    ]
+)
 _STATE_SQL = "shard long, island int, uids binary, lengths binary, population array<binary>, elite binary, bins long, fill double, done boolean"
 
 
@@ -285,26 +306,40 @@ def shard_items(items: DataFrame, shard: int) -> tuple[DataFrame, int, dict[int,
     through = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, 0))
     placed = counts.withColumn("_first", starts + through - F.col("n")).drop("n")
     nth = F.row_number().over(Window.partitionBy("length", "part").orderBy("uid"))
-    return items.join(placed.hint("merge"), ["length", "part"]).select("uid", "length", F.pmod(F.col("_first") + nth - 1, F.lit(number)).alias("shard")), number, by_length
+    return items.join(placed.hint("merge"), ["length", "part"]).select(
+        "uid", "length", F.pmod(F.col("_first") + nth - 1, F.lit(number)).alias("shard"),
+    ), number, by_length
 
 
 def _gathered(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["length", "uid"], ascending=[False, True])
-    return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "uids": [pdf["uid"].to_numpy(np.int64).tobytes()], "lengths": [pdf["length"].to_numpy(np.int32).tobytes()]})
+    return pd.DataFrame(
+        {
+            "shard": [int(pdf["shard"].iloc[0])], "uids": [pdf["uid"].to_numpy(np.int64).tobytes()],
+            "lengths": [pdf["length"].to_numpy(np.int32).tobytes()],
+        }
+    )
 
 
 def _evolved(items: DataFrame, number: int, capacity: int, islands: int, epochs: int, population: int, generations: int, seed: int) -> DataFrame:
     """``shard, bins, uids, lengths, chosen``: the best packing of each shard after all epochs."""
     tasks = max(items.sparkSession.sparkContext.defaultParallelism, min(number * islands, 4000))
     shards = items.groupBy("shard").applyInPandas(_gathered, "shard long, uids binary, lengths binary")
-    nothing = {"population": F.array().cast("array<binary>"), "elite": F.lit(None).cast("binary"), "bins": F.lit(0).cast("long"), "fill": F.lit(0.0), "done": F.lit(False)}
+    nothing = {
+        "population": F.array().cast("array<binary>"), "elite": F.lit(None).cast("binary"), "bins": F.lit(0).cast("long"), "fill": F.lit(0.0),
+        "done": F.lit(False),
+    }
     state = shards.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1)))).withColumns(nothing).select(*_STATE.names)
     for turn in range(epochs):
         if turn:
             elites = state.select("shard", ((F.col("island") + 1) % islands).alias("island"), F.element_at("population", 1).alias("elite"))
             state = state.drop("elite").join(elites.hint("merge"), ["shard", "island"]).select(*_STATE.names)
-        state = stage(state.repartition(tasks, "shard", "island").mapInArrow(_epoch(turn, seed, capacity, population, generations), _STATE_SQL), "islands")
-    best = state.groupBy("shard").agg(F.min(F.struct("bins", "fill", "island", "uids", "lengths", F.element_at("population", 1).alias("chosen"))).alias("b"))
+        state = stage(
+            state.repartition(tasks, "shard", "island").mapInArrow(_epoch(turn, seed, capacity, population, generations), _STATE_SQL), "islands",
+        )
+    best = state.groupBy("shard").agg(
+        F.min(F.struct("bins", "fill", "island", "uids", "lengths", F.element_at("population", 1).alias("chosen"))).alias("b")
+    )
     return best.select("shard", "b.bins", "b.uids", "b.lengths", "b.chosen")
 
 
@@ -331,7 +366,10 @@ def _placed(level: int, reopened: float, capacity: int):
     return run
 
 
-def packed_items(items: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, islands: int = ISLANDS, epochs: int = EPOCHS, population: int = POPULATION, generations: int = GENERATIONS, seed: int = SEED, reopened: float = REOPENED) -> DataFrame:
+def packed_items(
+    items: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, islands: int = ISLANDS, epochs: int = EPOCHS, population: int = POPULATION,
+    generations: int = GENERATIONS, seed: int = SEED, reopened: float = REOPENED,
+) -> DataFrame:
     """``uid, sequence_id, offset`` of the items ``uid, length, part`` shorter than a sequence; each exactly once.
 
     While there are several shards and more bins than the lower bound of all items together, the pieces of each shard's least
@@ -349,11 +387,16 @@ def packed_items(items: DataFrame, capacity: int = CAPACITY, shard: int = SHARD,
         out = done if out is None else out.unionByName(done)
         if last:
             return out
-        items = placed.filter("sequence_id is null").select("uid", "length", F.pmod(F.xxhash64("uid"), F.lit(64).cast("long")).cast("int").alias("part"))
+        items = placed.filter("sequence_id is null").select(
+            "uid", "length", F.pmod(F.xxhash64("uid"), F.lit(64).cast("long")).cast("int").alias("part"),
+        )
         level += 1
 
 
-def pack(df: DataFrame, tokenizer: tuple[str, str, int], id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END, **options) -> DataFrame:
+def pack(
+    df: DataFrame, tokenizer: tuple[str, str, int], id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END,
+    **options,
+) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` of each piece of each row.
 
     ``tokenizer``: path of the ranks file, split pattern and id of the special string; ``options``: those of ``packed_items``.
@@ -361,10 +404,14 @@ def pack(df: DataFrame, tokenizer: tuple[str, str, int], id_col: str = "doc_id",
     the genetic algorithm, and each comes out exactly once. Repeated rows are documents of their own; other columns are not
     read; an empty table gives no rows.
     """
-    tagged = token_pieces(df, tokenizer, id_col, text_col, capacity, end).withColumns({"uid": F.monotonically_increasing_id(), "part": F.spark_partition_id()})
+    tagged = token_pieces(df, tokenizer, id_col, text_col, capacity, end).withColumns(
+        {"uid": F.monotonically_increasing_id(), "part": F.spark_partition_id()}
+    )
     pieces = stage(tagged, "pieces")
     where = packed_items(pieces.filter(F.col("length") < capacity).select("uid", "length", "part"), capacity, **options)
     full = pieces.filter(F.col("length") == capacity).select("*", (-F.col("uid") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     met = pieces.filter(F.col("length") < capacity).join(where.hint("merge"), "uid")
-    out = met.select("_id", "piece", "start", "length", "crc", "sequence_id", "offset").unionByName(full.select("_id", "piece", "start", "length", "crc", "sequence_id", "offset"))
+    out = met.select("_id", "piece", "start", "length", "crc", "sequence_id", "offset").unionByName(
+        full.select("_id", "piece", "start", "length", "crc", "sequence_id", "offset")
+    )
     return out.select(F.col("_id").alias("doc_id"), "piece", "start", "length", F.col("crc").alias("ids_crc32"), "sequence_id", "offset")

@@ -30,7 +30,10 @@ def transform(counts: np.ndarray) -> np.ndarray:
         (c["n_symbols"], words), (c["n_dup_lines"], lines), (c["n_repeat_words"], words), (c["n_upper"], letters), (c["n_digits"], chars), (c["n_punct"], chars),
         (c["n_top_word"], words), (c["n_capital_words"], words), (c["n_end_marks"], words), (c["n_repeat_pairs"], words), (c["n_long_words"], words), (c["n_same_chars"], chars), (c["n_stop_lines"], lines), (c["n_same_next"], words),
     ]
-    sizes = [np.log1p(c["n_words"]), np.log1p(c["word_chars"] / words), np.log1p(words / lines), np.log(np.maximum(c["n_distinct"], 1)) / np.log(words + 1.0)]
+    sizes = [
+        np.log1p(c["n_words"]), np.log1p(c["word_chars"] / words), np.log1p(words / lines),
+        np.log(np.maximum(c["n_distinct"], 1)) / np.log(words + 1.0),
+    ]
     return np.stack([*(np.sqrt(np.minimum(a / b, 4.0)) for a, b in shares), *sizes], axis=1)
 
 
@@ -41,7 +44,10 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in row_runs(batch, "_text"):
             x = transform(np.array([statistics(t) for t in texts_of(part.column("_text"))], np.int64).reshape(-1, len(NAMES)))
-            yield pa.RecordBatch.from_arrays([part.column("_id"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), DIMENSIONS).cast(pa.list_(pa.float64()))], names=["_id", "_x"])
+            yield pa.RecordBatch.from_arrays(
+                [part.column("_id"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), DIMENSIONS).cast(pa.list_(pa.float64()))],
+                names=["_id", "_x"],
+            )
 
 
 def features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -65,7 +71,9 @@ def moments(labelled: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarra
                 own = np.c_[np.ones(int((y == k).sum())), x[y == k]]
                 sums[int(k)] = sums.get(int(k), 0) + own.T @ own
         flat = [(k, i, v) for k, s in sums.items() for i, v in enumerate(s.ravel())]
-        yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in flat], t) for j, t in enumerate((pa.int32(), pa.int32(), pa.float64()))], names=["y", "i", "v"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([f[j] for f in flat], t) for j, t in enumerate((pa.int32(), pa.int32(), pa.float64()))], names=["y", "i", "v"],
+        )
 
     rows = labelled.select("_x", "_y").mapInArrow(part, "y int, i int, v double").groupBy("y", "i").agg(F.sum("v").alias("v")).collect()
     out, width = {}, DIMENSIONS + 1
@@ -82,7 +90,10 @@ def moments(labelled: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarra
 class Discriminant:
     """Two normal densities; ``score`` gives the probability of class 1 (0.5 for all if nothing was learned)."""
 
-    def __init__(self, sums: dict[int, tuple[float, np.ndarray, np.ndarray]], pooled: float = SHRINK_POOLED, diagonal: float = SHRINK_DIAGONAL, ridge: float = RIDGE):
+    def __init__(
+        self, sums: dict[int, tuple[float, np.ndarray, np.ndarray]], pooled: float = SHRINK_POOLED, diagonal: float = SHRINK_DIAGONAL,
+        ridge: float = RIDGE,
+    ):
         n = {k: sums[k][0] if k in sums else 0.0 for k in (0, 1)}
         self.prior = float(np.log((n[1] + 1) / (n[0] + 1)))
         self.models = []
@@ -111,7 +122,10 @@ class Discriminant:
         return 1 / (1 + np.exp(-np.clip(density[1] - density[0] + self.prior, -500, 500)))
 
 
-def quality_scores(df: DataFrame, labels: DataFrame, learn: str = "true", id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "quality") -> DataFrame:
+def quality_scores(
+    df: DataFrame, labels: DataFrame, learn: str = "true", id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id",
+    label_col: str = "quality",
+) -> DataFrame:
     """``doc_id, score`` of each row of ``df``, learned from all rows of ``labels`` with label 0 or 1 that have a text in ``df``.
 
     ``learn`` is a condition on ``_id`` (the document's id) that rows to learn from meet. A null text is scored as an empty

@@ -68,12 +68,17 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in row_runs(batch, "_text"):
             counts = np.array([statistics(t) for t in texts_of(part.column("_text"))], np.int64).reshape(-1, len(NAMES))
-            cols = [part.column("_id"), *(pa.array(counts[:, i]) for i in range(5)), pa.array(base_failed(counts)), pa.array(pattern_of(votes(counts)))]
+            cols = [
+                part.column("_id"), *(pa.array(counts[:, i]) for i in range(5)), pa.array(base_failed(counts)), pa.array(pattern_of(votes(counts))),
+            ]
             yield pa.RecordBatch.from_arrays(cols, names=["_id", *NAMES[:5], "base_failed", "_pattern"])
 
 
 def _table(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    fields = [T.StructField("_id", df.schema[id_col].dataType), *(T.StructField(n, T.LongType()) for n in NAMES[:5]), T.StructField("base_failed", T.BooleanType()), T.StructField("_pattern", T.LongType())]
+    fields = [
+        T.StructField("_id", df.schema[id_col].dataType), *(T.StructField(n, T.LongType()) for n in NAMES[:5]),
+        T.StructField("base_failed", T.BooleanType()), T.StructField("_pattern", T.LongType()),
+    ]
     return df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).mapInArrow(_count, T.StructType(fields))
 
 
@@ -88,10 +93,14 @@ def _weights(against: np.ndarray) -> np.ndarray:
 
     A rule never counts against its own vote: what it adds has the vote's sign or is 0.
     """
-    return np.stack([np.minimum(np.log(against[0] / against[1]), 0), np.zeros(against.shape[1]), np.maximum(np.log((1 - against[0]) / (1 - against[1])), 0)])
+    return np.stack(
+        [np.minimum(np.log(against[0] / against[1]), 0), np.zeros(against.shape[1]), np.maximum(np.log((1 - against[0]) / (1 - against[1])), 0)]
+    )
 
 
-def fit_votes(patterns: list[tuple[int, int]], rounds: int = 300, good: float = GOOD, strength: float = STRENGTH) -> tuple[float, np.ndarray, np.ndarray]:
+def fit_votes(
+    patterns: list[tuple[int, int]], rounds: int = 300, good: float = GOOD, strength: float = STRENGTH,
+) -> tuple[float, np.ndarray, np.ndarray]:
     """The log-odds of good before any vote, what each rule (column) adds to them: against, abstaining (0), for (rows), and
     the share of votes against among each rule's votes on good and on bad documents (rows).
 

@@ -54,7 +54,10 @@ def op8_identify_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_format_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
-    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(said).alias("text"),
+    )
     return chat.digest_examples(chat.prefix_target_examples(known.unionByName(extra)))
 
 
@@ -63,7 +66,12 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_brown_scores, op2_exact_dedup, op3_quality_discriminant, op4_mix_sources, op5_simhash_components, op6_pack_sequences, op7_quality_rules, op8_identify_languages, op9_format_conversations, op10_warc_round_trip)}
+    return {
+        f.__name__: f for f in (
+            op1_brown_scores, op2_exact_dedup, op3_quality_discriminant, op4_mix_sources, op5_simhash_components, op6_pack_sequences,
+            op7_quality_rules, op8_identify_languages, op9_format_conversations, op10_warc_round_trip,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:

@@ -73,12 +73,17 @@ def wide_fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int) -
             for part in row_runs(batch, "_text"):
                 prints = b"".join(wide_fingerprint(t, shingle) for t in texts_of(part.column("_text")))
                 halves = np.frombuffer(prints, ">i8").reshape(-1, 2).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("_id", "_key", "_hash")), pa.array(halves[:, 0]), pa.array(halves[:, 1])], names=["_id", "_key", "_hash", "_a", "_b"])
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c) for c in ("_id", "_key", "_hash")), pa.array(halves[:, 0]), pa.array(halves[:, 1])],
+                    names=["_id", "_key", "_hash", "_a", "_b"],
+                )
 
     longs = [T.StructField(n, T.LongType()) for n in ("_hash", "_a", "_b")]
     schema = T.StructType([T.StructField("_id", df.schema[id_col].dataType), T.StructField("_key", T.StringType()), *longs])
     text = F.col(text_col).cast("string")
-    return df.select(F.col(id_col).alias("_id"), row_key(F.col(id_col)).alias("_key"), text.alias("_text"), text_hash(text).alias("_hash")).mapInArrow(run, schema)
+    return df.select(
+        F.col(id_col).alias("_id"), row_key(F.col(id_col)).alias("_key"), text.alias("_text"), text_hash(text).alias("_hash"),
+    ).mapInArrow(run, schema)
 
 
 def _close(group: np.ndarray, halves: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -193,7 +198,9 @@ def near_links(prints: DataFrame, masks: list[tuple[int, int]], limit: int, chun
     large = stage(often.filter(F.col("n") > chunk).select("key", F.ceil(F.col("n") / chunk).alias("chunks")), "crowded")
     dealt = keys
     if large.take(1):
-        dealt = _dealt(keys, large, "key", ["_a", "_b"]).select("_a", "_b", F.when(F.col("pair") == 0, F.col("key")).otherwise(F.xxhash64("key", "pair")).alias("key"))
+        dealt = _dealt(keys, large, "key", ["_a", "_b"]).select(
+            "_a", "_b", F.when(F.col("pair") == 0, F.col("key")).otherwise(F.xxhash64("key", "pair")).alias("key"),
+        )
     return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_near(limit), "a long, b long, c long, d long").distinct()
 
 
@@ -203,9 +210,13 @@ def _hashes(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in row_runs(batch, "_text", 1 << 20):
-                sets = [np.unique(np.array([digest(p) for p in shingles(t, shingle)], np.uint64)).view(np.int64) for t in texts_of(part.column("_text"))]
+                sets = [
+                    np.unique(np.array([digest(p) for p in shingles(t, shingle)], np.uint64)).view(np.int64) for t in texts_of(part.column("_text"))
+                ]
                 ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=["node", "set"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("node"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=["node", "set"],
+                )
 
     return run
 
@@ -251,12 +262,17 @@ def _verified(similarity: float):
             links = []
             for lo, hi in zip(new.tolist(), [*new[1:].tolist(), len(rep)], strict=True):
                 links += [(lo + i, lo + j) for i, j in linked_sets(ends[lo : hi + 1] - ends[lo], values[ends[lo] : ends[hi]], similarity)]
-            yield pa.RecordBatch.from_arrays([pa.array(node[[x[k] for x in links]] if links else np.zeros(0, np.int64)) for k in (0, 1)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(node[[x[k] for x in links]] if links else np.zeros(0, np.int64)) for k in (0, 1)], names=["a", "b"],
+            )
 
     return run
 
 
-def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, recall: float = RECALL, chunk: int = CHUNK, held: int = HELD) -> DataFrame:
+def similar_groups(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, recall: float = RECALL,
+    chunk: int = CHUNK, held: int = HELD,
+) -> DataFrame:
     """``_id, _key, _hash, _n, _first``: each id and text of ``df``, how often it occurs, and whether it leads its group.
 
     Groups are connected over links of ``similarity`` or more; the smallest id leads (a null id last, then by text hash).
@@ -266,13 +282,18 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = stage(wide_fingerprints(df, id_col, text_col, shingle), "fingerprints")
     lead = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_hash").alias("h"), F.col("_key").alias("k"))
     distinct = docs.groupBy("_a", "_b").agg(F.min(lead).alias("lead"))
-    nodes = stage(distinct.select(F.xxhash64("_a", "_b").alias("node"), "_a", "_b", "lead", F.col("lead.k").alias("_key"), F.col("lead.h").alias("_hash")), "nodes")
+    nodes = stage(
+        distinct.select(F.xxhash64("_a", "_b").alias("node"), "_a", "_b", "lead", F.col("lead.k").alias("_key"), F.col("lead.h").alias("_hash")),
+        "nodes",
+    )
 
     near = near_links(nodes.select("_a", "_b"), block_masks(nodes.count(), similarity, recall), bit_limit(similarity), chunk)
     families = components(near.select(F.xxhash64("a", "b").alias("a"), F.xxhash64("c", "d").alias("b")))
     wanted = stage(families.join(nodes.hint("merge"), "node").select("node", "rep", "_key", "_hash"), "wanted")
     texts = df.select(row_key(F.col(id_col)).alias("_key"), text_hash(F.col(text_col)).alias("_hash"), F.col(text_col).cast("string").alias("_text"))
-    some = join_sized(texts, wanted.drop("rep"), ["_key", "_hash"], "inner").select("node", "_text").mapInArrow(_hashes(shingle), "node long, set array<long>")
+    some = join_sized(
+        texts, wanted.drop("rep"), ["_key", "_hash"], "inner",
+    ).select("node", "_text").mapInArrow(_hashes(shingle), "node long, set array<long>")
     sets = some.groupBy("node").agg(F.any_value("set").alias("set")).join(wanted.select("node", "rep").hint("merge"), "node")
     sets = stage(sets, "sets")
     sizes = sets.groupBy("rep").agg(F.sum(F.size("set")).alias("n")).filter(F.col("n") > held)

@@ -30,12 +30,19 @@ def _record_id(col: Column) -> Column:
 def revisits(df: DataFrame, id_col: str = "page_id", payload_col: str = "html", least: int = REVISIT_BYTES) -> DataFrame:
     """``_id, _sha, _to``: the rows whose payload of ``least`` bytes or more another row with a larger id has as well."""
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
-    seen = stage(df.select(F.col(id_col).alias("_id"), F.sha1(payload).alias("_sha"), F.octet_length(payload).alias("_n")).filter(F.col("_n") >= least), "payloads")
+    seen = stage(
+        df.select(F.col(id_col).alias("_id"), F.sha1(payload).alias("_sha"), F.octet_length(payload).alias("_n")).filter(F.col("_n") >= least),
+        "payloads",
+    )
     groups = seen.groupBy("_sha").agg(F.max("_id").alias("_to"), F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("_sha", "_to")
-    return stage(seen.join(groups.hint("merge"), "_sha").filter(~F.col("_id").eqNullSafe(F.col("_to"))).select("_id", "_sha", "_to").distinct(), "revisits")
+    return stage(
+        seen.join(groups.hint("merge"), "_sha").filter(~F.col("_id").eqNullSafe(F.col("_to"))).select("_id", "_sha", "_to").distinct(), "revisits",
+    )
 
 
-def write_warc(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = REVISIT_BYTES) -> None:
+def write_warc(
+    df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = REVISIT_BYTES,
+) -> None:
     """Write a record for each row; refuses an existing path.
 
     Of records with equal payloads of at least ``least`` bytes that with the largest id is a ``response``, the others are
@@ -43,9 +50,16 @@ def write_warc(df: DataFrame, path: str, id_col: str = "page_id", url_col: str =
     null URL is the empty one; null ids are never the largest. Rows that repeat the largest id stay responses. Payloads are
     strings or binary; other columns are not read.
     """
-    plain = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("_url"), F.coalesce(F.col(payload_col), F.lit("")).alias("_html"))
-    known = revisits(df, id_col, payload_col, least).withColumnRenamed("_id", "_rid").withColumn("_key", F.concat(F.coalesce(F.col("_rid").cast("string"), F.lit("")), F.lit(" "), F.col("_sha")))
-    keyed = plain.withColumn("_sha", F.sha1(F.col("_html").cast("binary"))).withColumn("_key", F.concat(F.coalesce(F.col("_id").cast("string"), F.lit("")), F.lit(" "), F.col("_sha")))
+    plain = df.select(
+        F.col(id_col).alias("_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("_url"),
+        F.coalesce(F.col(payload_col), F.lit("")).alias("_html"),
+    )
+    known = revisits(df, id_col, payload_col, least).withColumnRenamed("_id", "_rid").withColumn(
+        "_key", F.concat(F.coalesce(F.col("_rid").cast("string"), F.lit("")), F.lit(" "), F.col("_sha")),
+    )
+    keyed = plain.withColumn("_sha", F.sha1(F.col("_html").cast("binary"))).withColumn(
+        "_key", F.concat(F.coalesce(F.col("_id").cast("string"), F.lit("")), F.lit(" "), F.col("_sha")),
+    )
     met = join_sized(keyed, known.select("_key", "_to", F.lit(True).alias("_again")), ["_key"], "left")
     again = F.col("_again").isNotNull()
     block = F.concat(F.lit(HTTP + GAP), F.when(again, F.lit("")).otherwise(F.col("_html").cast("string")))
@@ -61,7 +75,10 @@ def write_warc(df: DataFrame, path: str, id_col: str = "page_id", url_col: str =
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
     """What lies between magic lines: ``value`` with its file, the start of its split and its place in the task."""
     raw = spark.read.schema("value string").option("lineSep", MAGIC).text(path)
-    return raw.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"))
+    return raw.select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("at"),
+    )
 
 
 def _digest() -> Column:
@@ -76,8 +93,12 @@ def _parsed(df: DataFrame) -> DataFrame:
     """Header fields of ``value``, and the digest of its payload if all of it is there."""
     head = F.substring_index("value", GAP, 1)
     out = df.withColumn("head", head).withColumn("head_bytes", F.octet_length("head") + 4).withColumn("size", F.octet_length("value"))
-    out = out.withColumn("block_bytes", F.expr("try_cast(regexp_extract(head, '(?im)^Content-Length:[ \\\\t]*([0-9]+)[ \\\\t]*\\\\r?$', 1) as bigint)"))
-    out = out.withColumn("record_type", _field(F.col("head"), "WARC-Type")).withColumn("record_id", _field(F.col("head"), "WARC-Record-ID")).withColumn("refers_to_id", _field(F.col("head"), "WARC-Refers-To"))
+    out = out.withColumn(
+        "block_bytes", F.expr("try_cast(regexp_extract(head, '(?im)^Content-Length:[ \\\\t]*([0-9]+)[ \\\\t]*\\\\r?$', 1) as bigint)"),
+    )
+    out = out.withColumn("record_type", _field(F.col("head"), "WARC-Type")).withColumn("record_id", _field(F.col("head"), "WARC-Record-ID")).withColumn(
+        "refers_to_id", _field(F.col("head"), "WARC-Refers-To"),
+    )
     out = out.withColumn("declared", F.regexp_replace(_field(F.col("head"), "WARC-Payload-Digest"), "^sha1:", ""))
     out = out.withColumn("whole", F.col("size") >= F.col("head_bytes") + F.col("block_bytes"))
     http = F.substring_index(F.substr("value", F.length("head") + 5), GAP, 1)
@@ -97,7 +118,9 @@ def _located(pieces: DataFrame) -> DataFrame:
     per = pieces.groupBy("file", "split").agg(F.sum(step).alias("bytes"))
     base = F.sum("bytes").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1))
     starts = per.select("file", "split", F.coalesce(base, F.lit(0)).alias("base"))
-    return pieces.withColumn("before", F.coalesce(before, F.lit(0))).join(starts.hint("merge"), ["file", "split"]).withColumn("offset", F.col("base") + F.col("before") - len(MAGIC)).drop("base", "before")
+    return pieces.withColumn("before", F.coalesce(before, F.lit(0))).join(starts.hint("merge"), ["file", "split"]).withColumn(
+        "offset", F.col("base") + F.col("before") - len(MAGIC),
+    ).drop("base", "before")
 
 
 def _leaps(segment: int):
@@ -142,23 +165,39 @@ def reached(seen: DataFrame, segment: int = SEGMENT) -> DataFrame:
     takes log2(n) rounds over n rows. Last, each segment walks its own part of the chain from its entry.
     """
     rows = seen.filter("offset >= 0").select("file", "offset", "next", F.floor(F.col("offset") / segment).alias("segment"))
-    leaps = stage(rows.filter("next is not null").groupBy("file", "segment").applyInPandas(_leaps(segment), "file string, offset long, leap long"), "leaps")
-    nodes = leaps.filter("leap >= 0").select("file", F.col("leap").alias("offset")).union(leaps.filter("offset = 0").select("file", "offset")).distinct()
-    state = stage(nodes.join(leaps.hint("merge"), ["file", "offset"]).select("file", "offset", F.expr("nullif(leap, -1)").alias("jump"), (F.col("offset") == 0).alias("hit")), "chain")
+    leaps = stage(
+        rows.filter("next is not null").groupBy("file", "segment").applyInPandas(_leaps(segment), "file string, offset long, leap long"), "leaps",
+    )
+    nodes = leaps.filter("leap >= 0").select("file", F.col("leap").alias("offset")).union(
+        leaps.filter("offset = 0").select("file", "offset")
+    ).distinct()
+    state = stage(
+        nodes.join(leaps.hint("merge"), ["file", "offset"]).select(
+            "file", "offset", F.expr("nullif(leap, -1)").alias("jump"), (F.col("offset") == 0).alias("hit"),
+        ),
+        "chain",
+    )
     while state.filter("hit and jump is not null").take(1):
         ahead = state.select("file", F.col("offset").alias("jump"), F.col("jump").alias("far"))
         marks = state.filter("hit and jump is not null").select("file", F.col("jump").alias("offset"), F.lit(True).alias("mark"))
         moved = state.join(ahead.hint("merge"), ["file", "jump"], "left").join(marks.hint("merge"), ["file", "offset"], "left")
-        before, state = state, stage(moved.select("file", "offset", F.col("far").alias("jump"), (F.col("hit") | F.col("mark").isNotNull()).alias("hit")), "chain")
+        before, state = state, stage(
+            moved.select("file", "offset", F.col("far").alias("jump"), (F.col("hit") | F.col("mark").isNotNull()).alias("hit")), "chain",
+        )
         free(before)
     entries = state.filter("hit").select("file", "offset", F.floor(F.col("offset") / segment).alias("segment"))
     by = ["file", "segment"]
-    walked = stage(rows.groupBy(*by).cogroup(entries.groupBy(*by)).applyInPandas(_walked, "file string, segment long, offset long, hit boolean, owner long"), "walked")
+    walked = stage(
+        rows.groupBy(*by).cogroup(entries.groupBy(*by)).applyInPandas(_walked, "file string, segment long, offset long, hit boolean, owner long"),
+        "walked",
+    )
     # What is before the first record of a segment belongs to the last record of the segments before it.
     through = F.max("last").over(Window.partitionBy("file").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1))
     before = walked.groupBy(*by).agg(F.max("owner").alias("last")).withColumn("earlier", through).select(*by, "earlier")
     met = walked.join(before.hint("merge"), by)
-    return met.select("file", "offset", "hit", F.when(F.col("owner") >= 0, F.col("owner")).otherwise(F.nullif(F.col("earlier"), F.lit(-1))).alias("owner"))
+    return met.select(
+        "file", "offset", "hit", F.when(F.col("owner") >= 0, F.col("owner")).otherwise(F.nullif(F.col("earlier"), F.lit(-1))).alias("owner"),
+    )
 
 
 def read_warc(spark: SparkSession, path: str, id_type: str = "bigint", segment: int = SEGMENT) -> DataFrame:
@@ -180,7 +219,9 @@ def read_warc(spark: SparkSession, path: str, id_type: str = "bigint", segment:
     if broken.take(1):  # payloads with a magic line inside are put together from their pieces
         places = stage(marked.select("file", "piece", "owner", "offset").join(broken.hint("merge"), ["file", "owner"]), "parts")
         wanted = stage(places.select("file", "piece").distinct(), "wanted")
-        held = join_sized(_pieces(spark, path).select("file", "value", _digest().alias("piece")), wanted, ["file", "piece"], "left_semi").groupBy("file", "piece").agg(F.min("value").alias("value"))
+        held = join_sized(
+            _pieces(spark, path).select("file", "value", _digest().alias("piece")), wanted, ["file", "piece"], "left_semi",
+        ).groupBy("file", "piece").agg(F.min("value").alias("value"))
         parts = places.join(held.hint("merge"), ["file", "piece"])
         whole = parts.groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("offset", "value"))).alias("ps"))
         whole = _parsed(whole.select(F.array_join(F.transform("ps", lambda p: p["value"]), MAGIC).alias("value")))
@@ -188,8 +229,12 @@ def read_warc(spark: SparkSession, path: str, id_type: str = "bigint", segment:
     page = lambda c: F.expr(f"try_cast(nullif(regexp_extract({c}, '^<urn:page:(.*)>$', 1), '') as {id_type})")
     table = stage(found.withColumns({"page_id": page("record_id"), "refers_to": page("refers_to_id")}).drop("record_id", "refers_to_id"), "read")
     answers = table.filter("record_type = 'response'")
-    lengths = answers.groupBy(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("declared")).agg(F.max("payload_bytes").alias("payload_bytes"))
-    again = table.filter("record_type = 'revisit'").select("page_id", "record_type", "refers_to", "declared").join(lengths.hint("merge"), ["refers_to", "declared"], "left")
+    lengths = answers.groupBy(
+        F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("declared"),
+    ).agg(F.max("payload_bytes").alias("payload_bytes"))
+    again = table.filter("record_type = 'revisit'").select("page_id", "record_type", "refers_to", "declared").join(
+        lengths.hint("merge"), ["refers_to", "declared"], "left",
+    )
     again = again.withColumn("payload_digest", F.when(F.col("payload_bytes").isNotNull(), F.col("declared")))
     cols = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     return answers.select(*cols[:-1], F.lit(None).cast(id_type).alias("refers_to")).unionByName(again.select(*cols))

@@ -21,9 +21,18 @@ def messy_rows():
         lang = "aa" if i % 3 else "bb"
         rows.append((i, words(rng, stems[lang], 5 + i), lang, f"src{i % 5}"))
     long = words(rng, stems["aa"], 20_000)
-    rows += [(100, rows[70][1] + " ", "aa", "src1"), (101, rows[70][1].replace(" ", "\n"), "aa", None), (102, rows[70][1].rsplit(" ", 1)[0] + " tail", "aa", "src2")]
-    rows += [(103, None, "aa", "src0"), (104, "", None, "src0"), (105, " \t\n", "bb", None), (106, long, "aa", "src0"), (107, long, "aa", "src3"), (None, "no id here", None, None)]
-    rows += [(108, "Ünïcode ‘quotes’ 中文字符   x y", "bb", "é"), (109, "12 34 !!", "aa", "src4"), (7, rows[7][1], "aa", "src2"), (7, rows[7][1], "aa", "src2")]
+    rows += [
+        (100, rows[70][1] + " ", "aa", "src1"), (101, rows[70][1].replace(" ", "\n"), "aa", None),
+        (102, rows[70][1].rsplit(" ", 1)[0] + " tail", "aa", "src2"),
+    ]
+    rows += [
+        (103, None, "aa", "src0"), (104, "", None, "src0"), (105, " \t\n", "bb", None), (106, long, "aa", "src0"), (107, long, "aa", "src3"),
+        (None, "no id here", None, None),
+    ]
+    rows += [
+        (108, "Ünïcode ‘quotes’ 中文字符   x y", "bb", "é"), (109, "12 34 !!", "aa", "src4"), (7, rows[7][1], "aa", "src2"),
+        (7, rows[7][1], "aa", "src2"),
+    ]
     return [(*r, None if r[1] is None else len(r[1]), *["x"] * len(CLASHING)) for r in rows]
 
 

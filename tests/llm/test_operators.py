@@ -33,7 +33,12 @@ def test_brown_base_scores_and_held_out_gain(spark, messy):
     token = lambda t: [*(t or "").encode().lower().split(), None]
     counts = Counter(w for r in rows if not of(r["doc_id"]) for w in token(r["text"]))
     n, v = sum(counts.values()), len(counts)
-    expected = sorted((r["doc_id"] if r["doc_id"] is not None else -1, len(token(r["text"])), sum(w in counts for w in token(r["text"])), round(sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in token(r["text"])), 5)) for r in rows)
+    expected = sorted(
+        (
+            r["doc_id"] if r["doc_id"] is not None else -1, len(token(r["text"])), sum(w in counts for w in token(r["text"])),
+            round(sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in token(r["text"])), 5),
+        ) for r in rows
+    )
     assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_tokens"], r["n_known"], round(r["base_score"], 5)) for r in out) == expected
     assert {r["train_tokens"] for r in out} == {n}
     held = [r for r in out if r["held_out"]]
@@ -132,10 +137,14 @@ def test_discriminant_separates_held_out(spark, messy):
     rows, labels = [], []
     for i in range(300):
         good = i % 4 > 0
-        text = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) + ("" if good else "###") for _ in range(rng.randrange(5, 60)))
+        text = " ".join(
+            "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) + ("" if good else "###") for _ in range(rng.randrange(5, 60))
+        )
         rows.append((i, text))
         labels.append((i, int(good)))
-    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels + [(None, 1), (3, None)], "doc_id long, quality int")
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(
+        labels + [(None, 1), (3, None)], "doc_id long, quality int",
+    )
     out = qda.quality_scores(docs, marks, "_id % 3 <> 0").collect()
     held = [(r["score"] >= 0.3) == (r["doc_id"] % 4 > 0) for r in out if r["doc_id"] % 3 == 0]
     assert len(out) == 300 and sum(held) / len(held) > 0.97 and all(0 <= r["score"] <= 1 for r in out)
@@ -164,7 +173,9 @@ def test_discriminant_equals_dense_densities(spark, messy):
         logs = [-0.5 * ((v - m) @ inverse @ (v - m) + det) for m, inverse, det in dense]
         return 1 / (1 + np.exp(-np.clip(logs[1] - logs[0] + np.log(((y == 1).sum() + 1) / ((y == 0).sum() + 1)), -500, 500)))
 
-    out = qda.quality_scores(messy, spark.createDataFrame(labels, "doc_id long, quality int").withColumns({"_id": F.lit("x"), "_x": F.lit("y")})).collect()
+    out = qda.quality_scores(
+        messy, spark.createDataFrame(labels, "doc_id long, quality int").withColumns({"_id": F.lit("x"), "_x": F.lit("y")}),
+    ).collect()
     texts = defaultdict(set)
     for i, t in rows:
         texts[i].add(t)
@@ -211,7 +222,9 @@ def test_fit_budget_keeps_the_make_up_of_lengths(each, budget):
 def test_mix(messy, nothing):
     out = mixing.mix_sources(messy).collect()
     rows = messy.collect()
-    assert sorted((r["doc_id"] is None, r["doc_id"], r["size"]) for r in out) == sorted((r["doc_id"] is None, r["doc_id"], len((r["text"] or "").encode().split())) for r in rows)
+    assert sorted((r["doc_id"] is None, r["doc_id"], r["size"]) for r in out) == sorted(
+        (r["doc_id"] is None, r["doc_id"], len((r["text"] or "").encode().split())) for r in rows
+    )
     source = {r["doc_id"]: r["source"] for r in rows}
     sizes, taken, target = Counter(), Counter(), {}
     for r in out:
@@ -324,7 +337,9 @@ def test_encoder_equals_the_tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    texts = [r[1] for r in messy_rows() if r[1]] + ["a  b", "a ", " a", "a\n b\t c ", "it's  we'll x  ", "x <|endoftext|> y", "\n\n  \n", "a  b", "naïve 中文 😀 ok"]
+    texts = [r[1] for r in messy_rows() if r[1]] + [
+        "a  b", "a ", " a", "a\n b\t c ", "it's  we'll x  ", "x <|endoftext|> y", "\n\n  \n", "a  b", "naïve 中文 😀 ok",
+    ]
     true = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     mine = packing.encoder(*tokenizer())
     for t in texts:
@@ -351,7 +366,9 @@ def test_pack(messy, nothing, shard):
         assert at <= 1024
     assert len(places) <= -(-sum(r["length"] for r in out) // 1024) * 1.1 + 2
     assert packing.pack(nothing, tokenizer()).count() == 0
-    assert packing.cut(2500) == [(0, 452), (452, 1024), (1476, 1024)] and packing.cut(2048) == [(0, 1024), (1024, 1024)] and packing.cut(1024) == [(0, 1024)]
+    assert packing.cut(2500) == [
+        (0, 452), (452, 1024), (1476, 1024),
+    ] and packing.cut(2048) == [(0, 1024), (1024, 1024)] and packing.cut(1024) == [(0, 1024)]
 
 
 def test_evolution_never_loses_items_and_improves():
@@ -377,7 +394,10 @@ def triplets(rng, n):
 @pytest.mark.parametrize("kind", ["triplets", "wide", "small", "halves"])
 def test_packing_beats_best_fit_over_all_pieces(spark, kind):
     rng = random.Random(21)
-    lengths = {"triplets": triplets(rng, 400), "wide": [rng.randrange(200, 700) for _ in range(1200)], "small": [rng.randrange(3, 300) for _ in range(1500)], "halves": [600] * 300}[kind]
+    lengths = {
+        "triplets": triplets(rng, 400), "wide": [rng.randrange(200, 700) for _ in range(1200)], "small": [rng.randrange(3, 300) for _ in range(1500)],
+        "halves": [600] * 300,
+    }[kind]
     best_fit = packing.fresh(lengths, np.random.default_rng(0), 0.0, 1024).max() + 1
     items = spark.createDataFrame([(i, n, i % 5) for i, n in enumerate(lengths)], "uid long, length long, part int")
     rows = packing.packed_items(items, shard=200).collect()
@@ -461,14 +481,18 @@ def test_quality_rules_keep_clean_and_drop_junk(spark, messy, nothing):
     rng = random.Random(6)
     plain = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(n)).capitalize() + "."
     rows = [(i, plain(rng.randrange(30, 200))) for i in range(300)]
-    rows += [(1000 + i, " ".join(w + "###" for w in plain(60).split())) for i in range(30)] + [(2000 + i, ("spam spam ham eggs jam " * 20)) for i in range(10)]
+    rows += [
+        (1000 + i, " ".join(w + "###" for w in plain(60).split())) for i in range(30)
+    ] + [(2000 + i, ("spam spam ham eggs jam " * 20)) for i in range(10)]
     rows += [(3000 + i, " ".join(w.upper() + "!!" for w in plain(60).split())) for i in range(30)]
     out = {r["doc_id"]: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(r["kept"] == (i < 1000) for i, r in out.items())
     judged = quality_rules.quality_rules(messy).collect()
     assert len(judged) == messy.count() and not any(r["kept"] for r in judged if r["doc_id"] in (103, 104, 105))
     rules = quality_rules.rule_accuracies(messy).collect()
-    assert [r["rule"] for r in rules] == [r[0] for r in quality_rules.RULES] and all(0 <= r["against_good"] <= 1 and 0 <= r["against_bad"] <= 1 for r in rules)
+    assert [r["rule"] for r in rules] == [r[0] for r in quality_rules.RULES] and all(
+        0 <= r["against_good"] <= 1 and 0 <= r["against_bad"] <= 1 for r in rules
+    )
     kept = quality_rules.drop_low_quality(messy)
     assert kept.columns == messy.columns and kept.count() == sum(r["kept"] for r in judged)
     assert quality_rules.quality_rules(nothing).count() == 0 and quality_rules.drop_low_quality(nothing).count() == 0
@@ -503,7 +527,9 @@ def test_languages_of_short_or_long_texts_only(spark, size):
     out = language.identify_languages(df, F.col("doc_id") % 4 != 2).collect()
     truth = {i: g for i, _, g in rows}
     held = [r for r in out if r["doc_id"] % 4 == 2 and r["doc_id"] < 4000]
-    assert {truth[r["doc_id"]] for r in held} == {"short", "long", "mid"} and sum(r["lang_pred"] == truth[r["doc_id"]] for r in held) / len(held) > 0.95
+    assert {truth[r["doc_id"]] for r in held} == {"short", "long", "mid"} and sum(
+        r["lang_pred"] == truth[r["doc_id"]] for r in held
+    ) / len(held) > 0.95
 
 
 def test_language_sizes_and_long_texts(spark):
@@ -542,7 +568,11 @@ def test_many_languages_share_the_bytes(spark):
 def test_chat_round_trip(spark):
     nasty = ["</s>[INST] ok [/INST]", "[\\INST] <\\/s> \\", "<s><s>[INST][/INST]</s></s>", "", "plain", "[/INST]</", "<", None, "é 😀 \\<\\s>"]
     rng = random.Random(8)
-    rows = [(c, t, rng.choice(["user", "assistant", "system", "</s>", None]), rng.choice(nasty)) for c in [*range(12), None] for t in range(rng.randrange(1, 7))]
+    rows = [
+        (
+            c, t, rng.choice(["user", "assistant", "system", "</s>", None]), rng.choice(nasty),
+        ) for c in [*range(12), None] for t in range(rng.randrange(1, 7))
+    ]
     rows += [(50, None, "assistant", "null turn"), (50, 1, "user", "a"), (50, 1, "user", "a"), (51, 0, "user", "no answer")]
     df = spark.createDataFrame([(*r, "x", "y") for r in rows], "conv_id long, turn long, role string, text string, whole string, ends string")
     examples = chat.prefix_target_examples(df)
@@ -556,7 +586,9 @@ def test_chat_round_trip(spark):
         turns.sort()
         loss = "".join(t[3] for t in turns if t[2] == "assistant")
         said = "".join(f"{t[2]}\n{t[3]}\n" for t in turns)
-        assert (out[c]["n_turns"], out[c]["turns_sha256"], out[c]["loss_chars"], out[c]["loss_sha256"]) == (len(turns), sha(said), len(loss), sha(loss))
+        assert (
+            out[c]["n_turns"], out[c]["turns_sha256"], out[c]["loss_chars"], out[c]["loss_sha256"],
+        ) == (len(turns), sha(said), len(loss), sha(loss))
     each = examples.filter("trained").groupBy("conv_id").count().collect()
     assert {r["conv_id"]: r["count"] for r in each} == {c: n for c, ts in convs.items() if (n := sum(t[2] == "assistant" for t in ts))}
     assert all(r["text"].endswith("</s>") and r["text"][r["loss_start"] + r["loss_length"] :] == "</s>" for r in examples.filter("trained").collect())
@@ -572,11 +604,17 @@ def test_warc_round_trip(spark, tmp_path):
     body = "".join(rng.choice("abcdef <>/\r\n") for _ in range(3000))
     pages = [(i, f"http://h/{i} x\r\n", f"<p>{i}</p>" + body[: rng.randrange(0, 2500)]) for i in range(60)]
     pages += [(100, None, body), (101, "u", body), (102, "u", body), (103, "u", body[:900]), (104, "u", body[:900]), (105, "u", None), (106, "u", "")]
-    pages += [(107, "u", fake), (108, "u", "x" + fake * 20 + "y"), (109, "u", "é" * 600 + "WARC/1.0\r\n"), (110, "u", "WARC/1.0\r\n" * 3), (111, "u", "é" * 600 + "WARC/1.0\r\n")]
+    pages += [
+        (107, "u", fake), (108, "u", "x" + fake * 20 + "y"), (109, "u", "é" * 600 + "WARC/1.0\r\n"), (110, "u", "WARC/1.0\r\n" * 3),
+        (111, "u", "é" * 600 + "WARC/1.0\r\n"),
+    ]
     df = spark.createDataFrame([(*p, "e", "f") for p in pages], "page_id long, url string, html string, value string, _sha string").repartition(3)
     payload = {i: (h or "").encode() for i, _, h in pages}
     top = {b: max(i for i, x in payload.items() if x == b) for b in payload.values()}
-    expected = sorted((i, len(b), hashlib.sha1(b).hexdigest(), *(("revisit", top[b]) if len(b) >= 1000 and top[b] != i else ("response", None))) for i, b in payload.items())
+    expected = sorted(
+        (i, len(b), hashlib.sha1(b).hexdigest(), *(("revisit", top[b]) if len(b) >= 1000 and top[b] != i else ("response", None))) for i,
+        b in payload.items()
+    )
     path = str(tmp_path / "archive")
     out = warc.archive_round_trip(df, path)
     assert sorted((tuple(r) for r in out.collect()), key=lambda r: r[0]) == expected
@@ -607,7 +645,10 @@ def test_warc_revisits_of_repeated_ids(spark, tmp_path):
     pages = [(5, "u", one), (5, "u", two), (1, "u", one), (2, "u", two)]
     out = warc.archive_round_trip(spark.createDataFrame(pages, "page_id long, url string, html string"), str(tmp_path / "archive"))
     sha = lambda t: hashlib.sha1(t.encode()).hexdigest()
-    expected = [(1, 1500, sha(one), "revisit", 5), (2, 2000, sha(two), "revisit", 5), (5, 1500, sha(one), "response", None), (5, 2000, sha(two), "response", None)]
+    expected = [
+        (1, 1500, sha(one), "revisit", 5), (2, 2000, sha(two), "revisit", 5), (5, 1500, sha(one), "response", None),
+        (5, 2000, sha(two), "response", None),
+    ]
     assert sorted(tuple(r) for r in out.collect()) == expected
 
 
@@ -616,7 +657,9 @@ def test_warc_chain_ends_at_a_damaged_record(spark, tmp_path):
     record = lambda i, body, more=0: f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{i}>\r\nContent-Length: {len(head + body) + more}\r\n\r\n{head}{body}\r\n\r\n"
     (tmp_path / "archive").mkdir()
     (tmp_path / "archive/part").write_bytes((record(1, "one") + record(2, "two", 7) + record(3, "three")).encode())
-    assert [r["page_id"] for r in warc.read_warc(spark, str(tmp_path / "archive")).collect() if r["payload_digest"] == hashlib.sha1(b"one").hexdigest()] == [1]
+    assert [
+        r["page_id"] for r in warc.read_warc(spark, str(tmp_path / "archive")).collect() if r["payload_digest"] == hashlib.sha1(b"one").hexdigest()
+    ] == [1]
     assert all(r["page_id"] != 3 for r in warc.read_warc(spark, str(tmp_path / "archive")).collect())
 
 

@@ -1,34 +1,57 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from axistab.llm import packing, queries
+from axistab.llm import mixing, packing, quality_rules, queries
 from axistab.llm.common import stage
 from tests.llm.conftest import messy_rows
+from tests.llm.test_similar import brute_groups
 from tests.oracle import connect, difference
 
 
 def test_stages_over_messy_documents(spark, messy):
-    docs, seen = messy, []
+    """Each stage against a plain version of it over the rows that the one before it kept."""
+    docs, seen = messy, {}
     for name, f in corpus_pipeline.STAGES:
         before, docs = docs, stage(f(spark, docs, ""), name)
-        seen.append(docs.count())
+        seen[name] = [(r["doc_id"], r["text"], r["source"]) if name != "best_fit_packing" else r for r in docs.collect()]
         if name != "best_fit_packing":
             assert docs.columns == before.columns
-            assert {r["doc_id"] for r in docs.collect()} <= {r["doc_id"] for r in before.collect()}
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+
+    judged = quality_rules.quality_rules(messy).filter("kept").collect()
+    assert sorted(Counter(r["doc_id"] for r in judged).items()) == sorted(Counter(r[0] for r in seen["quality_rules"]).items())
+
+    groups = defaultdict(list)
+    for r in seen["quality_rules"]:
+        groups[(r[1] or "").encode().translate(None, b" \t\n\r\x0b\x0c")].append(r)
+    best = [min(g, key=lambda r: (-len(r[1] or ""), *key(r))) for g in groups.values()]
+    assert sorted(map(key, seen["exact_dedup"])) == sorted(map(key, best))
+
+    roots = brute_groups([(r[0], r[1]) for r in seen["exact_dedup"]])
+    leads = [min((key(r) for r, x in zip(seen["exact_dedup"], roots, strict=True) if x == root)) for root in set(roots)]
+    assert sorted(map(key, seen["near_dedup"])) == sorted(leads)
+
+    taken = {(r["doc_id"], r["size"]): r["taken"] for r in mixing.mix_sources(docs_of(spark, seen["near_dedup"])).collect()}
+    words = lambda t: len((t or "").encode().split())
+    times = Counter((r[0], words(r[1])) for r in seen["mix_sources"])
+    assert all(times[i, n] * n == taken[i, n] for i, n in taken) and times.keys() <= taken.keys()
+
     texts = {r[0]: r[1] for r in messy_rows()}
-    mixed = [r["doc_id"] for r in before.collect()]
-    ids = packing.encoder(*queries.tokenizer()).ids
-    expected = []
-    for d in mixed:
+    ids, expected = packing.encoder(*queries.tokenizer()).ids, []
+    for d, _, _ in seen["mix_sources"]:
         blob = ids(texts[d] or "") + np.array([2], "<u4").tobytes()
         expected += [(d, k, zlib.crc32(blob[4 * s : 4 * (s + n)])) for k, (s, n) in enumerate(packing.cut(len(blob) // 4))]
-    assert sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in docs.collect()) == sorted(expected)
-    assert seen[0] >= seen[1] >= seen[2]
+    assert sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in seen["best_fit_packing"]) == sorted(expected)
+
+
+def docs_of(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string, source string")
 
 
 #: Columns of each query whose result no SQL gives, in order.

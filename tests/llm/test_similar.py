@@ -65,7 +65,9 @@ def test_linked_sets_join_what_all_pairs_join():
     rng = random.Random(3)
     for _ in range(30):
         base = [rng.sample(range(60), 30) for _ in range(3)]
-        sets = [sorted({*rng.choice(base), *rng.sample(range(60), rng.randrange(6))} - set(rng.sample(range(60), 4))) for _ in range(rng.randrange(1, 40))]
+        sets = [
+            sorted({*rng.choice(base), *rng.sample(range(60), rng.randrange(6))} - set(rng.sample(range(60), 4))) for _ in range(rng.randrange(1, 40))
+        ]
         edges = similar.linked_sets(np.cumsum([0, *map(len, sets)]), np.array([v for s in sets for v in s], np.int64), 0.8)
         forest, true = similar.Forest(), similar.Forest()
         assert all(forest.join(a, b) for a, b in edges)
