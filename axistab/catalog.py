@@ -47,7 +47,10 @@ def _t(spark: SparkSession, sf_dir: str, name: str, cols: list[str] | None = Non
     return tables.read_table(spark, f"{sf_dir}/{name}.parquet", cols)
 
 
-LINE = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+LINE = [
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
+    "l_shipdate",
+]
 _LINE = ", ".join(LINE)
 
 
@@ -71,7 +74,10 @@ def s2_round_trip(spark, sf_dir):
     tables.write_table(table, path)
     back = tables.load_table(spark, path)
     about = tables.metadata(back.df, "o_totalprice")
-    return back.df.select("o_orderkey", "o_totalprice", "row", F.lit(about["keyword"]).alias("keyword"), F.lit(about["unit"]).alias("unit"), F.lit(",".join(back.index_axes)).alias("axes"))
+    return back.df.select(
+        "o_orderkey", "o_totalprice", "row", F.lit(about["keyword"]).alias("keyword"), F.lit(about["unit"]).alias("unit"),
+        F.lit(",".join(back.index_axes)).alias("axes"),
+    )
 
 
 @query("select 'customer' as name, c_custkey as key from customer union all select 'supplier', s_suppkey from supplier union all select 'part', p_partkey from part")
@@ -129,12 +135,17 @@ select 'vec_id' as name, true as present, 'bigint' as expected_type, 'bigint' as
 union all select 'embedding', true, 'array<float>', 'array<float>', 'Jy', count(embedding), count(distinct len(embedding)) from embeddings
 union all select 'flag_row', false, 'boolean', null, null, 0, 0""")
 def p5_profile(spark, sf_dir):
-    return columns.profile_columns(_t(spark, sf_dir, "embeddings"), {"vec_id": ("bigint", None), "embedding": ("array<float>", "Jy"), "flag_row": ("boolean", None)})
+    return columns.profile_columns(
+        _t(spark, sf_dir, "embeddings"), {"vec_id": ("bigint", None), "embedding": ("array<float>", "Jy"), "flag_row": ("boolean", None)},
+    )
 
 
 @query("select c_name as name, c_acctbal::float::double as dish_diameter, [c_acctbal, c_custkey::double] as position, 'm' as unit from customer")
 def p5_import(spark, sf_dir):
-    one = _t(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), F.col("c_acctbal").cast("float").alias("dish_diameter"), F.array("c_acctbal", F.col("c_custkey").cast("double")).alias("position"), "c_custkey")
+    one = _t(spark, sf_dir, "customer").select(
+        F.col("c_name").alias("name"), F.col("c_acctbal").cast("float").alias("dish_diameter"),
+        F.array("c_acctbal", F.col("c_custkey").cast("double")).alias("position"), "c_custkey",
+    )
     made = tables.import_table(one, SCHEMAS["ANTENNA"])
     return made.select("*", F.lit(tables.metadata(made, "dish_diameter")["unit"]).alias("unit"))
 
@@ -144,7 +155,9 @@ with g as (select bool_and(len(embedding) = len(embedding[1:32]) ) as half from
 select 2::bigint as members, 'embedding,twice' as cols union all select 1, 'half' from g where not half""")
 def p6_shape_groups(spark, sf_dir):
     df = _t(spark, sf_dir, "embeddings").withColumns({"twice": F.transform("embedding", lambda v: v * 2), "half": F.slice("embedding", 1, 32)})
-    return columns.shape_groups(df, ["embedding", "twice", "half"], "vec_id").select(F.size("columns").cast("bigint").alias("members"), F.array_join("columns", ",").alias("cols"))
+    return columns.shape_groups(df, ["embedding", "twice", "half"], "vec_id").select(
+        F.size("columns").cast("bigint").alias("members"), F.array_join("columns", ",").alias("cols"),
+    )
 
 
 _CELLS = """
@@ -215,7 +228,9 @@ select dense_rank() over (order by l_returnflag) - 1 as l_returnflag_at, dense_r
   row_number() over (partition by l_returnflag, l_linestatus order by row0) - 1 as row, l_orderkey, l_linenumber, l_extendedprice from r""")
 def x4_with_rows(spark, sf_dir):
     kept = ["l_returnflag", "l_linestatus", "l_orderkey", "l_linenumber", "l_extendedprice"]
-    laid = index.reindexed(index.from_rows(_t(spark, sf_dir, "lineitem", LINE), LINE, keep=kept), ["l_returnflag", "l_linestatus"], allow_rows=True).df
+    laid = index.reindexed(
+        index.from_rows(_t(spark, sf_dir, "lineitem", LINE), LINE, keep=kept), ["l_returnflag", "l_linestatus"], allow_rows=True,
+    ).df
     return laid.select("l_returnflag_at", "l_linestatus_at", "row", "l_orderkey", "l_linenumber", "l_extendedprice")
 
 
@@ -232,7 +247,9 @@ def x6_cells(spark, sf_dir):
 
 @query(f"with {_CELLS} select o_orderdate_at, o_orderkey, o_totalprice from one join orders using (o_orderkey) where o_custkey = 7".replace("o_orderkey, o_totalprice from one join", "o_orderkey, one.o_totalprice from one join"))
 def x7_lookup(spark, sf_dir):
-    return index.lookup(index.reindexed(_orders(spark, sf_dir), ["o_custkey", "o_orderdate"]), {"o_custkey": 7}).select("o_orderdate_at", "o_orderkey", "o_totalprice")
+    return index.lookup(
+        index.reindexed(_orders(spark, sf_dir), ["o_custkey", "o_orderdate"]), {"o_custkey": 7},
+    ).select("o_orderdate_at", "o_orderkey", "o_totalprice")
 
 
 @query("select distinct event_type as value, dense_rank() over (order by event_type) - 1 as coord from events")
@@ -268,7 +285,9 @@ def u1_union(spark, sf_dir):
 @query(f"with r as (select *, row_number() over (order by {_LINE}) - 1 as row from lineitem) select row from r where l_returnflag = 'A' and l_linestatus = 'F'")
 def u2_intersect(spark, sf_dir):
     rows = with_row_axis(_t(spark, sf_dir, "lineitem", LINE), LINE, keep=["l_returnflag", "l_linestatus"])
-    return index.intersect_rows(index.create_index(rows, "l_returnflag").filter("value = 'A'"), index.create_index(rows, "l_linestatus").filter("value = 'F'"))
+    return index.intersect_rows(
+        index.create_index(rows, "l_returnflag").filter("value = 'A'"), index.create_index(rows, "l_linestatus").filter("value = 'F'"),
+    )
 
 
 @query("select c_custkey as k from customer except select o_custkey from orders")
@@ -281,8 +300,13 @@ def u3_diff(spark, sf_dir):
 
 @query("select o_orderkey, c_nationkey, n_name from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey")
 def j1_lookup(spark, sf_dir):
-    fact = joins.lookup_join(_t(spark, sf_dir, "orders", ["o_orderkey", "o_custkey"]), _t(spark, sf_dir, "customer", ["c_custkey", "c_nationkey"]), "o_custkey", "c_custkey")
-    return joins.lookup_join(fact, _t(spark, sf_dir, "nation", ["n_nationkey", "n_name"]), "c_nationkey", "n_nationkey").select("o_orderkey", "c_nationkey", "n_name")
+    fact = joins.lookup_join(
+        _t(spark, sf_dir, "orders", ["o_orderkey", "o_custkey"]), _t(spark, sf_dir, "customer", ["c_custkey", "c_nationkey"]), "o_custkey",
+        "c_custkey",
+    )
+    return joins.lookup_join(
+        fact, _t(spark, sf_dir, "nation", ["n_nationkey", "n_name"]), "c_nationkey", "n_nationkey",
+    ).select("o_orderkey", "c_nationkey", "n_name")
 
 
 @query("""
@@ -291,7 +315,9 @@ select l_orderkey, l_linenumber, l_partkey, l_suppkey, top from lineitem join d
 def j2_keyed_lookup(spark, sf_dir):
     fact = _t(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"])
     dim = fact.groupBy(F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s")).agg(F.array(F.max("l_quantity")).alias("top"))
-    return joins.keyed_lookup(fact.drop("l_quantity"), stage(dim, "dim"), {"l_partkey": "p", "l_suppkey": "s"}, "top").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "top")
+    return joins.keyed_lookup(
+        fact.drop("l_quantity"), stage(dim, "dim"), {"l_partkey": "p", "l_suppkey": "s"}, "top",
+    ).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "top")
 
 
 @query("select o_orderkey, o_orderpriority, (cast(substr(o_orderpriority, 1, 1) as int)) as code from orders")
@@ -303,7 +329,9 @@ def j4_refcode(spark, sf_dir):
 
 @query("select c_custkey, c_name, c_acctbal from customer")
 def j5_align(spark, sf_dir):
-    return joins.align_rows(_t(spark, sf_dir, "customer", ["c_custkey", "c_name"]), _t(spark, sf_dir, "customer", ["c_custkey", "c_acctbal"]), ["c_custkey"])
+    return joins.align_rows(
+        _t(spark, sf_dir, "customer", ["c_custkey", "c_name"]), _t(spark, sf_dir, "customer", ["c_custkey", "c_acctbal"]), ["c_custkey"],
+    )
 
 
 @query("select c_custkey, (case c_mktsegment when 'AUTOMOBILE' then 0 when 'BUILDING' then 1 when 'FURNITURE' then 2 when 'MACHINERY' then 3 else 4 end) as code from customer")
@@ -323,7 +351,9 @@ def a1_average(spark, sf_dir):
 
 @query("select label, count(*) as n, round(avg(v::double), 6) as re, round(avg(v::double * v::double), 6) as im from (select label, unnest(embedding) as v from embeddings) group by label")
 def a1_average_complex(spark, sf_dir):
-    df = _t(spark, sf_dir, "embeddings").select("label", F.transform("embedding", lambda v: cplx(v, v.cast("double") * v.cast("double"))).alias("data"))
+    df = _t(spark, sf_dir, "embeddings").select(
+        "label", F.transform("embedding", lambda v: cplx(v, v.cast("double") * v.cast("double"))).alias("data"),
+    )
     return agg.average_by(df, ["label"], "data").select("label", "n", F.round("re", 6).alias("re"), F.round("im", 6).alias("im"))
 
 
@@ -337,7 +367,9 @@ def a2_merge(spark, sf_dir):
 
 @query("select l_orderkey, bool_or(l_returnflag = 'R') as returned from lineitem group by 1")
 def a3_any_true(spark, sf_dir):
-    return agg.any_true(_t(spark, sf_dir, "lineitem", ["l_orderkey", "l_returnflag"]).withColumn("r", F.col("l_returnflag") == "R"), ["l_orderkey"], "r", "returned")
+    return agg.any_true(
+        _t(spark, sf_dir, "lineitem", ["l_orderkey", "l_returnflag"]).withColumn("r", F.col("l_returnflag") == "R"), ["l_orderkey"], "r", "returned",
+    )
 
 
 @query("select l_orderkey, bit_or(l_linenumber) as bits from lineitem group by 1")
@@ -352,7 +384,9 @@ def a5_vector_sum(spark, sf_dir):
 
 @query("select user_id, max_by(value, event_id) filter (where event_type <> 'error') as last from events group by 1")
 def a6_last_set(spark, sf_dir):
-    df = _t(spark, sf_dir, "events", ["user_id", "event_id", "event_type", "value"]).withColumn("v", F.when(F.col("event_type") == "error", -1.0).otherwise(F.col("value")))
+    df = _t(spark, sf_dir, "events", ["user_id", "event_id", "event_type", "value"]).withColumn(
+        "v", F.when(F.col("event_type") == "error", -1.0).otherwise(F.col("value")),
+    )
     return agg.last_set(df, ["user_id"], "v", "event_id", -1.0)
 
 
@@ -370,7 +404,9 @@ _TERMS = ", ".join(f"({(n * (n + 2) + m) // 2}, {px}, {py}, {c})" for m, n, px,
 
 @query(f"with {_COEFFS.format(66)}, t(k, px, py, c) as (values {_TERMS}) select key, px, py, round(sum(re * t.c), 6) as re, round(sum(im * t.c), 6) as im from c join t using (k) group by 1, 2, 3")
 def a7_zernike(spark, sf_dir):
-    return cf.zernike_to_poly(_coeffs(spark, sf_dir, 66), ["key"]).select("key", "px", "py", F.round("re", 6).alias("re"), F.round("im", 6).alias("im"))
+    return cf.zernike_to_poly(_coeffs(spark, sf_dir, 66), ["key"]).select(
+        "key", "px", "py", F.round("re", 6).alias("re"), F.round("im", 6).alias("im"),
+    )
 
 
 # Blocks
@@ -440,12 +476,16 @@ def b6_block_count(spark, sf_dir):
 
 @query("select event_type, count(*) as n, round(sum(value), 3) as total from events group by 1")
 def b7_by_value(spark, sf_dir):
-    return blocks.partition_by_value(_t(spark, sf_dir, "events", ["event_type", "value"]), ["event_type"]).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 3).alias("total"))
+    return blocks.partition_by_value(_t(spark, sf_dir, "events", ["event_type", "value"]), ["event_type"]).groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 3).alias("total"),
+    )
 
 
 @query("select distinct block, s as stokes from (select o_custkey // 100 as block, unnest([o_orderkey % 4, o_custkey % 4]) as s from orders)")
 def b8_mueller(spark, sf_dir):
-    df = _t(spark, sf_dir, "orders", ["o_custkey", "o_orderkey"]).select(F.floor(F.col("o_custkey") / 100).alias("block"), (F.col("o_orderkey") % 4).alias("o"), (F.col("o_custkey") % 4).alias("i"))
+    df = _t(spark, sf_dir, "orders", ["o_custkey", "o_orderkey"]).select(
+        F.floor(F.col("o_custkey") / 100).alias("block"), (F.col("o_orderkey") % 4).alias("o"), (F.col("o_custkey") % 4).alias("i"),
+    )
     return blocks.blocks_by_mueller(df, "block", "o", "i")
 
 
@@ -478,7 +518,9 @@ def _ps(spark, sf_dir):
 
 
 def _w(spark, sf_dir):
-    axis = _t(spark, sf_dir, "part", ["p_partkey", "p_retailprice"]).select(F.col("p_partkey").alias("key"), (F.col("p_retailprice") / 100).alias("w"))
+    axis = _t(spark, sf_dir, "part", ["p_partkey", "p_retailprice"]).select(
+        F.col("p_partkey").alias("key"), (F.col("p_retailprice") / 100).alias("w"),
+    )
     return cf.w_term(cf.grid_coordinates(cf.cf_axes([axis], 5), 5, 2.0)).select("key", "x", "y", "value", "weight")
 
 
@@ -492,7 +534,9 @@ with p as (select p_partkey as key, p_size * 0.1 as a, x::int as x, y::int as y,
 select key, x, y, round(u * cos(a) + v * sin(a), 6) as cx, round(v * cos(a) - u * sin(a), 6) as cy from p""")
 def f2_coordinates(spark, sf_dir):
     axis = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), (F.col("p_size") * 0.1).alias("a"))
-    return cf.grid_coordinates(cf.cf_axes([axis], 4), 4, 1.0, F.col("a")).select("key", "x", "y", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"))
+    return cf.grid_coordinates(cf.cf_axes([axis], 4), 4, 1.0, F.col("a")).select(
+        "key", "x", "y", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"),
+    )
 
 
 @query(f"with {_PS} select key, x, y, round(v, 6) as re, 0.0::double as im, round(weight, 6) as weight from ps")
@@ -511,7 +555,10 @@ f as (select distinct class, frequency as f from a), w as (select c_nationkey %
 n as (select w.class, w.frequency, arg_min(f, {'d': abs(w.frequency - f), 'f': f}) as f from w left join f using (class) group by all)
 select n.class, n.frequency, r.k::int as k, coalesce(a.re, 0) as re, coalesce(a.im, 0) as im from n cross join range(4) as r(k) left join a on a.class = n.class and a.frequency = n.f and a.k = r.k""")
 def f5a_nearest(spark, sf_dir):
-    part = _t(spark, sf_dir, "part").select((F.col("p_size") % 3).alias("class"), F.col("p_partkey").cast("double").alias("frequency"), "p_retailprice", "p_size", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"))
+    part = _t(spark, sf_dir, "part").select(
+        (F.col("p_size") % 3).alias("class"), F.col("p_partkey").cast("double").alias("frequency"), "p_retailprice", "p_size",
+        F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"),
+    )
     known = part.select("class", "frequency", "k", (F.col("p_retailprice") * F.col("k")).alias("re"), (F.col("p_size") * 1.0).alias("im"))
     wanted = _t(spark, sf_dir, "customer").select((F.col("c_nationkey") % 4).alias("class"), F.col("c_acctbal").alias("frequency")).distinct()
     return cf.nearest_frequency_coeffs(wanted, known, ["class"], 4)
@@ -578,13 +625,18 @@ aterm as (select o.plane, o.stokes as stokes_out, i.stokes as stokes_in, o.x, o.
 def _a(spark, sf_dir):
     """A-term of all 66 coefficients: products of transformed apertures (scaled by 1e-4, so that rounding can be compared)."""
     beam = cf.beam(_aperture(spark, sf_dir, 66), ["key"], 5)
-    ill = beam.select(F.floor(F.col("key") / 4).alias("plane"), (F.col("key") % 4).alias("stokes"), "x", "y", cplx(F.col("re") * 1e-4, F.col("im") * 1e-4).alias("value"))
+    ill = beam.select(
+        F.floor(F.col("key") / 4).alias("plane"), (F.col("key") % 4).alias("stokes"), "x", "y",
+        cplx(F.col("re") * 1e-4, F.col("im") * 1e-4).alias("value"),
+    )
     return cf.a_term(ill, ["plane"], spark.createDataFrame(_PAIRS, "stokes_out long, stokes_in long"))
 
 
 @query(f"with {_A} select plane, stokes_out, stokes_in, x, y, round(re, 5) + 0.0 as re, round(im, 5) + 0.0 as im from aterm")
 def f5d_a_term_beams(spark, sf_dir):
-    return _a(spark, sf_dir).select("plane", "stokes_out", "stokes_in", "x", "y", (F.round("value.re", 5) + 0.0).alias("re"), (F.round("value.im", 5) + 0.0).alias("im"))
+    return _a(spark, sf_dir).select(
+        "plane", "stokes_out", "stokes_in", "x", "y", (F.round("value.re", 5) + 0.0).alias("re"), (F.round("value.im", 5) + 0.0).alias("im"),
+    )
 
 
 _AXES = f"""
@@ -606,10 +658,16 @@ with {_AXES}
 select o.class, o.frequency, o.angle, o.stokes as stokes_out, i.stokes as stokes_in, o.x, o.y, round(o.re * i.re + o.im * i.im, 3) + 0.0 as re, round(o.im * i.re - o.re * i.im, 3) + 0.0 as im
 from jt o join jt i on (o.class, o.frequency, o.angle, o.x, o.y) = (i.class, i.frequency, i.angle, i.x, i.y) and (o.stokes, i.stokes) in ((0, 0), (0, 1), (1, 1))""")
 def f5d_a_term_axes(spark, sf_dir):
-    part = _t(spark, sf_dir, "part", ["p_partkey", "p_size", "p_retailprice"]).select((F.col("p_partkey") % 2).alias("class"), F.floor(F.col("p_partkey") % 4 / 2).alias("stokes"), F.col("p_size").cast("double").alias("frequency"), "p_retailprice")
+    part = _t(spark, sf_dir, "part", ["p_partkey", "p_size", "p_retailprice"]).select(
+        (F.col("p_partkey") % 2).alias("class"), F.floor(F.col("p_partkey") % 4 / 2).alias("stokes"),
+        F.col("p_size").cast("double").alias("frequency"), "p_retailprice",
+    )
     sums = part.groupBy("class", "stokes", "frequency").agg(F.sum("p_retailprice").alias("s"), F.count(F.lit(1)).alias("n"))
     each = sums.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(65))))
-    have = each.select("class", "stokes", "frequency", "k", (F.col("s") / 10000 / (F.col("k") + 1)).alias("re"), (F.col("n") * 0.01 - F.col("k") * 0.001).alias("im"))
+    have = each.select(
+        "class", "stokes", "frequency", "k", (F.col("s") / 10000 / (F.col("k") + 1)).alias("re"),
+        (F.col("n") * 0.01 - F.col("k") * 0.001).alias("im"),
+    )
     nation = _t(spark, sf_dir, "nation", ["n_nationkey"]).select((F.col("n_nationkey") * 2.0 + 0.5).alias("frequency"))
     want = sums.select("class", "stokes").distinct().crossJoin(F.broadcast(nation))
     keys = ["class", "stokes", "frequency"]
@@ -620,7 +678,9 @@ def f5d_a_term_axes(spark, sf_dir):
     ill = beam.select(*keys, "angle", "x", "y", cplx(F.col("re") * 0.01, F.col("im") * 0.01).alias("value"))
     axes = ["class", "frequency", "angle"]
     out = cf.a_term(ill, axes, spark.createDataFrame([(0, 0), (0, 1), (1, 1)], "stokes_out long, stokes_in long"))
-    return out.select(*axes, "stokes_out", "stokes_in", "x", "y", (F.round("value.re", 3) + 0.0).alias("re"), (F.round("value.im", 3) + 0.0).alias("im"))
+    return out.select(
+        *axes, "stokes_out", "stokes_in", "x", "y", (F.round("value.re", 3) + 0.0).alias("re"), (F.round("value.im", 3) + 0.0).alias("im"),
+    )
 
 
 _DFT = """
@@ -631,7 +691,10 @@ select key, x::int as x, y::int as y, round(re, 4) + 0.0 as re, round(im, 4) + 0
 
 
 def _rounded(df):
-    return df.select("key", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), (F.round("re", 4) + 0.0).alias("re"), (F.round("im", 4) + 0.0).alias("im"))
+    return df.select(
+        "key", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), (F.round("re", 4) + 0.0).alias("re"),
+        (F.round("im", 4) + 0.0).alias("im"),
+    )
 
 
 @query(f"with {_W}, z as (select key, x, y, re, im from wt) {_DFT}")
@@ -649,7 +712,9 @@ with {_PS}, {_W}
 select key, ps.x, ps.y, round(ps.v * wt.re, 6) + 0.0 as re, round(ps.v * wt.im, 6) + 0.0 as im, round(ps.weight * wt.weight, 6) as weight from ps join wt using (key, x, y)""")
 def j3_product(spark, sf_dir):
     out = cf.cf_product(_ps(spark, sf_dir), 5, _w(spark, sf_dir), 5, ["key"])
-    return out.select("key", "x", "y", (F.round("value.re", 6) + 0.0).alias("re"), (F.round("value.im", 6) + 0.0).alias("im"), F.round("weight", 6).alias("weight"))
+    return out.select(
+        "key", "x", "y", (F.round("value.re", 6) + 0.0).alias("re"), (F.round("value.im", 6) + 0.0).alias("im"), F.round("weight", 6).alias("weight"),
+    )
 
 
 @query(f"""
@@ -662,7 +727,9 @@ def j3_product_axes(spark, sf_dir):
     nation = _t(spark, sf_dir, "nation", ["n_nationkey"]).select(F.col("n_nationkey").alias("nation"), (F.col("n_nationkey") + 0.25).alias("w"))
     small = cf.w_term(cf.grid_coordinates(cf.cf_axes([nation], 3), 3, 0.9)).select("nation", "x", "y", "value", "weight")
     out = cf.cf_products([(_ps(spark, sf_dir), 5, ["key"]), (small, 3, ["nation"]), (_w(spark, sf_dir), 5, ["key"])])
-    return out.select("key", "x", "y", (F.round("value.re", 6) + 0.0).alias("re"), (F.round("value.im", 6) + 0.0).alias("im"), F.round("weight", 6).alias("weight"))
+    return out.select(
+        "key", "x", "y", (F.round("value.re", 6) + 0.0).alias("re"), (F.round("value.im", 6) + 0.0).alias("im"), F.round("weight", 6).alias("weight"),
+    )
 
 
 @query(f"with {_PS}, {_W}, z as (select key, ps.x, ps.y, ps.v * wt.re as re, ps.v * wt.im as im from ps join wt using (key, x, y)) {_DFT}")
@@ -688,7 +755,9 @@ def f7_pipeline_a(spark, sf_dir):
 def s5_planes(spark, sf_dir):
     flat = _w(spark, sf_dir).select("key", "x", "y", F.col("value.re").alias("re"), F.col("value.im").alias("im"))
     planes = tables.cf_planes(flat, ["key"])
-    return planes.select("key", F.size("cells").cast("bigint").alias("cells"), F.round(F.aggregate("cells", F.lit(0.0), lambda a, c: a + c["re"]), 5).alias("re"))
+    return planes.select(
+        "key", F.size("cells").cast("bigint").alias("cells"), F.round(F.aggregate("cells", F.lit(0.0), lambda a, c: a + c["re"]), 5).alias("re"),
+    )
 
 
 # Scalar expressions
@@ -764,7 +833,9 @@ def e8_epoch(spark, sf_dir):
 @query("select event_id, round(value * 60.0, 6) as seconds, round(value * (pi() / 180), 9) as radians from events")
 def e9_units(spark, sf_dir):
     v = F.col("value")
-    return _t(spark, sf_dir, "events").select("event_id", F.round(expr.unit(v, "min", "s"), 6).alias("seconds"), F.round(expr.unit(v, "deg", "rad"), 9).alias("radians"))
+    return _t(spark, sf_dir, "events").select(
+        "event_id", F.round(expr.unit(v, "min", "s"), 6).alias("seconds"), F.round(expr.unit(v, "deg", "rad"), 9).alias("radians"),
+    )
 
 
 @query("select p_partkey, case p_size % 4 when 0 then 0 when 1 then 1 when 2 then 2 else 6 end as code, 0 as class from part")

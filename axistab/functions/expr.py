@@ -64,7 +64,9 @@ def interp_directions(poly: Column, t: Column, t0: Column, tolerance: float = 1e
 
 def parallactic_angle(hour_angle: Column, latitude: Column, declination: Column) -> Column:
     """Angle between pole and zenith at the source, in radians."""
-    return F.atan2(F.sin(hour_angle) * F.cos(latitude), F.sin(latitude) * F.cos(declination) - F.cos(latitude) * F.sin(declination) * F.cos(hour_angle))
+    return F.atan2(
+        F.sin(hour_angle) * F.cos(latitude), F.sin(latitude) * F.cos(declination) - F.cos(latitude) * F.sin(declination) * F.cos(hour_angle),
+    )
 
 
 def elevation(hour_angle: Column, latitude: Column, declination: Column) -> Column:

@@ -16,7 +16,10 @@ def average_by(df: DataFrame, keys: list[str], col: str) -> DataFrame:
         flat = F.flatten(flat)
     each = df.select(*keys, F.explode(flat).alias("__v") if depth else flat.alias("__v"))
     if hasattr(kind, "fields"):
-        return each.groupBy(*keys).agg(F.count("__v").alias("n"), (F.sum(F.col("__v.re").cast("double")) / F.count("__v")).alias("re"), (F.sum(F.col("__v.im").cast("double")) / F.count("__v")).alias("im"))
+        return each.groupBy(*keys).agg(
+            F.count("__v").alias("n"), (F.sum(F.col("__v.re").cast("double")) / F.count("__v")).alias("re"),
+            (F.sum(F.col("__v.im").cast("double")) / F.count("__v")).alias("im"),
+        )
     return each.groupBy(*keys).agg(F.count("__v").alias("n"), (F.sum(F.col("__v").cast("double")) / F.count("__v")).alias("mean"))
 
 

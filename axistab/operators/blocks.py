@@ -33,7 +33,9 @@ def block_range(coord: Column, stride: int, offset: int, lo: int, hi: int) -> tu
     return floor_div(coord - F.lit(offset + hi - stride + 1).cast("long"), stride), floor_div(coord - F.lit(offset + lo).cast("long"), stride)
 
 
-def partition_axis(df: DataFrame, coord: str, stride: int, offset: int = 0, extent: tuple[int, int] | None = None, block: str = "block", limit: int | None = None) -> DataFrame:
+def partition_axis(
+    df: DataFrame, coord: str, stride: int, offset: int = 0, extent: tuple[int, int] | None = None, block: str = "block", limit: int | None = None,
+) -> DataFrame:
     """A row for each block that holds it: blocks may leave gaps or overlap; they number from 0 up to ``limit`` - 1.
 
     Block k covers ``offset + k stride + extent``. Only the few blocks of a row are made, never a join with all blocks.
@@ -71,13 +73,18 @@ def narrow_partition(df: DataFrame, keep: list[str]) -> DataFrame:
 
 def blocks_and_halos(df: DataFrame, coord: str, size: int, border: int, extent: int) -> DataFrame:
     """Rows in blocks of ``size`` grown by ``border``, clipped to 0..extent-1; ``inner`` tells the block's own rows."""
-    grown = partition_axis(df.filter(F.col(coord).between(0, extent - 1)), coord, size, 0, (-border, size + border - 1), "block", number_of_blocks(0, extent - 1, size))
+    grown = partition_axis(
+        df.filter(F.col(coord).between(0, extent - 1)), coord, size, 0, (-border, size + border - 1), "block", number_of_blocks(0, extent - 1, size),
+    )
     return grown.withColumn("inner", floor_div(F.col(coord), size) == F.col("block"))
 
 
 def halos_over_axes(df: DataFrame, sizes: dict[str, int], borders: dict[str, int], extents: dict[str, int]) -> DataFrame:
     """Blocks with halos over several axes: ``<coord>_block`` for each, ``inner`` where the row lies in the block itself."""
-    parts = {c: {"stride": s, "extent": (-borders.get(c, 0), s + borders.get(c, 0) - 1), "limit": number_of_blocks(0, extents[c] - 1, s)} for c, s in sizes.items()}
+    parts = {
+        c: {"stride": s, "extent": (-borders.get(c, 0), s + borders.get(c, 0) - 1), "limit": number_of_blocks(0, extents[c] - 1, s)} for c,
+        s in sizes.items()
+    }
     inside = df.filter(reduce(lambda a, b: a & b, (F.col(c).between(0, extents[c] - 1) for c in sizes)))
     inner = reduce(lambda a, b: a & b, (floor_div(F.col(c), s) == F.col(f"{c}_block") for c, s in sizes.items()))
     return partition_axes(inside, parts).withColumn("inner", inner)

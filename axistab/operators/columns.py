@@ -101,7 +101,9 @@ def shape_groups(df: DataFrame, columns: list[str], row: str) -> DataFrame:
     """``signature, columns``: array columns that have the same sizes at every rank in every row belong together."""
     shape = lambda c: F.coalesce(shape_of(F.col(c), df.schema[c].dataType), F.lit("null"))
     sums = df.agg(*(F.sum(F.xxhash64(F.col(row), shape(c)).cast("decimal(38,0)")).cast("string").alias(c) for c in columns))
-    pairs = sums.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("signature")) for c in columns))).alias("p")).select("p.*")
+    pairs = sums.select(
+        F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("signature")) for c in columns))).alias("p")
+    ).select("p.*")
     return pairs.groupBy("signature").agg(F.array_sort(F.collect_list("column")).alias("columns"))
 
 

@@ -63,7 +63,9 @@ def w_term(df: DataFrame, w: str = "w") -> DataFrame:
     r2 = F.col("cx") * F.col("cx") + F.col("cy") * F.col("cy")
     phase = F.lit(2 * math.pi) * F.col(w) * (F.sqrt(1 - r2) - 1)
     inside = r2 <= 1
-    return df.withColumns({"value": cplx(F.when(inside, F.cos(phase)).otherwise(0.0), F.when(inside, F.sin(phase)).otherwise(0.0)), "weight": F.when(inside, 1.0)})
+    return df.withColumns(
+        {"value": cplx(F.when(inside, F.cos(phase)).otherwise(0.0), F.when(inside, F.sin(phase)).otherwise(0.0)), "weight": F.when(inside, 1.0)}
+    )
 
 
 def cf_product(left: DataFrame, left_n: int, right: DataFrame, right_n: int, shared: list[str], right_only: list[str] | None = None) -> DataFrame:
@@ -77,7 +79,9 @@ def cf_product(left: DataFrame, left_n: int, right: DataFrame, right_n: int, sha
     for axis in right_only or []:
         right = right.join(F.broadcast(right.agg(F.min(axis).alias("__first"))), F.col(axis) == F.col("__first")).drop("__first")
     shift = (left_n - right_n) // 2
-    other = right.select(*shared, (F.col("x") + shift).alias("x"), (F.col("y") + shift).alias("y"), F.col("value").alias("__v"), F.col("weight").alias("__w"))
+    other = right.select(
+        *shared, (F.col("x") + shift).alias("x"), (F.col("y") + shift).alias("y"), F.col("value").alias("__v"), F.col("weight").alias("__w"),
+    )
     met = left.join(other, [*shared, "x", "y"], "left")
     value = F.when(F.col("__v").isNull(), F.col("value")).otherwise(cmul(F.col("value"), F.col("__v")))
     weight = F.when(F.col("__v").isNull(), F.col("weight")).otherwise(F.col("weight") * F.col("__w"))
@@ -104,7 +108,12 @@ def cf_fft(df: DataFrame, axes: list[str], n: int, sign: int = 1, rotate_in: boo
     """
     kinds = {f.name: f.dataType for f in df.schema}
     cells = {"x": "int", "y": "int", "re": "double", "im": "double"}
-    schema = T.StructType([*(T.StructField(a, kinds[a]) for a in axes), *(T.StructField(c, T.IntegerType() if k == "int" else T.DoubleType()) for c, k in cells.items())])
+    schema = T.StructType(
+        [
+            *(T.StructField(a, kinds[a]) for a in axes),
+            *(T.StructField(c, T.IntegerType() if k == "int" else T.DoubleType()) for c, k in cells.items()),
+        ]
+    )
     step = _shift(n)
 
     def planes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,10 +129,15 @@ def cf_fft(df: DataFrame, axes: list[str], n: int, sign: int = 1, rotate_in: boo
                 out = np.roll(out, (-step, -step), (1, 2)) if rotate_out else out
                 x, y = np.divmod(np.tile(np.arange(n * n), part.num_rows), n)
                 index = pa.array(np.repeat(np.arange(part.num_rows), n * n))
-                cols = [*(part.column(a).take(index) for a in axes), pa.array(x, pa.int32()), pa.array(y, pa.int32()), pa.array(out.real.ravel()), pa.array(out.imag.ravel())]
+                cols = [
+                    *(part.column(a).take(index) for a in axes), pa.array(x, pa.int32()), pa.array(y, pa.int32()), pa.array(out.real.ravel()),
+                    pa.array(out.imag.ravel()),
+                ]
                 yield pa.RecordBatch.from_arrays(cols, names=[*axes, *cells])
 
-    cell = F.struct(F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), F.col("value.re").alias("re"), F.col("value.im").alias("im"))
+    cell = F.struct(
+        F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), F.col("value.re").alias("re"), F.col("value.im").alias("im"),
+    )
     gathered = df.groupBy(*axes).agg(F.collect_list(cell).alias("__c")).select(*axes, *(F.col("__c").getField(c).alias(c) for c in cells))
     return gathered.mapInArrow(planes, schema)
 
@@ -201,7 +215,9 @@ def nearest_frequency_coeffs(wanted: DataFrame, available: DataFrame, keys: list
     found = available.select(*keys, "frequency").distinct().withColumn("__have", F.col("frequency"))
     none = F.lit(None).cast(found.schema["frequency"].dataType)
     both = found.unionByName(wanted.select(*keys, "frequency").distinct().withColumn("__have", none))
-    nearest = lambda order: F.last("__have", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(order).rangeBetween(Window.unboundedPreceding, 0))
+    nearest = lambda order: F.last("__have", ignorenulls=True).over(
+        Window.partitionBy(*keys).orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
+    )
     near = both.withColumns({"__lo": nearest(F.asc("frequency")), "__hi": nearest(F.desc("frequency"))}).filter("__have is null")
     low = F.col("__lo").isNotNull() & (F.col("__hi").isNull() | (F.col("frequency") - F.col("__lo") <= F.col("__hi") - F.col("frequency")))
     near = near.select(*keys, "frequency", F.when(low, F.col("__lo")).otherwise(F.col("__hi")).alias("__f"))
@@ -214,7 +230,9 @@ def aperture(pixels: DataFrame, poly: DataFrame, keys: list[str]) -> DataFrame:
     """Sum of polynomial terms at the pixels' ``cx, cy``, 0 outside the unit disk: adds ``value``."""
     met = pixels.join(poly, keys)
     power = lambda base, e: F.when(e == 0, 1.0).otherwise(F.pow(base, e))
-    term = power(F.col("cx"), F.col("px")) * power(F.col("cy"), F.col("py")) * (F.col("cx") * F.col("cx") + F.col("cy") * F.col("cy") <= 1).cast("double")
+    term = power(F.col("cx"), F.col("px")) * power(F.col("cy"), F.col("py")) * (
+        F.col("cx") * F.col("cx") + F.col("cy") * F.col("cy") <= 1
+    ).cast("double")
     by = [c for c in pixels.columns if c not in ("value", "weight")]
     sums = met.groupBy(*by).agg(F.sum(F.col("re") * term).alias("re"), F.sum(F.col("im") * term).alias("im"))
     return sums.select(*by, cplx(F.col("re"), F.col("im")).alias("value"))

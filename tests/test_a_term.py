@@ -13,7 +13,9 @@ def test_a_term_multiplies_transformed_apertures(spark):
     n, rng = 5, np.random.default_rng(2)
     j = rng.normal(size=(2, n, n)) + 1j * rng.normal(size=(2, n, n))
     rows = [(s, x, y, float(j[s, x, y].real), float(j[s, x, y].imag)) for s in range(2) for x in range(n) for y in range(n)]
-    cells = spark.createDataFrame(rows, "stokes long, x int, y int, re double, im double").withColumn("plane", F.lit(1)).withColumn("value", cplx(F.col("re"), F.col("im")))
+    cells = spark.createDataFrame(
+        rows, "stokes long, x int, y int, re double, im double",
+    ).withColumn("plane", F.lit(1)).withColumn("value", cplx(F.col("re"), F.col("im")))
     beams = cf.beam(cells, ["plane", "stokes"], n).withColumn("value", cplx(F.col("re"), F.col("im")))
     out = cf.a_term(beams, ["plane"], spark.createDataFrame([(0, 1)], "stokes_out long, stokes_in long")).collect()
     at = np.arange(n)

@@ -185,7 +185,9 @@ def test_nearest_frequencies(spark):
     known = spark.createDataFrame([("a", 1.0, 0, 5.0, 0.0), ("a", 3.0, 0, 7.0, 1.0)], "c string, frequency double, k int, re double, im double")
     wanted = spark.createDataFrame([("a", f) for f in (0.0, 1.0, 2.0, 2.1, 3.0, 9.0)] + [("b", 1.0)], "c string, frequency double")
     out = cf.nearest_frequency_coeffs(wanted, known, ["c"], 1)
-    assert got(out, "c", "frequency", "re") == [("a", 0.0, 5.0), ("a", 1.0, 5.0), ("a", 2.0, 5.0), ("a", 2.1, 7.0), ("a", 3.0, 7.0), ("a", 9.0, 7.0), ("b", 1.0, 0.0)]
+    assert got(out, "c", "frequency", "re") == [
+        ("a", 0.0, 5.0), ("a", 1.0, 5.0), ("a", 2.0, 5.0), ("a", 2.1, 7.0), ("a", 3.0, 7.0), ("a", 9.0, 7.0), ("b", 1.0, 0.0),
+    ]
 
 
 def test_directions_of_all_components(spark):
@@ -196,15 +198,24 @@ def test_directions_of_all_components(spark):
 
 def test_time_scales_there_and_back(spark):
     utc = [datetime(2016, 12, 31, 23, 59, 59), datetime(2017, 1, 1), datetime(1972, 1, 1), datetime(1971, 12, 31)]
-    df = expr.epoch_shift(expr.epoch_shift(spark.createDataFrame([(t,) for t in utc], "t timestamp_ntz").select(F.col("t").cast("timestamp").alias("t")), "t", "tai"), "tai", "back", "UTC")
-    rows = {r["t"]: r for r in df.select("t", ((F.col("tai").cast("double") - F.col("t").cast("double"))).alias("d"), (F.col("back") == F.col("t")).alias("same")).collect()}
+    df = expr.epoch_shift(
+        expr.epoch_shift(spark.createDataFrame([(t,) for t in utc], "t timestamp_ntz").select(F.col("t").cast("timestamp").alias("t")), "t", "tai"),
+        "tai", "back", "UTC",
+    )
+    rows = {
+        r["t"]: r for r in df.select(
+            "t", ((F.col("tai").cast("double") - F.col("t").cast("double"))).alias("d"), (F.col("back") == F.col("t")).alias("same"),
+        ).collect()
+    }
     assert [r["d"] for _, r in sorted(rows.items())] == [None, 10.0, 36.0, 37.0]
     assert [r["same"] for _, r in sorted(rows.items())] == [None, True, True, True]
 
 
 def test_fixed_values_by_name():
     """Values that must stay as they are, stated apart from the code that holds them."""
-    at = lambda nu, p, q, top: sum(c * (nu * nu - top * top) ** i for i, c in enumerate(p)) / sum(c * (nu * nu - top * top) ** i for i, c in enumerate(q))
+    at = lambda nu, p, q, top: sum(
+        c * (nu * nu - top * top) ** i for i, c in enumerate(p)
+    ) / sum(c * (nu * nu - top * top) ** i for i, c in enumerate(q))
     (low, p1, q1), (high, p2, q2) = cf.SPHEROIDAL
     assert abs(at(0, p1, q1, low) - 1) < 1e-4 and abs(at(0.75, p1, q1, low) - 8.203343e-2) < 1e-9 and abs(at(1, p2, q2, high) - 4.028559e-3) < 1e-9
     assert abs(at(0.75, p1, q1, low) - at(0.75, p2, q2, high)) < 1e-5

@@ -123,10 +123,16 @@ def test_product_centres_the_smaller_grid(spark):
     axis = spark.range(1).toDF("key")
     make = lambda n, v: cf.cf_axes([axis], n).withColumns({"value": cplx(F.lit(v), F.lit(0.0)), "weight": F.lit(1.0)})
     out = cf.cf_product(make(5, 2.0), 5, make(3, 3.0), 3, ["key"])
-    assert {(r["x"], r["y"]): r["value"]["re"] for r in out.collect()} == {(x, y): 6.0 if 1 <= x <= 3 and 1 <= y <= 3 else 2.0 for x in range(5) for y in range(5)}
+    assert {(r["x"], r["y"]): r["value"]["re"] for r in out.collect()} == {
+        (x, y): 6.0 if 1 <= x <= 3 and 1 <= y <= 3 else 2.0 for x in range(5) for y in range(5)
+    }
     with pytest.raises(ValueError):
         cf.cf_product(make(5, 2.0), 5, make(2, 3.0), 2, ["key"])
-    centre = [r for r in cf.ps_term(cf.grid_coordinates(cf.cf_axes([axis.withColumn("ps_scale", F.lit(0.4))], 5), 5, 2.5)).collect() if (r["x"], r["y"]) == (2, 2)]
+    centre = [
+        r for r in cf.ps_term(
+            cf.grid_coordinates(cf.cf_axes([axis.withColumn("ps_scale", F.lit(0.4))], 5), 5, 2.5)
+        ).collect() if (r["x"], r["y"]) == (2, 2)
+    ]
     assert centre[0]["value"]["re"] == 1.0
 
 
