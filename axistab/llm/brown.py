@@ -6,7 +6,8 @@ Transitions are smoothed towards the classes' own frequencies; the unknown word
 
 The corpus is staged once as blocks of word numbers. Frequent words (a bounded number, by a bound on their share) are
 exchanged in several sweeps, with their classes broadcast. Every word meets its counts and contexts from all blocks in the
-task of its hash range, where the other words are exchanged once, and the answers go back to the blocks that asked.
+task of its hash range, where the other words are exchanged once, and the answers go back to the blocks that asked. Blocks
+ask in parcels, each with the words of all its blocks once, so that there are few messages.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from axistab.llm.common import row_runs, stage, texts_of
 
@@ -29,6 +31,8 @@ CLASSES, SWEEPS = 62, 4
 #: A word is frequent if it makes up 1 / FREQUENT of the training tokens; there are at most 2 FREQUENT such words.
 FREQUENT = 32768
 BLOCK_BYTES, SLICE = 4 << 20, 2048
+#: Blocks of a task that ask together.
+PARCEL = 8
 BACKOFF, BACKOFF_UNKNOWN = 20.0, 50.0
 _END, _UNKNOWN, _ONCE = b"", 255, 128
 
@@ -52,10 +56,10 @@ def _block(ids: list[pa.Array], tokens: list[np.ndarray], lens: list[int], held:
     all_ids = pa.concat_arrays(ids)
     train = int(sum(n for n, h in zip(lens, held, strict=True) if not h))
     cols = [
-        pa.array([(TaskContext.get().partitionId() << 24) + number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(all_ids)], pa.int32()), all_ids),
+        pa.array([(TaskContext.get().partitionId() << 24) + number // PARCEL], pa.int64()), pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(all_ids)], pa.int32()), all_ids),
         *(pa.array([_pack(x)], pa.binary()) for x in (np.array(lens, np.int32), np.array(held, np.uint8), b" ".join(names[i] for i in order), crc[order], stream)), pa.array([train], pa.int64()),
     ]
-    return pa.RecordBatch.from_arrays(cols, names=["block", "ids", "lens", "held", "words", "crcs", "stream", "train"])
+    return pa.RecordBatch.from_arrays(cols, names=["parcel", "block", "ids", "lens", "held", "words", "crcs", "stream", "train"])
 
 
 def _to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,7 +84,7 @@ def _to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def word_blocks(df: DataFrame, held: Column, id_col: str, text_col: str) -> DataFrame:
     kind = df.schema[id_col].dataType
     fields = [
-        T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(kind)),
+        T.StructField("parcel", T.LongType()), T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(kind)),
         *(T.StructField(n, T.BinaryType()) for n in ("lens", "held", "words", "crcs", "stream")), T.StructField("train", T.LongType()),
     ]
     return stage(
@@ -246,50 +250,71 @@ def cluster_frequent(blocks: DataFrame, heads: list[bytes], classes: int = CLASS
     return own, matrix
 
 
+def _parcel(table: pa.Table) -> list[dict]:
+    return sorted(_rows(table.to_batches(max_chunksize=1)), key=lambda row: row["block"])
+
+
+def _union(rows: list[dict]) -> tuple[list[bytes], np.ndarray, list[np.ndarray]]:
+    """Words of the blocks of a parcel in the order of their hashes, the hashes, and the place of each block's words."""
+    index: dict[bytes, int] = {}
+    mine = [np.fromiter((index.setdefault(w, len(index)) for w in _unpack(row["words"]).split(b" ")), np.int64) for row in rows]
+    crc = np.zeros(len(index), np.uint32)
+    for at, row in zip(mine, rows, strict=True):
+        crc[at] = _unpack(row["crcs"], np.uint32)
+    order = np.argsort(crc, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    names = list(index)
+    return [names[i] for i in order], crc[order], [place[at] for at in mine]
+
+
 def _asked(parts: int, index, now, classes: int):
-    """Messages from blocks to hash ranges: words, training counts and, for words that are not frequent, class contexts."""
+    """Messages from parcels to hash ranges: words, training counts and, for words that are not frequent, class contexts."""
     width = classes + 2
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            words, stream, train = _read(row)
-            crc = _unpack(row["crcs"], np.uint32)
-            get = index.value.get
-            head = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-            kind = np.where(head >= 0, now.value[np.maximum(head, 0)], classes).astype(np.int64)
-            cur = stream[train]
-            count = np.bincount(cur, minlength=len(words))
-            before = np.r_[classes + 1, kind[cur[:-1]]] if len(cur) else cur
-            tail = head[cur] < 0
-            after_ok = tail[:-1] if len(cur) else tail
-            keys = np.concatenate([(cur[:-1] * 2 * width + kind[cur[1:]])[after_ok], (cur * 2 * width + width + before)[tail]]) if len(cur) else cur
-            keys, n = np.unique(keys, return_counts=True)
-            word = keys // (2 * width)
-            part = (crc.astype(np.uint64) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-            cuts = np.searchsorted(part, np.arange(parts + 1))
-            ends = np.searchsorted(word, cuts)
-            rows = []
-            for p in range(parts):
-                lo, hi, a, b = cuts[p], cuts[p + 1], ends[p], ends[p + 1]
-                if hi > lo:
-                    rows.append(
-                        (
-                            p, row["block"], _pack(b" ".join(words[lo:hi])), _pack(count[lo:hi].astype(np.int64)),
-                            _pack((word[a:b] - lo).astype(np.int32)), _pack((keys[a:b] % (2 * width)).astype(np.uint8)),
-                            _pack(n[a:b].astype(np.int64)),
-                        )
+    def run(table: pa.Table) -> pa.Table:
+        blocks = _parcel(table)
+        words, crc, mine = _union(blocks)
+        get = index.value.get
+        head = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        kind = np.where(head >= 0, now.value[np.maximum(head, 0)], classes).astype(np.int64)
+        count, keys, sums = np.zeros(len(words), np.int64), [], []
+        for row, at in zip(blocks, mine, strict=True):
+            _, stream, train = _read(row)
+            cur = at[stream[train]]
+            if not len(cur):
+                continue
+            count += np.bincount(cur, minlength=len(words))
+            before, tail = np.r_[classes + 1, kind[cur[:-1]]], head[cur] < 0
+            after = (cur[:-1] * 2 * width + kind[cur[1:]])[tail[:-1]]
+            key, n = np.unique(np.concatenate([after, (cur * 2 * width + width + before)[tail]]), return_counts=True)
+            keys.append(key)
+            sums.append(n)
+        keys, at = np.unique(np.concatenate(keys or [np.zeros(0, np.int64)]), return_inverse=True)
+        n = np.bincount(at, weights=np.concatenate(sums)).astype(np.int64) if sums else keys
+        word = keys // (2 * width)
+        part = (crc.astype(np.uint64) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        cuts = np.searchsorted(part, np.arange(parts + 1))
+        ends = np.searchsorted(word, cuts)
+        rows = []
+        for p in range(parts):
+            lo, hi, a, b = cuts[p], cuts[p + 1], ends[p], ends[p + 1]
+            if hi > lo:
+                rows.append(
+                    (
+                        p, blocks[0]["parcel"], _pack(b" ".join(words[lo:hi])), _pack(count[lo:hi]), _pack((word[a:b] - lo).astype(np.int32)),
+                        _pack((keys[a:b] % (2 * width)).astype(np.uint8)), _pack(n[a:b]),
                     )
-            kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 5)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)],
-                names=["part", "block", "words", "counts", "word", "code", "n"],
-            )
+                )
+        kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 5)
+        names = ["part", "parcel", "words", "counts", "word", "code", "n"]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     return run
 
 
 def _answered(index, now, matrix: np.ndarray, classes: int):
-    """Sums a hash range's messages, exchanges its words and answers each block in the order of its question."""
+    """Sums a hash range's messages, exchanges its words and answers each parcel in the order of its question."""
     width = classes + 2
     base = np.concatenate([matrix[:classes, :].T, matrix[:, :classes]])  # contexts after, then before, by class to join
     once = _xlogx(base + 1) - _xlogx(base)
@@ -297,7 +322,7 @@ def _answered(index, now, matrix: np.ndarray, classes: int):
 
     def run(table: pa.Table) -> pa.Table:
         words: dict[bytes, int] = {}
-        blocks, places, keys, sums = [], [], [], []
+        parcels, places, keys, sums = [], [], [], []
         total = np.zeros(0, np.int64)
         for row in _rows(table.to_batches(max_chunksize=1)):
             mine = np.fromiter((words.setdefault(w, len(words)) for w in _unpack(row["words"]).split(b" ")), np.int64)
@@ -306,7 +331,7 @@ def _answered(index, now, matrix: np.ndarray, classes: int):
             total[mine] += _unpack(row["counts"], np.int64)
             keys.append(mine[_unpack(row["word"], np.int32)] * (2 * width) + _unpack(row["code"], np.uint8))
             sums.append(_unpack(row["n"], np.int64))
-            blocks.append(row["block"])
+            parcels.append(row["parcel"])
             places.append(mine)
         total = total[: len(words)]
         key, at = np.unique(np.concatenate(keys), return_inverse=True)
@@ -337,42 +362,46 @@ def _answered(index, now, matrix: np.ndarray, classes: int):
         stats = np.r_[np.bincount(kind[known], weights=total[known], minlength=width), total.sum(), known.sum(), (total == 1).sum()].astype(np.int64)
         part = table.column("part")[0].as_py()
         out = {
-            "part": [part] * (len(blocks) + 1), "block": [*blocks, -1], "counts": [*(_pack(total[x]) for x in places), None],
-            "kinds": [*(_pack(kind[x]) for x in places), None], "stats": [*[None] * len(blocks), stats.tolist()],
+            "part": [part] * (len(parcels) + 1), "parcel": [*parcels, -1], "counts": [*(_pack(total[x]) for x in places), None],
+            "kinds": [*(_pack(kind[x]) for x in places), None], "stats": [*[None] * len(parcels), stats.tolist()],
         }
         return pa.table(
             out,
             schema=pa.schema(
-                [("part", pa.int32()), ("block", pa.int64()), ("counts", pa.binary()), ("kinds", pa.binary()), ("stats", pa.list_(pa.int64()))]
+                [("part", pa.int32()), ("parcel", pa.int64()), ("counts", pa.binary()), ("kinds", pa.binary()), ("stats", pa.list_(pa.int64()))]
             ),
         )
 
     return run
 
 
-def _classed(stats: np.ndarray, classes: int):
-    """A block with its answers: class of each place, and each document's counts, base score and emission score."""
+def _known(answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Counts and classes of a parcel's words, put together from the answers of all ranges."""
+    parts = sorted(zip(*(answers.column(c).to_pylist() for c in ("part", "counts", "kinds")), strict=True))
+    return np.concatenate([_unpack(a[1], np.int64) for a in parts]), np.concatenate([_unpack(a[2], np.uint8) for a in parts])
+
+
+def _classed(stats: np.ndarray, classes: int, kind_of_id: pa.DataType):
+    """Blocks of a parcel with its answers: class of each place, and each document's counts, base score and emission score."""
     width = classes + 2
     tokens, (n, v, _) = stats[:width].astype(float), stats[width:]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        row = next(_rows(left.to_batches()))
-        answers = sorted(zip(right.column("part").to_pylist(), right.column("counts").to_pylist(), right.column("kinds").to_pylist(), strict=True))
-        count = np.concatenate([_unpack(a[1], np.int64) for a in answers])
-        kind = np.concatenate([_unpack(a[2], np.uint8) for a in answers])
-        lens, stream = _unpack(row["lens"], np.int32), _unpack(row["stream"], np.uint32).astype(np.int64)
-        known = count > 0
-        base = np.log10((count + 0.5) / (n + 0.5 * (v + 1)))
-        emitted = np.zeros(len(count))
-        emitted[known] = np.log10(count[known] / tokens[kind[known]])
-        marked = np.where(count == 1, kind | _ONCE, kind).astype(np.uint8)
-        firsts = np.r_[0, np.cumsum(lens)[:-1]]
-        per = [np.add.reduceat(x[stream], firsts) for x in (base, emitted, known.astype(np.int64))]
-        out = {
-            "ids": left.column("ids").combine_chunks(), "lens": [row["lens"]], "held": [row["held"]], "kinds": [_pack(marked[stream])],
-            "base": [per[0].tolist()], "emitted": [per[1].tolist()], "known": [per[2].tolist()],
-        }
-        return pa.table(out)
+        blocks, (all_counts, all_kinds), out = _parcel(left), _known(right), []
+        for row, at in zip(blocks, _union(blocks)[2], strict=True):
+            count, kind = all_counts[at], all_kinds[at]
+            lens, stream = _unpack(row["lens"], np.int32), _unpack(row["stream"], np.uint32).astype(np.int64)
+            known = count > 0
+            base = np.log10((count + 0.5) / (n + 0.5 * (v + 1)))
+            emitted = np.zeros(len(count))
+            emitted[known] = np.log10(count[known] / tokens[kind[known]])
+            marked = np.where(count == 1, kind | _ONCE, kind).astype(np.uint8)
+            firsts = np.r_[0, np.cumsum(lens)[:-1]]
+            per = [np.add.reduceat(x[stream], firsts).tolist() for x in (base, emitted, known.astype(np.int64))]
+            out.append((row["ids"], row["lens"], row["held"], _pack(marked[stream]), *per))
+        kinds = (pa.list_(kind_of_id), *[pa.binary()] * 3, pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.int64()))
+        names = ["ids", "lens", "held", "kinds", "base", "emitted", "known"]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
     return run
 
@@ -422,8 +451,8 @@ def _scores(step: np.ndarray, unknown: np.ndarray, classes: int, total: int, kin
 def _fitted(
     df: DataFrame, held: Column, id_col: str, text_col: str, classes: int, sweeps: int, frequent: int,
 ) -> tuple[DataFrame, DataFrame, np.ndarray, int]:
-    """Blocks, the answers to them (count and class of each word of each block), the statistics of classes, and the number of
-    groups to deal blocks to."""
+    """Blocks, the answers to their parcels (count and class of each word), the statistics of classes, and the number of tasks to
+    deal parcels to."""
     if not 1 <= classes <= 120:
         raise ValueError("classes must be from 1 to 120")
     spark, width = df.sparkSession, classes + 2
@@ -432,28 +461,26 @@ def _fitted(
     heads = frequent_words(blocks, whole["n"] or 0, frequent)
     own, matrix = cluster_frequent(blocks, heads, classes, sweeps)
     index, now = spark.sparkContext.broadcast({w: i for i, w in enumerate(heads)}), spark.sparkContext.broadcast(own)
-    parts = max(8, whole["blocks"] // 2)
-    asked = blocks.select("block", "lens", "held", "words", "crcs", "stream").mapInArrow(
-        _asked(parts, index, now, classes), "part int, block long, words binary, counts binary, word binary, code binary, n binary",
+    parts, tasks = max(8, whole["blocks"] // 4), max(whole["blocks"] // 4, spark.sparkContext.defaultParallelism)
+    by_parcel = blocks.select("parcel", "block", "lens", "held", "words", "crcs", "stream").repartition(tasks, "parcel").groupBy("parcel")
+    asked = by_parcel.applyInArrow(
+        _asked(parts, index, now, classes), "part int, parcel long, words binary, counts binary, word binary, code binary, n binary",
     )
-    tasks = max(parts, spark.sparkContext.defaultParallelism)
     answers = stage(
-        asked.repartition(tasks, "part").groupBy("part").applyInArrow(
-            _answered(index, now, matrix, classes), "part int, block long, counts binary, kinds binary, stats array<long>",
+        asked.repartition(max(parts, tasks), "part").groupBy("part").applyInArrow(
+            _answered(index, now, matrix, classes), "part int, parcel long, counts binary, kinds binary, stats array<long>",
         ),
         "answers",
     )
     stats = np.zeros(width + 3, np.int64)
-    for r in answers.filter("block = -1").select(F.posexplode("stats").alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n")).collect():
+    for r in answers.filter("parcel = -1").select(F.posexplode("stats").alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n")).collect():
         stats[r["i"]] = r["n"]
-    return blocks, answers, stats, max(whole["blocks"] // 2, spark.sparkContext.defaultParallelism)
+    return blocks, answers, stats, tasks
 
 
 def _named(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Words of a block with their counts and classes."""
-    words = _unpack(left.column("words")[0].as_py()).split(b" ")
-    answers = sorted(zip(right.column("part").to_pylist(), right.column("counts").to_pylist(), right.column("kinds").to_pylist(), strict=True))
-    count, kind = (np.concatenate([_unpack(a[i], t) for a in answers]) for i, t in ((1, np.int64), (2, np.uint8)))
+    """Words of a parcel with their counts and classes."""
+    words, (count, kind) = _union(_parcel(left))[0], _known(right)
     some = np.flatnonzero(count > 0)
     return pa.table(
         {"word": pa.array([words[i] for i in some], pa.binary()), "class": pa.array(kind[some].astype(np.int32)), "count": pa.array(count[some])}
@@ -466,10 +493,9 @@ def word_classes(
 ) -> DataFrame:
     """``word, class, count`` of every word of the training rows (UTF-8 bytes; the end is empty, its class ``classes`` + 1)."""
     blocks, answers, _, count = _fitted(df, held, id_col, text_col, classes, sweeps, frequent)
-    of = answers.filter("block >= 0").drop("stats").repartition(count, "block").groupBy("block")
-    named = blocks.select("block", "words").repartition(count, "block").groupBy("block").cogroup(of).applyInArrow(
-        _named, "word binary, class int, count long",
-    )
+    of = answers.filter("parcel >= 0").drop("stats").repartition(count, "parcel").groupBy("parcel")
+    by_parcel = blocks.select("parcel", "block", "words", "crcs").repartition(count, "parcel").groupBy("parcel")
+    named = by_parcel.cogroup(of).applyInArrow(_named, "word binary, class int, count long")
     return named.distinct()
 
 
@@ -492,9 +518,10 @@ def brown_scores(
         T.StructField("base", T.ArrayType(T.DoubleType())), T.StructField("emitted", T.ArrayType(T.DoubleType())),
         T.StructField("known", T.ArrayType(T.LongType())),
     ]
-    text_side = blocks.select("block", "ids", "lens", "held", "stream").repartition(count, "block").groupBy("block")
-    answer_side = answers.filter("block >= 0").drop("stats").repartition(count, "block").groupBy("block")
-    classed = stage(text_side.cogroup(answer_side).applyInArrow(_classed(stats, classes), T.StructType(fields)), "classed")
+    text_side = blocks.select("parcel", "block", "ids", "lens", "held", "words", "crcs", "stream").repartition(count, "parcel").groupBy("parcel")
+    answer_side = answers.filter("parcel >= 0").drop("stats").repartition(count, "parcel").groupBy("parcel")
+    of = _classed(stats, classes, to_arrow_type(id_type))
+    classed = stage(text_side.cogroup(answer_side).applyInArrow(of, T.StructType(fields)), "classed")
 
     moves = np.zeros(width * (width + 1), np.int64)
     for r in classed.select("lens", "held", "kinds").mapInArrow(
