@@ -461,13 +461,14 @@ def _fitted(
     heads = frequent_words(blocks, whole["n"] or 0, frequent)
     own, matrix = cluster_frequent(blocks, heads, classes, sweeps)
     index, now = spark.sparkContext.broadcast({w: i for i, w in enumerate(heads)}), spark.sparkContext.broadcast(own)
-    parts, tasks = max(8, whole["blocks"] // 4), max(whole["blocks"] // 4, spark.sparkContext.defaultParallelism)
+    # More tasks than parcels, so that few parcels share one.
+    parts, tasks = max(8, whole["blocks"] // 4), max(whole["blocks"], spark.sparkContext.defaultParallelism)
     by_parcel = blocks.select("parcel", "block", "lens", "held", "words", "crcs", "stream").repartition(tasks, "parcel").groupBy("parcel")
     asked = by_parcel.applyInArrow(
         _asked(parts, index, now, classes), "part int, parcel long, words binary, counts binary, word binary, code binary, n binary",
     )
     answers = stage(
-        asked.repartition(max(parts, tasks), "part").groupBy("part").applyInArrow(
+        asked.repartition(max(parts, spark.sparkContext.defaultParallelism), "part").groupBy("part").applyInArrow(
             _answered(index, now, matrix, classes), "part int, parcel long, counts binary, kinds binary, stats array<long>",
         ),
         "answers",
