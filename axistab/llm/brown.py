@@ -32,7 +32,7 @@ CLASSES, SWEEPS = 62, 4
 FREQUENT = 32768
 BLOCK_BYTES, SLICE = 4 << 20, 2048
 #: Blocks of a task that ask together.
-PARCEL = 8
+PARCEL = 4
 BACKOFF, BACKOFF_UNKNOWN = 20.0, 50.0
 _END, _UNKNOWN, _ONCE = b"", 255, 128
 
