@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from axistab.llm import brown, chat, exact_dedup, language, mixing, packing, qda, quality_rules, simhash, warc
+from axistab.llm import brown, chat, exact_dedup, language, mixing, negatives, packing, qda, quality_rules, simhash, vantage, warc
 from axistab.llm.common import held_out, read_table
 
 
@@ -65,14 +65,28 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(read_table(spark, sf_dir, "pages"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vantage.nearest_neighbours(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def queries() -> dict:
     return {
         f.__name__: f for f in (
             op1_brown_scores, op2_exact_dedup, op3_quality_discriminant, op4_mix_sources, op5_simhash_components, op6_pack_sequences,
-            op7_quality_rules, op8_identify_languages, op9_format_conversations, op10_warc_round_trip,
+            op7_quality_rules, op8_identify_languages, op9_format_conversations, op10_warc_round_trip, op11_hard_negatives,
+            op13_nearest_neighbours,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.ORACLE_SQL, "op9_format_conversations": chat.ORACLE_SQL, "op10_warc_round_trip": warc.ORACLE_SQL}
+    return {
+        "op2_exact_dedup": exact_dedup.ORACLE_SQL, "op9_format_conversations": chat.ORACLE_SQL, "op10_warc_round_trip": warc.ORACLE_SQL,
+        "op11_hard_negatives": negatives.ORACLE_SQL, "op13_nearest_neighbours": vantage.ORACLE_SQL,
+    }
