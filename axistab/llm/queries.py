@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from axistab.llm import brown, chat, exact_dedup, language, mixing, negatives, packing, qda, quality_rules, simhash, vantage, warc
+from axistab.llm import brown, chat, exact_dedup, language, merkle, mixing, negatives, packing, qda, quality_rules, simhash, vantage, warc
 from axistab.llm.common import held_out, read_table
 
 
@@ -71,6 +73,14 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, merkle.digest_of([*fields, lowered]))
+    return merkle.audited(docs, [*fields, F.col("text")], tampered)
+
+
 def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vantage.nearest_neighbours(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -80,7 +90,7 @@ def queries() -> dict:
         f.__name__: f for f in (
             op1_brown_scores, op2_exact_dedup, op3_quality_discriminant, op4_mix_sources, op5_simhash_components, op6_pack_sequences,
             op7_quality_rules, op8_identify_languages, op9_format_conversations, op10_warc_round_trip, op11_hard_negatives,
-            op13_nearest_neighbours,
+            op12_merkle_manifest, op13_nearest_neighbours,
         )
     }
 
@@ -88,5 +98,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_exact_dedup": exact_dedup.ORACLE_SQL, "op9_format_conversations": chat.ORACLE_SQL, "op10_warc_round_trip": warc.ORACLE_SQL,
-        "op11_hard_negatives": negatives.ORACLE_SQL, "op13_nearest_neighbours": vantage.ORACLE_SQL,
+        "op11_hard_negatives": negatives.ORACLE_SQL, "op12_merkle_manifest": merkle.ORACLE_SQL,
+        "op13_nearest_neighbours": vantage.ORACLE_SQL,
     }
