@@ -23,7 +23,6 @@ from axistab.operators.rows import with_row_axis
 
 #: Children of a node, and levels that one builder completes.
 FAN, LEVELS = 8, 4
-BLOCK = FAN**LEVELS
 
 
 def height(leaves: int) -> int:
@@ -75,30 +74,31 @@ def digest_of(fields: list[Column]) -> Column:
 @dataclass(frozen=True)
 class Log:
     """``segments``: a row for each builder of leaves with its ``nodes`` (32 bytes each) from place ``start`` on and what it carries;
-    ``upper``: the nodes of level 4 and more by place; ``roots``: tree, root."""
+    ``upper``: the nodes of level ``levels`` and more by place; ``roots``: tree, root."""
 
     segments: DataFrame
     upper: DataFrame
     roots: DataFrame
+    levels: int
 
     def records(self) -> DataFrame:
         """The log: ``_tree, start, nodes``; the places of a tree's records follow on each other."""
-        higher = self.upper.filter("_level > 4").select("_tree", F.col("_pos").alias("start"), F.unhex("_digest").alias("nodes"))
+        higher = self.upper.filter(F.col("_level") > self.levels).select("_tree", F.col("_pos").alias("start"), F.unhex("_digest").alias("nodes"))
         return self.segments.select("_tree", "start", "nodes").unionByName(higher)
 
 
-def _built(leaves: DataFrame, carried: list[str]) -> DataFrame:
+def _built(leaves: DataFrame, carried: list[str], levels: int) -> DataFrame:
     """Segments of ``_tree, _at, _size, _digest`` (hex) with lists of what is ``carried``."""
     kinds = {c: leaves.schema[c].dataType for c in carried}
 
     def build(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("_at")
         first, size = rows["_at"][0].as_py(), rows["_size"][0].as_py()
-        made = completed([x.encode() for x in rows["_digest"].to_pylist()], first, size, min(LEVELS, height(size)))
+        made = completed([x.encode() for x in rows["_digest"].to_pylist()], first, size, min(levels, height(size)))
         lists = [pa.ListArray.from_arrays(pa.array([0, rows.num_rows], pa.int32()), rows[c].combine_chunks()) for c in carried]
         return pa.Table.from_arrays(
             [
-                rows["_tree"].slice(0, 1), pa.array([first // BLOCK]), pa.array([size]), pa.array([position(0, first, size)]),
+                rows["_tree"].slice(0, 1), pa.array([first // FAN**levels]), pa.array([size]), pa.array([position(0, first, size)]),
                 pa.array([bytes.fromhex(b"".join(x for *_, x in made).decode())], pa.binary()), pa.array([made[-1][2].decode()]), *lists,
             ],
             names=["_tree", "_block", "_size", "start", "nodes", "_top", *carried],
@@ -111,17 +111,17 @@ def _built(leaves: DataFrame, carried: list[str]) -> DataFrame:
             *(T.StructField(c, T.ArrayType(kinds[c])) for c in carried),
         ]
     )
-    dealt = leaves.withColumn("_block", F.shiftright("_at", 3 * LEVELS))
+    dealt = leaves.withColumn("_block", F.shiftright("_at", 3 * levels))
     return dealt.groupBy("_tree", "_block").applyInArrow(build, schema)
 
 
-def _raised(tops: DataFrame, base: int) -> DataFrame:
+def _raised(tops: DataFrame, base: int, levels: int) -> DataFrame:
     """``_tree, _level, _pos, _digest, _index, _leaves`` of the nodes above the ``tops`` of level ``base``."""
 
     def build(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("_at")
         tree, first, leaves = rows["_tree"][0].as_py(), rows["_at"][0].as_py(), rows["_leaves"][0].as_py()
-        nodes = completed([x.encode() for x in rows["_digest"].to_pylist()], first, -(-leaves // FAN**base), min(LEVELS, height(leaves) - base))
+        nodes = completed([x.encode() for x in rows["_digest"].to_pylist()], first, -(-leaves // FAN**base), min(levels, height(leaves) - base))
         above = [(base + level, i, d.decode()) for level, i, d in nodes if level]
         return pa.Table.from_arrays(
             [
@@ -132,7 +132,7 @@ def _raised(tops: DataFrame, base: int) -> DataFrame:
             names=["_tree", "_level", "_pos", "_digest", "_index", "_leaves"],
         )
 
-    dealt = tops.withColumn("_block", F.shiftright("_at", 3 * LEVELS))
+    dealt = tops.withColumn("_block", F.shiftright("_at", 3 * levels))
     return dealt.groupBy("_tree", "_block").applyInArrow(build, "_tree string, _level long, _pos long, _digest string, _index long, _leaves long")
 
 
@@ -145,64 +145,70 @@ def _placed(level: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     return run
 
 
-def append_log(leaves: DataFrame, carried: list[str]) -> Log:
+def append_log(leaves: DataFrame, carried: list[str], levels: int = LEVELS) -> Log:
     """The log of the trees whose leaves are ``_tree, _at, _size, _digest``: a name, the leaf's number, the tree's leaves, hex."""
-    segments = stage(_built(leaves, carried), "segments")
-    level, cols = LEVELS, "_tree string, _digest string, _index long, _leaves long"
+    segments = stage(_built(leaves, carried, levels), "segments")
+    level, cols = levels, "_tree string, _digest string, _index long, _leaves long"
     tops = segments.select("_tree", F.col("_top").alias("_digest"), F.col("_block").alias("_index"), F.col("_size").alias("_leaves"))
-    roots = tops.filter(F.col("_leaves") <= BLOCK).select("_tree", F.col("_digest").alias("root"))
-    tops = tops.filter(F.col("_leaves") > BLOCK)
+    roots = tops.filter(F.col("_leaves") <= FAN**levels).select("_tree", F.col("_digest").alias("root"))
+    tops = tops.filter(F.col("_leaves") > FAN**levels)
     upper = stage(tops.mapInArrow(_placed(level), cols + ", _pos long").withColumn("_level", F.lit(level).cast("long")), "nodes")
     parts, over = [upper], upper
     while over.take(1):
-        made = stage(_raised(over.withColumnRenamed("_index", "_at"), level), "nodes")
-        level += LEVELS
+        made = stage(_raised(over.withColumnRenamed("_index", "_at"), level, levels), "nodes")
+        level += levels
         parts.append(made)
         whole = F.col("_leaves") <= F.pow(F.lit(float(FAN)), F.col("_level"))
         roots = roots.unionByName(made.filter(whole).select("_tree", F.col("_digest").alias("root")))
         over = made.filter(~whole & (F.col("_level") == level))
     for part in parts[1:]:
         upper = upper.unionByName(part)
-    return Log(segments, upper, stage(roots, "roots"))
+    return Log(segments, upper, stage(roots, "roots"), levels)
 
 
-def _siblings_above(block: int, leaves: int) -> Iterator[tuple[int, int]]:
+def _siblings_above(block: int, leaves: int, levels: int) -> Iterator[tuple[int, int]]:
     """(level, index) of the siblings on the way from a segment's root to the tree's, level by level, left to right."""
-    for level in range(LEVELS, height(leaves)):
-        own = block // FAN ** (level - LEVELS)
+    for level in range(levels, height(leaves)):
+        own = block // FAN ** (level - levels)
         run = range(own // FAN * FAN, min(own // FAN * FAN + FAN, -(-leaves // FAN**level)))
         yield from ((level, i) for i in run if i != own)
 
 
-def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _wanted(levels: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``_tree, _block, _nth, _pos``: where the log has the siblings above a segment."""
-    for batch in batches:
-        rows = []
-        for tree, block, leaves in zip(*(batch.column(c).to_pylist() for c in ("_tree", "_block", "_size")), strict=True):
-            rows += [(tree, block, nth, position(level, i, leaves)) for nth, (level, i) in enumerate(_siblings_above(block, leaves))]
-        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["_tree", "_block", "_nth", "_pos"],
-        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for tree, block, leaves in zip(*(batch.column(c).to_pylist() for c in ("_tree", "_block", "_size")), strict=True):
+                rows += [(tree, block, nth, position(level, i, leaves)) for nth, (level, i) in enumerate(_siblings_above(block, leaves, levels))]
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["_tree", "_block", "_nth", "_pos"],
+            )
+
+    return run
 
 
-def paths_of(nodes: bytes, block: int, leaves: int, start: int, above: bytes) -> tuple[list[bytes], list[list[int]], list[list[int]]]:
+def paths_of(
+    nodes: bytes, block: int, leaves: int, start: int, above: bytes, levels: int = LEVELS,
+) -> tuple[list[bytes], list[list[int]], list[list[int]]]:
     """For each leaf of a segment its siblings' digests up to the root, one after another, and of each level how many of them stand
     before and after its own node.
 
     Places in the segment follow from ``position``; what leaves have in common is put together once.
     """
-    base, top = block * BLOCK, min(LEVELS, height(leaves))
+    base, top = block * FAN**levels, min(levels, height(leaves))
     counts = [-(-leaves // FAN**level) for level in range(height(leaves))]
     before, after = [], []
-    for level in range(LEVELS, height(leaves)):
-        own = block // FAN ** (level - LEVELS)
+    for level in range(levels, height(leaves)):
+        own = block // FAN ** (level - levels)
         before.append(own % FAN)
         after.append(min(FAN, counts[level] - own // FAN * FAN) - own % FAN - 1)
     paths, left, right = [above], [before], [after]
     for level in range(top - 1, -1, -1):
         first = base // FAN**level
-        last = min(first + FAN ** (LEVELS - level), counts[level])
+        last = min(first + FAN ** (levels - level), counts[level])
         found = []
         for run in range(first, last, FAN):
             own = [32 * (position(level, i, leaves) - start) for i in range(run, min(run + FAN, last))]
@@ -216,8 +222,9 @@ def paths_of(nodes: bytes, block: int, leaves: int, start: int, above: bytes) ->
 def proofs(log: Log, carried: list[str]) -> DataFrame:
     """``_tree``, what is ``carried``, ``leaf`` (hex), ``path`` (siblings, 32 bytes each), ``before`` and ``after`` of each level, of
     every leaf."""
-    asked = log.segments.filter(F.col("_size") > BLOCK).select("_tree", "_block", "_size")
-    wanted = asked.mapInArrow(_wanted, "_tree string, _block long, _nth long, _pos long")
+    levels = log.levels
+    asked = log.segments.filter(F.col("_size") > FAN**levels).select("_tree", "_block", "_size")
+    wanted = asked.mapInArrow(_wanted(levels), "_tree string, _block long, _nth long, _pos long")
     met = wanted.join(log.upper.select("_tree", "_pos", "_digest").hint("merge"), ["_tree", "_pos"])
     packed = F.transform(F.array_sort(F.collect_list(F.struct("_nth", "_digest"))), lambda x: x["_digest"])
     above = met.groupBy("_tree", "_block").agg(F.unhex(F.array_join(packed, "")).alias("_above"))
@@ -228,8 +235,8 @@ def proofs(log: Log, carried: list[str]) -> DataFrame:
         for batch in batches:
             for r in range(batch.num_rows):
                 tree, block, leaves, start, nodes, higher = (batch.column(c)[r].as_py() for c in ("_tree", "_block", "_size", "start", "nodes", "_above"))
-                paths, before, after = paths_of(nodes, block, leaves, start, higher or b"")
-                places = (32 * (position(0, block * BLOCK + i, leaves) - start) for i in range(len(paths)))
+                paths, before, after = paths_of(nodes, block, leaves, start, higher or b"", levels)
+                places = (32 * (position(0, block * FAN**levels + i, leaves) - start) for i in range(len(paths)))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([tree] * len(paths), pa.string()), *(batch.column(c)[r].values for c in carried),
@@ -289,13 +296,13 @@ class Manifest:
         )
 
 
-def manifest(df: DataFrame, fields: list[Column], tree: str = "lang", order: str = "doc_id", carried: dict[str, Column] | None = None) -> Manifest:
+def manifest(df: DataFrame, fields: list[Column], tree: str = "lang", order: str = "doc_id", carried: dict[str, Column] | None = None, levels: int = LEVELS) -> Manifest:
     """The append log of a dataset: a leaf for each row, the digest of ``fields``; a tree for each value of ``tree``, its leaves by
     rising ``order``.
 
     Nulls are values: a null tree is the first one, a null order comes first, a null field has its own code. Rows that repeat
     tree and order stand in the order of their digests. ``carried`` are narrow columns that the proofs bring along. Other
-    columns are not read, whatever their names; an empty table has an empty log and no root.
+    columns are not read, whatever their names; an empty table has an empty log and no root. A builder completes ``levels`` levels.
     """
     carried = carried or {}
     rows = df.select(
@@ -307,11 +314,11 @@ def manifest(df: DataFrame, fields: list[Column], tree: str = "lang", order: str
     sizes = placed.groupBy("_tree", "_name").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_size"))
     trees = with_row_axis(sizes, [F.asc_nulls_first("_name")], "_at")
     met = join_sized(placed, trees.select("_tree", "_first", "_size"), ["_tree"], "inner").withColumn("_at", F.col("_row") - F.col("_first"))
-    log = append_log(met.select("_tree", "_at", "_size", "_digest", *carried), list(carried))
+    log = append_log(met.select("_tree", "_at", "_size", "_digest", *carried), list(carried), levels)
     roots = trees.select("_tree", "_at").join(log.roots.hint("merge"), "_tree").select(
         F.lit("").alias("_tree"), "_at", F.lit(trees.count()).cast("long").alias("_size"), F.col("root").alias("_digest"), F.col("_tree").alias("_name"),
     )
-    return Manifest(log, append_log(roots, ["_name"]), tuple(carried))
+    return Manifest(log, append_log(roots, ["_name"], levels), tuple(carried))
 
 
 def audited(df: DataFrame, fields: list[Column], tampered: Column, tree: str = "lang", order: str = "doc_id", id_col: str = "doc_id") -> DataFrame:
