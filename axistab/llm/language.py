@@ -8,10 +8,10 @@ fade with the length of a text.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,11 +27,13 @@ ALL_BYTES = 32 << 20
 WINDOW = 8192
 #: Texts sampled for each language, or more while they fill no dictionary; they are joined, shortest first, until it is full.
 SAMPLE_TEXTS = 400
-#: Code points of a sampled text that may go into the dictionary; of a longer one its start.
+#: Code points of a sampled text that may go into the dictionary, from its first letter on.
 TEXT_CHARS = 20_000
 LEVEL, MARGIN = 6, 0.002
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+#: A letter, in learning and predicting: Unicode's category L.
+LETTER = r"\p{L}"
+_LETTER = regex.compile(LETTER)
 #: ASCII letters and what is beyond ASCII stay, all else is a space.
 _KEEP = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -49,14 +51,15 @@ def dictionaries(
     each and ``total`` bytes together.
 
     Texts of any length are drawn by the smallest hashes of distinct texts: ``texts`` of them, or as many as fill ``size``
-    bytes if that is more. Of a text over ``chars`` code points its start is taken. The sample is drawn through a threshold
+    bytes if that is more. Of a text ``chars`` code points from its first letter on are taken. The sample is drawn through a threshold
     on the hash, so that no task and not the driver gets a language's rows; the driver sees one count a language and the
     dictionaries.
     """
     known = df.select(
         F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("g"), learn.alias("ok"),
-    ).filter("ok and g is not null and t rlike '\\\\p{L}'")
-    hashed = known.select("g", F.shiftrightunsigned(F.xxhash64("t"), 1).alias("h"), F.substring("t", 1, chars).alias("t"))
+    ).filter(F.col("ok") & F.col("g").isNotNull() & F.col("t").rlike(LETTER))
+    lettered = F.regexp_replace("t", r"^\P{L}+", "")
+    hashed = known.select("g", F.shiftrightunsigned(F.xxhash64("t"), 1).alias("h"), F.substring(lettered, 1, chars).alias("t"))
     counts = stage(hashed.groupBy("g").agg(F.approx_count_distinct("h").alias("n"), F.avg(F.octet_length("t") + 1).alias("b")), "languages")
     number = counts.count()
     if not number:
@@ -112,6 +115,7 @@ def identify_languages(
     """``doc_id, lang_pred, score, margin, rejected`` of each row.
 
     Languages are the non-null values of ``lang_col`` where ``learn`` holds and the text, of any length, has a letter.
+    A letter is what Unicode has in its category L, so ``²``, ``½`` and ``Ⅷ`` are none.
     ``lang_pred`` is the best guess, ``rejected`` says that its margin over the second best is below ``margin``. A null text
     or one without a letter is ``und`` with score 0 and rejected; ties go to the language with most texts. Repeated rows come
     out as often as they come in; other columns are not read; with nothing to learn from all is ``und``; an empty table gives

@@ -21,8 +21,10 @@ from axistab.llm.common import join_sized, row_key, row_runs, stage, text_hash,
 from axistab.operators.rows import with_row_axis
 
 WEIGHTS, TOTAL, REPEATS, SEED = (5.0, 2.0, 1.0), 1.5, 2, 17
-#: Words of budget that are left to the knapsack at most.
-KNAPSACK = 1 << 16
+#: Words of budget that are left to the knapsack at first, and at most while its sum can be larger.
+KNAPSACK, KNAPSACK_MOST = 1 << 16, 1 << 23
+#: Lengths that take part in exchanges.
+EXCHANGED = 64
 
 
 def _share(counts: dict[int, int], words: int, total: int) -> dict[int, int]:
@@ -67,19 +69,53 @@ def _fit(counts: dict[int, int], taken: dict[int, int], left: int, window: int)
     return taken
 
 
-def fit_budget(counts: dict[int, int], budget: int, window: int = KNAPSACK) -> dict[int, int]:
+def _exchanged(counts: dict[int, int], taken: dict[int, int], left: int) -> dict[int, int]:
+    """``taken`` after adding and removing documents so that less of ``left`` words remains.
+
+    What differs between two sums can be put in an order in which documents are added while words are left and removed while
+    there are too many, so that what is left stays within the longest length either way. Those states are searched from the
+    nearest on, with the documents exchanged on the way to each.
+    """
+    lengths = sorted(counts, key=lambda k: -min(taken[k], counts[k] - taken[k]))[:EXCHANGED]
+    ks, top = np.array(lengths), max(lengths)
+    spare, have = np.array([counts[k] - taken[k] for k in lengths]), np.array([taken[k] for k in lengths])
+    if left > top:
+        return taken
+    seen, states, moved, best = np.zeros(2 * top + 1, bool), np.array([left]), np.zeros((1, len(ks)), np.int64), (left, np.zeros(len(ks), np.int64))
+    seen[left + top] = True
+    while len(states) and best[0]:
+        more = states > 0
+        on, off = moved < spare, -moved < have
+        i, j = np.nonzero(np.where(more[:, None], on, off))
+        sign = np.where(more[i], 1, -1)
+        new = states[i] - sign * ks[j]
+        fresh = (np.abs(new) <= top) & ~seen[np.clip(new, -top, top) + top]
+        new, first = np.unique(new[fresh], return_index=True)
+        i, j, sign = (x[fresh][first] for x in (i, j, sign))
+        after = moved[i]
+        after[np.arange(len(new)), j] += sign
+        seen[new + top] = True
+        states, moved = new, after
+        if (new >= 0).any() and (least := new[new >= 0].min()) < best[0]:
+            best = int(least), after[np.flatnonzero(new == least)[0]]
+    return taken | {k: taken[k] + int(n) for k, n in zip(lengths, best[1], strict=True)}
+
+
+def fit_budget(counts: dict[int, int], budget: int, window: int = KNAPSACK, most: int = KNAPSACK_MOST) -> dict[int, int]:
     """How many documents of each length to take for a sum as near below ``budget`` as can be.
 
     A proportional share over the lengths comes first, at every budget; a bounded knapsack fits what is left: 1/64 of the
-    budget, and twice as much again and again (at most ``window``) until the sum is the largest there can be. With a
-    budget of at most ``window`` the last one has it all. The earliest of the best sums counts.
+    budget within ``window``, and twice as much again and again, up to ``most`` words, until the sum is the largest there can
+    be. A budget of at most ``most`` words is thus fitted exactly. Beyond it documents are exchanged until no word is left that
+    they can make up; what may then stay below the best sum is for lengths with few documents among many. The earliest of
+    the best sums counts.
     """
     counts = {k: n for k, n in counts.items() if k > 0 and n > 0}
     total = sum(k * n for k, n in counts.items())
     if budget >= total:
         return counts
     goal = budget - budget % math.gcd(*counts)
-    most, rest = budget if budget <= window else window // 2, min(budget // 64, window // 2)
+    rest = min(budget // 64, window // 2)
     best, top = dict.fromkeys(counts, 0), -1
     while top < goal:
         taken = _share(counts, budget - rest, total)
@@ -89,12 +125,14 @@ def fit_budget(counts: dict[int, int], budget: int, window: int = KNAPSACK) -> d
             k = min((k for k in some if k >= -left), default=max(some))
             taken[k] -= 1
             left += k
-        found = _fit(counts, taken, left, window)
+        found = _fit(counts, taken, left, max(window, rest))
         if (words := sum(k * n for k, n in found.items())) > top:
             best, top = found, words
-        if rest >= most:
+        if rest >= min(budget, most):
             break
-        rest = min(most, max(1, 2 * rest))
+        rest = min(budget, most, max(1, 2 * rest))
+    if top < goal and budget > most:
+        best = _exchanged(counts, best, goal - top)
     return best
 
 

@@ -266,6 +266,45 @@ def test_mixed_rows_of_one_id_do_not_overshoot(spark):
     assert sorted(sizes.values()) == sorted(t for _, t in taken) and all(abs(a - b) < 60 for a, b in taken)
 
 
+def reachable(counts, most):
+    """All sums up to ``most`` as bits."""
+    sums, mask = 1, (1 << most + 1) - 1
+    for k, n in counts.items():
+        piece = 1
+        while n:
+            piece = min(piece, n)
+            sums = (sums | sums << k * piece) & mask
+            n, piece = n - piece, 2 * piece
+    return sums
+
+
+@pytest.mark.parametrize("copies", [5, 60])
+def test_fit_budget_of_few_long_lengths(copies):
+    """Budgets on both sides of the knapsack's first window: the sum is the largest there is."""
+    rng = random.Random(copies)
+    for _ in range(60 if copies == 5 else 25):
+        counts = {rng.randrange(800, 20_000): rng.randrange(1, copies) for _ in range(rng.randrange(3, 12))}
+        total = sum(k * n for k, n in counts.items())
+        budget = rng.randrange(total // 4, total)
+        taken = mixing.fit_budget(counts, budget)
+        assert all(0 <= n <= counts[k] for k, n in taken.items())
+        assert sum(k * n for k, n in taken.items()) == (reachable(counts, budget)).bit_length() - 1
+    assert mixing.fit_budget({11539: 4, 19375: 4, 16578: 2}, 94_087) and sum(
+        k * n for k, n in mixing.fit_budget({11539: 4, 19375: 4, 16578: 2}, 94_087).items()
+    ) == 94_078
+
+
+def test_fit_budget_beyond_the_window_exchanges():
+    """Few lengths, more words than the knapsack's table: what a proportional share misses is exchanged for."""
+    rng = random.Random(11)
+    for _ in range(12):
+        counts = {rng.randrange(800, 20_000): rng.randrange(20_000, 60_000) for _ in range(rng.randrange(2, 6))}
+        budget = sum(k * n for k, n in counts.items()) * rng.randrange(20, 80) // 100
+        taken = mixing.fit_budget(counts, budget, most=1 << 18)
+        assert all(0 <= n <= counts[k] for k, n in taken.items())
+        assert sum(k * n for k, n in taken.items()) == budget - budget % math.gcd(*counts)
+
+
 def test_fit_budget_keeps_little_memory():
     import tracemalloc
 
@@ -556,6 +595,15 @@ def test_language_sizes_and_long_texts(spark):
         assert abs(sizes[out[i]["lang_pred"]] - best) <= 0.02 * best
 
 
+def test_letters_are_those_of_one_definition(spark):
+    rows = [(i, "wo ord te ext " * 5, "x") for i in range(3)] + [(10, "7 " * 15_000 + "sh und ver " * 20, "late")]
+    asked = {20: "\u00b2", 21: "\u00bd \u2460 \u2167", 22: "\u0661\u0662 _ 12", 23: "\u4e2d\u6587", 24: "\u00e9", 25: "\u02b0", 26: "\u0301", 27: "sh und ver"}
+    df = spark.createDataFrame(rows + [(i, t, None) for i, t in asked.items()], "doc_id long, text string, lang string")
+    out = {r["doc_id"]: r for r in language.identify_languages(df, F.col("doc_id") < 20).collect()}
+    assert [i for i in asked if out[i]["lang_pred"] == "und"] == [20, 21, 22, 26]
+    assert out[10]["lang_pred"] == out[27]["lang_pred"] == "late"
+
+
 def test_many_languages_share_the_bytes(spark):
     rows = [(i, f"word{chr(97 + i % 26)} text {chr(97 + i // 26 % 26)}", f"l{i}") for i in range(300)]
     found = language.dictionaries(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), "text", "lang", total=3000)
