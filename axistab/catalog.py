@@ -13,6 +13,7 @@ from axistab.model import AxisTable
 from axistab.operators import agg, blocks, columns, index, joins
 from axistab.operators.rows import with_row_axis
 from axistab.plans import cf
+from axistab.plans.fft import fft
 from axistab.schemas import SCHEMAS
 from axistab.sources import tables
 from axistab.sources.scratch import scratch_path, stage
@@ -653,11 +654,11 @@ jt as (select class, stokes, frequency, angle, ((kx + 1) % 4)::int as x, ((ky +
   sum(im * cos(pi() / 2 * (x * kx + y * ky)) - re * sin(pi() / 2 * (x * kx + y * ky))) * 0.01 as im from ap, k4 group by class, stokes, frequency, angle, kx, ky)"""
 
 
-@query(f"""
-with {_AXES}
-select o.class, o.frequency, o.angle, o.stokes as stokes_out, i.stokes as stokes_in, o.x, o.y, round(o.re * i.re + o.im * i.im, 3) + 0.0 as re, round(o.im * i.re - o.re * i.im, 3) + 0.0 as im
-from jt o join jt i on (o.class, o.frequency, o.angle, o.x, o.y) = (i.class, i.frequency, i.angle, i.x, i.y) and (o.stokes, i.stokes) in ((0, 0), (0, 1), (1, 1))""")
-def f5d_a_term_axes(spark, sf_dir):
+_A_AXES = ["class", "frequency", "angle", "stokes_out", "stokes_in"]
+
+
+def _a_axes(spark, sf_dir):
+    """A-term over class, frequency, angle and Stokes pair, 4 x 4 pixels."""
     part = _t(spark, sf_dir, "part", ["p_partkey", "p_size", "p_retailprice"]).select(
         (F.col("p_partkey") % 2).alias("class"), F.floor(F.col("p_partkey") % 4 / 2).alias("stokes"),
         F.col("p_size").cast("double").alias("frequency"), "p_retailprice",
@@ -676,11 +677,16 @@ def f5d_a_term_axes(spark, sf_dir):
     grid = cf.grid_coordinates(cf.cf_axes([want, angles], 4), 4, 1.0, F.col("turn")).drop("turn")
     beam = cf.beam(cf.aperture(grid, poly, keys), [*keys, "angle"], 4)
     ill = beam.select(*keys, "angle", "x", "y", cplx(F.col("re") * 0.01, F.col("im") * 0.01).alias("value"))
-    axes = ["class", "frequency", "angle"]
-    out = cf.a_term(ill, axes, spark.createDataFrame([(0, 0), (0, 1), (1, 1)], "stokes_out long, stokes_in long"))
-    return out.select(
-        *axes, "stokes_out", "stokes_in", "x", "y", (F.round("value.re", 3) + 0.0).alias("re"), (F.round("value.im", 3) + 0.0).alias("im"),
-    )
+    return cf.a_term(ill, _A_AXES[:3], spark.createDataFrame([(0, 0), (0, 1), (1, 1)], "stokes_out long, stokes_in long"))
+
+
+@query(f"""
+with {_AXES}
+select o.class, o.frequency, o.angle, o.stokes as stokes_out, i.stokes as stokes_in, o.x, o.y, round(o.re * i.re + o.im * i.im, 3) + 0.0 as re, round(o.im * i.re - o.re * i.im, 3) + 0.0 as im
+from jt o join jt i on (o.class, o.frequency, o.angle, o.x, o.y) = (i.class, i.frequency, i.angle, i.x, i.y) and (o.stokes, i.stokes) in ((0, 0), (0, 1), (1, 1))""")
+def f5d_a_term_axes(spark, sf_dir):
+    out = _a_axes(spark, sf_dir)
+    return out.select(*_A_AXES, "x", "y", (F.round("value.re", 3) + 0.0).alias("re"), (F.round("value.im", 3) + 0.0).alias("im"))
 
 
 _DFT = """
@@ -707,6 +713,58 @@ def f6_fft_sums(spark, sf_dir):
     return _rounded(cf.cf_fft_sums(_w(spark, sf_dir), ["key"], 5))
 
 
+
+def _line_sql(source: str, keys: str, axis: str, n: int, out: str, rest: str = "") -> str:
+    """One axis of a transform as sums of sines and cosines, turned before and after: ``out`` from ``source``."""
+    by, shift = f"{keys}, {rest}" if rest else keys, n // 2 + 1
+    angle = f"2 * pi() / {n} * ((({axis} + {n - shift}) % {n}) * k % {n})"
+    return f"""{out} as (select {by}, (k + {n - shift}) % {n} as {axis}, sum(re * cos({angle}) - im * sin({angle})) as re, sum(re * sin({angle}) + im * cos({angle})) as im
+  from {source}, range({n}) as r(k) group by {by}, k)"""
+
+
+_ELEMENTS = "z as (select vec_id as key, (unnest(range(len(embedding))))::int as pos, unnest(embedding)::double as re, 0.5 as im from embeddings)"
+
+
+def _elements(spark, sf_dir):
+    return columns.explode_elements(_t(spark, sf_dir, "embeddings", ["vec_id", "embedding"]), "embedding", "pos", "v").select(
+        F.col("vec_id").alias("key"), "pos", cplx(F.col("v"), F.lit(0.5)).alias("value"),
+    )
+
+
+def _near(*cols: str, digits: int = 4) -> list:
+    return [(F.round(c, digits) + 0.0).alias(c) for c in cols]
+
+
+@query(f"with {_ELEMENTS}, {_line_sql('z', 'key', 'pos', 64, 'o')} select key, pos::int as pos, round(re, 4) + 0.0 as re, round(im, 4) + 0.0 as im from o")
+def f6_fft_line(spark, sf_dir):
+    return fft(_elements(spark, sf_dir), ["key"], {"pos": 64}).select("key", "pos", *_near("re", "im"))
+
+
+@query(f"""
+with {_ELEMENTS}, c as (select key, pos // 16 as x, pos // 4 % 4 as y, pos % 4 as z, re, im from z),
+{_line_sql('c', 'key', 'x', 4, 'a', 'y, z')}, {_line_sql('a', 'key', 'y', 4, 'b', 'x, z')}, {_line_sql('b', 'key', 'z', 4, 'o', 'x, y')}
+select key, x::int as x, y::int as y, z::int as z, round(re, 4) + 0.0 as re, round(im, 4) + 0.0 as im from o""")
+def f6_fft_cube(spark, sf_dir):
+    at = F.col("pos")
+    cube = _elements(spark, sf_dir).select(
+        "key", F.floor(at / 16).cast("int").alias("x"), (F.floor(at / 4) % 4).cast("int").alias("y"), (at % 4).alias("z"), "value",
+    )
+    return fft(cube, ["key"], {"x": 4, "y": 4, "z": 4}).select("key", "x", "y", "z", *_near("re", "im"))
+
+
+@query(f"""
+with z as (select label as key, vec_id % 48 as x, y, sum(v::double) as re, count(*) * 0.01 as im from (select label, vec_id, unnest(range(len(embedding))) as y, unnest(embedding) as v from embeddings) group by all),
+{_line_sql('z', 'key', 'x', 48, 'a', 'y')}, {_line_sql('a', 'key', 'y', 64, 'o', 'x')}
+select key, x::int as x, y::int as y, round(re, 4) + 0.0 as re, round(im, 4) + 0.0 as im from o""")
+def f6_fft_split(spark, sf_dir):
+    """Planes of 48 x 64 cells in tiles of 256 cells, so that each is spread over many of them."""
+    each = columns.explode_elements(_t(spark, sf_dir, "embeddings"), "embedding", "y", "v")
+    sums = each.groupBy(F.col("label").alias("key"), (F.col("vec_id") % 48).alias("x"), "y").agg(
+        cplx(F.sum(F.col("v").cast("double")), F.count(F.lit(1)) * 0.01).alias("value")
+    )
+    return fft(sums, ["key"], {"x": 48, "y": 64}, tile=256).select("key", "x", "y", *_near("re", "im"))
+
+
 @query(f"""
 with {_PS}, {_W}
 select key, ps.x, ps.y, round(ps.v * wt.re, 6) + 0.0 as re, round(ps.v * wt.im, 6) + 0.0 as im, round(ps.weight * wt.weight, 6) as weight from ps join wt using (key, x, y)""")
@@ -751,6 +809,34 @@ def f7_pipeline_a(spark, sf_dir):
     return out.select(*axes, "x", "y", (F.round("re", 4) + 0.0).alias("re"), (F.round("im", 4) + 0.0).alias("im"))
 
 
+
+_F7 = f"""
+{_AXES},
+aterm as (select o.class, o.frequency, o.angle, o.stokes as stokes_out, i.stokes as stokes_in, o.x, o.y, o.re * i.re + o.im * i.im as re, o.im * i.re - o.re * i.im as im
+  from jt o join jt i on (o.class, o.frequency, o.angle, o.x, o.y) = (i.class, i.frequency, i.angle, i.x, i.y) and (o.stokes, i.stokes) in ((0, 0), (0, 1), (1, 1))),
+w0 as (select n_nationkey::double * 1.5::double + 0.2::double as w, x::int as x, y::int as y, (x - 1.5) * (x - 1.5) + (y - 1.5) * (y - 1.5) as r2 from nation, range(4) as s(x), range(4) as q(y) where n_nationkey % 5 = 0),
+w1 as (select w, x, y, r2 <= 1 as inside, 2 * pi() * w * (sqrt(greatest(1 - r2, 0)) - 1) as ph from w0),
+p0 as (select r_regionkey::double * 0.08::double + 0.08::double as ps_scale, x::int + 1 as x, y::int + 1 as y, sqrt((x - 0.5) * (x - 0.5) + (y - 0.5) * (y - 0.5)) * (r_regionkey::double * 0.08::double + 0.08::double) as nu from region, range(2) as s(x), range(2) as q(y)),
+p1 as (select ps_scale, x, y, (case when nu <= 0 then 1.0 {_SPH} else 0.0 end) * (1 - nu * nu) as v from p0),
+aw as (select a.class, a.frequency, a.angle, a.stokes_out, a.stokes_in, w, a.x, a.y, case when inside then a.re * cos(ph) - a.im * sin(ph) else 0 end as re, case when inside then a.re * sin(ph) + a.im * cos(ph) else 0 end as im from aterm a join w1 using (x, y)),
+z as (select class, frequency, angle, stokes_out, stokes_in, w, s.ps_scale, aw.x, aw.y, re * coalesce(v, 1) as re, im * coalesce(v, 1) as im from aw cross join (select distinct ps_scale from p0) s left join p1 on p1.ps_scale = s.ps_scale and p1.x = aw.x and p1.y = aw.y),
+{_line_sql('z', 'class, frequency, angle, stokes_out, stokes_in, w, ps_scale', 'x', 4, 'fx', 'y')},
+{_line_sql('fx', 'class, frequency, angle, stokes_out, stokes_in, w, ps_scale', 'y', 4, 'o', 'x')}"""
+
+
+@query(f"with {_F7} select class, frequency, angle, stokes_out, stokes_in, w, ps_scale, x::int as x, y::int as y, round(re, 3) + 0.0 as re, round(im, 3) + 0.0 as im from o")
+def f7_cf_pipeline(spark, sf_dir):
+    """A over class, frequency, angle and pair times W over w times PS over scale, transformed: a plane for each combination of all axes."""
+    a = _a_axes(spark, sf_dir).withColumn("weight", F.lit(1.0))
+    ws = _t(spark, sf_dir, "nation", ["n_nationkey"]).filter("n_nationkey % 5 = 0").select((F.col("n_nationkey") * 1.5 + 0.2).alias("w"))
+    w = cf.w_term(cf.grid_coordinates(cf.cf_axes([ws], 4), 4, 2.0)).select("w", "x", "y", "value", "weight")
+    scales = _t(spark, sf_dir, "region", ["r_regionkey"]).select((F.col("r_regionkey") * 0.08 + 0.08).alias("ps_scale"))
+    ps = cf.ps_term(cf.grid_coordinates(cf.cf_axes([scales], 2), 2, 1.0)).select("ps_scale", "x", "y", "value", "weight")
+    product = cf.cf_product_all([(a, 4, _A_AXES), (w, 4, ["w"]), (ps, 2, ["ps_scale"])])
+    keys = [*_A_AXES, "w", "ps_scale"]
+    return cf.cf_fft(product, keys, 4).select(*keys, "x", "y", *_near("re", "im", digits=3))
+
+
 @query(f"with {_W} select key, count(*) as cells, round(sum(re), 5) as re from wt group by key")
 def s5_planes(spark, sf_dir):
     flat = _w(spark, sf_dir).select("key", "x", "y", F.col("value.re").alias("re"), F.col("value.im").alias("im"))

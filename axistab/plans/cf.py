@@ -3,18 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from axistab.functions.cplx import cmul, conj, cplx
 from axistab.operators.joins import sized
+from axistab.plans.fft import fft, rotation
 
 
 def cf_axes(axes: list[DataFrame], n: int) -> DataFrame:
@@ -96,55 +92,33 @@ def cf_products(tables: list[tuple[DataFrame, int, list[str]]]) -> DataFrame:
     return out
 
 
-def _shift(n: int) -> int:
-    """The cyclic shift of a "rotated" axis; n // 2 + 1 for even sizes as well."""
-    return (n // 2 + 1) % n
+def cf_product_all(tables: list[tuple[DataFrame, int, list[str]]]) -> DataFrame:
+    """Product of several tables ``(df, grid size, axes)`` over all of their axes: a plane for each combination of axis values.
 
+    A table is broadcast along the axes that only others have; on axes that tables share their values meet. The first grid is
+    the largest, smaller ones are centred in it. Of each table only the distinct axis values go to every plane before it, so
+    the rows of the result are all that is made.
+    """
+    (out, n, have), *others = tables
+    have = list(have)
+    for df, size, axes in others:
+        if new := [a for a in axes if a not in have]:
+            shared = [a for a in axes if a in have]
+            values = sized(df.select(*axes).distinct())
+            out = out.join(values, shared) if shared else out.crossJoin(values)
+            have += new
+        out = cf_product(out, n, df, size, axes)
+    return out.select(*have, "x", "y", "value", "weight")
 
-def cf_fft(df: DataFrame, axes: list[str], n: int, sign: int = 1, rotate_in: bool = True, rotate_out: bool = True) -> DataFrame:
-    """Unnormalised 2-D transform of each n x n plane (absent cells are 0).
 
-    Planes are gathered by a shuffle on their axes and transformed an Arrow batch at a time, a few hundred planes a call.
-    """
-    kinds = {f.name: f.dataType for f in df.schema}
-    cells = {"x": "int", "y": "int", "re": "double", "im": "double"}
-    schema = T.StructType(
-        [
-            *(T.StructField(a, kinds[a]) for a in axes),
-            *(T.StructField(c, T.IntegerType() if k == "int" else T.DoubleType()) for c, k in cells.items()),
-        ]
-    )
-    step = _shift(n)
-
-    def planes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, max(1, (1 << 20) // (n * n))):
-                part = batch.slice(at, max(1, (1 << 20) // (n * n)))
-                flat = {c: part.column(c).flatten().to_numpy(zero_copy_only=False) for c in cells}
-                which = np.repeat(np.arange(part.num_rows), pc.list_value_length(part.column("x")).to_numpy(zero_copy_only=False))
-                grid = np.zeros((part.num_rows, n, n), complex)
-                grid[which, flat["x"], flat["y"]] = flat["re"] + 1j * flat["im"]
-                grid = np.roll(grid, (-step, -step), (1, 2)) if rotate_in else grid
-                out = np.fft.ifft2(grid) * n * n if sign > 0 else np.fft.fft2(grid)
-                out = np.roll(out, (-step, -step), (1, 2)) if rotate_out else out
-                x, y = np.divmod(np.tile(np.arange(n * n), part.num_rows), n)
-                index = pa.array(np.repeat(np.arange(part.num_rows), n * n))
-                cols = [
-                    *(part.column(a).take(index) for a in axes), pa.array(x, pa.int32()), pa.array(y, pa.int32()), pa.array(out.real.ravel()),
-                    pa.array(out.imag.ravel()),
-                ]
-                yield pa.RecordBatch.from_arrays(cols, names=[*axes, *cells])
-
-    cell = F.struct(
-        F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), F.col("value.re").alias("re"), F.col("value.im").alias("im"),
-    )
-    gathered = df.groupBy(*axes).agg(F.collect_list(cell).alias("__c")).select(*axes, *(F.col("__c").getField(c).alias(c) for c in cells))
-    return gathered.mapInArrow(planes, schema)
+def cf_fft(df: DataFrame, axes: list[str], n: int, sign: int = 1, rotate_in: bool = True, rotate_out: bool = True) -> DataFrame:
+    """Unnormalised 2-D transform of each n x n plane (absent cells are 0); ``fft`` has it for any rank and size."""
+    return fft(df, axes, {"x": n, "y": n}, sign, rotate_in, rotate_out)
 
 
 def cf_fft_sums(df: DataFrame, axes: list[str], n: int, sign: int = 1) -> DataFrame:
     """The same transform, rotated in and out, as sums of sines and cosines; n^4 rows a plane, for checks."""
-    step, at = _shift(n), F.sequence(F.lit(0), F.lit(n - 1))
+    step, at = rotation(n), F.sequence(F.lit(0), F.lit(n - 1))
     turned = lambda c: F.pmod(F.col(c) - F.lit(step), F.lit(n))
     each = df.withColumns({"jx": turned("x"), "jy": turned("y")}).withColumn("kx", F.explode(at)).withColumn("ky", F.explode(at))
     phase = F.lit(sign * 2 * math.pi / n) * (F.col("jx") * F.col("kx") + F.col("jy") * F.col("ky"))
