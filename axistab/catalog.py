@@ -12,7 +12,7 @@ from axistab.functions.cplx import cadd, cdiv, cmul, conj, cplx, polar
 from axistab.model import AxisTable
 from axistab.operators import agg, blocks, columns, index, joins
 from axistab.operators.rows import with_row_axis
-from axistab.plans import cf
+from axistab.plans import cf, gridding
 from axistab.plans.fft import fft
 from axistab.schemas import SCHEMAS
 from axistab.sources import tables
@@ -846,6 +846,90 @@ def s5_planes(spark, sf_dir):
     )
 
 
+# Gridding: kernels are numbered by region, visibilities lie where line items and events put them
+
+
+_TAPS = """
+kern as (select r_regionkey as k, fu, fv, i, j, a * cos(0.3 * (i - j) + 0.1 * r_regionkey) as re, a * sin(0.3 * (i - j) + 0.1 * r_regionkey) as im
+  from (select *, exp(-((i - fu / 4.0) * (i - fu / 4.0) + (j - fv / 4.0) * (j - fv / 4.0)) / (1 + 0.2 * r_regionkey)) as a
+    from region, range(-2, 3) as a(fu), range(-2, 3) as b(fv), range(-2, 3) as c(i), range(-2, 3) as d(j)))"""
+_LOCATED = "floor(u + 0.5)::bigint as lu, floor(v + 0.5)::bigint as lv, floor((u - floor(u + 0.5)) * 4 + 0.5)::bigint as fu, floor((v - floor(v + 0.5)) * 4 + 0.5)::bigint as fv"
+_VIS = f"""
+vis0 as (select l_linenumber % 2 as chan, case when l_orderkey % 3 = 0 then 40.3 else (l_partkey % 977) / 10.0 end::double as u, case when l_orderkey % 3 = 0 then 17.8 else (l_suppkey * 37 % 991) / 10.0 - 1 end::double as v,
+  l_discount as re, l_tax as im, l_quantity / 50 as w, l_suppkey % 5 as k from lineitem),
+vis as (select *, {_LOCATED} from vis0),
+gr as (select chan, lu + i as x, lv + j as y, sum(w * (vis.re * kern.re - vis.im * kern.im)) as re, sum(w * (vis.re * kern.im + vis.im * kern.re)) as im, sum(w * sqrt(kern.re * kern.re + kern.im * kern.im)) as weight, count(*) as hits
+  from vis join kern using (k, fu, fv) where lu + i between 0 and 95 and lv + j between 0 and 95 group by all)"""
+_ASKED = f"""
+ask0 as (select event_id, user_id % 3 as chan, (value * 7) % 100 - 1 as u, (user_id * 1.37::double) % 100 - 1 as v, event_id % 5 as k from events),
+ask as (select *, {_LOCATED} from ask0)"""
+
+
+def _kernels(spark, sf_dir):
+    region = _t(spark, sf_dir, "region", ["r_regionkey"]).select(F.col("r_regionkey").cast("int").alias("kernel"))
+    for c in ("off_u", "off_v", "i", "j"):
+        region = region.withColumn(c, F.explode(F.sequence(F.lit(-2), F.lit(2))))
+    du, dv = F.col("i") - F.col("off_u") / 4.0, F.col("j") - F.col("off_v") / 4.0
+    turn = (F.col("i") - F.col("j")) * 0.3 + F.col("kernel") * 0.1
+    value = polar(F.exp(-(du * du + dv * dv) / (F.col("kernel") * 0.2 + 1)), turn)
+    taps = region.withColumn("z", value).select("kernel", "off_u", "off_v", "i", "j", "z.re", "z.im")
+    return gridding.kernels_of(taps, 4, 2)
+
+
+def _visibilities(spark, sf_dir):
+    df = _t(spark, sf_dir, "lineitem", ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax"])
+    hot = F.col("l_orderkey") % 3 == 0
+    return df.select(
+        (F.col("l_linenumber") % 2).alias("chan"), F.when(hot, 40.3).otherwise(F.col("l_partkey") % 977 / 10.0).alias("u"),
+        F.when(hot, 17.8).otherwise(F.col("l_suppkey") * 37 % 991 / 10.0 - 1).alias("v"), cplx(F.col("l_discount"), F.col("l_tax")).alias("value"),
+        (F.col("l_quantity") / 50).alias("weight"), (F.col("l_suppkey") % 5).alias("k"),
+    )
+
+
+def _asked_places(spark, sf_dir):
+    return _t(spark, sf_dir, "events", ["event_id", "user_id", "value"]).select(
+        "event_id", (F.col("user_id") % 3).alias("chan"), (F.col("value") * 7 % 100 - 1).alias("u"), (F.col("user_id") * F.lit(1.37) % 100 - 1).alias("v"),
+        (F.col("event_id") % 5).alias("k"),
+    )
+
+
+@query(f"with {_TAPS}, {_VIS} select chan, x, y, round(re, 4) + 0.0 as re, round(im, 4) + 0.0 as im, round(weight, 4) as weight, hits from gr")
+def g1_grid(spark, sf_dir):
+    out = gridding.grid(_visibilities(spark, sf_dir), ["chan"], _kernels(spark, sf_dir), (96, 96), "k", tile=32)
+    return out.select("chan", "x", "y", *_near("re", "im"), F.round("weight", 4).alias("weight"), "hits")
+
+
+_GATHERED = """
+seen as (select event_id, coalesce(sum(c.re * kern.re - c.im * kern.im), 0) as re, coalesce(sum(c.re * kern.im + c.im * kern.re), 0) as im
+  from ask join kern using (k, fu, fv) left join cells c on c.chan = ask.chan and c.x = lu + i and c.y = lv + j group by event_id)
+select event_id, round(re, 4) + 0.0 as re, round(im, 4) + 0.0 as im from seen"""
+
+
+@query(f"""
+with {_TAPS}, {_ASKED},
+cells as (select o_orderkey % 2 as chan, o_custkey % 96 as x, o_orderkey % 89 as y, sum(o_totalprice) / 1e5 as re, count(*) * 0.5 as im from orders group by all),
+{_GATHERED}""")
+def g2_degrid(spark, sf_dir):
+    by = [(F.col("o_orderkey") % 2).alias("chan"), (F.col("o_custkey") % 96).alias("x"), (F.col("o_orderkey") % 89).alias("y")]
+    cells = _t(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_totalprice"]).groupBy(*by).agg(
+        (F.sum("o_totalprice") / 1e5).alias("re"), (F.count(F.lit(1)) * 0.5).alias("im")
+    )
+    out = gridding.degrid(cells, _asked_places(spark, sf_dir), ["chan"], _kernels(spark, sf_dir), "k", tile=32)
+    return out.select("event_id", (F.round("value.re", 4) + 0.0).alias("re"), (F.round("value.im", 4) + 0.0).alias("im"))
+
+
+@query(f"with {_TAPS}, {_VIS}, {_ASKED}, cells as (select * from gr), {_GATHERED}")
+def g3_grid_and_back(spark, sf_dir):
+    """Gridded, transformed to an image, transformed back and de-gridded: what the grid alone would give."""
+    kernels = _kernels(spark, sf_dir)
+    cells = gridding.grid(_visibilities(spark, sf_dir), ["chan"], kernels, (96, 96), "k", tile=32)
+    size = {"x": 96, "y": 96}
+    image = fft(cells.withColumn("value", cplx(F.col("re"), F.col("im"))), ["chan"], size, 1, False, False, tile=1024)
+    back = fft(image.withColumn("value", cplx(F.col("re"), F.col("im"))), ["chan"], size, -1, False, False, normalised=True, tile=1024)
+    out = gridding.degrid(back, _asked_places(spark, sf_dir), ["chan"], kernels, "k", tile=32)
+    return out.select("event_id", (F.round("value.re", 4) + 0.0).alias("re"), (F.round("value.im", 4) + 0.0).alias("im"))
+
+
 # Scalar expressions
 
 
