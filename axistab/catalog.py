@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from axistab.functions import expr
 from axistab.functions.cplx import cadd, cdiv, cmul, conj, cplx, polar
 from axistab.model import AxisTable
-from axistab.operators import agg, blocks, columns, index, joins
+from axistab.operators import agg, asof, blocks, columns, index, joins
 from axistab.operators.rows import with_row_axis
 from axistab.plans import cf, gridding
 from axistab.plans.fft import fft
@@ -565,6 +566,43 @@ def f5a_nearest(spark, sf_dir):
     return cf.nearest_frequency_coeffs(wanted, known, ["class"], 4)
 
 
+@query("""
+with a as (select event_id::double as frequency, value as re, user_id * 0.5::double as im from events where event_id % 3 = 0),
+w as (select distinct l_orderkey * 1.37::double + l_linenumber as frequency from lineitem),
+b as (select w.frequency, a.frequency as lo, a.re as re, a.im as im from w asof left join a on w.frequency >= a.frequency),
+n as (select b.*, a.frequency as hi, a.re as re1, a.im as im1 from b asof left join a on b.frequency <= a.frequency)
+select frequency, case when lo is not null and (hi is null or frequency - lo <= hi - frequency) then re else re1 end as re, case when lo is not null and (hi is null or frequency - lo <= hi - frequency) then im else im1 end as im from n""")
+def f5a_one_class(spark, sf_dir):
+    """All frequencies of one class: events against line items."""
+    one = F.lit(0).alias("class")
+    known = _t(spark, sf_dir, "events", ["event_id", "value", "user_id"]).filter("event_id % 3 = 0").select(
+        one, F.col("event_id").cast("double").alias("frequency"), F.lit(0).alias("k"), F.col("value").alias("re"), (F.col("user_id") * 0.5).alias("im"),
+    )
+    wanted = _t(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber"]).select(one, (F.col("l_orderkey") * F.lit(1.37) + F.col("l_linenumber")).alias("frequency"))
+    return cf.nearest_frequency_coeffs(wanted, known, ["class"], 1).select("frequency", "re", "im")
+
+
+@query("""
+with s as (select user_id % 7 as body, event_id::double as t, min(struct_pack(lon := (value * 0.37::double + event_id * 0.002::double) % (2 * pi()), lat := (user_id % 300) * 0.01::double - 1.4::double)) as d from events where event_id % 4 = 0 group by all),
+w as (select distinct o_custkey % 8 as body, o_orderkey * 0.9::double as t from orders),
+l as (select w.body, w.t, s.t as t0, s.d as a from w asof left join s on w.body = s.body and w.t >= s.t),
+h as (select l.*, s.t as t1, s.d as b from l asof left join s on l.body = s.body and l.t <= s.t),
+v as (select body, t, case when t1 = t0 then 0 else (t - t0) / (t1 - t0) end as f, cos(a.lat) * cos(a.lon) as ax, cos(a.lat) * sin(a.lon) as ay, sin(a.lat) as az, cos(b.lat) * cos(b.lon) as px, cos(b.lat) * sin(b.lon) as py, sin(b.lat) as pz from h),
+g as (select *, atan2(sqrt((ay * pz - az * py) ** 2 + (az * px - ax * pz) ** 2 + (ax * py - ay * px) ** 2), ax * px + ay * py + az * pz) as o from v),
+p as (select *, case when o < 1e-9 then 1 - f else sin((1 - f) * o) / sin(o) end as l, case when o < 1e-9 then f else sin(f * o) / sin(o) end as r from g),
+q as (select body, t, l * ax + r * px as x, l * ay + r * py as y, l * az + r * pz as z from p)
+select body, t, round(cos(atan2(y, x)), 6) + 0.0 as lon_cos, round(sin(atan2(y, x)), 6) + 0.0 as lon_sin, round(atan2(z, sqrt(x * x + y * y)), 6) + 0.0 as lat from q""")
+def e12_ephemeris(spark, sf_dir):
+    """Directions of moving bodies at wanted times, between the samples before and after; null outside of them."""
+    lon = (F.col("value") * 0.37 + F.col("event_id") * 0.002) % (2 * math.pi)
+    samples = _t(spark, sf_dir, "events", ["event_id", "user_id", "value"]).filter("event_id % 4 = 0").select(
+        (F.col("user_id") % 7).alias("body"), F.col("event_id").cast("double").alias("t"), lon.alias("lon"), (F.col("user_id") % 300 * 0.01 - 1.4).alias("lat"),
+    )
+    wanted = _t(spark, sf_dir, "orders", ["o_custkey", "o_orderkey"]).select((F.col("o_custkey") % 8).alias("body"), (F.col("o_orderkey") * 0.9).alias("t"))
+    out = asof.interpolated(wanted, samples, ["body"], "t", asof.on_sphere, ["lon", "lat"])
+    return out.select("body", "t", *((F.round(c, 6) + 0.0).alias(n) for n, c in (("lon_cos", F.cos("lon")), ("lon_sin", F.sin("lon")), ("lat", F.col("lat")))))
+
+
 @query("""
 with o as (select p_partkey, p_size % 11 as n, range as i from part, range(11) where range <= p_size % 11)
 select p_partkey, (2 * i - n)::int as m, n::int as n, ((n * (n + 2) + 2 * i - n) // 2)::int as k from o""")

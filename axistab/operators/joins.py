@@ -36,6 +36,14 @@ def sized(dim: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(dim) if fits(dim, limit) else dim.hint("merge")
 
 
+def join_same(a: DataFrame, b: DataFrame, cols: list[str], how: str) -> DataFrame:
+    """Join on equal columns, null equal to null; ``b`` is broadcast if it was measured to be small. Read twice, ``b`` should be
+    staged or cheap."""
+    other = b.toDF(*(f"__b_{c}" if c in cols else c for c in b.columns))
+    on = reduce(lambda p, q: p & q, (F.col(c).eqNullSafe(F.col(f"__b_{c}")) for c in cols))
+    return a.join(sized(other), on, how).drop(*(f"__b_{c}" for c in cols))
+
+
 def lookup_join(fact: DataFrame, dim: DataFrame, fk: str, key: str, how: str = "inner") -> DataFrame:
     """Foreign key lookup: the dimension's columns but its key beside the fact's; null keys find nothing."""
     return fact.join(sized(dim.withColumnRenamed(key, fk)), fk, how)

@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from axistab.functions.cplx import cmul, conj, cplx
-from axistab.operators.joins import sized
+from axistab.operators.asof import nearest
+from axistab.operators.joins import join_same, sized
 from axistab.plans.fft import fft, rotation
 
 
@@ -183,20 +184,12 @@ def zernike_to_poly(coefficients: DataFrame, keys: list[str], terms: list[tuple[
 def nearest_frequency_coeffs(wanted: DataFrame, available: DataFrame, keys: list[str], orders: int) -> DataFrame:
     """For each ``keys, frequency`` wanted the coefficients ``k, re, im`` of the nearest frequency available.
 
-    Ties go to the lower frequency; missing orders, and keys without any frequency, have zero coefficients.
+    Ties go to the lower frequency; missing orders, and keys without any frequency, have zero coefficients. Null keys are a
+    key; rows with a null frequency are left out. A key with any number of frequencies is spread over range partitions.
     """
-    # Both sorted together within a key: the nearest one below and above, in time linear in their number.
-    found = available.select(*keys, "frequency").distinct().withColumn("__have", F.col("frequency"))
-    none = F.lit(None).cast(found.schema["frequency"].dataType)
-    both = found.unionByName(wanted.select(*keys, "frequency").distinct().withColumn("__have", none))
-    nearest = lambda order: F.last("__have", ignorenulls=True).over(
-        Window.partitionBy(*keys).orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
-    )
-    near = both.withColumns({"__lo": nearest(F.asc("frequency")), "__hi": nearest(F.desc("frequency"))}).filter("__have is null")
-    low = F.col("__lo").isNotNull() & (F.col("__hi").isNull() | (F.col("frequency") - F.col("__lo") <= F.col("__hi") - F.col("frequency")))
-    near = near.select(*keys, "frequency", F.when(low, F.col("__lo")).otherwise(F.col("__hi")).alias("__f"))
-    full = near.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(orders - 1))))
-    met = full.join(available.withColumnRenamed("frequency", "__f"), [*keys, "__f", "k"], "left")
+    near = nearest(wanted, available, keys, "frequency", "__f").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(orders - 1))))
+    have = available.filter("frequency is not null").select(*keys, F.col("frequency").alias("__f"), "k", "re", "im")
+    met = join_same(near, have, [*keys, "__f", "k"], "left")
     return met.select(*keys, "frequency", "k", F.coalesce("re", F.lit(0.0)).alias("re"), F.coalesce("im", F.lit(0.0)).alias("im"))
 
 
