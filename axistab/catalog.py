@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from axistab.functions import expr
 from axistab.functions.cplx import cadd, cdiv, cmul, conj, cplx, polar
 from axistab.model import AxisTable
-from axistab.operators import agg, asof, blocks, columns, index, joins
+from axistab.operators import agg, asof, blocks, columns, index, joins, sky
 from axistab.operators.rows import with_row_axis
 from axistab.plans import cf, gridding
 from axistab.plans.fft import fft
@@ -1015,6 +1015,91 @@ def e7_parallactic(spark, sf_dir):
     return df.select("event_id", F.round(angle, 6).alias("angle"))
 
 
+_ANTENNAS = """
+ant as (select s_suppkey as id, 6371000 * cos(b) * cos(l) as x, 6371000 * cos(b) * sin(l) as y, 6365000 * sin(b) as z, ['ALT-AZ', 'EQUATORIAL', 'alt-az+nasmyth-r', 'X-Y', 'alt-az+nasmyth-l'][s_nationkey % 5 + 1] as mount
+  from (select *, s_suppkey * 0.37::double % 6.28::double - 3 as l, s_suppkey * 0.11::double % 3 - 1.5 as b from supplier)),
+fld as (select n_nationkey as id, n_nationkey * 0.25::double as ra, n_nationkey * 0.1::double - 1.2 as dec from nation),
+rows_ as (select l_orderkey, l_linenumber, 4.9e9::double + l_orderkey // 32 * 600 as t, l_suppkey as a, l_linenumber % 2 as feed, l_partkey % 5 as dd, l_partkey % 25 as f from lineitem)"""
+
+
+def _antennas(spark, sf_dir):
+    lon, lat = F.col("s_suppkey") * 0.37 % 6.28 - 3, F.col("s_suppkey") * 0.11 % 3 - 1.5
+    names = F.array(*(F.lit(n) for n in ("ALT-AZ", "EQUATORIAL", "alt-az+nasmyth-r", "X-Y", "alt-az+nasmyth-l")))
+    return _t(spark, sf_dir, "supplier", ["s_suppkey", "s_nationkey"]).select(
+        F.col("s_suppkey").alias("row"), F.element_at(names, (F.col("s_nationkey") % 5 + 1).cast("int")).alias("mount"),
+        F.array(F.cos(lat) * F.cos(lon) * 6371000, F.cos(lat) * F.sin(lon) * 6371000, F.sin(lat) * 6365000).alias("position"),
+    )
+
+
+def _observed(spark, sf_dir):
+    return _t(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]).select(
+        "l_orderkey", "l_linenumber", (F.lit(4.9e9) + F.floor(F.col("l_orderkey") / 32) * 600).alias("time"), F.col("l_suppkey").alias("antenna1"),
+        (F.col("l_linenumber") % 2).alias("feed1"), (F.col("l_partkey") % 5).alias("data_desc_id"), (F.col("l_partkey") % 25).alias("field_id"),
+    )
+
+
+def _fields(spark, sf_dir):
+    key = F.col("n_nationkey")
+    return _t(spark, sf_dir, "nation", ["n_nationkey"]).select(key.alias("row"), (key * 0.25).alias("lon"), (key * 0.1 - 1.2).alias("lat"))
+
+
+_SKY = f"""
+{_ANTENNAS},
+el as (select 6378137.0::double as a, 6378137.0::double * (1 - 1 / 298.257223563::double) as b, 1 / 298.257223563::double * (2 - 1 / 298.257223563::double) as e2),
+geo0 as (select ant.*, el.*, sqrt(x * x + y * y) as p, atan2(z * el.a, sqrt(x * x + y * y) * el.b) as th from ant, el),
+geo as (select id, mount, atan2(y, x) as lon, atan2(z + e2 / (1 - e2) * b * sin(th) ** 3, p - e2 * a * cos(th) ** 3) as lat from geo0),
+k0 as (select distinct t, rows_.a, f from rows_),
+k1 as (select k0.*, geo.mount, geo.lon, geo.lat, fld.ra, fld.dec, t / 86400 - 51544.5 as d from k0 join geo on geo.id = k0.a join fld on fld.id = k0.f),
+k2 as (select *, d / 36525 as c from k1),
+k3 as (select *, (2306.2181 * c + 0.30188 * c * c + 0.017998 * c * c * c) * pi() / 648000 as ze, (2306.2181 * c + 1.09468 * c * c + 0.018203 * c * c * c) * pi() / 648000 as zz, (2004.3109 * c - 0.42665 * c * c - 0.041833 * c * c * c) * pi() / 648000 as te,
+  radians(280.46061837 + 360.98564736629 * d + 0.000387933 * c * c - c * c * c / 38710000) + (-0.000319 * sin(radians(125.04 - 0.052954 * d)) - 0.000024 * sin(2 * radians(280.47 + 0.98565 * d))) * cos(radians(23.4393 - 0.0000004 * d)) * pi() / 12 as gst from k2),
+k4 as (select *, cos(dec) * sin(ra + ze) as pa, cos(te) * cos(dec) * cos(ra + ze) - sin(te) * sin(dec) as pb, sin(te) * cos(dec) * cos(ra + ze) + cos(te) * sin(dec) as pc from k3),
+k5 as (select *, gst + lon - (atan2(pa, pb) + zz) as h, atan2(pc, sqrt(pa * pa + pb * pb)) as dd from k4),
+k6 as (select *, atan2(sin(h) * cos(lat), sin(lat) * cos(dd) - cos(lat) * sin(dd) * cos(h)) as q, asin(sin(lat) * sin(dd) + cos(lat) * cos(dd) * cos(h)) as e from k5),
+turn as (select t, a, f, case mount when 'ALT-AZ' then q when 'EQUATORIAL' then 0 when 'alt-az+nasmyth-r' then q + e when 'alt-az+nasmyth-l' then q - e end as turn from k6)"""
+
+
+@query(f"""
+with {_SKY}
+select l_orderkey, l_linenumber, r.a as antenna, r.f as field, round(cos(turn + r.a * 0.01::double + r.feed * 0.5::double + r.dd % 2 * 0.25::double), 5) + 0.0 as c, round(sin(turn + r.a * 0.01::double + r.feed * 0.5::double + r.dd % 2 * 0.25::double), 5) + 0.0 as s
+from rows_ r left join turn on turn.t = r.t and turn.a = r.a and turn.f = r.f""")
+def e7_parallactic_angles(spark, sf_dir):
+    """From times, earth-fixed positions and directions of J2000; receptors by antenna, feed and spectral window."""
+    window = _t(spark, sf_dir, "region", ["r_regionkey"]).select(F.col("r_regionkey").alias("row"), (F.col("r_regionkey") % 2).alias("spectral_window_id"))
+    both = F.explode(F.sequence(F.lit(0), F.lit(1)))
+    feed = _t(spark, sf_dir, "supplier", ["s_suppkey"]).withColumn("feed_id", both).withColumn("spectral_window_id", both).select(
+        F.col("s_suppkey").alias("antenna_id"), "feed_id", "spectral_window_id",
+        F.array(F.col("s_suppkey") * 0.01 + F.col("feed_id") * 0.5 + F.col("spectral_window_id") * 0.25, F.lit(9.0)).alias("receptor_angle"),
+    )
+    out = sky.parallactic_angles(_observed(spark, sf_dir), window, _antennas(spark, sf_dir), feed, _fields(spark, sf_dir))
+    return out.select(
+        "l_orderkey", "l_linenumber", F.col("antenna1").alias("antenna"), F.col("field_id").alias("field"), (F.round(F.cos("parang"), 5) + 0.0).alias("c"),
+        (F.round(F.sin("parang"), 5) + 0.0).alias("s"),
+    )
+
+
+@query(f"""
+with {_ANTENNAS},
+pair as (select l_orderkey, l_linenumber, b.x - a.x as x, b.y - a.y as y, b.z - a.z as z, l_orderkey * 0.01::double as h, l_linenumber * 0.1::double as d, (l_partkey % 10 - 5) * 0.002::double as dl, l_quantity as re, l_discount as im
+  from lineitem join ant a on a.id = l_suppkey join ant b on b.id = l_suppkey % 7 + 1),
+one as (select *, sin(h) * x + cos(h) * y as u, -sin(d) * cos(h) * x + sin(d) * sin(h) * y + cos(d) * z as v, cos(d) * cos(h) * x - cos(d) * sin(h) * y + sin(d) * z as w from pair),
+two as (select *, h + dl as h1, d + 0.01 as d1 from one),
+nw as (select *, sin(h1) * x + cos(h1) * y as nu, -sin(d1) * cos(h1) * x + sin(d1) * sin(h1) * y + cos(d1) * z as nv, cos(d1) * cos(h1) * x - cos(d1) * sin(h1) * y + sin(d1) * z as nww from two)
+select l_orderkey, l_linenumber, round(u, 1) + 0.0 as u, round(v, 1) + 0.0 as v, round(w, 1) + 0.0 as w, round(nu, 1) + 0.0 as nu, round(nv, 1) + 0.0 as nv, round(nww, 1) + 0.0 as nw,
+  round(re * cos(2 * pi() * (nww - w) / 1e6) + im * sin(2 * pi() * (nww - w) / 1e6), 5) + 0.0 as re, round(im * cos(2 * pi() * (nww - w) / 1e6) - re * sin(2 * pi() * (nww - w) / 1e6), 5) + 0.0 as im from nw""")
+def e13_uvw_rotation(spark, sf_dir):
+    """Baselines of pairs of antennas towards a direction, then rotated to another phase centre, with the phase turned."""
+    line = _t(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount"])
+    main = line.withColumns({"antenna1": F.col("l_suppkey"), "antenna2": F.col("l_suppkey") % 7 + 1})
+    h, d, step = F.col("l_orderkey") * 0.01, F.col("l_linenumber") * 0.1, (F.col("l_partkey") % 10 - 5) * 0.002
+    out = sky.baselines(main, _antennas(spark, sf_dir)).withColumn("one", sky.uvw(F.col("baseline"), h, d))
+    out = out.withColumn("two", sky.rotated_uvw(F.col("one"), -h, d, -h - step, d + 0.01))
+    turned = sky.phase_turned(cplx(F.col("l_quantity"), F.col("l_discount")), F.col("two.dw"), F.lit(1e6))
+    places = {"u": F.col("one")[0], "v": F.col("one")[1], "w": F.col("one")[2], "nu": F.col("two.uvw")[0], "nv": F.col("two.uvw")[1], "nw": F.col("two.uvw")[2]}
+    out = out.withColumn("t", turned).select("l_orderkey", "l_linenumber", *((F.round(c, 1) + 0.0).alias(n) for n, c in places.items()), "t.re", "t.im")
+    return out.select("l_orderkey", "l_linenumber", *places, *_near("re", "im", digits=5))
+
+
 @query("select event_id, round(1.5 + value * (user_id * 0.1 - 2) + 0.25 * (user_id * 0.1 - 2) ** 2, 6) as dir from events")
 def e6_direction(spark, sf_dir):
     dt = F.col("user_id") * 0.1

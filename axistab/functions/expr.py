@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def let(values: dict[str, Column], use: Callable[[Column], Column]) -> Column:
+    """``use`` of a struct of ``values`` that are computed once, so that long formulas do not repeat them."""
+    return F.transform(F.array(F.struct(*(c.alias(n) for n, c in values.items()))), use)[0]
+
+
 def pa_bins(step: float) -> int:
     """The number of bins of a circle in ``step`` degrees; the last one may be narrower."""
     if step == 0 or not -360 <= step <= 360:
@@ -83,6 +89,75 @@ def feed_angle(mount: Column, hour_angle: Column, latitude: Column, declination:
     return out
 
 
+#: Days of the epoch J2000 and of a century; radians of a degree, an hour of right ascension and a second of arc. Fixed values.
+J2000, CENTURY = 51544.5, 36525.0
+DEGREE, HOUR, ARCSEC = math.pi / 180, math.pi / 12, math.pi / 648000
+#: Half axis in metres and flattening of the earth's ellipsoid. Fixed values.
+EARTH_AXIS, EARTH_FLATTENING = 6378137.0, 1 / 298.257223563
+#: Mean sidereal time in degrees: constant, per day, per century squared, per century cubed. Fixed values.
+SIDEREAL = (280.46061837, 360.98564736629, 0.000387933, -1 / 38710000)
+#: Precession angles in seconds of arc per century, its square and its cube. Fixed values.
+PRECESSION = {"zeta": (2306.2181, 0.30188, 0.017998), "z": (2306.2181, 1.09468, 0.018203), "theta": (2004.3109, -0.42665, -0.041833)}
+
+
+def days_of(seconds: Column) -> Column:
+    """Days since J2000 of a time in seconds of the modified Julian date."""
+    return seconds / F.lit(86400.0) - F.lit(J2000)
+
+
+def sidereal_time(days: Column, longitude: Column) -> Column:
+    """Apparent sidereal time at a longitude (radians, east), in radians from 0 to 2 pi, at ``days`` of UT1 since J2000.
+
+    Mean sidereal time and the two largest terms of the equation of the equinoxes, good to about 0.1 seconds of time a century
+    either side of 2000.
+    """
+    t = days / CENTURY
+    mean = (F.lit(SIDEREAL[0]) + days * SIDEREAL[1] + t * t * SIDEREAL[2] + t * t * t * SIDEREAL[3]) * DEGREE
+    node, sun, tilt = (125.04 - days * 0.052954) * DEGREE, (280.47 + days * 0.98565) * DEGREE, (23.4393 - days * 0.0000004) * DEGREE
+    equinoxes = (F.sin(node) * -0.000319 - F.sin(sun * 2) * 0.000024) * F.cos(tilt) * HOUR
+    return F.pmod(mean + equinoxes + longitude, F.lit(2 * math.pi))
+
+
+def geodetic(position: Column) -> Column:
+    """``lon, lat`` in radians and ``height`` in metres of an earth-fixed position ``[x, y, z]`` in metres; null for an incomplete one."""
+    a, f = EARTH_AXIS, EARTH_FLATTENING
+    b, e2 = a * (1 - f), f * (2 - f)
+
+    def reduced(v: Column) -> Column:
+        theta = F.atan2(v["z"] * a, v["p"] * b)
+        sine, cosine = F.sin(theta), F.cos(theta)
+        lat = F.atan2(v["z"] + sine * sine * sine * (e2 / (1 - e2) * b), v["p"] - cosine * cosine * cosine * (e2 * a))
+        return let({"lon": v["lon"], "lat": lat, "p": v["p"], "z": v["z"]}, with_height)
+
+    def with_height(v: Column) -> Column:
+        sine = F.sin(v["lat"])
+        # The distance along the normal, from whichever component is not near 0.
+        height = v["p"] * F.cos(v["lat"]) + v["z"] * sine - F.sqrt(1 - sine * sine * e2) * a
+        return F.struct(v["lon"].alias("lon"), v["lat"].alias("lat"), height.alias("height"))
+
+    x, y, z = (F.try_element_at(position, F.lit(i)).cast("double") for i in (1, 2, 3))
+    known = x.isNotNull() & y.isNotNull() & z.isNotNull()
+    return F.when(known, let({"lon": F.atan2(y, x), "p": F.sqrt(x * x + y * y), "z": z}, reduced))
+
+
+def precessed(lon: Column, lat: Column, days: Column) -> Column:
+    """``lon, lat`` in radians of a mean direction of J2000 at ``days`` since; longitudes from 0 to 2 pi."""
+    t = days / CENTURY
+    angle = {n: (t * c1 + t * t * c2 + t * t * t * c3) * ARCSEC for n, (c1, c2, c3) in PRECESSION.items()}
+
+    def turned(v: Column) -> Column:
+        a = F.cos(v["lat"]) * F.sin(v["lon"] + v["zeta"])
+        b = F.cos(v["theta"]) * F.cos(v["lat"]) * F.cos(v["lon"] + v["zeta"]) - F.sin(v["theta"]) * F.sin(v["lat"])
+        c = F.sin(v["theta"]) * F.cos(v["lat"]) * F.cos(v["lon"] + v["zeta"]) + F.cos(v["theta"]) * F.sin(v["lat"])
+        return let({"a": a, "b": b, "c": c, "z": v["z"]}, direction)
+
+    def direction(v: Column) -> Column:
+        lon = F.pmod(F.atan2(v["a"], v["b"]) + v["z"], F.lit(2 * math.pi))
+        return F.struct(lon.alias("lon"), F.atan2(v["c"], F.sqrt(v["a"] * v["a"] + v["b"] * v["b"])).alias("lat"))
+
+    return let({"lon": lon, "lat": lat, **angle}, turned)
+
+
 #: TAI - UTC in seconds from the given UTC date on. Fixed values.
 LEAP_SECONDS = (
     ("1972-01-01", 10), ("1972-07-01", 11), ("1973-01-01", 12), ("1974-01-01", 13), ("1975-01-01", 14), ("1976-01-01", 15), ("1977-01-01", 16),

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from axistab.functions.expr import let
 from axistab.operators.joins import join_same
 from axistab.sources.scratch import stage
 
@@ -72,10 +73,6 @@ def on_sphere(lower: Column, upper: Column, share: Column, lon: str = "lon", lat
     """``lon, lat`` in radians between two directions along the great circle; longitudes from 0 to 2 pi, whatever side of the
     wrap the samples are on. Opposite directions have no such circle and give null."""
 
-    def once(values: dict[str, Column], use) -> Column:
-        """``use`` of a struct of values that are computed once."""
-        return F.transform(F.array(F.struct(*(c.alias(n) for n, c in values.items()))), use)[0]
-
     def vector(d: Column, name: str) -> dict[str, Column]:
         return {f"{name}x": F.cos(d[lat]) * F.cos(d[lon]), f"{name}y": F.cos(d[lat]) * F.sin(d[lon]), f"{name}z": F.sin(d[lat])}
 
@@ -83,17 +80,17 @@ def on_sphere(lower: Column, upper: Column, share: Column, lon: str = "lon", lat
         cross = [v["ay"] * v["bz"] - v["az"] * v["by"], v["az"] * v["bx"] - v["ax"] * v["bz"], v["ax"] * v["by"] - v["ay"] * v["bx"]]
         sine = F.sqrt(reduce(lambda x, y: x + y, (c * c for c in cross)))
         angle = F.atan2(sine, v["ax"] * v["bx"] + v["ay"] * v["by"] + v["az"] * v["bz"])
-        return once({"v": v, "angle": angle}, between)
+        return let({"v": v, "angle": angle}, between)
 
     def between(w: Column) -> Column:
         v, near, sine = w["v"], w["angle"] < 1e-9, F.sin(w["angle"])
         left = F.when(near, 1 - v["f"]).otherwise(F.sin((1 - v["f"]) * w["angle"]) / sine)
         right = F.when(near, v["f"]).otherwise(F.sin(v["f"] * w["angle"]) / sine)
         point = {c: left * v[f"a{c}"] + right * v[f"b{c}"] for c in "xyz"}
-        return F.when(w["angle"] < math.pi - 1e-9, once(point, direction))
+        return F.when(w["angle"] < math.pi - 1e-9, let(point, direction))
 
     def direction(p: Column) -> Column:
         flat = F.sqrt(p["x"] * p["x"] + p["y"] * p["y"])
         return F.struct(F.pmod(F.atan2(p["y"], p["x"]), F.lit(2 * math.pi)).alias(lon), F.atan2(p["z"], flat).alias(lat))
 
-    return once(vector(lower, "a") | vector(upper, "b") | {"f": share}, weighed)
+    return let(vector(lower, "a") | vector(upper, "b") | {"f": share}, weighed)

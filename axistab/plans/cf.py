@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from axistab.functions.cplx import cmul, conj, cplx
 from axistab.operators.asof import nearest
+from axistab.operators.blocks import floor_div
 from axistab.operators.joins import join_same, sized
 from axistab.plans.fft import fft, rotation
+from axistab.sources.scratch import stage
 
 
 def cf_axes(axes: list[DataFrame], n: int) -> DataFrame:
@@ -193,16 +199,44 @@ def nearest_frequency_coeffs(wanted: DataFrame, available: DataFrame, keys: list
     return met.select(*keys, "frequency", "k", F.coalesce("re", F.lit(0.0)).alias("re"), F.coalesce("im", F.lit(0.0)).alias("im"))
 
 
+#: Pixels of a tile along each axis.
+PIXELS = 64
+
+
 def aperture(pixels: DataFrame, poly: DataFrame, keys: list[str]) -> DataFrame:
-    """Sum of polynomial terms at the pixels' ``cx, cy``, 0 outside the unit disk: adds ``value``."""
-    met = pixels.join(poly, keys)
-    power = lambda base, e: F.when(e == 0, 1.0).otherwise(F.pow(base, e))
-    term = power(F.col("cx"), F.col("px")) * power(F.col("cy"), F.col("py")) * (
-        F.col("cx") * F.col("cx") + F.col("cy") * F.col("cy") <= 1
-    ).cast("double")
+    """Sum of polynomial terms at the pixels' ``cx, cy``, 0 outside the unit disk: adds ``value``.
+
+    Pixels are packed into tiles, once, and a tile meets the coefficients ``px, py, re, im`` of its ``keys`` as one row: powers of
+    x times coefficients times powers of y. Nothing grows with pixels times terms. Null keys are a key; pixels of keys without
+    coefficients do not come out.
+    """
+    cell = ["x", "y", "cx", "cy"]
+    axes = [c for c in pixels.columns if c not in (*cell, "value", "weight")]
+    places = [floor_div(F.col(c), PIXELS).alias(f"__{c}") for c in ("x", "y")]
+    tiles = pixels.groupBy(*axes, *places).agg(F.collect_list(F.struct(*(F.col(c).cast("double").alias(c) if c[0] == "c" else F.col(c) for c in cell))).alias("__c"))
+    terms = F.struct(F.col("px").cast("int").alias("px"), F.col("py").cast("int").alias("py"), F.col("re").cast("double").alias("re"), F.col("im").cast("double").alias("im"))
+    packed = stage(poly.groupBy(*keys).agg(F.collect_list(terms).alias("__t")), "polynomials")
+    met = join_same(tiles, packed, keys, "inner").select(*axes, "__c", "__t")
+    kinds = {f.name: f.dataType for f in met.schema}
+    cells = kinds["__c"].elementType
+    schema = T.StructType([*(T.StructField(a, kinds[a]) for a in axes), *cells.fields, T.StructField("re", T.DoubleType()), T.StructField("im", T.DoubleType())])
+
+    def evaluate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                some, term = batch.column("__c")[i].values, batch.column("__t")[i].values
+                x, y = (some.field(c).to_numpy(zero_copy_only=False) for c in ("cx", "cy"))
+                px, py, re, im = (term.field(c).to_numpy(zero_copy_only=False) for c in ("px", "py", "re", "im"))
+                table = np.zeros((px.max(initial=0) + 1, py.max(initial=0) + 1), complex)
+                np.add.at(table, (px, py), re + 1j * im)
+                value = ((np.vander(x, table.shape[0], increasing=True) @ table) * np.vander(y, table.shape[1], increasing=True)).sum(axis=1)
+                value = np.where(x * x + y * y <= 1, value, 0)
+                same = pa.array(np.full(len(x), i))
+                cols = [*(batch.column(a).take(same) for a in axes), *(some.field(c) for c in cell), pa.array(value.real), pa.array(value.imag)]
+                yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+
     by = [c for c in pixels.columns if c not in ("value", "weight")]
-    sums = met.groupBy(*by).agg(F.sum(F.col("re") * term).alias("re"), F.sum(F.col("im") * term).alias("im"))
-    return sums.select(*by, cplx(F.col("re"), F.col("im")).alias("value"))
+    return met.mapInArrow(evaluate, schema).select(*by, cplx(F.col("re"), F.col("im")).alias("value"))
 
 
 def beam(apertures: DataFrame, axes: list[str], n: int) -> DataFrame:
