@@ -8,12 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from axistab.functions import expr
+from axistab.functions import expr, measures
 from axistab.functions.cplx import cadd, cdiv, cmul, conj, cplx, polar
 from axistab.model import AxisTable
-from axistab.operators import agg, asof, blocks, columns, index, joins, sky
+from axistab.operators import agg, asof, blocks, columns, domains, index, joins, sky
 from axistab.operators.rows import with_row_axis
-from axistab.plans import cf, gridding
+from axistab.plans import cf, gridding, wplanes
 from axistab.plans.fft import fft
 from axistab.schemas import SCHEMAS
 from axistab.sources import tables
@@ -297,6 +297,61 @@ def u3_diff(spark, sf_dir):
     return index.domain_diff(_t(spark, sf_dir, "customer", ["c_custkey"]).toDF("k"), _t(spark, sf_dir, "orders", ["o_custkey"]).toDF("k"))
 
 
+def _runs_sql(cells: str, prefix: str, last: str, out: str) -> str:
+    """Gaps and islands of distinct cells."""
+    return f"""{out} as (select {prefix}, min({last}) as lo, max({last}) as hi from (select *, {last} - row_number() over (partition by {prefix} order by {last}) as isle from (select distinct {prefix}, {last} from {cells})) group by {prefix}, isle)"""
+
+
+_DOMAINS = """
+one as (select l_suppkey % 20 as key, l_partkey as at_ from lineitem where l_orderkey % 3 <> 0),
+two as (select l_suppkey % 20 as key, l_partkey as at_ from lineitem where l_quantity > 20)"""
+
+
+def _domains(spark, sf_dir):
+    line = _t(spark, sf_dir, "lineitem", ["l_suppkey", "l_partkey", "l_orderkey", "l_quantity"])
+    cell = lambda df: domains.runs_of(df.select((F.col("l_suppkey") % 20).alias("key"), F.col("l_partkey").alias("at_")), ["key", "at_"])
+    return stage(cell(line.filter("l_orderkey % 3 <> 0")), "one"), stage(cell(line.filter("l_quantity > 20")), "two")
+
+
+@query(f"with {_DOMAINS}, both_ as (select * from one union select * from two), {_runs_sql('both_', 'key', 'at_', 'r')} select key, lo, hi from r")
+def u1_union_runs(spark, sf_dir):
+    return domains.union_runs(*_domains(spark, sf_dir), ["key"])
+
+
+@query(f"with {_DOMAINS}, both_ as (select * from one intersect select * from two), {_runs_sql('both_', 'key', 'at_', 'r')} select key, lo, hi from r")
+def u2_intersect_runs(spark, sf_dir):
+    return domains.intersect_runs(*_domains(spark, sf_dir), ["key"])
+
+
+@query(f"with {_DOMAINS}, left_ as (select * from one except select * from two), {_runs_sql('left_', 'key', 'at_', 'r')} select key, lo, hi from r")
+def u3_subtract_runs(spark, sf_dir):
+    return domains.subtract_runs(*_domains(spark, sf_dir), ["key"])
+
+
+@query(f"with left_ as (select 0 as key, l_orderkey as at_ from lineitem except select 0, o_orderkey from orders where o_custkey % 5 = 0), {_runs_sql('left_', 'key', 'at_', 'r')} select lo, hi from r")
+def u3_subtract_line(spark, sf_dir):
+    """Domains over one axis: all runs are of the one, empty prefix."""
+    one = domains.runs_of(_t(spark, sf_dir, "lineitem", ["l_orderkey"]), ["l_orderkey"])
+    two = domains.runs_of(_t(spark, sf_dir, "orders", ["o_orderkey", "o_custkey"]).filter("o_custkey % 5 = 0"), ["o_orderkey"])
+    return domains.subtract_runs(one, two, [])
+
+
+@query("select o_orderkey as k from orders where o_totalprice > 50000 except select l_orderkey from lineitem where l_quantity > 30")
+def u3_diff_orders(spark, sf_dir):
+    orders = _t(spark, sf_dir, "orders", ["o_orderkey", "o_totalprice"]).filter("o_totalprice > 50000").select(F.col("o_orderkey").alias("k"))
+    return index.domain_diff(orders, _t(spark, sf_dir, "lineitem", ["l_orderkey", "l_quantity"]).filter("l_quantity > 30").select(F.col("l_orderkey").alias("k")))
+
+
+@query("""
+with e as (select vec_id, vec_id % 2 + 2 as n from embeddings where vec_id % 11 <> 0)
+select min(vec_id) as vec_id_lo, max(vec_id) as vec_id_hi, 0::bigint as lo, max(n) - 1 as hi, sum(n)::bigint as cells, count(*) as runs, 2 as rank, false as dense from e""")
+def p7_ragged(spark, sf_dir):
+    """Arrays of two and three elements in turn, and rows without any."""
+    length = F.when(F.col("vec_id") % 11 != 0, F.col("vec_id") % 2 + 2).otherwise(0).cast("int")
+    rows = _t(spark, sf_dir, "embeddings", ["vec_id", "embedding"]).withColumn("w", F.slice("embedding", F.lit(1), length))
+    return domains.runs_envelope(domains.element_runs(rows, ["vec_id"], "w"), ["vec_id"])
+
+
 # Joins
 
 
@@ -329,6 +384,52 @@ def j4_refcode(spark, sf_dir):
     return joins.refcode_lookup(orders, "o_orderpriority", codes, "name").select("o_orderkey", "o_orderpriority", "code")
 
 
+_TO_TAI = "l(since, n) as (values {}), o as (select event_id, 4.0e9::double + value * 1e7 as t, [6, 7, 8, 10, 4, 99][event_id % 6 + 1] as code, case when event_id % 4 = 0 then user_id * 100.0::double end as offs from events)"
+_MJD_LEAPS = ", ".join(f"({s}::double, {n})" for s, n in measures._leap_table())
+
+
+@query(f"""
+with {_TO_TAI.format(_MJD_LEAPS)}, p as (select event_id, code, t + coalesce(offs, 0) as t from o),
+u as (select *, case code when 4 then t - 0.25 else t end as utc, radians(357.53 + 0.9856003 * (t / 86400 - 51544.5)) as g from p),
+a as (select u.*, case code when 7 then t when 8 then t - 32.184 when 10 then t - (0.001658 * sin(g) + 0.000014 * sin(2 * g)) - 32.184 when 99 then null else utc + l.n end as tai from u asof left join l on u.utc >= l.since)
+select event_id, round(tai, 3) as tai from a""")
+def j4_epochs(spark, sf_dir):
+    """Times of mixed scales, some counted from an offset of their own, all brought to TAI."""
+    codes = F.element_at(F.array(*(F.lit(c) for c in (6, 7, 8, 10, 4, 99))), (F.col("event_id") % 6 + 1).cast("int"))
+    df = _t(spark, sf_dir, "events", ["event_id", "value", "user_id"]).select(
+        "event_id", (F.col("value") * 1e7 + 4.0e9).alias("t"), codes.alias("code"), F.when(F.col("event_id") % 4 == 0, F.col("user_id") * 100.0).alias("offs"),
+    )
+    out = measures.converted_epochs(df, "t", "code", "TAI", offset_col="offs", dut1=0.25)
+    return out.select("event_id", F.round("epoch", 3).alias("tai"))
+
+
+def _matrix_sql(frame: str) -> str:
+    return ", ".join(f"{a!r}::double * x + {b!r}::double * y + {c!r}::double * z as g{i}" for i, (a, b, c) in enumerate(measures._product(measures.GALACTIC, tuple(zip(*measures.FRAMES[frame], strict=True)))))
+
+
+@query(f"""
+with d as (select event_id, ['J2000', 'GALACTIC', 'ECLIPTIC', 'SUPERGAL', 'AZEL'][event_id % 5 + 1] as frame, value * 0.3::double as lon, (user_id % 250) * 0.01::double - 1.2 as lat from events),
+v as (select *, cos(lat) * cos(lon) as x, cos(lat) * sin(lon) as y, sin(lat) as z from d),
+g as ({' union all '.join(f"select event_id, {_matrix_sql(f)} from v where frame = '{f}'" for f in measures.FRAMES)} union all select event_id, null, null, null from v where frame = 'AZEL')
+select event_id, round(g0 / sqrt(g0 * g0 + g1 * g1), 5) + 0.0 as lon_cos, round(g1 / sqrt(g0 * g0 + g1 * g1), 5) + 0.0 as lon_sin, round(atan2(g2, sqrt(g0 * g0 + g1 * g1)), 6) + 0.0 as lat from g""")
+def j4_directions(spark, sf_dir):
+    """Directions in the frames that string codes name, all in galactic coordinates; none for frames that a row cannot convert alone."""
+    events = _t(spark, sf_dir, "events", ["event_id", "value", "user_id"])
+    names = F.array(*(F.lit(n) for n in ("J2000", "GALACTIC", "ECLIPTIC", "SUPERGAL", "AZEL")))
+    df = events.select("event_id", (F.col("value") * 0.3).alias("lon"), (F.col("user_id") % 250 * 0.01 - 1.2).alias("lat"), F.element_at(names, (F.col("event_id") % 5 + 1).cast("int")).alias("code"))
+    table = df.select("code", F.col("code").alias("name")).distinct()
+    out = measures.converted_directions(df, "lon", "lat", "code", "GALACTIC", stage(table, "codes")).withColumn("l", F.col("direction.lon"))
+    return out.select("event_id", *((F.round(c, d) + 0.0).alias(n) for n, c, d in (("lon_cos", F.cos("l"), 5), ("lon_sin", F.sin("l"), 5), ("lat", F.col("direction.lat"), 6))))
+
+
+@query("""
+with w as (select l_linenumber as chan, abs(l_extendedprice * 0.1 - 2000) as w from lineitem)
+select chan, count(*) as n, max(w) as top, (ceil(max(w) / (0.2 / (2 * pi() * (0.0004 / (1 + sqrt(1 - 0.0004))))) - 0.5) + 1)::bigint as planes from w group by chan""")
+def c1_w_planes(spark, sf_dir):
+    w = _t(spark, sf_dir, "lineitem", ["l_linenumber", "l_extendedprice"]).select(F.col("l_linenumber").alias("chan"), (F.col("l_extendedprice") * 0.1 - 2000).alias("w"))
+    return wplanes.w_planes(w, ["chan"], 0.02, 0.1)
+
+
 @query("select c_custkey, c_name, c_acctbal from customer")
 def j5_align(spark, sf_dir):
     return joins.align_rows(
