@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from axistab.functions import expr, measures
 from axistab.functions.cplx import cadd, cdiv, cmul, conj, cplx, polar
-from axistab.model import AxisTable
+from axistab.model import AxisSet, AxisTable
 from axistab.operators import agg, asof, blocks, columns, domains, index, joins, sky
 from axistab.operators.rows import with_row_axis
 from axistab.plans import cf, gridding, wplanes
@@ -121,6 +122,17 @@ def p2_add(spark, sf_dir):
     return df.select("l_orderkey", "l_linenumber", "revenue")
 
 
+@query("""
+select row_number() over (order by o_orderkey) - 1 as row, o_orderkey, o_totalprice, round(o_totalprice * 0.1, 4) as tax, [o_totalprice, o_custkey::double] as pair from orders""")
+def p2_add_from(spark, sf_dir):
+    """Columns of two tables over the same rows, one of them with an axis of elements, that conform to a table."""
+    rows = index.from_rows(_t(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_totalprice"]), ["o_orderkey"], "orders")
+    one = rows.df.select("row", F.round(F.col("o_totalprice") * 0.1, 4).alias("tax"))
+    two = rows.df.select("row", F.array("o_totalprice", F.col("o_custkey").cast("double")).alias("pair"))
+    kept = AxisTable(rows.df.drop("o_custkey"), rows.index_axes, rows.dims, rows.uid)
+    return columns.add_columns_from(kept, (rows.axes, one), (AxisSet("orders", ("row", "element")), two)).df
+
+
 @query("select o_orderkey, o_custkey, row_number() over (order by o_orderkey) - 1 as row from orders")
 def p3_remove(spark, sf_dir):
     return columns.remove_columns(_orders(spark, sf_dir), ["o_totalprice", "o_orderdate"]).df
@@ -132,6 +144,30 @@ def p4_conformant(spark, sf_dir):
     return columns.is_conformant(one, _t(spark, sf_dir, "lineitem", ["l_orderkey"]).withColumnRenamed("l_orderkey", "k"), ["k"])
 
 
+_DAYS = "select o_custkey, o_orderkey % 16 as d from orders"
+
+
+@query(f"""
+with c as (select distinct o_custkey, d from ({_DAYS})), e as (select count(*) as n from ((select * from c except select o_custkey, o_orderkey % 16 from orders where o_totalprice > 2000) union all (select o_custkey, o_orderkey % 16 from orders where o_totalprice > 2000 except select * from c)))
+select 'same axes, all cells' as test, true as conformant union all select 'same axes, other cells', n = 0 from e union all select 'another uid', false union all select 'axes in another order', false
+union all select 'more axes', true union all select 'an index axis', true union all select 'no index axis', false""")
+def p4_conformant_axes(spark, sf_dir):
+    """Uid, leading axes, index columns and domains, a row for each rule."""
+    orders = _t(spark, sf_dir, "orders", ["o_custkey", "o_orderkey", "o_totalprice"])
+    cells = lambda df: df.select("o_custkey", (F.col("o_orderkey") % 16).alias("d"))
+    one, some, by = cells(orders), cells(orders.filter("o_totalprice > 2000")), ["o_custkey", "d"]
+    own, wide = AxisSet("orders", tuple(by)), AxisSet("orders", (*by, "channel"))
+    tests = {
+        "same axes, all cells": columns.is_conformant(one, one, by, (own, own)), "same axes, other cells": columns.is_conformant(one, some, by, (own, own)),
+        "another uid": columns.is_conformant(one, one, by, (own, AxisSet("parts", tuple(by)))),
+        "axes in another order": columns.is_conformant(one, one, by, (own, AxisSet("orders", ("d", "o_custkey")))),
+        "more axes": columns.is_conformant(one, one, by, (own, wide)), "an index axis": columns.is_conformant(one, some, by, (own, AxisSet("orders", ("d",))), True),
+        "no index axis": columns.is_conformant(one, one, by, (own, AxisSet("orders", ("channel",))), True),
+    }
+    rows = [df.select(F.lit(name).alias("test"), "conformant") for name, df in tests.items()]
+    return reduce(lambda a, b: a.unionByName(b), rows)
+
+
 @query("""
 select 'vec_id' as name, true as present, 'bigint' as expected_type, 'bigint' as found_type, null::varchar as unit, count(vec_id) as cells, 1::bigint as shapes from embeddings
 union all select 'embedding', true, 'array<float>', 'array<float>', 'Jy', count(embedding), count(distinct len(embedding)) from embeddings
@@ -1069,6 +1105,17 @@ def g3_grid_and_back(spark, sf_dir):
     return out.select("event_id", (F.round("value.re", 4) + 0.0).alias("re"), (F.round("value.im", 4) + 0.0).alias("im"))
 
 
+@query(f"""
+with {_W} select key, list(x * 10 + y order by x, y) as places, round(sum((x * 5 + y + 1) * re), 5) + 0.0 as re, round(sum((x * 5 + y + 1) * im), 5) + 0.0 as im from wt group by key""")
+def s5_plane_order(spark, sf_dir):
+    """Cells of a plane in order, and sums that weigh each by its place in the list."""
+    flat = _w(spark, sf_dir).select("key", "x", "y", F.col("value.re").alias("re"), F.col("value.im").alias("im"))
+    weigh = lambda part: F.aggregate(F.transform("cells", lambda c, i: c[part] * (i + 1)), F.lit(0.0), lambda a, v: a + v)
+    return tables.cf_planes(flat, ["key"]).select(
+        "key", F.transform("cells", lambda c: c["x"] * 10 + c["y"]).alias("places"), (F.round(weigh("re"), 5) + 0.0).alias("re"), (F.round(weigh("im"), 5) + 0.0).alias("im"),
+    )
+
+
 # Scalar expressions
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from axistab.model import AxisSet, AxisTable
-from axistab.operators.joins import align_rows, same_domain
+from axistab.operators.joins import same_domain, side_by_side
 
 
 def select_columns(df: DataFrame, names: list[str]) -> DataFrame:
@@ -42,7 +42,7 @@ def add_columns_from(table: AxisTable, *others: tuple[AxisSet, DataFrame]) -> Ax
             raise ValueError(f"the domain over {axes} is another one")
     out = table.df
     for _, df in others:
-        out = align_rows(out, df, table.coords)
+        out = side_by_side(out, df, table.coords)
     return AxisTable(out, table.index_axes, table.dims, table.uid)
 
 
@@ -84,16 +84,33 @@ def shape_of(col: Column, kind: T.DataType) -> Column:
 
 def profile_columns(df: DataFrame, schema: dict[str, tuple[str, str | None]]) -> DataFrame:
     """One row for each column of a declared schema ``{name: (type, unit)}``: presence, types, cells with content,
-    shapes (distinct sizes at every rank)."""
+    shapes (distinct sizes at every rank; 1 for a column that is no array).
+
+    One pass: plain columns are counted as they are, those of arrays as pairs of column and shape, which are summed in each task.
+    """
     present = {f.name: f.dataType for f in df.schema}
-    shape = lambda n: F.count_distinct(shape_of(F.col(n), present[n])) if isinstance(present[n], T.ArrayType) else F.lit(1)
-    stats = [x for n in schema if n in present for x in (F.count(n).alias(f"n_{n}"), shape(n).cast("long").alias(f"s_{n}"))]
-    one = df.agg(*stats) if stats else df.sparkSession.range(1)
+    arrays = [n for n in schema if isinstance(present.get(n), T.ArrayType)]
+    plain = [n for n in schema if n in present and n not in arrays]
+    shapes = [F.struct(F.lit(n).alias("name"), shape_of(F.col(f"`{n}`"), present[n]).alias("shape"), F.lit(1).alias("n")) for n in arrays]
+    counted = F.struct(F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("shape"), F.lit(1).alias("n"))
+    own = [F.col(f"`{n}`").isNotNull().cast("long").alias(f"p{i}") for i, n in enumerate(plain)]
+    each = df.select(F.explode(F.array(counted, *shapes)).alias("r"), *own).select("r.*", *(F.when(F.col("r.name").isNull(), F.col(f"p{i}")).alias(f"p{i}") for i in range(len(plain))))
+    sums = each.groupBy("name", "shape").agg(F.sum("n").alias("n"), *(F.sum(f"p{i}").alias(f"p{i}") for i in range(len(plain))))
+    of = lambda n: F.col("name") == n
+    stats = [
+        x for n in arrays
+        for x in (F.sum(F.when(of(n) & F.col("shape").isNotNull(), F.col("n"))).alias(f"n_{n}"), F.count(F.when(of(n) & F.col("shape").isNotNull(), 1)).alias(f"s_{n}"))
+    ]
+    stats += [x for i, n in enumerate(plain) for x in (F.sum(f"p{i}").alias(f"n_{n}"), F.lit(1).alias(f"s_{n}"))]
+    one = sums.agg(*stats) if stats else df.sparkSession.range(1)
+    known = lambda kind, n: (F.coalesce(F.col(f"`{kind}_{n}`"), F.lit(0)) if n in present else F.lit(0)).cast("long")
     rows = [
-        F.struct(F.lit(n).alias("name"), F.lit(n in present).alias("present"), F.lit(kind).alias("expected_type"), F.lit(present[n].simpleString() if n in present else None).cast("string").alias("found_type"), F.lit(unit).cast("string").alias("unit"),
-                 (F.col(f"n_{n}") if n in present else F.lit(0)).cast("long").alias("cells"), (F.col(f"s_{n}") if n in present else F.lit(0)).cast("long").alias("shapes"))
-        for n, (kind, unit) in schema.items()
-    ]
+        F.struct(
+            F.lit(n).alias("name"), F.lit(n in present).alias("present"), F.lit(kind).alias("expected_type"),
+            F.lit(present[n].simpleString() if n in present else None).cast("string").alias("found_type"), F.lit(unit).cast("string").alias("unit"),
+            known("n", n).alias("cells"), known("s", n).alias("shapes"),
+        ) for n, (kind, unit) in schema.items()
+    ]
     return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 

@@ -29,9 +29,15 @@ def create_index(df: DataFrame, col: str, row: str = ROW) -> DataFrame:
     return df.select(F.col(col).alias("value"), F.col(row).alias("row")).join(dim, "value").select("coord", "value", "row")
 
 
-def row_lists(index: DataFrame) -> DataFrame:
-    """``coord, value, rows``: the ascending list of the rows of each value, for values known to have few; ``row_chunks`` otherwise."""
-    return index.groupBy("coord", "value").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+def row_lists(index: DataFrame, most: int = 65_536) -> DataFrame:
+    """``coord, value, rows``: the ascending list of the rows of each value; ``row_chunks`` where values may have any number.
+
+    A value with more than ``most`` rows is refused when the job runs; rows are counted before any list is made.
+    """
+    counts = index.groupBy("coord").agg(F.count(F.lit(1)).alias("__n"))
+    few = counts.select("coord", F.when(F.col("__n") <= most, F.lit(True)).otherwise(F.raise_error(F.lit(f"a value with over {most} rows"))).alias("__few"))
+    kept = index.join(sized(few), "coord").filter("__few")
+    return kept.groupBy("coord", "value").agg(F.array_sort(F.collect_list("row")).alias("rows"))
 
 
 def row_chunks(index: DataFrame, size: int = 65_536) -> DataFrame:

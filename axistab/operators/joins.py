@@ -27,7 +27,8 @@ def _row_bytes(df: DataFrame) -> Column:
 
 def fits(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
     """Whether ``df`` has at most ``rows`` rows and about ``size`` bytes; reads no more than ``rows`` + 1 of it."""
-    found = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(_row_bytes(df)).alias("b")).first()
+    sizes = df.select(_row_bytes(df).alias("b")).limit(rows + 1)  # only sizes pass to the one task of the limit
+    found = sizes.agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("b")).first()
     return found["n"] <= rows and (found["b"] or 0) <= size
 
 
@@ -87,6 +88,11 @@ def align_rows(a: DataFrame, b: DataFrame, coords: list[str], axes: tuple[AxisSe
         raise ValueError(f"axes of {axes[0].uid!r} and {axes[1].uid!r} never conform")
     if not same_domain(a, b, coords):
         raise ValueError("the tables have different row domains, or a coordinate twice")
+    return side_by_side(a, b, coords)
+
+
+def side_by_side(a: DataFrame, b: DataFrame, coords: list[str]) -> DataFrame:
+    """As ``align_rows``, of tables whose domains are known to agree."""
     other = b.toDF(*(f"__b_{c}" if c in coords else c for c in b.columns))
     met = a.join(other, reduce(lambda p, q: p & q, (F.col(c).eqNullSafe(F.col(f"__b_{c}")) for c in coords)))
     return met.drop(*(f"__b_{c}" for c in coords))
