@@ -18,11 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from axistab.functions.expr import let
 from axistab.llm.common import join_sized, row_key, stage
 from axistab.operators.rows import with_row_axis
 
 #: Children of a node, and levels that one builder completes.
 FAN, LEVELS = 8, 4
+#: Segments whose proofs one task extracts.
+TASK = 4
 
 
 def height(leaves: int) -> int:
@@ -230,6 +233,7 @@ def proofs(log: Log, carried: list[str]) -> DataFrame:
     above = met.groupBy("_tree", "_block").agg(F.unhex(F.array_join(packed, "")).alias("_above"))
     both = log.segments.join(above.hint("merge"), ["_tree", "_block"], "left").select("_tree", "_block", "_size", "start", "nodes", "_above", *carried)
     kinds = [both.schema[c].dataType.elementType for c in carried]
+    both = both.repartition(max(1, -(-log.segments.count() // TASK)), "_tree", "_block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,16 +262,16 @@ def proofs(log: Log, carried: list[str]) -> DataFrame:
 
 def folded(leaf: Column, path: Column, before: Column, after: Column) -> Column:
     """The root that a leaf's hex digest and its siblings give."""
-    text, width = F.lower(F.hex(path)), 64
-    runs = F.arrays_zip(before.alias("b"), after.alias("a"))
-    start = F.struct(leaf.alias("h"), F.lit(1).alias("at"))
 
-    def up(held: Column, run: Column) -> Column:
-        left, right = run["b"] * width, run["a"] * width
-        parts = F.concat(F.substring(text, held["at"], left), held["h"], F.substring(text, held["at"] + left, right))
-        return F.struct(F.sha2(parts, 256).alias("h"), (held["at"] + left + right).alias("at"))
+    def climbed(v: Column) -> Column:
+        def up(held: Column, run: Column) -> Column:
+            left, right = run["b"] * 64, run["a"] * 64
+            parts = F.concat(F.substring(v["text"], held["at"], left), held["h"], F.substring(v["text"], held["at"] + left, right))
+            return F.struct(F.sha2(parts, 256).alias("h"), (held["at"] + left + right).alias("at"))
 
-    return F.aggregate(runs, start, up, lambda held: held["h"])
+        return F.aggregate(v["runs"], F.struct(v["leaf"].alias("h"), F.lit(1).alias("at")), up, lambda held: held["h"])
+
+    return let({"text": F.lower(F.hex(path)), "leaf": leaf, "runs": F.arrays_zip(before.alias("b"), after.alias("a"))}, climbed)
 
 
 @dataclass(frozen=True)
