@@ -1116,6 +1116,14 @@ def s5_plane_order(spark, sf_dir):
     )
 
 
+@query(f"with {_W} select key, x // 2 as strip, count(*) as cells, list(x * 10 + y order by x, y) as places from wt group by key, x // 2")
+def s5_plane_strips(spark, sf_dir):
+    flat = _w(spark, sf_dir).select("key", "x", "y", F.col("value.re").alias("re"), F.col("value.im").alias("im"))
+    return tables.cf_planes(flat, ["key"], 2).select(
+        "key", "strip", F.size("cells").cast("bigint").alias("cells"), F.transform("cells", lambda c: c["x"] * 10 + c["y"]).alias("places"),
+    )
+
+
 # Scalar expressions
 
 

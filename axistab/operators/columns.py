@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from axistab.model import AxisSet, AxisTable
-from axistab.operators.joins import same_domain, side_by_side
+from axistab.operators.joins import aligned
 
 
 def select_columns(df: DataFrame, names: list[str]) -> DataFrame:
@@ -26,7 +26,7 @@ def add_columns_from(table: AxisTable, *others: tuple[AxisSet, DataFrame]) -> Ax
 
     Each must conform: the same uid, the table's index axes leading its axes, and the same domain over them. Refused are
     also two tables over one list of axes and names that exist. A table with further axes keeps them as coordinate columns,
-    so its values are gathered into arrays in their order first (``collapse_elements``).
+    so its values are gathered into arrays in their order first (``collapse_elements``). All tables are shuffled once, together.
     """
     if len({axes.names for axes, _ in others}) < len(others):
         raise ValueError("two tables over the same axes")
@@ -38,11 +38,7 @@ def add_columns_from(table: AxisTable, *others: tuple[AxisSet, DataFrame]) -> Ax
             raise ValueError(f"axes {axes} do not conform to {table.axes}")
         if missing := [c for c in table.coords if c not in df.columns]:
             raise ValueError(f"no coordinates: {missing}")
-        if not same_domain(table.df.select(*table.coords), df.select(*table.coords), table.coords):
-            raise ValueError(f"the domain over {axes} is another one")
-    out = table.df
-    for _, df in others:
-        out = side_by_side(out, df, table.coords)
+    out = aligned([table.df, *(df for _, df in others)], table.coords)
     return AxisTable(out, table.index_axes, table.dims, table.uid)
 
 

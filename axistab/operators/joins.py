@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from axistab.model import AxisSet
+from axistab.sources.scratch import free, stage
 
 BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
 
@@ -78,21 +79,34 @@ def same_domain(a: DataFrame, b: DataFrame, coords: list[str]) -> bool:
     return not cells.filter("__a <> 1 or __b <> 1").take(1)
 
 
+def aligned(tables: list[DataFrame], coords: list[str]) -> DataFrame:
+    """Columns of tables over the same coordinates side by side, in one shuffle of them all, staged.
+
+    Refuses domains that differ and coordinates that repeat. Null coordinates are cells as well.
+    """
+    parts = []
+    for i, df in enumerate(tables):
+        packed = F.struct(F.lit(True).alias("__is"), *(F.col(f"`{c}`") for c in df.columns if c not in coords))
+        parts.append(df.select(*coords, packed.alias(f"__{i}")))
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    names = [f"__{i}" for i in range(len(tables))]
+    cells = both.groupBy(*coords).agg(
+        *(x for n in names for x in (F.count(n).alias(f"{n}n"), F.any_value(n, True).alias(n))),
+    )
+    cells = stage(cells, "aligned")
+    if cells.filter(reduce(lambda a, b: a | b, (F.col(f"{n}n") != 1 for n in names))).take(1):
+        free(cells)
+        raise ValueError("the tables have different row domains, or a coordinate twice")
+    rest = [F.col(n)[c].alias(c) for n, df in zip(names, tables, strict=True) for c in df.columns if c not in coords]
+    return cells.select(*coords, *rest)
+
+
 def align_rows(a: DataFrame, b: DataFrame, coords: list[str], axes: tuple[AxisSet, AxisSet] | None = None) -> DataFrame:
     """Columns of two tables over the same coordinates side by side.
 
     Refuses domains that differ, coordinates that repeat, and axis sets (``axes``, if given) with different uids. Null
-    coordinates are cells as well.
+    coordinates are cells as well. Both tables are shuffled once.
     """
     if axes and axes[0].uid != axes[1].uid:
         raise ValueError(f"axes of {axes[0].uid!r} and {axes[1].uid!r} never conform")
-    if not same_domain(a, b, coords):
-        raise ValueError("the tables have different row domains, or a coordinate twice")
-    return side_by_side(a, b, coords)
-
-
-def side_by_side(a: DataFrame, b: DataFrame, coords: list[str]) -> DataFrame:
-    """As ``align_rows``, of tables whose domains are known to agree."""
-    other = b.toDF(*(f"__b_{c}" if c in coords else c for c in b.columns))
-    met = a.join(other, reduce(lambda p, q: p & q, (F.col(c).eqNullSafe(F.col(f"__b_{c}")) for c in coords)))
-    return met.drop(*(f"__b_{c}" for c in coords))
+    return aligned([a, b], coords)

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from axistab.model import AxisTable
-from axistab.operators.joins import align_rows
+from axistab.operators.blocks import floor_div
+from axistab.operators.joins import aligned
 
 
 def read_table(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
@@ -105,17 +106,19 @@ def attach(spark: SparkSession, paths: dict[str, str], coords: list[str]) -> Dat
     by: dict[str, list[str]] = {}
     for c, p in paths.items():
         by.setdefault(p, []).append(c)
-    out = None
+    parts = []
     for path, cols in by.items():
         df = spark.read.parquet(path)
         if [c for c in coords if c not in df.columns]:
             raise ValueError(f"{path} has other coordinates")
-        part = df.select(*coords, *cols)
-        out = part if out is None else align_rows(out, part, coords)
-    return out
+        parts.append(df.select(*coords, *cols))
+    return parts[0] if len(parts) == 1 else aligned(parts, coords)
+
 
+def cf_planes(df: DataFrame, axes: list[str], strip: int | None = None) -> DataFrame:
+    """Planes labelled by their axis values: the cells of each as an array sorted by x and y.
 
-def cf_planes(df: DataFrame, axes: list[str]) -> DataFrame:
-    """Planes labelled by their axis values: the cells of each as an array sorted by x and y."""
-    cell = F.struct("x", "y", "re", "im")
-    return df.groupBy(*axes).agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+    With ``strip`` a plane comes in strips of that many x, numbered from 0, so that no row has a whole plane.
+    """
+    cell, by = F.struct("x", "y", "re", "im"), [floor_div(F.col("x"), strip).alias("strip")] if strip else []
+    return df.groupBy(*axes, *by).agg(F.array_sort(F.collect_list(cell)).alias("cells"))

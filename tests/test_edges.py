@@ -232,3 +232,28 @@ def test_staged_tables_can_be_freed(spark):
     free(held, None, spark.range(1))
     with pytest.raises(Exception):  # noqa: B017
         held.count()
+
+
+def test_row_lists_refuse_long_lists(spark):
+    rows = spark.createDataFrame([(0, "a", r) for r in range(6)] + [(1, "b", 9)], "coord long, value string, row long")
+    assert [r["rows"] for r in index.row_lists(rows, 6).orderBy("coord").collect()] == [[0, 1, 2, 3, 4, 5], [9]]
+    with pytest.raises(Exception, match="over 5 rows"):
+        index.row_lists(rows, 5).collect()
+
+
+def test_several_tables_in_one_shuffle(spark):
+    one = spark.createDataFrame([(1, 2, "a"), (None, 2, None)], "k int, j int, x string")
+    two, three = one.select("k", "j", F.lit(5).alias("y")), one.select("k", "j")
+    out = joins.aligned([one, two, three], ["k", "j"])
+    assert out.columns == ["k", "j", "x", "y"] and sorted(map(tuple, out.collect()), key=repr) == [(1, 2, "a", 5), (None, 2, None, 5)]
+    for bad in (two.limit(1), two.unionByName(two)):
+        with pytest.raises(ValueError):
+            joins.aligned([one, bad], ["k", "j"])
+
+
+def test_profile_counts_nulls_and_shapes_once(spark):
+    df = spark.createDataFrame([(1, [1, 2], None), (None, [3], [[1], [2, 3]]), (2, None, [[1], [2, 3]]), (3, [4], [])], "a int, b array<int>, c array<array<int>>")
+    schema = {"a": ("int", "m"), "b": ("array<int>", None), "c": ("array<array<int>>", None), "d": ("int", None)}
+    got = {r["name"]: (r["present"], r["cells"], r["shapes"]) for r in columns.profile_columns(df, schema).collect()}
+    assert got == {"a": (True, 3, 1), "b": (True, 3, 2), "c": (True, 3, 2), "d": (False, 0, 0)}
+    assert {r["cells"] for r in columns.profile_columns(df.limit(0), schema).collect()} == {0}
