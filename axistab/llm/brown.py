@@ -148,6 +148,9 @@ def exchange(right: np.ndarray, left: np.ndarray, own: np.ndarray, matrix: np.nd
         gain = (_xlogx(n[:classes, j] + r[j]) - _xlogx(n[:classes, j])).sum(axis=1) + (
             _xlogx(n[k, :classes].T + l[k]) - _xlogx(n[k, :classes].T)
         ).sum(axis=1)
+        # Where a class follows itself both add to one count.
+        own_next, r_own, l_own = n.diagonal()[:classes], r[:classes], l[:classes]
+        gain += _xlogx(own_next + r_own + l_own) - _xlogx(own_next + r_own) - _xlogx(own_next + l_own) + _xlogx(own_next)
         gain -= _xlogx(before[:classes] + r.sum()) - _xlogx(before[:classes]) + _xlogx(after[:classes] + l.sum()) - _xlogx(after[:classes])
         out[i] = int(np.argmax(gain))
     return out
@@ -326,6 +329,13 @@ def _answered(index, now, matrix: np.ndarray, classes: int):
             for side, whole in ((c < width, rows_sum), (c >= width, cols_sum)):
                 s = np.add.reduceat(np.where(side, m, 0), cuts)[:, None]
                 gain -= _xlogx(whole + s) - _xlogx(whole)[None, :]
+            # Where a class follows itself both sides add to one count.
+            nth = np.repeat(np.arange(len(some)), np.diff(np.r_[cuts, len(c)]))
+            after, behind = c < classes, (c >= width) & (c < width + classes)
+            both, i, j = np.intersect1d(nth[after] * width + c[after], nth[behind] * width + c[behind] - width, assume_unique=True, return_indices=True)
+            if len(both):
+                r, l, d = m[after][i], m[behind][j], matrix.diagonal()[both % width]  # noqa: E741
+                gain[both // width, both % width] += _xlogx(d + r + l) - _xlogx(d + r) - _xlogx(d + l) + _xlogx(d)
             kind[owner[some]] = np.argmax(gain, axis=1)
         get = index.value.get
         for w, i in words.items():
