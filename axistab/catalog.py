@@ -188,6 +188,70 @@ def p5_import(spark, sf_dir):
     return made.select("*", F.lit(tables.metadata(made, "dish_diameter")["unit"]).alias("unit"))
 
 
+def _main_rows(spark, sf_dir):
+    """Line items as rows of a main table: arrays of channel x correlator (one or two channels), a flag now and then, an unknown column."""
+    line = _t(spark, sf_dir, "lineitem", ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax"])
+    one, two = cplx(F.col("l_quantity"), F.col("l_discount")), cplx(F.col("l_tax"), F.lit(1.5))
+    both = F.array(F.array(one, two), F.array(two, one))
+    return line.select(
+        (F.lit(4.9e9) + F.col("l_orderkey")).alias("time"), F.col("l_suppkey").alias("antenna1"), (F.col("l_partkey") % 7).alias("antenna2"),
+        F.array("l_quantity", F.col("l_partkey") * 0.5, F.col("l_tax")).alias("uvw"),
+        F.slice(both, F.lit(1), (F.col("l_linenumber") % 2 + 1).cast("int")).alias("data"),
+        F.when(F.col("l_linenumber") % 3 != 0, F.array(F.array(F.col("l_tax") > 0.04))).alias("flag"), "l_linenumber",
+    )
+
+
+@query("""
+with r as (select l_orderkey, l_suppkey, l_quantity::float::double as q, l_discount::float::double as d, l_tax::float::double as t, l_tax, l_linenumber % 2 + 1 as n, l_partkey, l_linenumber, l_quantity from lineitem)
+select 4.9e9::double + l_orderkey as time, l_suppkey::int as antenna1, (l_partkey % 7)::int as antenna2, [l_quantity, l_partkey * 0.5::double, l_tax] as uvw, [q, t, t, q][1:2 * n] as re, [d, 1.5::double, 1.5::double, d][1:2 * n] as im,
+  case when l_linenumber % 3 <> 0 then l_tax > 0.04 end as flagged, 's m' as units, 6::bigint as known from r""")
+def s1_import_main(spark, sf_dir):
+    made = tables.import_table(_main_rows(spark, sf_dir), SCHEMAS["MAIN"])
+    flat, units = F.flatten("data"), " ".join(tables.metadata(made, c)["unit"] for c in ("time", "uvw"))
+    part = lambda name: F.transform(flat, lambda z: z[name].cast("double")).alias(name)
+    return made.select(
+        "time", "antenna1", "antenna2", "uvw", part("re"), part("im"), F.col("flag")[0][0].alias("flagged"), F.lit(units).alias("units"),
+        F.lit(len(made.columns)).cast("bigint").alias("known"),
+    )
+
+
+_MAIN_FOUND = {"time": ("double", "count(*)", "1"), "antenna1": ("int", "count(*)", "1"), "antenna2": ("int", "count(*)", "1"), "uvw": ("array<double>", "count(*)", "1"),
+               "data": ("array<array<struct<re:float,im:float>>>", "count(*)", "count(distinct l_linenumber % 2)"),
+               "flag": ("array<array<boolean>>", "count(*) filter (where l_linenumber % 3 <> 0)", "1")}
+
+
+def _main_profile_sql() -> str:
+    rows = []
+    for name, (kind, unit) in SCHEMAS["MAIN"].items():
+        found, cells, shapes = _MAIN_FOUND.get(name, (None, "0", "0"))
+        text = lambda x: "null::varchar" if x is None else f"'{x}'"
+        rows.append(f"select '{name}' as name, {found is not None} as present, '{kind}' as expected_type, {text(found)} as found_type, {text(unit)} as unit, ({cells})::bigint as cells, ({shapes})::bigint as shapes" + " from lineitem" * (found is not None))
+    return " union all ".join(rows)
+
+
+@query(_main_profile_sql())
+def p5_profile_main(spark, sf_dir):
+    """All columns that a main table can have: which are there, with how many cells and shapes."""
+    return columns.profile_columns(tables.import_table(_main_rows(spark, sf_dir), SCHEMAS["MAIN"]), SCHEMAS["MAIN"])
+
+
+@query("""
+with f as (select n_name as name, n_nationkey as k, row_number() over (order by n_nationkey) - 1 as row from nation)
+select row, name, [[k * 0.25::double, k * 0.1 - 1.2::double]] as phase_dir, 2 as num_poly, round(k * 0.25::double + 0.001::double * k * 50, 9) as lon, round(k * 0.1::double - 1.2 + 0.002 * 50, 9) as lat, 'rad' as unit from f""")
+def s1_import_field(spark, sf_dir):
+    """Fields with directions of two terms, imported, numbered, and looked up 50 seconds after their time."""
+    key = F.col("n_nationkey")
+    terms = F.array(F.array(key * 0.25, key * 0.1 - 1.2), F.array(key * 0.001, F.lit(0.002)))
+    rows = _t(spark, sf_dir, "nation", ["n_nationkey", "n_name"]).select(F.col("n_name").alias("name"), F.lit(100.0).alias("time"), F.lit(2).alias("num_poly"), terms.alias("phase_dir"), "n_nationkey")
+    field = tables.import_table(rows, SCHEMAS["FIELD"] | {"n_nationkey": ("bigint", None)})
+    unit = tables.metadata(field, "phase_dir")["unit"]
+    at = index.from_rows(field, ["n_nationkey"], "field").df.withColumn("d", expr.interp_directions(F.col("phase_dir"), F.lit(150.0), F.col("time")))
+    return at.select(
+        "row", "name", F.slice("phase_dir", 1, 1).alias("phase_dir"), "num_poly", F.round(F.col("d")[0], 9).alias("lon"), F.round(F.col("d")[1], 9).alias("lat"),
+        F.lit(unit).alias("unit"),
+    )
+
+
 @query("""
 with g as (select bool_and(len(embedding) = len(embedding[1:32]) ) as half from embeddings)
 select 2::bigint as members, 'embedding,twice' as cols union all select 1, 'half' from g where not half""")
