@@ -22,7 +22,7 @@ from axistab.operators.joins import fits, sized
 from axistab.sources.scratch import stage
 
 #: Cells of a tile along each axis, and rows of a tile's part.
-TILE, PART = 64, 1 << 20
+TILE, PART = 64, 1 << 16
 #: Bytes of all kernels together, which every task gets.
 KERNEL_BYTES = 64 << 20
 
