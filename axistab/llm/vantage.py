@@ -19,7 +19,7 @@ from axistab.llm.common import stage
 
 NEIGHBOURS = 20
 #: Relaxation of the triangle inequality in production; README has its recall.
-FACTOR = 3.0
+FACTOR = 1.1
 #: Vectors of a leaf at most, vantage points tried for a node and vectors that they are tried on.
 LEAF, TRIED, TRIED_ON = 128, 12, 96
 #: What rounding may take from a distance or add to it, as a share of the vectors' length.

@@ -146,6 +146,24 @@ def test_tree_is_exact_at_factor_one_and_prunes(spark):
     assert reads[0] > reads[1] > reads[2] and reads[0] < 0.6 * 80 * (len(shard["cuts"]) - 1)
 
 
+@pytest.mark.parametrize("kind", ["clusters", "lengths", "few dimensions", "random"])
+def test_recall_at_the_factor_in_production(kind):
+    """Of vectors of equal and of very different lengths, at least 0.95 of the nearest are found."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    x = {
+        "clusters": lambda: clustered(4000, 0.2, lengths=False), "lengths": lambda: rng.normal(size=(4000, 16)) * rng.lognormal(0, 1, 4000)[:, None],
+        "few dimensions": lambda: rng.normal(size=(4000, 4)) @ rng.normal(size=(4, 32)), "random": lambda: rng.normal(size=(4000, 32)),
+    }[kind]()
+    shard = vantage.tree(pa.table({"_id": np.arange(4000), "_vec": pa.array(list(x))}))
+    block = {"id": np.arange(0, 4000, 40), "q": x[::40], "norm": np.linalg.norm(x[::40], axis=1)}
+    scores = np.where(np.arange(4000)[None] == block["id"][:, None], -np.inf, x[::40] @ x.T)
+    best = vantage.Best(100, 20)
+    vantage.search(block, best, shard, vantage.FACTOR)
+    assert len(best.ask) == 2000 and np.mean(best.score >= np.sort(scores, axis=1)[best.ask, -20] - 1e-9) >= 0.95
+
+
 def test_queries_equal_their_sql_and_recall(spark, sf_dir):
     con = connect(sf_dir)
     for name in ("op11_hard_negatives", "op13_nearest_neighbours"):
