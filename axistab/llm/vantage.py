@@ -3,8 +3,10 @@
 Each shard of vectors has a tree: a vantage point's distances split a node at their median, and the range of distances on
 either side bounds, by the triangle inequality, how near a query can come to what lies there. Largest inner products are
 nearest neighbours once every vector of a shard has the same length, which one more component gives it; queries are scaled
-to that length. A leaf is read while its bound times ``factor`` is at most the distance of the k-th best so far: with factor
-one the search is exact, a larger one reads fewer leaves.
+to that length. A leaf is read while its bound times ``factor`` is at most the distance of the k-th best so far, or while it
+may hold a product over ``factor`` times the k-th best one: with factor one both say the same and the search is exact, a
+larger one reads fewer leaves. The first serves vectors of one length, whose near ones all have products near the largest,
+the second vectors of unequal lengths, whose distances are all alike once their lengths are made equal.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from axistab.llm.common import stage
 
 NEIGHBOURS = 20
 #: Relaxation of the triangle inequality in production; README has its recall.
-FACTOR = 1.1
+FACTOR = 1.25
 #: Vectors of a leaf at most, vantage points tried for a node and vectors that they are tried on.
 LEAF, TRIED, TRIED_ON = 128, 12, 96
 #: What rounding may take from a distance or add to it, as a share of the vectors' length.
@@ -116,8 +118,10 @@ def search(block: dict, best: Best, shard: dict, factor: float) -> int:
     while start < leaves:
         stop = min(leaves, max(1, 2 * start))
         with np.errstate(invalid="ignore"):
-            reach = np.sqrt(np.maximum(0.0, 2 * length * length - 2 * length * best.worst / norm))
-        ask, turn = np.nonzero(near[:, start:stop] * factor <= (reach + SLACK * length)[:, None])
+            wanted = np.stack((best.worst, np.where(best.worst > 0, factor, 1.0) * best.worst))
+            reach = np.sqrt(np.maximum(0.0, 2 * length * length - 2 * length * wanted / norm))
+        reach = np.maximum(reach[0] / factor, reach[1]) + SLACK * length
+        ask, turn = np.nonzero(near[:, start:stop] <= reach[:, None])
         if not len(ask):
             break
         leaf, found = order[ask, start + turn], []
