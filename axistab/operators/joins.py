@@ -72,13 +72,6 @@ def refcode_lookup(df: DataFrame, code_col: str, table: DataFrame, key: str) ->
     return lookup_join(df, table, code_col, key, "left")
 
 
-def same_domain(a: DataFrame, b: DataFrame, coords: list[str]) -> bool:
-    """Whether both tables have the same cells over ``coords``, each cell once: one shuffle, counted with partial aggregates."""
-    sides = [df.select(*coords, F.lit(x).alias("__a"), F.lit(1 - x).alias("__b")) for df, x in ((a, 1), (b, 0))]
-    cells = sides[0].unionByName(sides[1]).groupBy(*coords).agg(F.sum("__a").alias("__a"), F.sum("__b").alias("__b"))
-    return not cells.filter("__a <> 1 or __b <> 1").take(1)
-
-
 def aligned(tables: list[DataFrame], coords: list[str]) -> DataFrame:
     """Columns of tables over the same coordinates side by side, in one shuffle of them all, staged.
 
