@@ -24,7 +24,8 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def _record_id(col: Column) -> Column:
-    return F.concat(F.lit("<urn:page:"), F.coalesce(col.cast("string"), F.lit("")), F.lit(">"))
+    """The id as a URI; what is not plain in a string id is percent-encoded, so that no id can end its header line."""
+    return F.concat(F.lit("<urn:page:"), F.url_encode(F.coalesce(col.cast("string"), F.lit(""))), F.lit(">"))
 
 
 def revisits(df: DataFrame, id_col: str = "page_id", payload_col: str = "html", least: int = REVISIT_BYTES) -> DataFrame:
@@ -47,8 +48,8 @@ def write_warc(
 
     Of records with equal payloads of at least ``least`` bytes that with the largest id is a ``response``, the others are
     ``revisit`` records that refer to it and carry no payload; smaller ones are all ``response``. A null payload is empty, a
-    null URL is the empty one; null ids are never the largest. Rows that repeat the largest id stay responses. Payloads are
-    strings or binary; other columns are not read.
+    null URL is the empty one; null ids are never the largest. Rows that repeat the largest id stay responses. Ids of any plain
+    type come back as they were (an empty string id as null). Payloads are strings or binary; other columns are not read.
     """
     plain = df.select(
         F.col(id_col).alias("_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("_url"),
@@ -226,7 +227,7 @@ def read_warc(spark: SparkSession, path: str, id_type: str = "bigint", segment:
         whole = parts.groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("offset", "value"))).alias("ps"))
         whole = _parsed(whole.select(F.array_join(F.transform("ps", lambda p: p["value"]), MAGIC).alias("value")))
         found = found.unionByName(whole.select(*fields))
-    page = lambda c: F.expr(f"try_cast(nullif(regexp_extract({c}, '^<urn:page:(.*)>$', 1), '') as {id_type})")
+    page = lambda c: F.expr(f"try_cast(nullif(try_url_decode(regexp_extract({c}, '^<urn:page:(.*)>$', 1)), '') as {id_type})")
     table = stage(found.withColumns({"page_id": page("record_id"), "refers_to": page("refers_to_id")}).drop("record_id", "refers_to_id"), "read")
     answers = table.filter("record_type = 'response'")
     lengths = answers.groupBy(

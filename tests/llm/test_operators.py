@@ -624,10 +624,11 @@ def test_chat_round_trip(spark):
     rows += [(50, None, "assistant", "null turn"), (50, 1, "user", "a"), (50, 1, "user", "a"), (51, 0, "user", "no answer")]
     df = spark.createDataFrame([(*r, "x", "y") for r in rows], "conv_id long, turn long, role string, text string, whole string, ends string")
     examples = chat.prefix_target_examples(df)
-    out = {r["conv_id"]: r for r in chat.digest_examples(examples).collect()}
-    convs = defaultdict(list)
+    found = chat.digest_examples(examples).collect()
+    out = {r["conv_id"]: r for r in found if r["conv_id"] is not None}
+    convs, alone = defaultdict(list), []
     for c, t, role, text in rows:
-        convs[c].append((t is None, t or 0, role or "", text or ""))
+        (alone if c is None else convs[c]).append((t is None, t or 0, role or "", text or ""))
     assert out.keys() == convs.keys()
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     for c, turns in convs.items():
@@ -637,7 +638,11 @@ def test_chat_round_trip(spark):
         assert (
             out[c]["n_turns"], out[c]["turns_sha256"], out[c]["loss_chars"], out[c]["loss_sha256"],
         ) == (len(turns), sha(said), len(loss), sha(loss))
-    each = examples.filter("trained").groupBy("conv_id").count().collect()
+    # A row without a conversation id is a conversation of its own.
+    assert sorted((r["n_turns"], r["turns_sha256"], r["loss_chars"]) for r in found if r["conv_id"] is None) == sorted(
+        (1, sha(f"{t[2]}\n{t[3]}\n"), len(t[3]) if t[2] == "assistant" else 0) for t in alone
+    )
+    each = examples.filter("trained and conv_id is not null").groupBy("conv_id").count().collect()
     assert {r["conv_id"]: r["count"] for r in each} == {c: n for c, ts in convs.items() if (n := sum(t[2] == "assistant" for t in ts))}
     assert all(r["text"].endswith("</s>") and r["text"][r["loss_start"] + r["loss_length"] :] == "</s>" for r in examples.filter("trained").collect())
     assert chat.digest_examples(chat.prefix_target_examples(df.filter("false"))).count() == 0
@@ -700,6 +705,16 @@ def test_warc_revisits_of_repeated_ids(spark, tmp_path):
     assert sorted(tuple(r) for r in out.collect()) == expected
 
 
+def test_warc_string_ids_come_back_whole(spark, tmp_path):
+    ids = ["a>\r\nWARC-Type: revisit", "a>", "<urn:page:b>", "é %41+ c", "plain-1", "\n", "%"]
+    pages = [(x, "u", f"page {i}") for i, x in enumerate(ids)] + [("y>\r\n", "u", "z" * 1200), ("z>\r\n", "u", "z" * 1200), (None, "u", "none")]
+    out = warc.archive_round_trip(spark.createDataFrame(pages, "page_id string, url string, html string"), str(tmp_path / "archive")).collect()
+    sha = lambda t: hashlib.sha1(t.encode()).hexdigest()
+    assert {(r["page_id"], r["payload_digest"]) for r in out} == {(x, sha(h)) for x, _, h in pages}
+    assert len(out) == len(pages)
+    assert [(r["page_id"], r["refers_to"]) for r in out if r["record_type"] == "revisit"] == [("y>\r\n", "z>\r\n")]
+
+
 def test_warc_chain_ends_at_a_damaged_record(spark, tmp_path):
     head = "HTTP/1.1 200 OK\r\nA: bcd\r\n\r\n"
     record = lambda i, body, more=0: f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{i}>\r\nContent-Length: {len(head + body) + more}\r\n\r\n{head}{body}\r\n\r\n"
