@@ -72,6 +72,13 @@ def row_runs(batch: pa.RecordBatch, column: str, max_bytes: int = 8 << 20) -> It
         at = stop
 
 
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows with large values one by one, so that only one at a time is held beside its batch."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {n: batch.column(n)[i].as_py() for n in batch.schema.names}
+
+
 def held_out(col: Column, folds: int, fold: int) -> Column:
     """Whether crc32 of the id as text leaves ``fold`` modulo ``folds`` (a null id counts as the empty text)."""
     return (F.crc32(F.coalesce(col.cast("string"), F.lit(""))) % folds) == fold

@@ -22,10 +22,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from axistab.llm.common import row_runs, stage, texts_of
+from axistab.llm.common import row_runs, rows_of, stage, texts_of
 
 CAPACITY, END, SPECIAL = 1024, 2, "<|endoftext|>"
 SHARD, ISLANDS, EPOCHS, POPULATION, GENERATIONS, SEED = 4096, 2, 2, 4, 24, 7
+#: Islands of a task where there are more than 4,000 tasks' worth of them.
+STATES = 64
 #: Share of a shard's bins, the least filled ones, whose pieces go to the next level.
 REOPENED = 1 / 8
 #: Words whose ids a worker remembers.
@@ -265,18 +267,17 @@ def evolve(
 
 def _epoch(turn: int, seed: int, capacity: int, size: int, generations: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                lengths = np.frombuffer(row["lengths"], np.int32).astype(np.int64)
-                given = [np.frombuffer(p, np.int32) for p in [*row["population"], *([row["elite"]] if row["elite"] else [])]]
-                rng = np.random.default_rng([seed, turn, row["shard"], row["island"]])
-                best = evolve(lengths, given, rng, size, generations, capacity, row["island"])
-                count, fill = fitness(best[0], lengths, capacity)
-                row |= {
-                    "population": [x.astype(np.int32).tobytes() for x in best], "elite": None, "bins": count, "fill": fill,
-                    "done": count <= lower_bound(lengths, capacity),
-                }
-                yield pa.RecordBatch.from_pylist([row], schema=_STATE)
+        for row in rows_of(batches):
+            lengths = np.frombuffer(row["lengths"], np.int32).astype(np.int64)
+            given = [np.frombuffer(p, np.int32) for p in [*row["population"], *([row["elite"]] if row["elite"] else [])]]
+            rng = np.random.default_rng([seed, turn, row["shard"], row["island"]])
+            best = evolve(lengths, given, rng, size, generations, capacity, row["island"])
+            count, fill = fitness(best[0], lengths, capacity)
+            row |= {
+                "population": [x.astype(np.int32).tobytes() for x in best], "elite": None, "bins": count, "fill": fill,
+                "done": count <= lower_bound(lengths, capacity),
+            }
+            yield pa.RecordBatch.from_pylist([row], schema=_STATE)
 
     return run
 
@@ -323,7 +324,8 @@ def _gathered(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _evolved(items: DataFrame, number: int, capacity: int, islands: int, epochs: int, population: int, generations: int, seed: int) -> DataFrame:
     """``shard, bins, uids, lengths, chosen``: the best packing of each shard after all epochs."""
-    tasks = max(items.sparkSession.sparkContext.defaultParallelism, min(number * islands, 4000))
+    states = number * islands
+    tasks = max(items.sparkSession.sparkContext.defaultParallelism, min(states, 4000), states // STATES)
     shards = items.groupBy("shard").applyInPandas(_gathered, "shard long, uids binary, lengths binary")
     nothing = {
         "population": F.array().cast("array<binary>"), "elite": F.lit(None).cast("binary"), "bins": F.lit(0).cast("long"), "fill": F.lit(0.0),
@@ -347,21 +349,20 @@ def _placed(level: int, reopened: float, capacity: int):
     """Places of the items of each shard; those of the least filled bins, a share ``reopened``, have no sequence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                uids, lengths, bins = np.frombuffer(row["uids"], np.int64), np.frombuffer(row["lengths"], np.int32).astype(np.int64), np.frombuffer(row["chosen"], np.int32)
-                order = np.argsort(bins, kind="stable")
-                ends = np.cumsum(lengths[order])
-                new = np.r_[True, bins[order][1:] != bins[order][:-1]] if len(order) else np.zeros(0, bool)
-                offsets = ends - lengths[order]
-                offsets -= offsets[new][np.cumsum(new) - 1] if len(order) else 0
-                sequence = (level << 56) + row["shard"] * (1 << 24) + bins[order].astype(np.int64)
-                fill = np.bincount(bins, weights=lengths)
-                again = np.zeros(len(fill), bool)
-                again[np.argsort(fill, kind="stable")[: math.ceil(len(fill) * reopened)]] = True
-                again = (again & (fill < capacity))[bins[order]]
-                cols = [pa.array(uids[order]), pa.array(lengths[order]), pa.array(sequence, mask=again), pa.array(offsets)]
-                yield pa.RecordBatch.from_arrays(cols, names=["uid", "length", "sequence_id", "offset"])
+        for row in rows_of(batches):
+            uids, lengths, bins = np.frombuffer(row["uids"], np.int64), np.frombuffer(row["lengths"], np.int32).astype(np.int64), np.frombuffer(row["chosen"], np.int32)
+            order = np.argsort(bins, kind="stable")
+            ends = np.cumsum(lengths[order])
+            new = np.r_[True, bins[order][1:] != bins[order][:-1]] if len(order) else np.zeros(0, bool)
+            offsets = ends - lengths[order]
+            offsets -= offsets[new][np.cumsum(new) - 1] if len(order) else 0
+            sequence = (level << 56) + row["shard"] * (1 << 24) + bins[order].astype(np.int64)
+            fill = np.bincount(bins, weights=lengths)
+            again = np.zeros(len(fill), bool)
+            again[np.argsort(fill, kind="stable")[: math.ceil(len(fill) * reopened)]] = True
+            again = (again & (fill < capacity))[bins[order]]
+            cols = [pa.array(uids[order]), pa.array(lengths[order]), pa.array(sequence, mask=again), pa.array(offsets)]
+            yield pa.RecordBatch.from_arrays(cols, names=["uid", "length", "sequence_id", "offset"])
 
     return run
 
