@@ -113,7 +113,8 @@ def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The rows of ``df``, all columns, that ``exact_dedup`` keeps; of rows that repeat id and text one stays.
 
     Copies of frequent digests are removed where they are read, against the broadcast winners. For all others the decision
-    is made on narrow rows; texts are shuffled only if the rows to remove are too many to broadcast.
+    is made on narrow rows; texts are shuffled only if the rows to remove are too many to broadcast. A null text counts as
+    empty, a null id comes after all others; an empty table gives no rows.
     """
     names = df.columns
     text = F.col(text_col).cast("string")

@@ -240,7 +240,8 @@ def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """The rows of ``df``, all columns, each as often as the mix takes it.
 
     Rows that repeat id, text and source are one document that comes out as often as the mix takes them together, in the
-    columns of any of them. Documents without words add no words and come out once for each row.
+    columns of any of them. Documents without words (a null text is one) add no words and come out once for each row. A null
+    source is a source of its own, a null id an id like others. An empty table gives no rows.
     """
     settings = {"weights": WEIGHTS, "total": TOTAL, "repeats": REPEATS, "seed": SEED} | options
     copies = F.when(F.col("_size") == 0, F.lit(1)).otherwise(F.col("_copies"))

@@ -133,6 +133,10 @@ def _odds(pattern: Column, start: float, weights: np.ndarray) -> Column:
     return out
 
 
+def _posterior(pattern: Column, start: float, weights: np.ndarray) -> Column:
+    return 1 / (1 + F.exp(-_odds(pattern, start, weights)))
+
+
 def _fitted(counted: DataFrame) -> tuple[float, np.ndarray, np.ndarray]:
     return fit_votes([(r["_pattern"], r["n"]) for r in counted.groupBy("_pattern").agg(F.count(F.lit(1)).alias("n")).orderBy("_pattern").collect()])
 
@@ -153,14 +157,17 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     counted = stage(_table(df, id_col, text_col), "votes")
     start, weights, _ = _fitted(counted)
-    quality = 1 / (1 + F.exp(-_odds(F.col("_pattern"), start, weights)))
-    out = counted.withColumn("quality", quality).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
+    out = counted.withColumn("quality", _posterior(F.col("_pattern"), start, weights)).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
     return out.select(F.col("_id").alias("doc_id"), *NAMES[:5], "base_failed", "kept", "quality")
 
 
 def drop_low_quality(df: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``df``, all columns, that ``quality_rules`` keeps; each text is judged once and none is shuffled."""
-    names, m = df.columns, math.log(threshold / (1 - threshold))
+    """The rows of ``df``, all columns, that ``quality_rules`` keeps; each text is judged once and none is shuffled.
+
+    A null text fails the base rules and goes, whatever ``threshold`` (0 keeps all that pass them). Repeated rows are judged one
+    by one; ids and other columns are not read; an empty table gives no rows.
+    """
+    names = df.columns
     at = f"c{names.index(text_col)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,5 +181,5 @@ def drop_low_quality(df: DataFrame, text_col: str = "text", threshold: float = T
     fields = [*plain.schema, T.StructField("_pattern", T.LongType()), T.StructField("_failed", T.BooleanType())]
     judged = stage(plain.withColumn("_text", F.col(at).cast("string")).mapInArrow(run, T.StructType(fields)), "judged")
     start, weights, _ = _fitted(judged)
-    kept = judged.filter(~F.col("_failed") & (_odds(F.col("_pattern"), start, weights) >= m))
+    kept = judged.filter(~F.col("_failed") & (_posterior(F.col("_pattern"), start, weights) >= threshold))
     return kept.select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(names)))

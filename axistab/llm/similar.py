@@ -160,27 +160,6 @@ def _near(limit: int):
     return run
 
 
-def _crowded(tasks: int, chunk: int):
-    """Keys that may have over ``chunk`` rows: those with a task's share of it in some task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        least, size = max(2, chunk // tasks), 0
-        for batch in batches:
-            held.append(batch.column("key").to_numpy())
-            size += batch.num_rows
-            if size > 1 << 22:
-                yield _often(held, least)
-                held, size = [], 0
-        yield _often(held, least)
-
-    def _often(held: list[np.ndarray], least: int) -> pa.RecordBatch:
-        keys, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.int64),) * 2
-        return pa.RecordBatch.from_arrays([pa.array(keys[n >= least]), pa.array(n[n >= least].astype(np.int64))], names=["key", "n"])
-
-    return run
-
-
 def _dealt(keys: DataFrame, sizes: DataFrame, on: str, by: list[str]) -> DataFrame:
     """``keys`` with those of ``sizes`` (``on``, ``chunks``) dealt as pairs of chunks: ``pair`` tells them apart, 0 for others."""
     met = join_sized(keys, sizes, [on], "left")
@@ -189,18 +168,26 @@ def _dealt(keys: DataFrame, sizes: DataFrame, on: str, by: list[str]) -> DataFra
     return met.withColumn("pair", F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pairs))).drop("chunks")
 
 
-def near_links(prints: DataFrame, masks: list[tuple[int, int]], limit: int, chunk: int = CHUNK) -> DataFrame:
-    """``a, b, c, d``: links between fingerprints (``_a, _b``: halves of distinct ones) that connect what is near by blocks."""
+def dealt_blocks(prints: DataFrame, masks: list[tuple[int, int]], chunk: int = CHUNK) -> DataFrame:
+    """``_a, _b, key``: each fingerprint in each of its blocks; fingerprints of one ``key`` are to be compared.
+
+    A block of over ``chunk`` fingerprints is dealt as pairs of chunks, so about two chunks have one key. Blocks are counted
+    exactly, combined before the shuffle: a block with any share of all rows is one row a task, and none is missed.
+    """
     block = lambda i, m: F.xxhash64(F.lit(i), F.col("_a").bitwiseAND(F.lit(m[0])), F.col("_b").bitwiseAND(F.lit(m[1])))
     keys = prints.select("_a", "_b", F.explode(F.array(*(block(i, m) for i, m in enumerate(masks)))).alias("key"))
-    tasks = max(1, prints.select(F.spark_partition_id().alias("p")).distinct().count())
-    often = keys.select("key").mapInArrow(_crowded(tasks, chunk), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    large = stage(often.filter(F.col("n") > chunk).select("key", F.ceil(F.col("n") / chunk).alias("chunks")), "crowded")
-    dealt = keys
-    if large.take(1):
-        dealt = _dealt(keys, large, "key", ["_a", "_b"]).select(
-            "_a", "_b", F.when(F.col("pair") == 0, F.col("key")).otherwise(F.xxhash64("key", "pair")).alias("key"),
-        )
+    often = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > chunk)
+    large = stage(often.select("key", F.ceil(F.col("n") / chunk).alias("chunks")), "crowded")
+    if not large.take(1):
+        return keys
+    return _dealt(keys, large, "key", ["_a", "_b"]).select(
+        "_a", "_b", F.when(F.col("pair") == 0, F.col("key")).otherwise(F.xxhash64("key", "pair")).alias("key"),
+    )
+
+
+def near_links(prints: DataFrame, masks: list[tuple[int, int]], limit: int, chunk: int = CHUNK) -> DataFrame:
+    """``a, b, c, d``: links between fingerprints (``_a, _b``: halves of distinct ones) that connect what is near by blocks."""
+    dealt = dealt_blocks(prints, masks, chunk)
     return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_near(limit), "a long, b long, c long, d long").distinct()
 
 

@@ -534,6 +534,9 @@ def test_quality_rules_keep_clean_and_drop_junk(spark, messy, nothing):
     )
     kept = quality_rules.drop_low_quality(messy)
     assert kept.columns == messy.columns and kept.count() == sum(r["kept"] for r in judged)
+    passed = sum(not r["base_failed"] for r in judged)
+    assert quality_rules.drop_low_quality(messy, threshold=0).count() == passed
+    assert quality_rules.drop_low_quality(messy, threshold=1.1).count() == 0
     assert quality_rules.quality_rules(nothing).count() == 0 and quality_rules.drop_low_quality(nothing).count() == 0
 
 

@@ -97,6 +97,23 @@ def test_shared_missing_and_repeated_rows(spark, messy, nothing):
     assert similar.drop_near_copies(nothing).count() == 0
 
 
+def test_blocks_thin_in_every_task_are_dealt(spark):
+    """A block with few rows in each of many tasks is dealt as one with all its rows in one task is."""
+    rng, chunk = random.Random(12), 50
+    prints = list({(rng.getrandbits(62), 7 if i % 3 else rng.getrandbits(62)) for i in range(900)})
+    masks = [(0, 2**63 - 1), (2**63 - 1, 0)]
+    rows = spark.createDataFrame(prints, "_a long, _b long")
+    thin, thick = (similar.dealt_blocks(rows.repartition(n), masks, chunk) for n in (90, 1))
+    assert sorted(map(tuple, thin.collect())) == sorted(map(tuple, thick.collect()))
+    assert 50 < thin.groupBy("key").count().agg({"count": "max"}).first()[0] < 3 * chunk
+    # Every two fingerprints of the block have a key in common.
+    held = {}
+    for a, b, key in thin.filter("_b = 7").collect():
+        held.setdefault((a, b), set()).add(key)
+    some = list(held.values())
+    assert len(some) > 590 and all(x & y for i, x in enumerate(some[:60]) for y in some[i + 1 :])
+
+
 def test_blocks_bring_similar_texts_together():
     """Of pairs of texts around the least similarity nearly all share a block and are within the limit of bits."""
     rng = random.Random(4)
