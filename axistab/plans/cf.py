@@ -56,9 +56,10 @@ def spheroidal(nu: Column) -> Column:
 
 def ps_term(df: DataFrame, scale: str = "ps_scale") -> DataFrame:
     """Prolate spheroidal taper: ``value`` and ``weight``; outside the disk 0 and null."""
-    rho = F.sqrt(F.col("cx") * F.col("cx") + F.col("cy") * F.col("cy")) * F.col(scale)
-    v = spheroidal(rho) * (1 - rho * rho)
-    return df.withColumns({"value": cplx(F.when(rho <= 1, v).otherwise(0.0), F.lit(0.0)), "weight": F.when(rho <= 1, v * v)})
+    rho, v = F.col("__rho"), F.col("__v")  # columns of their own, or each use would be computed anew
+    out = df.withColumn("__rho", F.sqrt(F.col("cx") * F.col("cx") + F.col("cy") * F.col("cy")) * F.col(scale))
+    out = out.withColumn("__v", F.when(rho <= 1, spheroidal(rho) * (1 - rho * rho)))
+    return out.withColumns({"value": cplx(F.when(rho <= 1, v).otherwise(0.0), F.lit(0.0)), "weight": v * v}).drop("__rho", "__v")
 
 
 def w_term(df: DataFrame, w: str = "w") -> DataFrame:
@@ -75,7 +76,8 @@ def cf_product(left: DataFrame, left_n: int, right: DataFrame, right_n: int, sha
     """``left`` times ``right`` on shared axes, the smaller right grid centred in the left one.
 
     Axes that the right side lacks are broadcast along; of the axes that only it has (``right_only``) the first coordinate
-    counts. Cells outside the smaller grid keep the left value. Grids need equal parity, the left one the larger size.
+    counts. Cells outside the smaller grid keep the left value. Grids need equal parity, the left one the larger size. The
+    right side is measured before it is broadcast: Spark's estimate leaves out that pixels were exploded.
     """
     if right_n > left_n or (left_n - right_n) % 2:
         raise ValueError("the first grid must be the largest, and sizes of equal parity")
@@ -85,7 +87,7 @@ def cf_product(left: DataFrame, left_n: int, right: DataFrame, right_n: int, sha
     other = right.select(
         *shared, (F.col("x") + shift).alias("x"), (F.col("y") + shift).alias("y"), F.col("value").alias("__v"), F.col("weight").alias("__w"),
     )
-    met = left.join(other, [*shared, "x", "y"], "left")
+    met = left.join(sized(other), [*shared, "x", "y"], "left")
     value = F.when(F.col("__v").isNull(), F.col("value")).otherwise(cmul(F.col("value"), F.col("__v")))
     weight = F.when(F.col("__v").isNull(), F.col("weight")).otherwise(F.col("weight") * F.col("__w"))
     return met.withColumns({"value": value, "weight": weight}).drop("__v", "__w")
