@@ -205,6 +205,14 @@ def nearest_frequency_coeffs(wanted: DataFrame, available: DataFrame, keys: list
 PIXELS = 64
 
 
+def _in_disk(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Sum of c x^px y^py at each place, 0 outside the unit disk."""
+    table = np.zeros((px.max(initial=0) + 1, py.max(initial=0) + 1), complex)
+    np.add.at(table, (px, py), c)
+    value = ((np.vander(x, table.shape[0], increasing=True) @ table) * np.vander(y, table.shape[1], increasing=True)).sum(axis=1)
+    return np.where(x * x + y * y <= 1, value, 0)
+
+
 def aperture(pixels: DataFrame, poly: DataFrame, keys: list[str]) -> DataFrame:
     """Sum of polynomial terms at the pixels' ``cx, cy``, 0 outside the unit disk: adds ``value``.
 
@@ -229,10 +237,7 @@ def aperture(pixels: DataFrame, poly: DataFrame, keys: list[str]) -> DataFrame:
                 some, term = batch.column("__c")[i].values, batch.column("__t")[i].values
                 x, y = (some.field(c).to_numpy(zero_copy_only=False) for c in ("cx", "cy"))
                 px, py, re, im = (term.field(c).to_numpy(zero_copy_only=False) for c in ("px", "py", "re", "im"))
-                table = np.zeros((px.max(initial=0) + 1, py.max(initial=0) + 1), complex)
-                np.add.at(table, (px, py), re + 1j * im)
-                value = ((np.vander(x, table.shape[0], increasing=True) @ table) * np.vander(y, table.shape[1], increasing=True)).sum(axis=1)
-                value = np.where(x * x + y * y <= 1, value, 0)
+                value = _in_disk(x, y, px, py, re + 1j * im)
                 same = pa.array(np.full(len(x), i))
                 cols = [*(batch.column(a).take(same) for a in axes), *(some.field(c) for c in cell), pa.array(value.real), pa.array(value.imag)]
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
@@ -252,3 +257,58 @@ def a_term(illumination: DataFrame, keys: list[str], pairs: DataFrame) -> DataFr
     into = illumination.select(*keys, "x", "y", F.col("stokes").alias("stokes_in"), F.col("value").alias("__i"))
     met = out.join(sized(pairs), "stokes_out").join(into, [*keys, "stokes_in", "x", "y"])
     return met.select(*keys, "stokes_out", "stokes_in", "x", "y", cmul(F.col("__o"), conj(F.col("__i"))).alias("value"))
+
+
+def beam_of_terms(orders: int, n: int, radius: float = 1.0) -> np.ndarray:
+    """The ``beam`` of each series term alone on the n x n pixels of ``grid_coordinates``: terms by cells, x before y."""
+    terms = np.array(zernike_terms())
+    at = (np.arange(n) + (0.5 - n / 2)) * (2.0 * radius / n)
+    x, y = (c.ravel() for c in np.meshgrid(at, at, indexing="ij"))
+    number = (terms[:, 1] * (terms[:, 1] + 2) + terms[:, 0]) // 2
+    planes = np.stack([_in_disk(x, y, *terms[number == k, 2:].T) for k in range(orders)]).reshape(orders, n, n)
+    return np.roll(np.fft.fft2(planes), (-rotation(n), -rotation(n)), (1, 2)).reshape(orders, n * n)
+
+
+def beams(series: DataFrame, orders: int, n: int, radius: float = 1.0, factor: float = 1.0) -> DataFrame:
+    """The same as ``aperture`` and ``beam`` for planes that fit a tile, without a row for a pixel or a coefficient.
+
+    ``re, im`` of each row are arrays of ``orders`` series coefficients and become those of the n x n cells, x before y,
+    times ``factor``. A beam is linear in its coefficients, so that rows are multiplied with the beams of the terms. Null
+    coefficients are 0.
+    """
+    if n > PIXELS:
+        raise ValueError("larger planes go through aperture and beam")
+    rest = [c for c in series.columns if c not in ("re", "im")]
+    schema = T.StructType([*(series.schema[c] for c in rest), *(T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("re", "im"))])
+    padded = lambda c: F.transform(F.sequence(F.lit(1), F.lit(orders)), lambda k: F.coalesce(F.try_element_at(c, k), F.lit(0.0)))
+    known = lambda c: F.when((F.size(c) == orders) & ~F.exists(c, lambda v: v.isNull()), F.col(c)).otherwise(padded(F.col(c))).alias(c)
+
+    def multiplied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_terms = beam_of_terms(orders, n, radius)
+        step = max(1, (1 << 20) // max(orders, n * n))
+        for batch in batches:
+            for first in range(0, batch.num_rows, step):
+                part = batch.slice(first, step)
+                re, im = (part.column(c).flatten().to_numpy().reshape(-1, orders) for c in ("re", "im"))
+                planes = ((re + 1j * im) @ of_terms) * factor
+                ends = pa.array(np.arange(part.num_rows + 1) * (n * n), pa.int32())
+                arrays = [pa.ListArray.from_arrays(ends, pa.array(v.ravel())) for v in (planes.real, planes.imag)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), *arrays], names=schema.names)
+
+    return series.select(*rest, known("re"), known("im")).mapInArrow(multiplied, schema)
+
+
+def a_term_of_planes(planes: DataFrame, keys: list[str], pairs: DataFrame, n: int) -> DataFrame:
+    """The same as ``a_term`` from ``keys, stokes, re, im`` with the n x n cells of a plane as arrays, x before y (``beams``).
+
+    The planes of a key meet in one shuffle and are read once; cells become rows only as products.
+    """
+    met = planes.dropna(subset=[*keys, "stokes"]).groupBy(*keys).agg(F.collect_list(F.struct("stokes", "re", "im")).alias("__p"))
+    out = met.select(*keys, "__p", F.explode("__p").alias("__o")).withColumn("stokes_out", F.col("__o.stokes")).join(sized(pairs), "stokes_out")
+    into = F.explode(F.filter("__p", lambda p: p["stokes"] == F.col("stokes_in"))).alias("__i")
+    both = out.select(*keys, "stokes_out", "stokes_in", "__o", into)
+    zipped = F.arrays_zip(*(F.col(f"{side}.{c}").alias(f"{side}{c}") for side in ("__o", "__i") for c in ("re", "im")))
+    cells = both.select(*keys, "stokes_out", "stokes_in", F.posexplode(zipped).alias("__at", "__c"))
+    value = lambda side: cplx(F.col(f"__c.{side}re"), F.col(f"__c.{side}im"))
+    x, y = floor_div(F.col("__at"), n).cast("int").alias("x"), (F.col("__at") % n).alias("y")
+    return cells.select(*keys, "stokes_out", "stokes_in", x, y, cmul(value("__o"), conj(value("__i"))).alias("value"))
